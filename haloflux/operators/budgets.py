@@ -166,10 +166,11 @@ def freshwater_flux(forcing: DataFrame, static: DataFrame, volumes: list[Control
     when its measured size allows.
     """
     area = (F.lit(1.0) / F.col("pm")) * (F.lit(1.0) / F.col("pn"))
-    metres = (F.col("swflux") / F.lit(100.0)) / F.lit(86400.0)
     inside = in_volumes(forcing, volumes)
     joined = inside.join(static.select("j", "i", "pm", "pn"), ["j", "i"])
-    return joined.groupBy("cv_id", time).agg(F.coalesce(F.sum(metres * area), F.lit(0.0)).alias("swflux"))
+    # the unit change is a constant: applied once per sum, not per cell
+    total = F.coalesce(F.sum(F.col("swflux") * area), F.lit(0.0)) / F.lit(100.0) / F.lit(86400.0)
+    return joined.groupBy("cv_id", time).agg(total.alias("swflux"))
 
 
 def surface_salt_flux(columns: DataFrame, volumes: list[ControlVolume], levels: SLevels) -> DataFrame:

@@ -35,7 +35,7 @@ def unpack_levels(columns: DataFrame, n: int, fields: list[str]) -> DataFrame:
     return long.select(*others, "k", *[F.get(F.col(f), F.col("k")).alias(f) for f in fields])
 
 
-def with_neighbours(df: DataFrame, axis: str, fields: list[str], keys: list[str], back: bool = False) -> DataFrame:
+def with_neighbours(df: DataFrame, axis: str, fields: list[str], keys: list[str], back: bool = False, ahead: str = "_next") -> DataFrame:
     """Adds ``<field>_next`` (and ``<field>_back``) from the adjacent column along ``axis``.
 
     Groups are single grid lines (one row per column, never per cell).  A neighbour only
@@ -47,7 +47,7 @@ def with_neighbours(df: DataFrame, axis: str, fields: list[str], keys: list[str]
     at = F.col(along)
     new = {}
     for f in fields:
-        new[f"{f}_next"] = F.when(F.lead(at).over(w) == at + 1, F.lead(F.col(f)).over(w))
+        new[f"{f}{ahead}"] = F.when(F.lead(at).over(w) == at + 1, F.lead(F.col(f)).over(w))
         if back:
             new[f"{f}_back"] = F.when(F.lag(at).over(w) == at - 1, F.lag(F.col(f)).over(w))
     return df.withColumns(new)
@@ -138,8 +138,8 @@ def staggered_geometry(columns: DataFrame, levels: SLevels, point: str, interfac
     Depths and thicknesses are means of the surrounding columns and volumes use the
     metrics of the point itself.  With ``interfaces`` everything refers to the levels
     between the layers (``n + 1`` of them).  Names carry the usual ``_u`` / ``_v`` /
-    ``_psi`` suffix.  Depths are linear in nothing but ``h`` and ``zeta`` of one column,
-    so only those scalars travel between neighbours.
+    ``_psi`` suffix.  Depths follow from the scalars of a column, so only those travel
+    between neighbours.
     """
     scalars = ["h", "zeta", "pm", "pn"]
     keys = ["ocean_time"]
@@ -148,8 +148,8 @@ def staggered_geometry(columns: DataFrame, levels: SLevels, point: str, interfac
     corners = [""]
     for axis in steps:
         names = [f"{s}{c}" for c in corners for s in scalars]
-        df = with_neighbours(df, axis, names, keys)
-        corners = corners + [f"{c}_next" for c in corners]
+        df = with_neighbours(df, axis, names, keys, ahead=f"__{axis}")
+        corners = corners + [f"{c}__{axis}" for c in corners]
     weight = F.lit(1.0 / len(corners))
     df = vt.explode_levels(df, levels.n + 1 if interfaces else levels.n)
     k = F.col("k")

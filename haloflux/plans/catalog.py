@@ -26,6 +26,9 @@ DEPTH = BinSpec("depth", -65.0, 0.0, 52)
 GRAD = BinSpec("grad", 0.0, 0.0625, 64)
 KEYS = ["cv_id", "ocean_time"]
 LEVELS = src.grid_levels()
+# step length in the budget queries: a power of two keeps tendencies exact, so that sums
+# which cancel are 0 and not rounding error
+STEP = 4096.0
 BOX, BOXES = src.GRID_BOX, src.GRID_BOXES
 DOMAIN = ControlVolume(0, 0, src.NI - 1, 0, src.NJ - 1)
 HALF_OPEN = ControlVolume(1, 2, 5, 2, 4, "halfopen")
@@ -47,6 +50,11 @@ def rounded(df: DataFrame, digits: dict[str, int]) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c), d) + F.lit(0.0) for c, d in digits.items()})
 
 
+def snapped(df: DataFrame, grids: dict[str, float]) -> DataFrame:
+    """Values known to be multiples of 1/g, counted in 1/g (which removes rounding error)."""
+    return df.withColumns({c: F.round(F.col(c) * F.lit(g)) + F.lit(0.0) for c, g in grids.items()})
+
+
 def _samples(spark: SparkSession, d: str) -> DataFrame:
     return volumes.tracer_transports(src.tef_samples(spark, d))
 
@@ -54,6 +62,8 @@ def _samples(spark: SparkSession, d: str) -> DataFrame:
 def _samples_with_variance(spark: SparkSession, d: str) -> DataFrame:
     base = src.tef_samples(spark, d)
     mean = base.groupBy(*KEYS).agg(F.try_divide(F.sum(F.col("salt") * F.col("dv")), F.sum("dv")).alias("sbar"))
+    # cut to 1/64 so that transports of the squared deviation are dyadic as well
+    mean = mean.withColumn("sbar", F.floor(F.col("sbar") * 64) / F.lit(64.0))
     return volumes.variance_transport(volumes.tracer_transports(base), mean)
 
 
@@ -72,20 +82,19 @@ def tef_net(spark, d):
 
 @query
 def tef_full_ss(spark, d):
-    out = exchange.exchange_flow_from_samples(_samples_with_variance(spark, d), {"salt": SALT}, KEYS)
-    return rounded(out, {"Qsvarin": 4, "Qsvarout": 4, "svarin": 6, "svarout": 6, "svaradv": 4})
+    return exchange.exchange_flow_from_samples(_samples_with_variance(spark, d), {"salt": SALT}, KEYS)
 
 
 @query
 def tef_normalized(spark, d):
     samples = volumes.per_cell_volume(_samples_with_variance(spark, d)).select(*KEYS, "face", "salt", "q", "qsvar")
     out = exchange.exchange_flow_from_samples(samples, {"salt": SALT}, KEYS)
-    # q / dv is a multiple of 1 / (8 * 1024 * 840): counted in 1024 * 840 parts it has three decimals
-    parts = 1024.0 * 840.0
-    out = out.withColumns({c: F.col(c) * parts for c in ("Qin", "Qout", "voladv")})
-    return rounded(
-        out, {"Qin": 3, "Qout": 3, "voladv": 3, "Qsvarin": 5, "Qsvarout": 5, "svaradv": 5, "svarin": 4, "svarout": 4}
-    )
+    # q / dv is a multiple of 1 / (8 * 1024 * 840), its product with a squared deviation of
+    # one 4096 times finer
+    parts = 8.0 * 1024.0 * 840.0
+    fine = parts * 4096.0
+    out = snapped(out, {"Qin": parts, "Qout": parts, "voladv": parts, "Qsvarin": fine, "Qsvarout": fine, "svaradv": fine})
+    return rounded(out, {"svarin": 4, "svarout": 4})
 
 
 @query
@@ -147,19 +156,17 @@ def hist_ssq(spark, d):
 
 @query
 def hist_svar(spark, d):
-    return rounded(_face_hist(_samples_with_variance(spark, d), {"salt": SALT}, ["qsvar"]), {"qsvar": 4})
+    return _face_hist(_samples_with_variance(spark, d), {"salt": SALT}, ["qsvar"])
 
 
 @query
 def hist_ts(spark, d):
-    out = _face_hist(_samples_with_variance(spark, d), {"salt": SALT, "temp": TEMP}, ["q", "qs", "qsvar"])
-    return rounded(out, {"qsvar": 4})
+    return _face_hist(_samples_with_variance(spark, d), {"salt": SALT, "temp": TEMP}, ["q", "qs", "qsvar"])
 
 
 @query
 def hist_sz(spark, d):
-    out = _face_hist(_samples_with_variance(spark, d), {"salt": SALT, "z": DEPTH}, ["q", "qs", "qss", "qsvar"])
-    return rounded(out, {"qsvar": 4})
+    return _face_hist(_samples_with_variance(spark, d), {"salt": SALT, "z": DEPTH}, ["q", "qs", "qss", "qsvar"])
 
 
 @query
@@ -243,8 +250,8 @@ def tendencies(spark, d):
 
 @query
 def closure(spark, d):
-    terms = tef.budget(src.grid_columns(spark, d), BOXES, LEVELS, SALT)
-    out = budgets.budget_closure(terms, seconds=3600.0)
+    terms = tef.budget(src.grid_columns(spark, d), BOXES, LEVELS, SALT, STEP)
+    out = budgets.budget_closure(terms, seconds=STEP)
     names = ["volume", "salt", "ssalt", "svar"]
     return rounded(out, {f"{n}_{c}": 0 for n in names for c in ("supply", "storage")} | {f"{n}_pct": 4 for n in names})
 
@@ -298,7 +305,7 @@ def surface_flux(spark, d):
 
 def _surface_terms(spark, d):
     cols = src.grid_columns(spark, d)
-    terms = tef.budget(cols, [BOX], LEVELS, SALT)
+    terms = tef.budget(cols, [BOX], LEVELS, SALT, STEP)
     forcing = cols.select("ocean_time", "j", "i", "swflux")
     fresh = budgets.freshwater_flux(forcing, src.grid_static(cols), [BOX], "ocean_time")
     fluxes = fresh.join(budgets.surface_salt_flux(cols, [BOX], LEVELS), KEYS)
@@ -537,7 +544,7 @@ def isohaline_depth(spark, d):
     cols = src.grid_columns(spark, d).select("ocean_time", "j", "i", "h", "zeta", "salt")
     out = analysis.isosurface_depth(cols, "salt", 20.0, LEVELS, "shallowest", "z_shallow")
     out = analysis.isosurface_depth(out, "salt", 20.0, LEVELS, "deepest", "z_deep")
-    return rounded(out.select("ocean_time", "j", "i", "z_shallow", "z_deep"), {"z_shallow": 8, "z_deep": 8})
+    return out.select("ocean_time", "j", "i", "z_shallow", "z_deep")
 
 
 @query

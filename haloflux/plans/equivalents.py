@@ -33,7 +33,7 @@ tefb AS (
 _TEFVAR = (
     _TEF
     + """,
-sb AS (SELECT cv_id, ocean_time, sum(salt * dv) / sum(dv) AS sbar FROM tef GROUP BY ALL),
+sb AS (SELECT cv_id, ocean_time, floor(sum(salt * dv) / sum(dv) * 64) / 64 AS sbar FROM tef GROUP BY ALL),
 tefv AS (
   SELECT t.*, q * ((salt - sbar) * (salt - sbar)) AS qsvar
   FROM tefb t JOIN sb USING (cv_id, ocean_time)
@@ -213,15 +213,13 @@ def _exchange_sql() -> dict[str, str]:
         "tef_net": f"""WITH {_TEF}
 SELECT cv_id, ocean_time, salt_idx, {_SB}, sum(sgn * q) AS "Qnet", sum(sgn * qs) AS "Qsnet", sum(sgn * qss) AS "Qssnet"
 FROM tefb WHERE salt_idx IS NOT NULL GROUP BY ALL""",
-        "tef_full_ss": _flow(
-            _TEFVAR, "tefv", ["q", "qs", "qss", "qsvar"],
-            digits={"Qsvarin": 4, "Qsvarout": 4, "svarin": 6, "svarout": 6, "svaradv": 4},
-        ),
+        "tef_full_ss": _flow(_TEFVAR, "tefv", ["q", "qs", "qss", "qsvar"]),
         "tef_normalized": f"""WITH flow AS ({_flow(
             _TEFVAR + ",\ntefn AS (SELECT * REPLACE (q / dv AS q, qsvar / dv AS qsvar) FROM tefv)", "tefn", ["q", "qsvar"],
-            digits={"Qsvarin": 5, "Qsvarout": 5, "svaradv": 5, "svarin": 4, "svarout": 4},
+            digits={"svarin": 4, "svarout": 4},
         )})
-SELECT * REPLACE ({", ".join(f'round("{c}" * 860160, 3) + 0.0e0 AS "{c}"' for c in ("Qin", "Qout", "voladv"))}) FROM flow""",
+SELECT * REPLACE ({", ".join(f'round("{c}" * {6881280 * m}) + 0.0e0 AS "{c}"' for c, m in
+            (("Qin", 1), ("Qout", 1), ("voladv", 1), ("Qsvarin", 4096), ("Qsvarout", 4096), ("svaradv", 4096)))}) FROM flow""",
         "tef_ts": _flow(
             _TEF, "tefb", ["q", "qs"], extra=f", {_TB}", idx=", temp_idx",
             where="salt_idx IS NOT NULL AND temp_idx IS NOT NULL",
@@ -263,7 +261,7 @@ def _histogram_sql() -> dict[str, str]:
 SELECT cv_id, ocean_time, face, salt_idx{idx[0]}, {_SB}{idx[1]}, {cols}
 FROM {source} WHERE salt_idx IS NOT NULL{idx[2]} GROUP BY ALL"""
 
-    svar = "round(sum(qsvar), 4) + 0.0e0"
+    svar = "sum(qsvar)"
     incv = f"WITH {_CHI},\n{_cv(_BOX)}"
     insplit = f"WITH {_CHI},\n{_cv(_SPLIT)}"
     return {
@@ -360,7 +358,7 @@ def _budget_sql() -> dict[str, str]:
         return f"""{base(rows)},
 {_FACES},
 {_STATS},
-{_TEND},
+{_TEND.replace("/ 3600", "/ 4096")},
 fv AS (SELECT f.*, q * power(salt - sbar, 2) AS qsvar FROM fsb f JOIN vs ON vs.cv_id = f.cv_id AND vs.t = f.ocean_time),
 net AS (SELECT cv_id, ocean_time AS t, salt_idx, {nets} FROM fv WHERE salt_idx IS NOT NULL GROUP BY ALL),
 {_split(["Q", "Qs", "Qss", "Qsvar"], "net", "cv_id, t")},
@@ -377,7 +375,7 @@ term AS (SELECT * FROM adv JOIN td USING (cv_id, t) JOIN mix USING (cv_id, t))""
 
     surface = f"""{terms(_BOX)},
 flux AS (
-  SELECT cv_id, t, sum(swflux / 100 / 86400 / pm / pn) AS sw, sum(ssflux / pm / pn) AS ss
+  SELECT cv_id, t, sum(swflux / pm / pn) / 100 / 86400 AS sw, sum(ssflux / pm / pn) AS ss
   FROM col, cv WHERE {_INCV} GROUP BY ALL
 ),
 sf AS (
@@ -397,11 +395,11 @@ SELECT cv_id, t AS ocean_time, v AS "V", sv AS "sV", ssv AS "ssV", sbar, round(s
 {_TEND}
 SELECT cv_id, t AS ocean_time, dvdt AS "dVdt", dsvdt AS "dsVdt", dssvdt AS "dssVdt", round(dsvardt, 4) + 0.0e0 AS dsvardt FROM td""",
         "closure": f"""{terms(_SPLIT)}
-SELECT cv_id, {pct("volume", "voladv", "dvdt", 0, " * 3600", 4)}, {pct("salt", "saltadv", "dsvdt", 0, " * 3600", 4)},
-  {pct("ssalt", "(ssaltadv - chi)", "dssvdt", 0, " * 3600", 4)}, {pct("svar", "(svaradv - chi)", "dsvardt", 0, " * 3600", 4)}
+SELECT cv_id, {pct("volume", "voladv", "dvdt", 0, " * 4096", 4)}, {pct("salt", "saltadv", "dsvdt", 0, " * 4096", 4)},
+  {pct("ssalt", "(ssaltadv - chi)", "dssvdt", 0, " * 4096", 4)}, {pct("svar", "(svaradv - chi)", "dsvardt", 0, " * 4096", 4)}
 FROM term GROUP BY cv_id""",
         "surface_flux": f"""{base(_BOX)},
-fw AS (SELECT cv_id, t, sum(swflux / 100 / 86400 / pm / pn) AS sw FROM col, cv WHERE {_INCV} GROUP BY ALL),
+fw AS (SELECT cv_id, t, sum(swflux / pm / pn) / 100 / 86400 AS sw FROM col, cv WHERE {_INCV} GROUP BY ALL),
 sl AS (
   SELECT cv_id, t, sum(ssflux / pm / pn) AS ss, coalesce(sum(ssflux / nullif(salt, 0) / pm / pn), 0) AS sv
   FROM lev, cv WHERE k = 6 AND {_INCV} GROUP BY ALL
@@ -512,7 +510,7 @@ b AS (
 SELECT period, grad_idx, (grad_idx + 0.5e0) / 1024 AS grad_bin, n,
   round(n / (sum(n) OVER (PARTITION BY period)) * 1024, 9) + 0.0e0 AS density FROM b""",
         "isohaline_depth": f"""WITH {iso.format(v="20")}
-SELECT t AS ocean_time, {ji.format('')}, round(max(z), 8) + 0.0e0 AS z_shallow, round(min(z), 8) + 0.0e0 AS z_deep FROM c GROUP BY t, j, i""",
+SELECT t AS ocean_time, {ji.format('')}, max(z) AS z_shallow, min(z) AS z_deep FROM c GROUP BY t, j, i""",
         "isohaline_mean": f"""WITH {iso.format(v="28.4e0")},
 m AS (SELECT t, j, i, max(z) AS z FROM c GROUP BY t, j, i)
 SELECT {ji.format('')}, round(avg(z), 8) + 0.0e0 AS z_iso FROM m GROUP BY ALL""",
