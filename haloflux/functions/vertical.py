@@ -14,7 +14,7 @@ from ..schema import SLevels
 
 
 def _pick(values: tuple[float, ...], k: Column) -> Column:
-    return F.get(F.array(*[F.lit(float(v)) for v in values]), k)
+    return F.get(F.expr(f"array({', '.join(f'{float(v)!r}D' for v in values)})"), k)
 
 
 def _stretch(levels: SLevels, where: str, k: Column) -> tuple[Column, Column]:

@@ -19,13 +19,9 @@ def pack_levels(cells: DataFrame, n: int, fields: list[str], keys: list[str], in
     and the buffer of a group is exactly the packed row.
     """
     slots = {f: n + 1 if f in interfaces else n for f in fields}
-    aggs = [
-        F.max(F.when(F.col("k") == k, F.col(f))).alias(f"__{f}_{k}") for f, m in slots.items() for k in range(m)
-    ]
-    wide = cells.groupBy(*keys).agg(*aggs)
-    return wide.select(
-        *keys, *[F.array(*[F.col(f"__{f}_{k}") for k in range(m)]).alias(f) for f, m in slots.items()]
-    )
+    aggs = [F.expr(f"max(CASE WHEN k = {k} THEN `{f}` END) AS `__{f}_{k}`") for f, m in slots.items() for k in range(m)]
+    arrays = [f"array({', '.join(f'`__{f}_{k}`' for k in range(m))}) AS `{f}`" for f, m in slots.items()]
+    return cells.groupBy(*keys).agg(*aggs).selectExpr(*keys, *arrays)
 
 
 def unpack_levels(columns: DataFrame, n: int, fields: list[str]) -> DataFrame:

@@ -32,6 +32,9 @@ def local_session(cores: int | str = 8, app: str = "haloflux", memory: str = "8g
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", "8")
+        # plans here are wide; recording the Python call site of every column doubles the
+        # time it takes to build them (static setting: only possible at session start)
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in RUNTIME_CONF.items():
         builder = builder.config(key, value)

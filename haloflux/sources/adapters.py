@@ -86,11 +86,7 @@ def grid_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack_levels(cells, N_LEVELS, fields, ["ocean_time", "j", "i"])
 
     def total(c: str):
-        parts = [F.coalesce(F.get(F.col(c), F.lit(k)), F.lit(0).cast("bigint")) for k in range(N_LEVELS)]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out + p
-        return out
+        return F.expr(" + ".join(f"coalesce(get({c}, {k}), 0L)" for k in range(N_LEVELS)))
 
     j, i = F.col("j"), F.col("i")
     return packed.select(
