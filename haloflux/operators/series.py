@@ -103,18 +103,15 @@ def position_slice(df: DataFrame, keys: list[str], time: str, start: int, stop:
 
 def chunk_of_position(position: Column, length: Column, chunks: int) -> Column:
     """Number of the chunk a position falls in when ``length`` steps are cut at
-    ``floor(c * length / chunks)``."""
-    guess = F.floor(position * chunks / length)
+    ``floor(c * (length / chunks))``, the last chunk ending with the series."""
 
     def start(c: Column) -> Column:
         return F.floor(c * (length / F.lit(float(chunks))))
 
-    return (
-        F.when(position < start(guess), guess - 1)
-        .when((position >= start(guess + 1)) & (guess + 1 < chunks), guess + 1)
-        .otherwise(guess)
-        .cast("int")
-    )
+    # exact in integers; an edge that double arithmetic rounds below a whole number lies
+    # one step earlier
+    guess = F.floor(((position + 1) * chunks - 1) / length)
+    return F.when((guess + 1 < chunks) & (position >= start(guess + 1)), guess + 1).otherwise(guess).cast("int")
 
 
 def with_chunk_id(df: DataFrame, keys: list[str], time: str, chunks: int, name: str = "chunk_id", bucket=None) -> DataFrame:

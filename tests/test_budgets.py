@@ -1,0 +1,80 @@
+import numpy as np
+import pytest
+from conftest import make_columns, step, uniform_levels
+from pyspark.sql import functions as F
+
+from haloflux.operators import budgets, histogram
+from haloflux.schema import BinSpec, ControlVolume
+
+LEV = uniform_levels(3)
+BOX = ControlVolume(0, 0, 3, 0, 3)
+
+
+def bumpy(t, k, j, i):
+    return 28.0 + (5 * i + 3 * j + 7 * k + 2 * t) % 9 + 0.125 * k
+
+
+def test_one_pass_variance_equals_two_pass(spark):
+    cols = make_columns(spark, nt=2, salt=bumpy, zeta=lambda t, j, i: 0.1 * t)
+    r = budgets.volume_stats(budgets.volume_cells(cols, [BOX], LEV)).orderBy("ocean_time").collect()
+    for t in range(2):
+        s = np.array([bumpy(t, k, j, i) for k in range(3) for j in range(4) for i in range(4)])
+        dv = (30.0 + 0.1 * t) / 3 * 1e6
+        assert r[t].V == pytest.approx(48 * dv)
+        assert r[t].sV == pytest.approx((s * dv).sum()) and r[t].ssV == pytest.approx((s * s * dv).sum())
+        assert r[t].sbar == pytest.approx(s.mean())
+        assert r[t].svarV == pytest.approx(((s - s.mean()) ** 2 * dv).sum(), rel=1e-11)
+
+
+def test_land_counts_in_the_volume_unless_wet_only(spark):
+    cols = make_columns(spark, nk=3, salt=lambda t, k, j, i: None if i == 0 else 32.0)
+    cells = budgets.volume_cells(cols, [BOX], LEV)
+    a, b = budgets.volume_stats(cells).first(), budgets.volume_stats(cells, wet_only=True).first()
+    assert a.V == pytest.approx(16 * 30e6) and b.V == pytest.approx(12 * 30e6)
+    assert a.sbar == pytest.approx(24.0) and b.sbar == pytest.approx(32.0)
+    assert a.svarV == pytest.approx(64.0 * 12 * 30e6) and b.svarV == pytest.approx(0.0, abs=1e-3)
+
+
+def test_tendencies_label_the_later_step_and_use_the_given_step(spark):
+    cols = make_columns(spark, nt=3, zeta=lambda t, j, i: 0.36 * t * t, salt=lambda t, k, j, i: 30.0 + t)
+    stats = budgets.volume_stats(budgets.volume_cells(cols, [BOX], LEV))
+    out = budgets.tendencies(stats, 3600.0).orderBy("ocean_time").collect()
+    assert [r.ocean_time for r in out] == [step(1), step(2)]
+    assert [r.dVdt for r in out] == pytest.approx([0.36 * 16e6 / 3600, 3 * 0.36 * 16e6 / 3600])
+    auto = budgets.tendencies(stats, "auto", bucket="hour").orderBy("ocean_time").collect()
+    assert [r.dsVdt for r in auto] == pytest.approx([r.dsVdt for r in out])
+
+
+def test_classes_that_empty_change_to_zero(spark):
+    cols = make_columns(spark, nt=2, nj=1, ni=1, salt=lambda t, k, j, i: 10.5 + t)
+    hist = histogram.weighted_histogram(
+        budgets.volume_cells(cols, [ControlVolume(0, 0, 0, 0, 0)], LEV),
+        budgets.KEYS, {"salt": BinSpec("salt", 0.0, 40.0, 40)}, {"V": F.col("dV")}, dense=True,
+    )
+    out = {r.salt_idx: r.dVdt for r in budgets.class_tendency(hist, "V").collect()}
+    assert len(out) == 40
+    assert out[10] == pytest.approx(-30e6 / 3600) and out[11] == pytest.approx(30e6 / 3600) and out[12] == 0.0
+
+
+def test_closure_percent_and_zero_storage(spark):
+    df = spark.createDataFrame([(0, 1.0, 2.0), (0, 3.0, 2.0), (1, 1.0, 0.0)], "cv_id int, a double, b double")
+    out = {r.cv_id: r for r in budgets.closure(df, {"x": (F.col("a"), F.col("b"))}, ["cv_id"], seconds=10.0).collect()}
+    assert (out[0].x_supply, out[0].x_storage, out[0].x_pct) == (40.0, 40.0, 0.0)
+    assert out[1].x_pct is None
+
+
+def test_surface_fluxes(spark):
+    cols = make_columns(spark, nj=2, ni=2, salt=lambda t, k, j, i: [30.0, 31.0, 32.0][k]).withColumn("ssflux", F.lit(1e-6))
+    box = [ControlVolume(0, 0, 1, 0, 1)]
+    r = budgets.surface_salt_flux(cols, box, LEV).first()
+    assert r.ssflux == pytest.approx(4.0) and r.svolflux == pytest.approx(4.0 / 32.0)
+    forcing = cols.select(F.col("ocean_time").alias("time"), "j", "i", F.lit(86.4).alias("swflux"))
+    assert budgets.freshwater_flux(forcing, cols.select("j", "i", "pm", "pn"), box).first().swflux == pytest.approx(1e-5 * 4e6)
+
+
+def test_surface_budget_sign(spark):
+    terms = spark.createDataFrame([(0, 0, 5.0, 7.0, 100.0, 90.0, 3.0, 1.0)], "cv_id int, ocean_time int, voladv double, dVdt double, saltadv double, ssaltadv double, chi double, dsVdt double")
+    fluxes = spark.createDataFrame([(0, 0, 2.0, 6.0)], "cv_id int, ocean_time int, swflux double, ssflux double")
+    plus, minus = (budgets.surface_budget(terms, fluxes, s).first() for s in (1.0, -1.0))
+    assert (plus.volume_supply, plus.volume_residual, minus.volume_supply) == (7.0, 0.0, 3.0)
+    assert plus.salt_supply == 106.0 and plus.s2flux == 18.0 and plus.ssalt_supply == 105.0
