@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import vertical as vt
 from ..functions.timeparts import truncate
 from ..schema import BinSpec, SLevels
-from .grid import centred_gradient
+from .grid import centred_gradient, mean2, with_neighbours
 
 
 def marginal(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
@@ -185,3 +185,68 @@ def overlap_of_runs(runs: DataFrame, run: str = "run_id", time: str = "ocean_tim
     shared = spans.agg(F.struct(F.max("lo").alias("lo"), F.min("hi").alias("hi")).alias("s")).scalar()
     limits = runs.withColumn("__s", shared)
     return limits.where(F.col(time).between(F.col("__s.lo"), F.col("__s.hi"))).drop("__s")
+
+
+def surface_velocity_gradients(columns: DataFrame, levels: SLevels) -> DataFrame:
+    """Horizontal velocity gradients at the corner points of the uppermost layer.
+
+    Gradients are taken at constant depth: vertical shear times the slope of the
+    terrain-following layer is subtracted from the difference along the layer.  Only the
+    two uppermost layers are read, and all steps along one axis share a shuffle.
+    """
+    n, keys, c = levels.n, ["ocean_time"], F.col
+    h, zeta = c("h"), c("zeta")
+
+    def along(near: str, far: str, q: str, z: str, shear: str) -> Column:
+        """Difference of ``q`` from ``near`` to ``far`` at constant depth."""
+        q0, q1, z0, z1, s0, s1 = (c(f"{name}{end}") for name in (q, z, shear) for end in (near, far))
+        return (q1 - q0) - mean2(s0, s1) * (z1 - z0)
+
+    def shear(q: str, z: str) -> Column:
+        return F.try_divide(c(f"{q}1") - c(f"{q}2"), c(f"{z}1") - c(f"{z}2"))
+
+    top = columns.select(
+        "ocean_time", "j", "i", "pm", "pn", "f",
+        *[F.get(c(q), F.lit(n - m)).alias(f"{q}{m}") for q in ("u", "v") for m in (1, 2)],
+        *[vt.depth(levels, "rho", F.lit(n - m), h, zeta).alias(f"z{m}") for m in (1, 2)],
+    )
+    x = with_neighbours(top, "x", ["z1", "z2"], keys)
+    x = x.withColumns({f"zu{m}": mean2(c(f"z{m}"), c(f"z{m}_next")) for m in (1, 2)}).drop("z1_next", "z2_next")
+    x = x.withColumn("su", shear("u", "zu"))
+    x = with_neighbours(x, "x", ["u1", "zu1", "su"], keys, back=True)
+    x = x.withColumn("dudx", along("_back", "", "u1", "zu1", "su") * c("pm"))
+    x = x.drop(*[f"{q}{e}" for q in ("u1", "zu1", "su") for e in ("_next", "_back")])
+
+    y = with_neighbours(x, "y", ["z1", "z2"], keys)
+    y = y.withColumns({f"zv{m}": mean2(c(f"z{m}"), c(f"z{m}_next")) for m in (1, 2)}).drop("z1_next", "z2_next")
+    y = y.withColumn("sv", shear("v", "zv"))
+    y = with_neighbours(y, "y", ["v1", "zv1", "sv"], keys, back=True)
+    y = y.withColumn("dvdy", along("_back", "", "v1", "zv1", "sv") * c("pn"))
+    y = y.drop(*[f"{q}{e}" for q in ("v1", "zv1", "sv") for e in ("_next", "_back")])
+    centred = ["dudx", "dvdy", "pm", "pn", "f"]
+    y = with_neighbours(y, "y", ["u1", "zu1", "su", *centred], keys)
+    y = y.withColumns(
+        {"du": along("", "_next", "u1", "zu1", "su"), **{f"m_{q}": mean2(c(q), c(f"{q}_next")) for q in centred}}
+    )
+    y = y.select(*keys, "j", "i", "v1", "zv1", "sv", "du", *[f"m_{q}" for q in centred])
+
+    psi = with_neighbours(y, "x", ["v1", "zv1", "sv", *[f"m_{q}" for q in centred]], keys)
+    at = {q: mean2(c(f"m_{q}"), c(f"m_{q}_next")) for q in centred}
+    return psi.select(
+        *keys, "j", "i", at["f"].alias("f"), at["dudx"].alias("dudx"), at["dvdy"].alias("dvdy"),
+        (c("du") * at["pn"]).alias("dudy"), (along("", "_next", "v1", "zv1", "sv") * at["pm"]).alias("dvdx"),
+    )
+
+
+def surface_kinematics(gradients: DataFrame) -> DataFrame:
+    """Relative vorticity, divergence and lateral strain in units of the Coriolis
+    parameter."""
+    ux, uy, vx, vy, f = (F.col(n) for n in ("dudx", "dudy", "dvdx", "dvdy", "f"))
+    strain = F.sqrt((ux - vy) * (ux - vy) + (vx + uy) * (vx + uy))
+    return gradients.withColumns(
+        {
+            "vorticity": F.try_divide(vx - uy, f),
+            "divergence": F.try_divide(ux + vy, f),
+            "strain": F.try_divide(strain, f),
+        }
+    )

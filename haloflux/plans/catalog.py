@@ -423,6 +423,24 @@ def gradient_stats(spark, d):
     return rounded(histogram.density_histogram(yearly, "gradmag", GRAD, ["period"]), {"density": 9})
 
 
+def _kinematics(spark, d):
+    cols = src.grid_columns(spark, d).withColumn("f", (1 + F.col("j")) / F.lit(16384.0))
+    return analysis.surface_kinematics(analysis.surface_velocity_gradients(cols, LEVELS))
+
+
+@query
+def surface_kinematics(spark, d):
+    out = _kinematics(spark, d).select("ocean_time", "j", "i", "vorticity", "divergence", "strain")
+    return rounded(out, {"vorticity": 8, "divergence": 8, "strain": 8})
+
+
+@query
+def vorticity_stats(spark, d):
+    yearly = _kinematics(spark, d).withColumn("period", tp.truncate("year", F.col("ocean_time")))
+    hist = histogram.density_histogram(yearly, "vorticity", BinSpec("vorticity", -60.0, 60.0, 60), ["period"])
+    return rounded(hist, {"density": 9})
+
+
 # ---- faces and boxes ----------------------------------------------------------------
 
 

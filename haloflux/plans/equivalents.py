@@ -457,6 +457,27 @@ gr AS (
   LEFT JOIN s n ON n.t = a.t AND n.i = a.i AND n.j = a.j + 1 LEFT JOIN s z ON z.t = a.t AND z.i = a.i AND z.j = a.j - 1
 ),
 gm AS (SELECT *, sqrt(dsdx * dsdx + dsdy * dsdy) AS gradmag FROM gr)"""
+    kin = f"""{_GRID},
+s AS (
+  SELECT a.t, a.j, a.i, a.pm, a.pn, (1 + a.j) / 16384.0e0 AS f, a.z_rho AS z1, b.z_rho AS z2, a.u AS u1, b.u AS u2, a.v AS v1, b.v AS v2
+  FROM lev a JOIN lev b ON a.k = 6 AND b.k = 5 AND a.t = b.t AND a.j = b.j AND a.i = b.i
+),
+uv AS (
+  SELECT a.*, (a.z1 + e.z1) / 2 AS zu, (a.u1 - a.u2) / nullif((a.z1 + e.z1) / 2 - (a.z2 + e.z2) / 2, 0) AS su,
+    (a.z1 + n.z1) / 2 AS zv, (a.v1 - a.v2) / nullif((a.z1 + n.z1) / 2 - (a.z2 + n.z2) / 2, 0) AS sv
+  FROM s a LEFT JOIN s e ON e.t = a.t AND e.j = a.j AND e.i = a.i + 1 LEFT JOIN s n ON n.t = a.t AND n.i = a.i AND n.j = a.j + 1
+),
+rho AS (
+  SELECT a.*, ((a.u1 - w.u1) - (a.su + w.su) / 2 * (a.zu - w.zu)) * a.pm AS dudx, ((a.v1 - z.v1) - (a.sv + z.sv) / 2 * (a.zv - z.zv)) * a.pn AS dvdy
+  FROM uv a LEFT JOIN uv w ON w.t = a.t AND w.j = a.j AND w.i = a.i - 1 LEFT JOIN uv z ON z.t = a.t AND z.i = a.i AND z.j = a.j - 1
+),
+psi AS (
+  SELECT a.t, a.j, a.i, (a.f + e.f + n.f + d.f) / 4 AS f, (a.dudx + e.dudx + n.dudx + d.dudx) / 4 AS ux, (a.dvdy + e.dvdy + n.dvdy + d.dvdy) / 4 AS vy,
+    ((n.u1 - a.u1) - (n.su + a.su) / 2 * (n.zu - a.zu)) * ((a.pn + e.pn + n.pn + d.pn) / 4) AS uy,
+    ((e.v1 - a.v1) - (e.sv + a.sv) / 2 * (e.zv - a.zv)) * ((a.pm + e.pm + n.pm + d.pm) / 4) AS vx
+  FROM rho a LEFT JOIN rho e ON e.t = a.t AND e.j = a.j AND e.i = a.i + 1 LEFT JOIN rho n ON n.t = a.t AND n.i = a.i AND n.j = a.j + 1
+  LEFT JOIN rho d ON d.t = a.t AND d.i = a.i + 1 AND d.j = a.j + 1
+)"""
     iso = f"""{_GRID},
 p AS (
   SELECT t, j, i, k, h, zeta, salt - {{v}} AS a, lead(salt) OVER w - {{v}} AS b, z_rho AS za, lead(z_rho) OVER w AS zb
@@ -509,6 +530,16 @@ b AS (
 )
 SELECT period, grad_idx, (grad_idx + 0.5e0) / 1024 AS grad_bin, n,
   round(n / (sum(n) OVER (PARTITION BY period)) * 1024, 9) + 0.0e0 AS density FROM b""",
+        "surface_kinematics": f"""WITH {kin}
+SELECT t AS ocean_time, {ji.format('')}, round((vx - uy) / f, 8) + 0.0e0 AS vorticity, round((ux + vy) / f, 8) + 0.0e0 AS divergence,
+  round(sqrt(power(ux - vy, 2) + power(vx + uy, 2)) / f, 8) + 0.0e0 AS strain FROM psi""",
+        "vorticity_stats": f"""WITH {kin},
+b AS (
+  SELECT CAST(date_trunc('year', t) AS TIMESTAMP) AS period, CAST(least(floor(((vx - uy) / f + 60) / 2), 59) AS INTEGER) AS vorticity_idx, count(*) AS n
+  FROM psi WHERE (vx - uy) / f BETWEEN -60 AND 60 GROUP BY ALL
+)
+SELECT period, vorticity_idx, -60 + (vorticity_idx + 0.5e0) * 2 AS vorticity_bin, n,
+  round(n / (sum(n) OVER (PARTITION BY period)) / 2, 9) + 0.0e0 AS density FROM b""",
         "isohaline_depth": f"""WITH {iso.format(v="20")}
 SELECT t AS ocean_time, {ji.format('')}, max(z) AS z_shallow, min(z) AS z_deep FROM c GROUP BY t, j, i""",
         "isohaline_mean": f"""WITH {iso.format(v="28.4e0")},

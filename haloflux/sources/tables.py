@@ -33,14 +33,14 @@ def open_columns(spark: SparkSession, paths: str | Sequence[str], schema: T.Stru
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
+    floats = (T.DoubleType, T.FloatType)
     clean = {}
     for field in df.schema.fields:
         c = F.col(field.name)
-        if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-            clean[field.name] = F.nanvl(c, F.lit(None).cast(field.dataType))
-        elif isinstance(field.dataType, T.ArrayType) and isinstance(field.dataType.elementType, (T.DoubleType, T.FloatType)):
-            null = F.lit(None).cast(field.dataType.elementType)
-            clean[field.name] = F.transform(c, lambda x, null=null: F.nanvl(x, null))
+        if isinstance(field.dataType, floats):
+            clean[field.name] = F.when(~F.isnan(c), c)
+        elif isinstance(field.dataType, T.ArrayType) and isinstance(field.dataType.elementType, floats):
+            clean[field.name] = F.transform(c, lambda x: F.when(~F.isnan(x), x))
     return df.withColumns(clean) if clean else df
 
 

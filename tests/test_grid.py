@@ -138,3 +138,24 @@ def test_isosurface_policies(spark):
     assert got["deepest", 3] == pytest.approx(-7.0)
     none = analysis.isosurface_depth(cols, "salt", 20.0, lev).where("z_iso is not null")
     assert none.count() == 0
+
+
+def test_velocity_gradients_at_constant_depth(spark):
+    lev = uniform_levels(4)
+    # sloping layers; velocities linear in x, y and depth, so gradients are constants
+    depth_of = lambda k, h: h * lev.s_rho[k]
+    h = lambda j, i: 40.0 + 2.0 * i + 3.0 * j
+    zu = lambda k, j, i: (depth_of(k, h(j, i)) + depth_of(k, h(j, i + 1))) / 2
+    zv = lambda k, j, i: (depth_of(k, h(j, i)) + depth_of(k, h(j + 1, i))) / 2
+    cols = make_columns(
+        spark, nk=4, nj=6, ni=6, h=h,
+        u=lambda t, k, j, i: 0.02 * (i + 0.5) + 0.03 * j + 0.01 * zu(k, j, i),
+        v=lambda t, k, j, i: 0.05 * i - 0.04 * (j + 0.5) - 0.02 * zv(k, j, i),
+    )
+    out = analysis.surface_kinematics(analysis.surface_velocity_gradients(cols, lev)).where("dudx IS NOT NULL AND dvdy IS NOT NULL")
+    rows = out.collect()
+    assert {(r.j, r.i) for r in rows} == {(j, i) for j in range(1, 4) for i in range(1, 4)}
+    for r in rows:
+        assert (r.dudx, r.dudy, r.dvdx, r.dvdy) == pytest.approx((2e-5, 3e-5, 5e-5, -4e-5), rel=1e-9)
+        assert r.vorticity == pytest.approx(2e-5 / 7e-5) and r.divergence == pytest.approx(-2e-5 / 7e-5)
+        assert r.strain == pytest.approx(np.hypot(6e-5, 8e-5) / 7e-5)
