@@ -34,20 +34,33 @@ def _parse(text: str) -> tuple[datetime, datetime, bool]:
     return start, start, False
 
 
-def at_time(text: str, column: str = "ocean_time") -> Column:
+def at_time(text: str, column: str = "ocean_time", date_column: str | None = None) -> Column:
     """Rows within the year, month, day, hour or minute that ``text`` names, or at the
-    exact instant when seconds are given."""
+    exact instant when seconds are given.
+
+    With ``date_column`` the days concerned are also selected on that partition column,
+    so other partitions are not listed or read.
+    """
     start, end, period = _parse(text)
     c = F.col(column)
-    return (c >= ntz(start)) & (c < ntz(end)) if period else c == ntz(start)
+    rows = (c >= ntz(start)) & (c < ntz(end)) if period else c == ntz(start)
+    return rows & _days(start, end, period, date_column)
 
 
-def between_times(first: str, last: str, column: str = "ocean_time") -> Column:
+def between_times(first: str, last: str, column: str = "ocean_time", date_column: str | None = None) -> Column:
     """Inclusive range; a period as the upper bound is included whole."""
     start = _parse(first)[0]
     _, end, period = _parse(last)
     c = F.col(column)
-    return (c >= ntz(start)) & ((c < ntz(end)) if period else (c <= ntz(end)))
+    rows = (c >= ntz(start)) & ((c < ntz(end)) if period else (c <= ntz(end)))
+    return rows & _days(start, end, period, date_column)
+
+
+def _days(start: datetime, end: datetime, period: bool, date_column: str | None) -> Column:
+    if date_column is None:
+        return F.lit(True)
+    last = end - timedelta(microseconds=1) if period else end
+    return F.col(date_column).between(F.lit(start.date()), F.lit(last.date()))
 
 
 def dates(spark: SparkSession, first: str, last: str) -> DataFrame:

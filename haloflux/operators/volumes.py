@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vertical as vt
-from ..schema import ControlVolume, SLevels
+from ..schema import ControlVolume, SLevels, control_volume_table
 
 # Above this many rows a membership table is joined by shuffle instead of broadcast.
 # A row is under 100 bytes, so the largest broadcast stays near 20 MB.
@@ -32,8 +32,8 @@ def prune(columns: DataFrame, volumes: list[ControlVolume], halo: int = 1) -> Da
     return columns.where(_bounds(volumes, halo))
 
 
-def _small(rows: list) -> bool:
-    return len(rows) <= BROADCAST_ROWS
+def _broadcast_if_small(table: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
 
 
 def in_volumes(columns: DataFrame, volumes: list[ControlVolume]) -> DataFrame:
@@ -44,36 +44,39 @@ def in_volumes(columns: DataFrame, volumes: list[ControlVolume]) -> DataFrame:
     if len(volumes) <= INLINE_VOLUMES:
         hits = [F.when(_bounds([v]), F.lit(v.cv_id)) for v in volumes]
         return columns.withColumn("cv_id", F.explode(F.array_compact(F.array(*hits))))
-    spark = columns.sparkSession
-    strips = [(v.cv_id, i, v.j0, v.j1) for v in volumes for i in range(v.i0, v.i1 + 1)]
-    table = spark.createDataFrame(strips, "cv_id int, i int, __j0 int, __j1 int")
-    if _small(strips):
+    strips = control_volume_table(columns.sparkSession, volumes).select(
+        "cv_id", F.explode(F.sequence("i0", "i1")).alias("i"), F.col("j0").alias("__j0"), F.col("j1").alias("__j1")
+    )
+    n_strips = sum(v.i1 - v.i0 + 1 for v in volumes)
+    if n_strips <= BROADCAST_ROWS:
         inside = F.col("j").between(F.col("__j0"), F.col("__j1"))
-        joined = columns.join(F.broadcast(table), "i").where(inside)
-        return joined.drop("__j0", "__j1")
+        return columns.join(F.broadcast(strips), "i").where(inside).drop("__j0", "__j1")
     # many volumes: match on both indices, so the shuffle keys are as fine as the grid
-    cells = table.select("cv_id", "i", F.explode(F.sequence("__j0", "__j1")).alias("j"))
+    cells = strips.select("cv_id", "i", F.explode(F.sequence("__j0", "__j1")).alias("j"))
     return columns.join(cells, ["i", "j"])
 
 
-def _face_columns(volumes: list[ControlVolume], edge: str) -> list[tuple]:
-    """Rows (cv_id, face, pos, j, i, weight, owner) of the columns each face reads.
+def face_reads(spark: SparkSession, volumes: list[ControlVolume], edge: str = "mean") -> DataFrame:
+    """The columns each face cell reads: ``(cv_id, face, pos, j, i, role)``.
 
-    The face value of a tracer is the weighted sum over its columns; ``owner`` marks the
-    column whose velocity lies on the face.
+    Role 0 is the column whose velocity lies on the face, role 1 the one across it and
+    role 2 the second inner column of an extrapolated west or south face.  Expanded by
+    Spark from one row per volume.
     """
-    rows = []
-    for v in volumes:
-        for face, line in v.face_lines.items():
-            span = range(v.j0, v.j1 + 1) if face in "WE" else range(v.i0, v.i1 + 1)
-            reads = [(line, 0.5, True), (line + 1, 0.5, False)]
-            if edge == "extrapolate" and face in "WS":
-                reads = [(line, 0.0, True), (line + 1, 1.5, False), (line + 2, -0.5, False)]
-            for pos in span:
-                for at, weight, owner in reads:
-                    j, i = (pos, at) if face in "WE" else (at, pos)
-                    rows.append((v.cv_id, face, pos, j, i, weight, owner))
-    return rows
+    lines = [(v.cv_id, f, at, v.j0, v.j1) if f in "WE" else (v.cv_id, f, at, v.i0, v.i1) for v in volumes for f, at in v.face_lines.items()]
+    table = spark.createDataFrame(lines, "cv_id int, face string, line int, lo int, hi int")
+    last = F.when(F.col("face").isin("W", "S"), 2).otherwise(1) if edge == "extrapolate" else F.lit(1)
+    cells = table.withColumn("pos", F.explode(F.sequence("lo", "hi"))).withColumn(
+        "role", F.explode(F.sequence(F.lit(0), last))
+    )
+    across = F.col("line") + F.col("role")
+    along_x = F.col("face").isin("W", "E")
+    return cells.select(
+        "cv_id", "face", "pos",
+        F.when(along_x, F.col("pos")).otherwise(across).alias("j"),
+        F.when(along_x, across).otherwise(F.col("pos")).alias("i"),
+        "role",
+    )
 
 
 def face_samples(
@@ -97,31 +100,26 @@ def face_samples(
     """
     if edge not in ("mean", "extrapolate"):
         raise ValueError("edge must be 'mean' or 'extrapolate'")
-    reads = _face_columns(volumes, edge)
-    lines_i = sorted({r[4] for r in reads if r[1] in "WE"})
-    lines_j = sorted({r[3] for r in reads if r[1] in "SN"})
+    depth = 2 if edge == "extrapolate" else 1
+    lines_i = {at + m for v in volumes for f, at in v.face_lines.items() if f in "WE" for m in range(depth + 1)}
+    lines_j = {at + m for v in volumes for f, at in v.face_lines.items() if f in "SN" for m in range(depth + 1)}
     columns = columns.where(
-        F.col("i").between(min(r[4] for r in reads), max(r[4] for r in reads))
-        & F.col("j").between(min(r[3] for r in reads), max(r[3] for r in reads))
+        F.col("i").between(min(lines_i | {v.i0 for v in volumes}), max(lines_i | {v.i1 for v in volumes}))
+        & F.col("j").between(min(lines_j | {v.j0 for v in volumes}), max(lines_j | {v.j1 for v in volumes}))
     )
     if len(lines_i) + len(lines_j) <= PREDICATE_LINES:
-        columns = columns.where(F.col("i").isin(lines_i) | F.col("j").isin(lines_j))
-    table = columns.sparkSession.createDataFrame(
-        reads, "cv_id int, face string, pos int, j int, i int, weight double, owner boolean"
-    )
-    if _small(reads):
-        table = F.broadcast(table)
+        columns = columns.where(F.col("i").isin(sorted(lines_i)) | F.col("j").isin(sorted(lines_j)))
+    n_reads = sum((depth + 1) * 2 * (v.i1 - v.i0 + v.j1 - v.j0 + 2) for v in volumes)
+    table = _broadcast_if_small(face_reads(columns.sparkSession, volumes, edge), n_reads)
     fields = [*dict.fromkeys(["u", "v", *tracers])]
     touched = columns.select("ocean_time", "j", "i", "h", "zeta", "pm", "pn", *fields).join(table, ["j", "i"])
 
-    # one struct per column of the face: the velocity owner, its opposite, and for
-    # extrapolated edges the second inner column
+    # one struct per column the face reads
     side = F.struct("h", "zeta", "pm", "pn", *fields)
-    role = F.when(F.col("owner"), 0).when(F.col("weight") >= 0, 1).otherwise(2)
     keys = ["cv_id", "ocean_time", "face", "pos"]
-    n_roles = 3 if edge == "extrapolate" else 2
-    grouped = touched.withColumn("__role", role).groupBy(*keys).agg(
-        *[F.first(F.when(F.col("__role") == r, side), ignorenulls=True).alias(f"s{r}") for r in range(n_roles)]
+    n_roles = depth + 1
+    grouped = touched.groupBy(*keys).agg(
+        *[F.first(F.when(F.col("role") == r, side), ignorenulls=True).alias(f"s{r}") for r in range(n_roles)]
     )
 
     levelled = vt.explode_levels(grouped, levels.n)

@@ -59,19 +59,21 @@ def merge_results(parts: list[DataFrame], keys: list[str]) -> DataFrame:
 
 def write(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
     """Write a result.  Partitioned overwrites only replace the partitions present in
-    ``df``, whatever the session default is."""
-    writer = df.write.mode(mode)
-    if partition_by:
-        writer = writer.partitionBy(*partition_by).option("partitionOverwriteMode", "dynamic")
-    writer.parquet(path)
+    ``df``, whatever the session default is.
 
+    Rows are rebalanced on the partition columns first: a partition ends up in few files,
+    and AQE splits one that is too large for a task.
+    """
+    if not partition_by:
+        df.write.mode(mode).parquet(path)
+        return
+    lined_up = df.hint("rebalance", *partition_by)
+    writer = lined_up.write.mode(mode).partitionBy(*partition_by)
+    writer.option("partitionOverwriteMode", "dynamic").parquet(path)
 
-def write_daily(df: DataFrame, path: str, time: str = "ocean_time", extra: Sequence[str] = ()) -> None:
-    """One partition per day.
 
-    Rows are not shuffled to line up with days: aggregated results are small next to
-    their input and a day may hold more rows than one task should write.
-    """
+def write_daily(df: DataFrame, path: str, time: str = "ocean_time", extra: Sequence[str] = ()) -> None:
+    """One partition per day; re-running a day replaces that day only."""
     write(df.withColumn("ocean_date", F.col(time).cast("date")), path, [*extra, "ocean_date"])
 
 

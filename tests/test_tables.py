@@ -4,6 +4,7 @@ import pytest
 from conftest import make_columns, uniform_levels
 from pyspark.sql import functions as F
 
+from haloflux.functions.timeparts import at_time
 from haloflux.operators import exchange, volumes
 from haloflux.schema import COLUMNS_SCHEMA, BinSpec, ControlVolume, control_volume_table
 from haloflux.sources import tables
@@ -29,7 +30,8 @@ def test_daily_overwrite_leaves_other_days(spark, tmp_path):
     tables.write_daily(df, out)
     tables.write_daily(df.where("q = 2").withColumn("q", F.lit(5.0)), out)
     assert sorted(r.q for r in tables.scan(spark, out).collect()) == [1.0, 5.0]
-    back = tables.scan(spark, out).where("ocean_date = DATE'2010-06-02'")
+    back = tables.scan(spark, out).where(at_time("2010-06-02-04", date_column="ocean_date"))
+    assert [r.q for r in back.collect()] == [5.0]
     assert "PartitionFilters: [isnotnull(ocean_date" in back._jdf.queryExecution().executedPlan().toString()
 
 
