@@ -303,6 +303,14 @@ def surface_flux(spark, d):
     return rounded(analysis.aligned([fresh, salt], KEYS), {"swflux": 9, "svolflux": 6})
 
 
+@query
+def surface_forcing(spark, d):
+    cols = src.grid_columns(spark, d)
+    forcing = cols.select(F.col("ocean_time").alias("time"), "j", "i", "swflux")
+    out = tef.surface_forcing(forcing, src.grid_static(cols), BOXES, 86400, skip=1)
+    return rounded(out, {"swflux": 8})
+
+
 def _surface_terms(spark, d):
     cols = src.grid_columns(spark, d)
     terms = tef.budget(cols, [BOX], LEVELS, SALT, STEP)

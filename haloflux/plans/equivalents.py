@@ -406,6 +406,15 @@ sl AS (
 )
 SELECT cv_id, t AS ocean_time, round(sw, 9) + 0.0e0 AS swflux, ss AS ssflux, round(sv, 6) + 0.0e0 AS svolflux
 FROM fw JOIN sl USING (cv_id, t)""",
+        "surface_forcing": f"""{base(_SPLIT)},
+fw AS (SELECT cv_id, t, sum(swflux / pm / pn) / 100 / 86400 AS sw FROM col, cv WHERE {_INCV} GROUP BY ALL),
+pr AS (SELECT *, lead(t) OVER w AS tb, lead(sw) OVER w AS sb, first_value(t) OVER w AS t0 FROM fw WINDOW w AS (PARTITION BY cv_id ORDER BY t)),
+ex AS (
+  SELECT *, unnest(CASE WHEN tb IS NULL THEN [t] ELSE generate_series(t, tb - INTERVAL 1 DAY, INTERVAL 1 DAY) END) AS x FROM pr
+)
+SELECT cv_id, x AS ocean_time,
+  round(CASE WHEN x = t THEN sw ELSE sw + (sb - sw) * (epoch(x) - epoch(t)) / (epoch(tb) - epoch(t)) END, 8) + 0.0e0 AS swflux
+FROM ex WHERE x > t0""",
         "surface_budget": f"""{surface}
 SELECT cv_id, ocean_time, round(volume_supply, 4) + 0.0e0 AS volume_supply, round(volume_residual, 4) + 0.0e0 AS volume_residual,
        round(salt_supply, 4) + 0.0e0 AS salt_supply, round(s2flux, 4) + 0.0e0 AS s2flux, round(ssalt_supply, 2) + 0.0e0 AS ssalt_supply

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import budgets, exchange, histogram, volumes
+from ..operators import budgets, exchange, histogram, series, volumes
 from ..schema import BinSpec, ControlVolume, SLevels
 
 KEYS = ["cv_id", "ocean_time"]
@@ -97,6 +97,22 @@ def budget(columns: DataFrame, boxes: list[ControlVolume], levels: SLevels, salt
     return exchange.exchange_flow(net, KEYS + along).select(*KEYS, *along, *BULK)
 
 
+def surface_forcing(
+    forcing: DataFrame, static: DataFrame, boxes: list[ControlVolume], step: int, skip: int = 0
+) -> DataFrame:
+    """Surface water flux of every volume on the time steps of the run.
+
+    The forcing is coarser in time than the run.  Interpolation in time and the sum over
+    cells commute, so cells are summed first and only one row per forcing step is
+    interpolated.  ``skip`` drops leading steps.
+    """
+    coarse = budgets.freshwater_flux(forcing, static, boxes)
+    fine = series.resample_linear(coarse, ["cv_id"], "time", ["swflux"], step)
+    if skip:
+        fine = series.position_slice(fine, ["cv_id"], "time", skip)
+    return fine.withColumnRenamed("time", "ocean_time")
+
+
 # bulk columns of a full exchange-flow result
 BULK = [
     "Qin", "Qout", "Qsin", "Qsout", "Qssin", "Qssout", "Qsvarin", "Qsvarout",

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.grid import pack_levels
 from ..operators.series import with_chunk_id
 from ..schema import COLUMNS_SCHEMA, DIM_RENAMES, ControlVolume
 
@@ -32,6 +33,20 @@ def open_columns(spark: SparkSession, paths: str | Sequence[str], schema: T.Stru
     return nan_to_null(scan(spark, paths, schema))
 
 
+def pack_cells(cells: DataFrame, surface: DataFrame, static: DataFrame, n: int) -> DataFrame:
+    """Long cell rows (:data:`~haloflux.schema.CELLS_SCHEMA`) to packed water columns.
+
+    ``surface`` has one row per ``(ocean_time, j, i)``, ``static`` one per ``(j, i)``.
+    ``aks`` of a cell row belongs to the interface below the cell; the surface interface
+    is a row with ``k = n``.  One shuffle by water column, meant to be done once at
+    ingest with the result written.
+    """
+    keys = ["ocean_time", "j", "i"]
+    fields = [f for f in ("salt", "temp", "aks", "u", "v") if f in cells.columns]
+    packed = pack_levels(cells, n, fields, keys, interfaces=("aks",))
+    return packed.join(surface, keys).join(static, ["j", "i"])
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     floats = (T.DoubleType, T.FloatType)
     clean = {}

@@ -78,3 +78,20 @@ def test_surface_budget_sign(spark):
     plus, minus = (budgets.surface_budget(terms, fluxes, s).first() for s in (1.0, -1.0))
     assert (plus.volume_supply, plus.volume_residual, minus.volume_supply) == (7.0, 0.0, 3.0)
     assert plus.salt_supply == 106.0 and plus.s2flux == 18.0 and plus.ssalt_supply == 105.0
+
+
+def test_forcing_summed_then_interpolated_equals_interpolated_then_summed(spark):
+    from haloflux.operators import series
+    from haloflux.plans import tef
+
+    box = [ControlVolume(0, 0, 1, 0, 1)]
+    cols = make_columns(spark, nt=4, nj=2, ni=2, zeta=lambda t, j, i: (3 * t + j + 2 * i) % 5 * 86.4)
+    days = cols.withColumn("time", F.expr("ocean_time + make_dt_interval(0, 23 * hour(ocean_time))"))
+    forcing = days.select("time", "j", "i", F.col("zeta").alias("swflux"))
+    static = cols.select("j", "i", "pm", "pn").distinct()
+    fast = tef.surface_forcing(forcing, static, box, 3600, skip=1).orderBy("ocean_time").collect()
+    slow = budgets.freshwater_flux(series.resample_linear(forcing, ["j", "i"], "time", ["swflux"], 3600), static, box)
+    slow = {r.time: r.swflux for r in slow.collect()}
+    assert len(fast) == len(slow) - 1 == 72
+    for r in fast:
+        assert r.swflux == pytest.approx(slow[r.ocean_time])

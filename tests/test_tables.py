@@ -5,8 +5,8 @@ from conftest import make_columns, uniform_levels
 from pyspark.sql import functions as F
 
 from haloflux.functions.timeparts import at_time
-from haloflux.operators import exchange, volumes
-from haloflux.schema import COLUMNS_SCHEMA, BinSpec, ControlVolume, control_volume_table
+from haloflux.operators import exchange, grid, volumes
+from haloflux.schema import CELLS_SCHEMA, COLUMNS_SCHEMA, BinSpec, ControlVolume, control_volume_table
 from haloflux.sources import tables
 from haloflux.streaming import daily
 
@@ -24,6 +24,17 @@ def test_scan_of_files_and_glob_and_missing_values(spark, tmp_path):
     assert (r.z, r.s, r.t) == (8, None, 30.0)
 
 
+def test_long_cells_pack_to_the_column_layout(spark):
+    n = 3
+    cols = make_columns(spark, nt=2, nj=2, ni=2, salt=lambda t, k, j, i: 20.0 + t + k + 2 * j + 3 * i, aks=lambda t, k, j, i: 1e-3 * k)
+    cells = grid.unpack_levels(cols, n + 1, ["salt", "temp", "aks", "u", "v"]).select(CELLS_SCHEMA.names)
+    surface = cols.select("ocean_time", "j", "i", "zeta", "ssflux")
+    static = cols.select("j", "i", "h", "pm", "pn", "f", "lon_rho", "lat_rho").distinct()
+    back = tables.pack_cells(cells, surface, static, n).select(COLUMNS_SCHEMA.names)
+    order = ["ocean_time", "j", "i"]
+    assert back.orderBy(order).collect() == cols.orderBy(order).collect()
+
+
 def test_daily_overwrite_leaves_other_days(spark, tmp_path):
     out = str(tmp_path / "daily")
     df = spark.createDataFrame([("2010-06-01 03:00:00", 1.0), ("2010-06-02 04:00:00", 2.0)], "s string, q double").selectExpr("CAST(s AS timestamp_ntz) AS ocean_time", "q")
