@@ -111,15 +111,19 @@ def face_samples(
         columns = columns.where(F.col("i").isin(sorted(lines_i)) | F.col("j").isin(sorted(lines_j)))
     n_reads = sum((depth + 1) * 2 * (v.i1 - v.i0 + v.j1 - v.j0 + 2) for v in volumes)
     table = _broadcast_if_small(face_reads(columns.sparkSession, volumes, edge), n_reads)
-    fields = [*dict.fromkeys(["u", "v", *tracers])]
-    touched = columns.select("ocean_time", "j", "i", "h", "zeta", "pm", "pn", *fields).join(table, ["j", "i"])
+    needed = [*dict.fromkeys(["u", "v", *tracers])]
+    touched = columns.select("ocean_time", "j", "i", "h", "zeta", "pm", "pn", *needed).join(table, ["j", "i"])
 
-    # one struct per column the face reads
-    side = F.struct("h", "zeta", "pm", "pn", *fields)
+    # one struct per column the face reads; only the velocity across the face travels,
+    # and only from the column it belongs to
+    along_x = F.col("face").isin("W", "E")
+    role = F.col("role")
+    across = F.when(role == 0, F.when(along_x, F.col("u")).otherwise(F.col("v"))).alias("__vel")
+    side = F.struct("h", "zeta", "pm", "pn", across, *tracers)
     keys = ["cv_id", "ocean_time", "face", "pos"]
     n_roles = depth + 1
     grouped = touched.groupBy(*keys).agg(
-        *[F.first(F.when(F.col("role") == r, side), ignorenulls=True).alias(f"s{r}") for r in range(n_roles)]
+        *[F.first(F.when(role == r, side), ignorenulls=True).alias(f"s{r}") for r in range(n_roles)]
     )
 
     levelled = vt.explode_levels(grouped, levels.n)
@@ -129,11 +133,10 @@ def face_samples(
     def pair(expr) -> Column:
         return F.lit(0.5) * (expr(sides[0]) + expr(sides[1]))
 
-    along_x = F.col("face").isin("W", "E")
     dz = pair(lambda s: vt.thickness(levels, k, s["h"], s["zeta"]))
     dx = F.lit(1.0) / pair(lambda s: s["pm"])
     dy = F.lit(1.0) / pair(lambda s: s["pn"])
-    vel = F.when(along_x, F.get(sides[0]["u"], k)).otherwise(F.get(sides[0]["v"], k))
+    vel = F.get(sides[0]["__vel"], k)
     area = dz * F.when(along_x, dy).otherwise(dx)
 
     def tracer(name: str) -> Column:

@@ -159,3 +159,9 @@ def test_velocity_gradients_at_constant_depth(spark):
         assert (r.dudx, r.dudy, r.dvdx, r.dvdy) == pytest.approx((2e-5, 3e-5, 5e-5, -4e-5), rel=1e-9)
         assert r.vorticity == pytest.approx(2e-5 / 7e-5) and r.divergence == pytest.approx(-2e-5 / 7e-5)
         assert r.strain == pytest.approx(np.hypot(6e-5, 8e-5) / 7e-5)
+
+
+def test_reference_density_is_only_added_where_absent(spark):
+    df = spark.createDataFrame([(1,)], "k int")
+    assert grid.with_reference_density(df).first().rho0 == 1025.0
+    assert grid.with_reference_density(df.withColumn("rho0", F.lit(1000.0))).first().rho0 == 1000.0
