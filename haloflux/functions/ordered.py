@@ -7,7 +7,8 @@ as long as the run has steps.  The default is one window per series.
 series without keys: rows are ordered inside (key, bucket) groups and one row per bucket
 is carried across bucket borders, so a series spreads over as many tasks as it has
 buckets.  Its price is a second pass over the ordered rows, which Spark serves from the
-same shuffle when both passes read the same columns; pass only the columns needed.
+same shuffle when both passes read the same columns; pass only the columns needed.  Series
+without keys are always ordered by bucket, as a window without keys is one task.
 """
 
 from __future__ import annotations
@@ -17,6 +18,9 @@ from pyspark.sql import functions as F
 
 from .timeparts import truncate
 
+# bucket of series without keys when none is given
+KEYLESS_BUCKET = "month"
+
 _BUCKET, _EDGE, _ROW, _CARRY = "__bucket", "__edge", "__row", "__carry"
 
 
@@ -30,6 +34,8 @@ def _neighbour(df, keys, time, values, bucket, ascending, suffix):
         return F.col(c).asc() if ascending else F.col(c).desc()
 
     fields = [time, *values]
+    if bucket is None and not keys:
+        bucket = KEYLESS_BUCKET
     if bucket is None:
         w = Window.partitionBy(*keys).orderBy(ordered(time))
         return df.withColumns({f"{c}{suffix}": F.lag(F.col(c), 1).over(w) for c in fields})
@@ -58,6 +64,8 @@ def with_next(df: DataFrame, keys: list[str], time: str, values: list[str], buck
 
 def with_position(df: DataFrame, keys: list[str], time: str, name: str = "pos", bucket=None) -> DataFrame:
     """Adds the 0-based position of each row in its series."""
+    if bucket is None and not keys:
+        bucket = KEYLESS_BUCKET
     if bucket is None:
         w = Window.partitionBy(*keys).orderBy(time)
         return df.withColumn(name, (F.row_number().over(w) - 1).cast("bigint"))

@@ -22,6 +22,16 @@ def test_query_agrees_with_sql(spark, con, name):
     assert compare.compare(spark, con, SF_DIR, entry.queries()[name], entry.oracle_sql()[name]) is None
 
 
+@pytest.mark.parametrize("name", sorted(entry.queries()))
+def test_plan_has_no_unbounded_steps(spark, name):
+    """No cross or nested-loop join, no Python worker, and every sum combines before its shuffle."""
+    plan = entry.queries()[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    for step in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "MapInPandas", "FlatMapGroups"):
+        assert step not in plan
+    if "sum(" in plan:
+        assert "partial_sum(" in plan
+
+
 def test_entry_runs(spark):
     df = entry.entry(spark)
     assert df.columns[:2] == ["cv_id", "ocean_time"] and df.count() > 0
