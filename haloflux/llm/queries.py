@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from haloflux.llm import packing
+from haloflux.llm import decontam, neardup, oracles, packing, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,9 +31,30 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = quality.scored(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.KEEP).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Query] = {
     "op4_packing": op4_packing,
+    "op6_decontamination": op6_decontamination,
+    "op9_near_duplicates": op9_near_duplicates,
+    "op10_quality": op10_quality,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_decontamination": oracles.DECONTAMINATION,
+    "op9_near_duplicates": oracles.NEAR_DUPLICATES,
+}
