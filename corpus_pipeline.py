@@ -1,24 +1,68 @@
-"""Training-text pipeline over ``documents``: stages that each apply one operator of ``haloflux.llm``."""
+"""Training-text pipeline over ``documents``: stages that each apply one operator of ``haloflux.llm``.
+
+Every stage reads all rows its predecessor kept and takes effect: low quality goes, one document of each
+near-duplicate group stays, documents that hold benchmark items go, personal data is replaced, and
+the rest is packed.  All but the last return the columns they were given.  Null, empty and repeated
+rows pass by the rules of the operators; rows with a null doc_id are never near duplicates or
+contaminated, and extra columns pass through.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from haloflux.llm import packing, queries
+from haloflux.llm import decontam, neardup, packing, pii, quality, queries
 from haloflux.llm.scratch import written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Jaccard similarity, in percent, from which documents are near duplicates.
+SIMILAR = 80
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier, fitted on the labelled ones among them, doesn't reject."""
+    model = quality.fit(docs, queries.table(spark, sf_dir, "labels"), held_out_fold=None)
+    score = "_quality"
+    while score in docs.columns:
+        score += "_"
+    return quality.scored(docs, model, score).where(F.col(score) >= quality.KEEP).select(*docs.columns)
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows whose doc_id is not in ``gone``."""
+    return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near duplicates."""
+    return without(docs, neardup.near_duplicates(docs, percent=SIMILAR).where("NOT kept"))
+
+
+def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    return without(docs, decontam.contaminated(docs, queries.table(spark, sf_dir, "benchmark")))
+
+
+def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by the name of its kind."""
+    return pii.redacted(docs, pii.fit(docs))
+
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 1024 tokens: one row per piece of a document."""
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 1024 tokens."""
     return packing.packed(docs, queries.tokenizer_path())
 
 
 STAGES: list[tuple[str, Stage]] = [
-    ("packing", pack),
+    ("quality", good_quality),
+    ("near_duplicates", one_of_each),
+    ("decontamination", clean_of_benchmarks),
+    ("personal_data", redacted),
+    ("packing", packed),
 ]
 
 #: SQL can't express the learned stages and the tokenizer; tests hold the pipeline against brute force.

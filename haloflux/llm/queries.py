@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haloflux.llm import decontam, neardup, oracles, packing, quality
+from haloflux.llm import decontam, fingerprint, langid, licenses, neardup, oracles, packing, pii, ppm, quality, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,14 +27,69 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def remainder(modulus: int):
+    return F.crc32(F.col("doc_id").cast("string")) % modulus
+
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """Fingerprints of each document and of its edited text, with their likeness and that of the next document."""
+    pairs = fingerprint.edited_pairs(docs)
+    own = F.col("sketch")
+    return pairs.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprint.as_text(own).alias("fingerprint"),
+        fingerprint.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+        fingerprint.likeness(own, F.col("edited_sketch")).alias("near_edited"),
+        fingerprint.likeness(own, F.col("next_sketch")).alias("near_next"),
+    )
+
+
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files at source/language/thousand/doc_id."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("_")), F.coalesce("lang", F.lit("_")), F.floor(F.col("doc_id") / 1000), F.col("doc_id"))
+    found = licenses.scan(docs.select(path.alias("path"), "text"))
+    return found.select(F.regexp_extract("path", "([^/]*)$", 1).cast("long").alias("doc_id"), "path", "licence", "origin", "cosine", "inherited_from")
+
+
+def op3_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ppm.scored(table(spark, sf_dir, "documents"), remainder(5) != 1)
+    return found.select("doc_id", (remainder(5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs.where(remainder(5) != 0), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    found = toxicity.scored(docs, model)
+    predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return found.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", predicted, "n_passages", "passages")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.predicted(docs, langid.learn(docs.where(remainder(4) != 2)))
+    return found.select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.detections(docs, pii.fit(docs))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -42,13 +97,18 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = quality.scored(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
-    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.KEEP).cast("int").alias("predicted"))
+    return found.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= quality.KEEP).cast("int").alias("predicted"))
 
 
 QUERIES: dict[str, Query] = {
+    "op1_fingerprints": op1_fingerprints,
+    "op2_licenses": op2_licenses,
+    "op3_ppm": op3_ppm,
     "op4_packing": op4_packing,
+    "op5_toxicity": op5_toxicity,
     "op6_decontamination": op6_decontamination,
+    "op7_language": op7_language,
+    "op8_personal_data": op8_personal_data,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_quality": op10_quality,
 }
