@@ -8,7 +8,8 @@ series without keys: rows are ordered inside (key, bucket) groups and one row pe
 is carried across bucket borders, so a series spreads over as many tasks as it has
 buckets.  Its price is a second pass over the ordered rows, which Spark serves from the
 same shuffle when both passes read the same columns; pass only the columns needed.  Series
-without keys are always ordered by bucket, as a window without keys is one task.
+without keys are always ordered by bucket, as a window without keys is one task; by default
+the span of the data is cut into ``RANGE_BUCKETS`` equal ranges, however long it is.
 """
 
 from __future__ import annotations
@@ -16,15 +17,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .timeparts import truncate
+from .timeparts import epoch_micros, truncate
 
 # bucket of series without keys when none is given
-KEYLESS_BUCKET = "month"
+KEYLESS_BUCKET = "range"
+RANGE_BUCKETS = 256
 
 _BUCKET, _EDGE, _ROW, _CARRY = "__bucket", "__edge", "__row", "__carry"
 
 
 def _bucketed(df: DataFrame, time: str, bucket: str | Column) -> DataFrame:
+    if isinstance(bucket, str) and bucket == "range":
+        at = epoch_micros(F.col(time))
+        span = df.agg(F.struct(F.min(at).alias("lo"), (F.max(at) - F.min(at) + 1).alias("size"))).scalar()
+        df = df.withColumn(_EDGE, span)
+        share = (at - F.col(_EDGE)["lo"]).cast("double") / F.col(_EDGE)["size"]
+        return df.withColumn(_BUCKET, F.least(F.floor(share * RANGE_BUCKETS), F.lit(RANGE_BUCKETS - 1))).drop(_EDGE)
     expr = truncate(bucket, F.col(time)) if isinstance(bucket, str) else bucket
     return df.withColumn(_BUCKET, expr)
 

@@ -21,7 +21,12 @@ def ntz(value: datetime) -> Column:
 
 def _parse(text: str) -> tuple[datetime, datetime, bool]:
     """Start, end and whether ``text`` names a period (True) or an instant (False)."""
-    parts = [int(p) for p in re.split(r"[-T :]+", text.strip().split(".")[0])]
+    whole, _, fraction = text.strip().partition(".")
+    parts = [int(p) for p in re.split(r"[-T :]+", whole)]
+    if fraction:
+        if len(parts) < 6 or not fraction.isdigit() or len(fraction) > 6:
+            raise ValueError(f"cannot read the fraction of {text!r}")
+        parts.append(int(fraction.ljust(6, "0")))
     start = datetime(*(parts + [1] * (3 - len(parts)) if len(parts) < 3 else parts))
     if len(parts) == 1:
         return start, datetime(start.year + 1, 1, 1), True
@@ -68,9 +73,18 @@ def dates(spark: SparkSession, first: str, last: str) -> DataFrame:
     return spark.sql(f"SELECT explode(sequence(DATE'{first}', DATE'{last}' - INTERVAL 1 DAY)) AS ocean_date")
 
 
+def epoch_micros(t: Column) -> Column:
+    """Microseconds since 1970 by interval arithmetic (no time-zone conversion)."""
+    return ((t - F.expr(_EPOCH)).cast("interval second").cast("decimal(18,6)") * 1_000_000).cast("bigint")
+
+
+def from_epoch_micros(micros: Column) -> Column:
+    return F.expr(_EPOCH) + F.make_dt_interval(secs=(micros.cast("decimal(24,0)") / 1_000_000).cast("decimal(18,6)"))
+
+
 def epoch_seconds(t: Column) -> Column:
-    """Whole seconds since 1970 by interval arithmetic (no time-zone conversion)."""
-    return (t - F.expr(_EPOCH)).cast("interval second").cast("bigint")
+    """Whole seconds since 1970, rounded down, by interval arithmetic (no time-zone conversion)."""
+    return F.floor(epoch_micros(t) / 1_000_000)
 
 
 def from_epoch_seconds(seconds: Column) -> Column:

@@ -171,9 +171,10 @@ def aligned(series: list[DataFrame], keys: list[str]) -> DataFrame:
 
 
 def class_of_maximum(hist: DataFrame, value: str, by: list[str], bin_column: str = "salt_bin") -> DataFrame:
-    """The bin in which a histogram peaks."""
-    return hist.groupBy(*by).agg(F.max_by(bin_column, value).alias(bin_column), F.max(value).alias(value))
-
+    """The bin in which a histogram peaks; of equal peaks the lowest bin."""
+    top = F.max(value).over(Window.partitionBy(*by))
+    peaks = hist.withColumn("__top", top).where(F.col(value) == F.col("__top"))
+    return peaks.groupBy(*by).agg(F.min(bin_column).alias(bin_column), F.max(value).alias(value))
 
 
 def overlap_of_runs(runs: DataFrame, run: str = "run_id", time: str = "ocean_time") -> DataFrame:

@@ -7,29 +7,29 @@ from pyspark.sql import functions as F
 
 from ..functions import ordered
 from ..functions import vertical as vt
-from ..functions.timeparts import epoch_seconds
+from ..functions.timeparts import epoch_micros
 from ..schema import ControlVolume, SLevels
 from .volumes import in_volumes
 
 KEYS = ["cv_id", "ocean_time"]
-# Salinity subtracted before squaring in the one-pass variance; any value of ocean
-# magnitude keeps the subtraction of large sums out of the result.
-SHIFT = 32.0
-
-
+# fields of the sea surface that cells can carry, with the factor that turns their sum into m^3/s or salt per second
+SURFACE = {"swflux": (100.0, 86400.0), "ssflux": ()}
 def volume_cells(columns: DataFrame, volumes: list[ControlVolume], levels: SLevels, fields: list[str] | None = None) -> DataFrame:
     """Cells of every volume, one row per level, with ``dV``, ``z_rho`` and the fields.
 
-    ``chi`` among the fields is the dissipation density.
+    ``chi`` among the fields is the dissipation density.  ``swflux`` and ``ssflux`` are
+    surface fields: times the cell area, in the row of the uppermost level only.
     """
     fields = fields or ["salt"]
     k, h, zeta = F.col("k"), F.col("h"), F.col("zeta")
-    inputs = [f for f in fields if f not in ("chi", "z_rho")]
+    surface = [f for f in fields if f in SURFACE]
+    inputs = [f for f in fields if f not in ("chi", "z_rho", *SURFACE)]
     needed = list(dict.fromkeys(inputs + (["salt", "aks"] if "chi" in fields else [])))
-    base = in_volumes(columns.select("ocean_time", "j", "i", "h", "zeta", "pm", "pn", *needed), volumes)
+    base = in_volumes(columns.select("ocean_time", "j", "i", "h", "zeta", "pm", "pn", *needed, *surface), volumes)
     cells = vt.explode_levels(base, levels.n)
     area = (F.lit(1.0) / F.col("pm")) * (F.lit(1.0) / F.col("pn"))
     out = {f: F.get(F.col(f), k) for f in inputs}
+    out |= {f: F.when(k == levels.n - 1, F.col(f) * area) for f in surface}
     if "z_rho" in fields:
         out["z_rho"] = vt.depth(levels, "rho", k, h, zeta)
     if "chi" in fields:
@@ -41,35 +41,62 @@ def volume_cells(columns: DataFrame, volumes: list[ControlVolume], levels: SLeve
     )
 
 
-def volume_stats(cells: DataFrame, keys: list[str] | None = None, wet_only: bool = False) -> DataFrame:
-    """Volume ``V``, contents ``sV``, ``ssV``, mean ``sbar`` and variance content ``svarV``;
-    also the integrated dissipation ``chi`` when the cells have it.
-
-    One pass: the variance comes from moments about a fixed salinity, so cells are
-    neither read nor shuffled a second time to subtract the mean.  ``V`` counts every
-    cell; cells without salinity only drop out of the salt terms unless ``wet_only``.
-    """
-    keys = keys or KEYS
+def _contents(cells: DataFrame, keys: list[str], wet_only: bool, more: list[Column]) -> DataFrame:
     s, dv = F.col("salt"), F.col("dV")
     wet = s.isNotNull()
-    d = s - F.lit(SHIFT)
+    zero = F.lit(0.0)
+    flux = []
+    for c, divisors in SURFACE.items():
+        if c in cells.columns:
+            total = F.coalesce(F.sum(c), zero)
+            for d in divisors:
+                total = total / F.lit(d)
+            flux.append(total.alias(c))
     sums = cells.groupBy(*keys).agg(
         F.sum(F.when(wet, dv) if wet_only else dv).alias("V"),
-        F.sum(F.when(wet, dv)).alias("__wet"),
-        F.sum(s * dv).alias("sV"),
-        F.sum((s * s) * dv).alias("ssV"),
-        F.sum(d * dv).alias("__m1"),
-        F.sum((d * d) * dv).alias("__m2"),
-        *([F.sum(F.col("chi") * dv).alias("chi")] if "chi" in cells.columns else []),
+        F.coalesce(F.sum(s * dv), zero).alias("sV"),
+        F.coalesce(F.sum((s * s) * dv), zero).alias("ssV"),
+        *([F.coalesce(F.sum(F.col("chi") * dv), zero).alias("chi")] if "chi" in cells.columns else []),
+        *flux,
+        *more,
     )
-    off = F.col("sbar") - F.lit(SHIFT)
+    return sums.withColumn("sbar", F.try_divide(F.col("sV"), F.col("V")))
+
+
+def volume_means(cells: DataFrame, keys: list[str] | None = None, wet_only: bool = False) -> DataFrame:
+    """Volume ``V``, contents ``sV``, ``ssV`` and mean ``sbar``; also the integrated dissipation
+    ``chi`` and the surface fluxes when the cells have them.
+
+    ``V`` counts every cell; cells without salinity only drop out of the salt terms unless
+    ``wet_only``.
+    """
+    return _contents(cells, keys or KEYS, wet_only, [])
+
+
+def volume_stats(cells: DataFrame, keys: list[str] | None = None, wet_only: bool = False, shift: float | None = None) -> DataFrame:
+    """:func:`volume_means` with the variance content ``svarV``.
+
+    Two passes by default: the mean is known before deviations are squared, so that nearly
+    uniform salinity loses no digits.  With ``shift``, a salinity within the range of the
+    data, the variance comes from moments about it in one pass, which reads the cells once
+    and is good while the spread is not tiny against the distance from ``shift``.
+    """
+    keys = keys or KEYS
+    s, dv = F.col("salt"), F.col("dV")
     zero = F.lit(0.0)
-    return (
-        sums.withColumns({c: F.coalesce(F.col(c), zero) for c in sums.columns if c not in (*keys, "V")})
-        .withColumn("sbar", F.try_divide(F.col("sV"), F.col("V")))
-        .withColumn("svarV", F.col("__m2") - F.lit(2.0) * off * F.col("__m1") + off * off * F.col("__wet"))
-        .drop("__wet", "__m1", "__m2")
-    )
+    if shift is None:
+        means = volume_means(cells, keys, wet_only)
+        off = s - F.col("sbar")
+        spread = cells.select(*keys, "salt", "dV").join(means.select(*keys, "sbar"), keys).groupBy(*keys)
+        spread = spread.agg(F.sum((off * off) * dv).alias("svarV"))
+        return means.join(spread, keys, "left").withColumn("svarV", F.coalesce("svarV", zero))
+    d = s - F.lit(float(shift))
+    moments = [F.sum(F.when(s.isNotNull(), dv)).alias("__wet"), F.sum(d * dv).alias("__m1"), F.sum((d * d) * dv).alias("__m2")]
+    off = F.col("sbar") - F.lit(float(shift))
+    svar = F.col("__m2") - F.lit(2.0) * off * F.col("__m1") + off * off * F.col("__wet")
+    # rounding must not make a variance negative
+    sums = _contents(cells, keys, wet_only, moments).withColumn("svarV", F.greatest(F.coalesce(svar, zero), zero))
+    return sums.drop("__wet", "__m1", "__m2")
 
 
 _RATES = {"V": "dVdt", "sV": "dsVdt", "ssV": "dssVdt", "svarV": "dsvardt"}
@@ -99,7 +126,8 @@ def rate(c: str, dt: float | str) -> Column:
     change = F.col(c) - F.col(f"{c}_prev")
     if dt != "auto":
         return change / F.lit(float(dt))
-    return change / (epoch_seconds(F.col("ocean_time")) - epoch_seconds(F.col("ocean_time_prev")))
+    micros = epoch_micros(F.col("ocean_time")) - epoch_micros(F.col("ocean_time_prev"))
+    return change / (micros / F.lit(1e6))
 
 
 def class_tendency(dense_hist: DataFrame, value: str, dt: float = 3600.0, keys: tuple[str, ...] = ("cv_id", "salt_idx", "salt_bin"), bucket=None) -> DataFrame:
@@ -137,13 +165,18 @@ def closure(df: DataFrame, pairs: dict[str, tuple[Column, Column]], keys: list[s
 
 
 def budget_terms(tef: DataFrame, tend: DataFrame, mixing: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
-    """Advection, storage and mixing of each step side by side, on common steps only.
+    """Advection, storage and mixing side by side for every step that has a storage term.
 
-    All inputs are one row per (volume, step) and share their keys.
+    All inputs are one row per (volume, step) and share their keys.  A step without
+    exchange flow or mixing counts as having none.
     """
     keys = keys or KEYS
-    out = tef.join(tend, keys)
-    return out.join(mixing, keys) if mixing is not None else out
+    out = tend.join(tef, keys, "left")
+    filled = [c for c in ("voladv", "saltadv", "ssaltadv", "svaradv") if c in tef.columns]
+    if mixing is not None:
+        out = out.join(mixing, keys, "left")
+        filled.append("chi")
+    return out.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in filled})
 
 
 STANDARD_BUDGETS = {
@@ -186,13 +219,14 @@ def surface_salt_flux(columns: DataFrame, volumes: list[ControlVolume], levels:
     )
 
 
-def surface_budget(terms: DataFrame, fluxes: DataFrame, sign: float = 1.0, keys: list[str] | None = None) -> DataFrame:
+def surface_budget(terms: DataFrame, fluxes: DataFrame | None = None, sign: float = 1.0, keys: list[str] | None = None) -> DataFrame:
     """Per-step budgets with surface forcing.
 
     ``terms`` comes from :func:`budget_terms`; ``fluxes`` holds ``swflux`` and ``ssflux``
-    per step.  ``sign`` is the sign the water flux enters the volume budget with.
+    per step, unless the terms have them already.  ``sign`` is the sign the water flux
+    enters the volume budget with.
     """
-    joined = terms.join(fluxes, keys or KEYS)
+    joined = terms if fluxes is None else terms.join(fluxes, keys or KEYS)
     sw, ss = F.col("swflux"), F.col("ssflux")
     volume = F.col("voladv") + F.lit(float(sign)) * sw
     return joined.withColumns(

@@ -76,10 +76,23 @@ def exchange_flow_from_samples(
     samples: DataFrame, bins: dict[str, BinSpec], keys: list[str]
 ) -> DataFrame:
     """Samples to bulk exchange flow.  ``keys`` are cv_id and time; with a second binned
-    coordinate (temperature, depth) the result keeps that bin as well."""
-    net = net_from_samples(samples, bins, keys)
+    coordinate (temperature, depth) the result keeps that bin as well.
+
+    Every key present in the samples has a row: where no sample falls in a salinity class,
+    transports are 0 and ratios missing.
+    """
     kept = [c for s in bins.values() if s.name != "salt" for c in (s.idx, s.bin)]
-    return exchange_flow(net, keys + kept)
+    if kept:
+        return exchange_flow(net_from_samples(samples, bins, keys), keys + kept)
+    salt = bins["salt"]
+    # samples out of range only announce their key
+    counted = salt.covers(F.col("salt"))
+    present = [c for c in TRACERS if c in samples.columns]
+    samples = samples.withColumns({c: F.when(counted, F.col(c)) for c in present})
+    sign = inward(F.col("face"))
+    weights = [F.coalesce(F.sum(sign * F.col(c)), F.lit(0.0)).alias(f"{TRACERS[c]}net") for c in present]
+    net = samples.withColumn(salt.idx, salt.index(F.col("salt"))).groupBy(*keys, salt.idx).agg(*weights)
+    return exchange_flow(net, keys)
 
 
 def bin_count_comparison(net: DataFrame, fine: BinSpec, counts: list[int], keys: list[str]) -> DataFrame:

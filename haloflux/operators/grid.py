@@ -80,6 +80,21 @@ def interpolate_psi(df: DataFrame, fields: list[str], keys: list[str], suffix: s
     return out.drop(*[f"{f}__x" for f in fields], *[f"{f}__x__y" for f in fields])
 
 
+def interpolate_levels(columns: DataFrame, n: int, fields: list[str], keys: list[str]) -> DataFrame:
+    """Packed fields at u, v and corner points, one row per level.
+
+    Neighbours exchange packed columns, one row per water column; levels are unpacked last.
+    """
+    near = with_neighbours(columns.select(*keys, "j", "i", *fields), "x", fields, keys, ahead="__x")
+    near = with_neighbours(near, "y", [*fields, *[f"{f}__x" for f in fields]], keys, ahead="__y")
+    k = F.col("k")
+    out = []
+    for f in fields:
+        at, x, y, xy = (F.get(F.col(f"{f}{c}"), k) for c in ("", "__x", "__y", "__x__y"))
+        out += [mean2(at, x).alias(f"{f}_u"), mean2(at, y).alias(f"{f}_v"), mean2(mean2(at, x), mean2(y, xy)).alias(f"{f}_psi")]
+    return vt.explode_levels(near, n).select(*keys, "k", "j", "i", *out)
+
+
 def horizontal_metrics(static: DataFrame) -> DataFrame:
     """Cell sizes and areas at centres, u, v and corner points.
 
@@ -128,26 +143,34 @@ def interface_geometry(columns: DataFrame, levels: SLevels) -> DataFrame:
     )
 
 
-def staggered_geometry(columns: DataFrame, levels: SLevels, point: str, interfaces: bool = False) -> DataFrame:
-    """Depth, thickness and volume at ``u``, ``v`` or ``psi`` points.
+_SCALARS = ["h", "zeta", "pm", "pn"]
+_STEPS = {"u": ["x"], "v": ["y"], "psi": ["x", "y"]}
 
-    Depths and thicknesses are means of the surrounding columns and volumes use the
-    metrics of the point itself.  With ``interfaces`` everything refers to the levels
-    between the layers (``n + 1`` of them).  Names carry the usual ``_u`` / ``_v`` /
-    ``_psi`` suffix.  Depths follow from the scalars of a column, so only those travel
-    between neighbours.
+
+def with_corners(columns: DataFrame, steps: list[str] | tuple[str, ...] = ("x", "y")) -> DataFrame:
+    """Adds the scalars of the next column along x (``__x``), y (``__y``) and both (``__x__y``).
+
+    Depths follow from the scalars of a column, so only those travel between neighbours.
     """
-    scalars = ["h", "zeta", "pm", "pn"]
-    keys = ["ocean_time"]
-    steps = {"u": ["x"], "v": ["y"], "psi": ["x", "y"]}[point]
-    df = columns
     corners = [""]
     for axis in steps:
-        names = [f"{s}{c}" for c in corners for s in scalars]
-        df = with_neighbours(df, axis, names, keys, ahead=f"__{axis}")
+        names = [f"{s}{c}" for c in corners for s in _SCALARS]
+        columns = with_neighbours(columns, axis, names, ["ocean_time"], ahead=f"__{axis}")
         corners = corners + [f"{c}__{axis}" for c in corners]
+    return columns
+
+
+def _corners(point: str) -> list[str]:
+    corners = [""]
+    for axis in _STEPS[point]:
+        corners = corners + [f"{c}__{axis}" for c in corners]
+    return corners
+
+
+def _staggered(levels: SLevels, point: str, interfaces: bool) -> dict[str, Column]:
+    """z, z0, dz, dz0, dx, dy and dV at level ``k`` of a point, from a table of corners."""
+    corners = _corners(point)
     weight = F.lit(1.0 / len(corners))
-    df = vt.explode_levels(df, levels.n + 1 if interfaces else levels.n)
     k = F.col("k")
 
     def mean(expr) -> Column:
@@ -158,26 +181,56 @@ def staggered_geometry(columns: DataFrame, levels: SLevels, point: str, interfac
         return total * weight
 
     at = "w" if interfaces else "rho"
-    mark = "_w" if interfaces else ""
     spacing = vt.interface_thickness if interfaces else vt.thickness
-    z = mean(lambda col: vt.depth(levels, at, k, col("h"), col("zeta")))
-    z0 = mean(lambda col: vt.rest_depth(levels, at, k, col("h")))
     dz = mean(lambda col: spacing(levels, k, col("h"), col("zeta")))
-    dz0 = mean(lambda col: spacing(levels, k, col("h")))
     dx = F.lit(1.0) / mean(lambda col: col("pm"))
     dy = F.lit(1.0) / mean(lambda col: col("pn"))
-    out = df.withColumns(
-        {
-            f"z_{at}_{point}": z,
-            f"z_{at}_{point}0": z0,
-            f"dz{mark}_{point}": dz,
-            f"dz{mark}_{point}0": dz0,
-            f"dx_{point}": dx,
-            f"dy_{point}": dy,
-        }
-    )
-    out = out.withColumn(f"dV{mark}_{point}", F.col(f"dz{mark}_{point}") * F.col(f"dx_{point}") * F.col(f"dy_{point}"))
-    return out.drop(*[f"{s}{c}" for c in corners if c for s in scalars])
+    return {
+        "z": mean(lambda col: vt.depth(levels, at, k, col("h"), col("zeta"))),
+        "z0": mean(lambda col: vt.rest_depth(levels, at, k, col("h"))),
+        "dz": dz,
+        "dz0": mean(lambda col: spacing(levels, k, col("h"))),
+        "dx": dx,
+        "dy": dy,
+        "dV": dz * dx * dy,
+    }
+
+
+def staggered_geometry(columns: DataFrame, levels: SLevels, point: str, interfaces: bool = False) -> DataFrame:
+    """Depth, thickness and volume at ``u``, ``v`` or ``psi`` points.
+
+    Depths and thicknesses are means of the surrounding columns and volumes use the
+    metrics of the point itself.  With ``interfaces`` everything refers to the levels
+    between the layers (``n + 1`` of them).  Names carry the usual ``_u`` / ``_v`` /
+    ``_psi`` suffix.
+    """
+    df = with_corners(columns, _STEPS[point])
+    df = vt.explode_levels(df, levels.n + 1 if interfaces else levels.n)
+    at, mark = ("w", "_w") if interfaces else ("rho", "")
+    names = {
+        "z": f"z_{at}_{point}", "z0": f"z_{at}_{point}0", "dz": f"dz{mark}_{point}", "dz0": f"dz{mark}_{point}0",
+        "dx": f"dx_{point}", "dy": f"dy_{point}", "dV": f"dV{mark}_{point}",
+    }
+    out = df.withColumns({names[n]: c for n, c in _staggered(levels, point, interfaces).items()})
+    return out.drop(*[f"{s}{c}" for c in _corners(point) if c for s in _SCALARS])
+
+
+def staggered_table(columns: DataFrame, levels: SLevels) -> DataFrame:
+    """Geometry of all staggered points, centres of layers and interfaces, in one table.
+
+    ``place`` is ``u``, ``v`` or ``psi``, with ``_w`` for interfaces.  All six are projections of
+    one table of corners.  Points without all their columns have no row.
+    """
+    df = vt.explode_levels(with_corners(columns), levels.n + 1)
+    fields = ("z", "z0", "dz", "dz0", "dV")
+    places = []
+    for point in _STEPS:
+        for interfaces in (False, True):
+            e = _staggered(levels, point, interfaces)
+            row = F.struct(F.lit(f"{point}{'_w' if interfaces else ''}").alias("place"), *[e[n].alias(n) for n in fields])
+            places.append(row if interfaces else F.when(F.col("k") < levels.n, row))
+    out = df.select("ocean_time", "k", "j", "i", F.explode(F.array(*places)).alias("__at"))
+    return out.select("ocean_time", "k", "j", "i", "__at.*").where(F.col("z").isNotNull())
 
 
 def rest_column_volume(static: DataFrame, levels: SLevels) -> DataFrame:

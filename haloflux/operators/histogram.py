@@ -89,11 +89,14 @@ def dropped_samples(df: DataFrame, keys: list[str], bins: dict[str, BinSpec]) ->
     )
 
 
-def density_histogram(df: DataFrame, column: str, spec: BinSpec, keys: list[str] | None = None) -> DataFrame:
-    """Histogram over all rows (per key) that integrates to 1 over the bins."""
+def density_histogram(df: DataFrame, column: str, spec: BinSpec, keys: list[str] | None = None, dense: bool = False) -> DataFrame:
+    """Histogram over all rows (per key) that integrates to 1 over the bins.
+
+    ``dense`` also returns empty bins, with density 0.
+    """
     keys = keys or []
-    counts = weighted_histogram(df, keys, {column: spec}, {"n": F.lit(1).cast("bigint")})
-    # one row per occupied bin is left here
+    counts = weighted_histogram(df, keys, {column: spec}, {"n": F.lit(1).cast("bigint")}, dense=dense)
+    # one row per bin is left here
     total = F.sum("n").over(Window.partitionBy(*keys))
     width = spec.edge(F.col(spec.idx) + 1) - spec.edge(F.col(spec.idx))
     return counts.withColumn("density", F.try_divide(F.col("n") / total, width)).withColumn(
@@ -101,8 +104,9 @@ def density_histogram(df: DataFrame, column: str, spec: BinSpec, keys: list[str]
     )
 
 
-def range_histogram(df: DataFrame, column: str, n: int = 50, name: str = "value") -> DataFrame:
-    """Counts in ``n`` equal bins between the minimum and maximum of the data.
+def range_histogram(df: DataFrame, column: str, n: int = 50, name: str = "value", dense: bool = False) -> DataFrame:
+    """Counts in ``n`` equal bins between the minimum and maximum of the data; with ``dense``
+    empty bins as well.
 
     The range is a scalar subquery: one aggregate over the data, planned with the query
     and read as a constant by every task.
@@ -120,9 +124,15 @@ def range_histogram(df: DataFrame, column: str, n: int = 50, name: str = "value"
     g = F.col("__g")
     exact = F.when(x < edge(g), g - 1).when((x >= edge(g + 1)) & (g + 1 < n), g + 1).otherwise(g)
     k = F.col(f"{name}_idx")
-    return (
+    counts = (
         both.withColumn("__g", guess)
         .withColumn(f"{name}_idx", exact.cast("int"))
         .groupBy(f"{name}_idx")
         .agg(F.min(edge(k)).alias(f"{name}_lo"), F.count(F.lit(1)).alias("n"))
     )
+    if not dense:
+        return counts
+    # a column without values has no range and so no bins
+    bins = df.sparkSession.range(n).select(F.col("id").cast("int").alias(f"{name}_idx")).withColumn("__limits", limits)
+    bins = bins.where(lo.isNotNull()).select(f"{name}_idx", edge(k).alias(f"{name}_lo"))
+    return bins.join(counts.drop(f"{name}_lo"), f"{name}_idx", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))

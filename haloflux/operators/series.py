@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ordered
-from ..functions.timeparts import epoch_seconds, from_epoch_seconds
-
-# A longer kernel than this multiplies rows too much for one pass.
-MAX_KERNEL = 10_000
+from ..functions.timeparts import epoch_micros, from_epoch_micros
 
 
 def resample_linear(df: DataFrame, keys: list[str], time: str, values: list[str], step: int, bucket=None) -> DataFrame:
@@ -21,14 +19,13 @@ def resample_linear(df: DataFrame, keys: list[str], time: str, values: list[str]
     work is spread over the samples; the last sample emits itself only.
     """
     nxt = ordered.with_next(df.select(*keys, time, *values), keys, time, values, bucket)
-    t0 = epoch_seconds(F.col(time))
-    t1 = epoch_seconds(F.col(f"{time}_next"))
-    first = F.ceil(t0 / step) * step
+    t0, t1, unit = epoch_micros(F.col(time)), epoch_micros(F.col(f"{time}_next")), step * 1_000_000
+    first = -F.floor(-t0 / F.lit(unit)) * unit
     last = F.coalesce(t1 - 1, t0)
     points = (
         nxt.withColumns({"__t0": t0, "__t1": t1, "__first": first.cast("bigint"), "__last": last})
         .where(F.col("__first") <= F.col("__last"))
-        .withColumn("__t", F.explode(F.sequence("__first", "__last", F.lit(step).cast("bigint"))))
+        .withColumn("__t", F.explode(F.sequence("__first", "__last", F.lit(unit).cast("bigint"))))
     )
     share = F.coalesce(F.try_divide(F.col("__t") - F.col("__t0"), F.col("__t1") - F.col("__t0")), F.lit(0.0))
 
@@ -36,7 +33,7 @@ def resample_linear(df: DataFrame, keys: list[str], time: str, values: list[str]
         whole = share * (F.col(f"{c}_next") - F.col(c)) + F.col(c)
         return F.when(F.col("__t") == F.col("__t0"), F.col(c)).otherwise(whole)
 
-    return points.select(*keys, from_epoch_seconds(F.col("__t")).alias(time), *[between(c).alias(c) for c in values])
+    return points.select(*keys, from_epoch_micros(F.col("__t")).alias(time), *[between(c).alias(c) for c in values])
 
 
 def hann(n: int) -> list[float]:
@@ -57,41 +54,59 @@ def lowpass(
 ) -> DataFrame:
     """Centred moving average with the given kernel, divided by the kernel sum.
 
-    The series counts as 0 beyond its ends, so the ends are damped; a missing sample under
-    the kernel makes the result missing.  Output has the rows of the input.
+    The series counts as 0 beyond its ends, so the ends are damped; a missing sample or a
+    missing value under the kernel makes the result missing.  Output has the rows of the
+    input.
 
     Each sample contributes to the outputs around it and one aggregation with map-side
-    combine adds them up: no window over the whole series.  ``step`` (seconds) says the
-    series is regular and complete; without it samples are numbered first.
+    combine adds them up: no window over the whole series.  ``step`` (seconds) is the
+    distance of the samples of a regular series; without it samples are numbered first and
+    count as evenly spaced.  The kernel may have any length.
     """
     n = len(kernel)
-    if not 1 <= n <= MAX_KERNEL:
-        raise ValueError(f"kernel length must be 1..{MAX_KERNEL}")
+    if not n:
+        raise ValueError("the kernel is empty")
     total = float(sum(kernel))
     lead = (n - 1) // 2
     if step is None:
         numbered = ordered.with_position(df.select(*keys, time, *values), keys, time, "__at", bucket)
         unit = 1
     else:
-        numbered = df.select(*keys, time, *values).withColumn("__at", epoch_seconds(F.col(time)))
-        unit = step
-    # output m receives kernel[b] * x[m + lead - b]
-    taps = F.array(*[F.struct(F.lit((b - lead) * unit).alias("off"), F.lit(float(w)).alias("w")) for b, w in enumerate(kernel)])
-    spread = numbered.withColumn("__tap", F.explode(taps))
-    own = F.col("__tap.off") == 0
-    sums = [F.sum(F.col(c) * F.col("__tap.w")).alias(f"__sum_{c}") for c in values]
+        numbered = df.select(*keys, time, *values).withColumn("__at", epoch_micros(F.col(time)))
+        unit = step * 1_000_000
+    # output m receives kernel[b] * x[m + lead - b]; the taps are one constant of the plan
+    taps = F.from_json(F.lit(json.dumps([float(w) for w in kernel])), "array<double>")
+    spread = numbered.select("*", F.posexplode(taps).alias("__b", "__w"))
+    own = F.col("__b") == lead
+    sums = [F.sum(F.col(c) * F.col("__w")).alias(f"__sum_{c}") for c in values]
     gaps = [F.max(F.col(c).isNull()).alias(f"__gap_{c}") for c in values]
     out = (
-        spread.withColumn("__out", F.col("__at") + F.col("__tap.off"))
+        spread.withColumn("__out", F.col("__at") + (F.col("__b") - lead).cast("bigint") * unit)
         .groupBy(*keys, "__out")
-        .agg(F.max(F.when(own, F.col(time))).alias(time), *sums, *gaps)
+        .agg(F.max(F.when(own, F.col(time))).alias(time), F.count(F.lit(1)).alias("__n"), *sums, *gaps)
         .where(F.col(time).isNotNull())
     )
+    whole = F.lit(True)
+    if step is not None:
+        # as many samples have to arrive as taps lie within the series
+        ends = numbered.groupBy(*keys).agg(F.min("__at").alias("__lo"), F.max("__at").alias("__hi"))
+        if keys:
+            out = out.join(ends, keys)
+        else:
+            out = out.withColumn("__ends", ends.select(F.struct("__lo", "__hi")).scalar()).select("*", "__ends.*")
+        at = F.col("__out")
+        inside = F.least(F.col("__hi"), at + lead * unit) - F.greatest(F.col("__lo"), at - (n - 1 - lead) * unit)
+        whole = F.col("__n") >= F.floor(inside / unit) + 1
     return out.select(
-        *keys, time, *[F.when(~F.col(f"__gap_{c}"), F.col(f"__sum_{c}") / total).alias(c) for c in values]
+        *keys, time, *[F.when(~F.col(f"__gap_{c}") & whole, F.col(f"__sum_{c}") / total).alias(c) for c in values]
     )
 
 
+def numbered(df: DataFrame, keys: list[str], time: str, name: str = "pos", bucket=None) -> DataFrame:
+    """Adds the 0-based position of each row in its series."""
+    return ordered.with_position(df, keys, time, name, bucket)
+
+
 def position_slice(df: DataFrame, keys: list[str], time: str, start: int, stop: int | None = None, bucket=None) -> DataFrame:
     """Rows ``start <= position < stop`` of every series, in time order."""
     at = ordered.with_position(df, keys, time, "__pos", bucket)

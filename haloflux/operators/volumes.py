@@ -13,8 +13,9 @@ from ..schema import ControlVolume, SLevels, control_volume_table
 BROADCAST_ROWS = 200_000
 # Up to this many volumes membership is a plain expression, without any join.
 INLINE_VOLUMES = 16
-# Face lines listed literally in the scan predicate up to this many distinct values.
-PREDICATE_LINES = 64
+# Index ranges of face lines in the scan predicate; beyond it neighbouring ranges are joined,
+# which lets some more columns through but never fewer.
+PREDICATE_RANGES = 64
 
 
 def _bounds(volumes: list[ControlVolume], halo: int = 0) -> Column:
@@ -23,13 +24,15 @@ def _bounds(volumes: list[ControlVolume], halo: int = 0) -> Column:
     ) & F.col("j").between(min(v.j0 for v in volumes) - halo, max(v.j1 for v in volumes) + halo)
 
 
-def prune(columns: DataFrame, volumes: list[ControlVolume], halo: int = 1) -> DataFrame:
-    """Keep the bounding box of the volumes plus ``halo`` cells.
-
-    Windows only let predicates on their partition keys through, so this has to come
-    before any horizontal neighbour access; on the bare scan it becomes pushed filters.
-    """
-    return columns.where(_bounds(volumes, halo))
+def _on_lines(column: str, lines: set[int]) -> Column:
+    """Predicate for index lines, as at most ``PREDICATE_RANGES`` ranges."""
+    ordered = sorted(lines)
+    gaps = sorted(range(1, len(ordered)), key=lambda n: ordered[n - 1] - ordered[n])
+    cuts = sorted(n for n in gaps[: PREDICATE_RANGES - 1] if ordered[n] - ordered[n - 1] > 1)
+    found = F.lit(False)
+    for first, stop in zip([0, *cuts], [*cuts, len(ordered)]):
+        found = found | F.col(column).between(ordered[first], ordered[stop - 1])
+    return found
 
 
 def _broadcast_if_small(table: DataFrame, rows: int) -> DataFrame:
@@ -107,28 +110,29 @@ def face_samples(
         F.col("i").between(min(lines_i | {v.i0 for v in volumes}), max(lines_i | {v.i1 for v in volumes}))
         & F.col("j").between(min(lines_j | {v.j0 for v in volumes}), max(lines_j | {v.j1 for v in volumes}))
     )
-    if len(lines_i) + len(lines_j) <= PREDICATE_LINES:
-        columns = columns.where(F.col("i").isin(sorted(lines_i)) | F.col("j").isin(sorted(lines_j)))
+    columns = columns.where(_on_lines("i", lines_i) | _on_lines("j", lines_j))
     n_reads = sum((depth + 1) * 2 * (v.i1 - v.i0 + v.j1 - v.j0 + 2) for v in volumes)
     table = _broadcast_if_small(face_reads(columns.sparkSession, volumes, edge), n_reads)
     needed = [*dict.fromkeys(["u", "v", *tracers])]
     touched = columns.select("ocean_time", "j", "i", "h", "zeta", "pm", "pn", *needed).join(table, ["j", "i"])
 
-    # one struct per column the face reads; only the velocity across the face travels,
-    # and only from the column it belongs to
+    # levels become rows before both sides meet, so that all aggregates are of plain numbers
+    # and the aggregation hashes; only the velocity across the face travels, and only from
+    # the column it belongs to
     along_x = F.col("face").isin("W", "E")
-    role = F.col("role")
-    across = F.when(role == 0, F.when(along_x, F.col("u")).otherwise(F.col("v"))).alias("__vel")
-    side = F.struct("h", "zeta", "pm", "pn", across, *tracers)
+    role, k = F.col("role"), F.col("k")
+    across = F.when(role == 0, F.get(F.when(along_x, F.col("u")).otherwise(F.col("v")), k)).alias("__vel")
     keys = ["cv_id", "ocean_time", "face", "pos"]
     n_roles = depth + 1
-    grouped = touched.groupBy(*keys).agg(
-        *[F.first(F.when(role == r, side), ignorenulls=True).alias(f"s{r}") for r in range(n_roles)]
+    cells = vt.explode_levels(touched, levels.n).select(
+        *keys, "role", "k", "h", "zeta", "pm", "pn", across, *[F.get(F.col(t), k).alias(t) for t in tracers]
     )
-
-    levelled = vt.explode_levels(grouped, levels.n)
-    k = F.col("k")
-    sides = [F.col(f"s{r}") for r in range(n_roles)]
+    parts = ["h", "zeta", "pm", "pn", *tracers]
+    levelled = cells.groupBy(*keys, "k").agg(
+        F.max("__vel").alias("__vel"),
+        *[F.max(F.when(role == r, F.col(c))).alias(f"{c}__{r}") for r in range(n_roles) for c in parts],
+    )
+    sides = [{c: F.col(f"{c}__{r}") for c in parts} for r in range(n_roles)]
 
     def pair(expr) -> Column:
         return F.lit(0.5) * (expr(sides[0]) + expr(sides[1]))
@@ -136,15 +140,15 @@ def face_samples(
     dz = pair(lambda s: vt.thickness(levels, k, s["h"], s["zeta"]))
     dx = F.lit(1.0) / pair(lambda s: s["pm"])
     dy = F.lit(1.0) / pair(lambda s: s["pn"])
-    vel = F.get(sides[0]["__vel"], k)
+    vel = F.col("__vel")
     area = dz * F.when(along_x, dy).otherwise(dx)
 
     def tracer(name: str) -> Column:
         # the third column only exists for extrapolated west/south faces
-        mean = pair(lambda s: F.get(s[name], k))
+        mean = pair(lambda s: s[name])
         if edge == "mean":
             return mean
-        outward = F.lit(1.5) * F.get(sides[1][name], k) - F.lit(0.5) * F.get(sides[2][name], k)
+        outward = F.lit(1.5) * sides[1][name] - F.lit(0.5) * sides[2][name]
         return F.when(F.col("face").isin("W", "S"), outward).otherwise(mean)
 
     return levelled.select(

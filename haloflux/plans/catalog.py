@@ -6,6 +6,7 @@ compared bit for bit; others are rounded far above their rounding error.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,7 @@ from ..functions import vertical as vt
 from ..operators import analysis, budgets, exchange, grid, histogram, series, volumes
 from ..schema import BinSpec, ControlVolume
 from ..sources import adapters as src
+from ..sources import tables
 from . import tef
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,12 +28,17 @@ DEPTH = BinSpec("depth", -65.0, 0.0, 52)
 GRAD = BinSpec("grad", 0.0, 0.0625, 64)
 KEYS = ["cv_id", "ocean_time"]
 LEVELS = src.grid_levels()
-# step length in the budget queries: a power of two keeps tendencies exact, so that sums
-# which cancel are 0 and not rounding error
-STEP = 4096.0
+STEP = 3600.0
+# salinity about which the one-pass variance of the surface budgets is taken
+SHIFT = 20.0
 BOX, BOXES = src.GRID_BOX, src.GRID_BOXES
 DOMAIN = ControlVolume(0, 0, src.NI - 1, 0, src.NJ - 1)
 HALF_OPEN = ControlVolume(1, 2, 5, 2, 4, "halfopen")
+BEYOND = ControlVolume(2, 2, 4, 2, 3, "beyond")
+# few samples fall in these bins, so some steps have none
+NARROW = BinSpec("salt", 36.5, 37.0, 4)
+# bins whose edges are not binary fractions
+FINE_SALT, FINE_TEMP = BinSpec("salt", 0.0, 37.3, 500), BinSpec("temp", 0.1, 39.7, 500)
 
 _REGISTRY: dict[str, Query] = {}
 
@@ -50,9 +57,17 @@ def rounded(df: DataFrame, digits: dict[str, int]) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c), d) + F.lit(0.0) for c, d in digits.items()})
 
 
-def snapped(df: DataFrame, grids: dict[str, float]) -> DataFrame:
-    """Values known to be multiples of 1/g, counted in 1/g (which removes rounding error)."""
-    return df.withColumns({c: F.round(F.col(c) * F.lit(g)) + F.lit(0.0) for c, g in grids.items()})
+def closed(df: DataFrame, names: list[str], digits: int, pct_digits: int) -> DataFrame:
+    """Rounded sums of budgets, and percentages of these: a storage that cancels is 0, not rounding error."""
+    df = rounded(df, {f"{n}_{c}": digits for n in names for c in ("supply", "storage")})
+    pct = {f"{n}_pct": F.try_divide(F.col(f"{n}_supply") - F.col(f"{n}_storage"), F.col(f"{n}_storage")) * 100.0 for n in names}
+    return rounded(df.withColumns(pct), {n: pct_digits for n in pct})
+
+
+def stepped(df: DataFrame, digits: dict[str, int]) -> DataFrame:
+    """Values to multiples of pi / 10^digits: unlike in decimal rounding, no binary fraction lies halfway between two."""
+    steps = {n: F.lit(math.pi * 10.0**-d) for n, d in digits.items()}
+    return df.withColumns({n: F.round(F.col(n) / c) * c + F.lit(0.0) for n, c in steps.items()})
 
 
 def _samples(spark: SparkSession, d: str) -> DataFrame:
@@ -62,8 +77,6 @@ def _samples(spark: SparkSession, d: str) -> DataFrame:
 def _samples_with_variance(spark: SparkSession, d: str) -> DataFrame:
     base = src.tef_samples(spark, d)
     mean = base.groupBy(*KEYS).agg(F.try_divide(F.sum(F.col("salt") * F.col("dv")), F.sum("dv")).alias("sbar"))
-    # cut to 1/64 so that transports of the squared deviation are dyadic as well
-    mean = mean.withColumn("sbar", F.floor(F.col("sbar") * 64) / F.lit(64.0))
     return volumes.variance_transport(volumes.tracer_transports(base), mean)
 
 
@@ -82,19 +95,21 @@ def tef_net(spark, d):
 
 @query
 def tef_full_ss(spark, d):
-    return exchange.exchange_flow_from_samples(_samples_with_variance(spark, d), {"salt": SALT}, KEYS)
+    out = exchange.exchange_flow_from_samples(_samples_with_variance(spark, d), {"salt": SALT}, KEYS)
+    return stepped(out, {"Qsvarin": 4, "Qsvarout": 4, "svaradv": 4, "svarin": 7, "svarout": 7})
+
+
+@query
+def tef_steps(spark, d):
+    """Steps without a sample in any class have a row with transports of 0."""
+    return exchange.exchange_flow_from_samples(_samples(spark, d).drop("qss"), {"salt": NARROW}, KEYS)
 
 
 @query
 def tef_normalized(spark, d):
     samples = volumes.per_cell_volume(_samples_with_variance(spark, d)).select(*KEYS, "face", "salt", "q", "qsvar")
     out = exchange.exchange_flow_from_samples(samples, {"salt": SALT}, KEYS)
-    # q / dv is a multiple of 1 / (8 * 1024 * 840), its product with a squared deviation of
-    # one 4096 times finer
-    parts = 8.0 * 1024.0 * 840.0
-    fine = parts * 4096.0
-    out = snapped(out, {"Qin": parts, "Qout": parts, "voladv": parts, "Qsvarin": fine, "Qsvarout": fine, "svaradv": fine})
-    return rounded(out, {"svarin": 4, "svarout": 4})
+    return stepped(out, dict.fromkeys(("Qin", "Qout", "voladv", "Qsvarin", "Qsvarout", "svaradv", "svarin", "svarout"), 8))
 
 
 @query
@@ -103,6 +118,13 @@ def tef_ts(spark, d):
     return exchange.exchange_flow_from_samples(samples, {"salt": SALT, "temp": TEMP}, KEYS)
 
 
+@query
+def tef_ts_500(spark, d):
+    """Net transport in 500 x 500 classes."""
+    net = exchange.net_from_samples(_samples(spark, d).drop("qss"), {"salt": FINE_SALT, "temp": FINE_TEMP}, ["cv_id"])
+    return rounded(net, {"salt_bin": 9, "temp_bin": 9})
+
+
 @query
 def tef_depth(spark, d):
     samples = _samples(spark, d).drop("qss")
@@ -125,6 +147,13 @@ def tef_model_output(spark, d):
     )
 
 
+@query
+def tef_halfopen_mean(spark, d):
+    """Inclusive faces, mean salinity over the cells less the last row and column."""
+    out = tef.total_exchange_flow(src.grid_columns(spark, d), [BOX], LEVELS, {"salt": SALT}, mean_boxes=[BOX.without_last()])
+    return rounded(out.select(*KEYS, "Qsvarin", "Qsvarout", "svaradv"), {"Qsvarin": 3, "Qsvarout": 3, "svaradv": 3})
+
+
 @query
 def bin_count_compare(spark, d):
     net = exchange.net_from_samples(_samples(spark, d).drop("qss"), {"salt": SALT}, KEYS)
@@ -156,17 +185,17 @@ def hist_ssq(spark, d):
 
 @query
 def hist_svar(spark, d):
-    return _face_hist(_samples_with_variance(spark, d), {"salt": SALT}, ["qsvar"])
+    return stepped(_face_hist(_samples_with_variance(spark, d), {"salt": SALT}, {"qsvar": 4}), {"qsvar": 4})
 
 
 @query
 def hist_ts(spark, d):
-    return _face_hist(_samples_with_variance(spark, d), {"salt": SALT, "temp": TEMP}, ["q", "qs", "qsvar"])
+    return stepped(_face_hist(_samples_with_variance(spark, d), {"salt": SALT, "temp": TEMP}, ["q", "qs", "qsvar"]), {"qsvar": 4})
 
 
 @query
 def hist_sz(spark, d):
-    return _face_hist(_samples_with_variance(spark, d), {"salt": SALT, "z": DEPTH}, ["q", "qs", "qss", "qsvar"])
+    return stepped(_face_hist(_samples_with_variance(spark, d), {"salt": SALT, "z": DEPTH}, ["q", "qs", "qss", "qsvar"]), {"qsvar": 4})
 
 
 @query
@@ -194,9 +223,18 @@ def hist_density(spark, d):
     return rounded(out, {"density": 12})
 
 
+@query
+def hist_density_dense(spark, d):
+    wide = BinSpec("salt", -10.0, 50.0, 120)
+    out = histogram.density_histogram(src.tef_samples(spark, d), "salt", wide, ["cv_id"], dense=True)
+    return rounded(out, {"density": 12})
+
+
 @query
 def hist_minmax50(spark, d):
-    return histogram.range_histogram(src.tef_samples(spark, d), "q", 50, "vel")
+    """All 50 bins of the transport of fully laden items, some of which are empty."""
+    laden = src.tef_samples(spark, d).where(F.col("salt") >= 36.75)
+    return histogram.range_histogram(laden, "q", 50, "vel", dense=True)
 
 
 def _cells(spark: SparkSession, d: str, fields: list[str], boxes=None) -> DataFrame:
@@ -252,8 +290,7 @@ def tendencies(spark, d):
 def closure(spark, d):
     terms = tef.budget(src.grid_columns(spark, d), BOXES, LEVELS, SALT, STEP)
     out = budgets.budget_closure(terms, seconds=STEP)
-    names = ["volume", "salt", "ssalt", "svar"]
-    return rounded(out, {f"{n}_{c}": 0 for n in names for c in ("supply", "storage")} | {f"{n}_pct": 4 for n in names})
+    return closed(out, ["volume", "salt", "ssalt", "svar"], 0, 4)
 
 
 @query
@@ -312,12 +349,8 @@ def surface_forcing(spark, d):
 
 
 def _surface_terms(spark, d):
-    cols = src.grid_columns(spark, d)
-    terms = tef.budget(cols, [BOX], LEVELS, SALT, STEP)
-    forcing = cols.select("ocean_time", "j", "i", "swflux")
-    fresh = budgets.freshwater_flux(forcing, src.grid_static(cols), [BOX], "ocean_time")
-    fluxes = fresh.join(budgets.surface_salt_flux(cols, [BOX], LEVELS), KEYS)
-    return budgets.surface_budget(terms, fluxes)
+    terms = tef.budget(src.grid_columns(spark, d), [BOX], LEVELS, SALT, STEP, surface=True, shift=SHIFT)
+    return budgets.surface_budget(terms)
 
 
 @query
@@ -332,7 +365,7 @@ def surface_budget(spark, d):
 def surface_closure(spark, d):
     pairs = {"salt": (F.col("salt_supply"), F.col("dsVdt")), "volume": (F.col("volume_supply"), F.col("dVdt"))}
     out = budgets.closure(_surface_terms(spark, d), pairs, ["cv_id"])
-    return rounded(out, {f"{n}_{c}": 3 for n in pairs for c in ("supply", "storage", "pct")})
+    return closed(out, list(pairs), 3, 3)
 
 
 # ---- grid ---------------------------------------------------------------------------
@@ -362,11 +395,7 @@ def metrics_uv(spark, d):
 
 @query
 def interp_uv(spark, d):
-    cells = grid.unpack_levels(src.grid_columns(spark, d).select("ocean_time", "j", "i", "salt"), src.N_LEVELS, ["salt"])
-    keys = ["ocean_time", "k"]
-    out = grid.interpolate(cells, "x", ["salt"], keys, "_u")
-    out = grid.interpolate(out, "y", ["salt", "salt_u"], keys, "_v")
-    return out.withColumnsRenamed({"salt_u_v": "salt_psi"}).select(*keys, "j", "i", "salt_u", "salt_v", "salt_psi")
+    return grid.interpolate_levels(src.grid_columns(spark, d), src.N_LEVELS, ["salt"], ["ocean_time"])
 
 
 @query
@@ -393,22 +422,7 @@ def dz_family(spark, d):
 @query
 def staggered_volumes(spark, d):
     cols = src.grid_columns(spark, d).select("ocean_time", "j", "i", "h", "zeta", "pm", "pn")
-    keys = ["ocean_time", "k", "j", "i"]
-    parts = []
-    for point in ("u", "v", "psi"):
-        for interfaces in (False, True):
-            mark, at = ("_w", "w") if interfaces else ("", "rho")
-            names = [f"z_{at}_{point}", f"z_{at}_{point}0", f"dz{mark}_{point}", f"dz{mark}_{point}0", f"dV{mark}_{point}"]
-            geometry = grid.staggered_geometry(cols, LEVELS, point, interfaces)
-            out = geometry.select(
-                *keys, F.lit(f"{point}{mark}").alias("place"),
-                *[F.col(n).alias(s) for n, s in zip(names, ("z", "z0", "dz", "dz0", "dV"))],
-            )
-            parts.append(out.where(F.col("z").isNotNull()))
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    return rounded(union, {"dV": 2})
+    return rounded(grid.staggered_table(cols, LEVELS), {"dV": 2})
 
 
 @query
@@ -454,13 +468,13 @@ def vorticity_stats(spark, d):
 
 @query
 def face_transport(spark, d):
-    samples = volumes.face_samples(src.grid_columns(spark, d), [BOX, HALF_OPEN], LEVELS, ())
+    samples = volumes.face_samples(src.grid_columns(spark, d), [BOX, HALF_OPEN, BEYOND], LEVELS, ())
     return samples.select(*KEYS, "face", "k", "pos", "vel", "q")
 
 
 @query
 def face_tracers(spark, d):
-    samples = volumes.face_samples(src.grid_columns(spark, d), [BOX, HALF_OPEN], LEVELS, ("salt", "temp"))
+    samples = volumes.face_samples(src.grid_columns(spark, d), [BOX, HALF_OPEN, BEYOND], LEVELS, ("salt", "temp"))
     return samples.select(*KEYS, "face", "k", "pos", "salt", "temp", "z")
 
 
@@ -546,6 +560,16 @@ def density_mesh(spark, d):
     return rounded(occupied.withColumn("rho", rho), {"rho": 8})
 
 
+@query
+def density_full_mesh(spark, d):
+    """Density on all pairs of class edges, with the samples of the class above either edge."""
+    samples = src.tef_samples(spark, d)
+    counted = histogram.weighted_histogram(samples, [], {"salt": SALT, "temp": TEMP}, {"n": F.lit(1).cast("bigint")})
+    counted = counted.select(F.col("salt_idx").alias("salt_edge_idx"), F.col("temp_idx").alias("temp_edge_idx"), F.col("n").cast("bigint").alias("n"))
+    mesh = analysis.density_mesh(spark, SALT, TEMP).join(counted, ["salt_edge_idx", "temp_edge_idx"], "left")
+    return rounded(mesh.withColumn("n", F.coalesce("n", F.lit(0).cast("bigint"))), {"rho": 8})
+
+
 @query
 def resample_linear(spark, d):
     hours = src.hour_series(spark, d)
@@ -587,10 +611,38 @@ def time_mean_bottom(spark, d):
     return analysis.time_mean(bottom, {"salt": F.col("salt"), "temp": F.col("temp")})
 
 
+# ---- tables -------------------------------------------------------------------------
+
+
+@query
+def packed_levels(spark, d):
+    """Cells packed to water columns and unpacked again."""
+    cols = src.grid_columns(spark, d).select("ocean_time", "j", "i", "salt", "temp", "u", "v")
+    return grid.unpack_levels(cols, src.N_LEVELS, ["salt", "temp", "u", "v"])
+
+
+@query
+def merged_results(spark, d):
+    """Two result families with partly common keys side by side."""
+    samples = src.tef_samples(spark, d)
+    fresh = samples.where(F.col("salt") < 1.0).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_fresh"))
+    deep = samples.where(F.col("z") < -64.0).groupBy(*KEYS).agg(F.sum("q").alias("q_deep"))
+    return tables.merge_results([fresh, deep], KEYS)
+
+
+@query
+def shared_dimensions(spark, d):
+    """Columns under location-specific dimension names brought to shared ones, with the reference density where the input has none."""
+    cols = src.grid_columns(spark, d).select("ocean_time", F.col("j").alias("eta_u"), F.col("i").alias("xi_v"), "h")
+    static = tables.unify_dimensions(cols).groupBy("eta_rho", "xi_rho").agg(F.max("h").alias("h"), F.count(F.lit(1)).alias("n"))
+    return grid.with_reference_density(static).withColumn("load", F.col("rho0") * F.col("h"))
+
+
 @query
 def box_area(spark, d):
     static = src.grid_static(volumes.in_volumes(src.grid_columns(spark, d), [BOX]))
-    return rounded(analysis.extent(static, ["h"]), {"area_km2": 9, "side_km": 9})
+    static = static.withColumns({"lat": 28.0 + F.col("j") / F.lit(64.0), "lon": -95.0 + F.col("i") / F.lit(64.0)})
+    return rounded(analysis.extent(static, ["h", "lat", "lon"]), {"area_km2": 9, "side_km": 9})
 
 
 @query
@@ -602,15 +654,10 @@ def sin_sout_chi(spark, d):
     return rounded(analysis.aligned([flow, chi], KEYS), {"chi": 6})
 
 
-def _count(df: DataFrame, label: str) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("xc"), F.lit(0)).alias("xc")).select(
-        F.lit(label).alias("selection"), "n", "xc"
-    )
-
-
 @query
 def time_slices(spark, d):
-    hours = src.hour_series(spark, d)
+    hours = series.numbered(src.hour_series(spark, d), [], "ocean_time", "pos", bucket="day")
+    day = F.col("ocean_time").cast("date")
     cases: dict[str, Column] = {
         "day": tp.at_time("2024-01-03"),
         "hour": tp.at_time("2024-01-03-07"),
@@ -618,16 +665,12 @@ def time_slices(spark, d):
         "month": tp.at_time("2024-01"),
         "days_inclusive": tp.between_times("2024-01-05", "2024-01-06"),
         "stamps_inclusive": tp.between_times("2024-01-02 23:00:00", "2024-01-18 00:00:00"),
+        "positions": F.col("pos").between(200, 719),
+        "dates_exclusive": (day >= F.lit("2024-01-03").cast("date")) & (day < F.lit("2024-01-10").cast("date")),
     }
-    parts = [_count(hours.where(c), n) for n, c in cases.items()]
-    parts.append(_count(series.position_slice(hours, [], "ocean_time", 200, 720, bucket="day"), "positions"))
-    on_days = tp.dates(spark, "2024-01-03", "2024-01-10")
-    dated = hours.withColumn("ocean_date", F.col("ocean_time").cast("date")).join(on_days, "ocean_date", "left_semi")
-    parts.append(_count(dated, "dates_exclusive"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    zero = F.lit(0).cast("bigint")
+    picked = {n: F.struct(F.lit(n).alias("selection"), F.count_if(c).alias("n"), F.coalesce(F.sum(F.when(c, F.col("xc"))), zero).alias("xc")) for n, c in cases.items()}
+    return hours.agg(*[c.alias(n) for n, c in picked.items()]).select(F.inline(F.array(*picked)))
 
 
 @query

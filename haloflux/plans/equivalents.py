@@ -6,6 +6,8 @@ the operators.
 
 from __future__ import annotations
 
+import math
+
 # -- inputs ---------------------------------------------------------------------------
 
 _TEF = """
@@ -33,7 +35,7 @@ tefb AS (
 _TEFVAR = (
     _TEF
     + """,
-sb AS (SELECT cv_id, ocean_time, floor(sum(salt * dv) / sum(dv) * 64) / 64 AS sbar FROM tef GROUP BY ALL),
+sb AS (SELECT cv_id, ocean_time, sum(salt * dv) / sum(dv) AS sbar FROM tef GROUP BY ALL),
 tefv AS (
   SELECT t.*, q * ((salt - sbar) * (salt - sbar)) AS qsvar
   FROM tefb t JOIN sb USING (cv_id, ocean_time)
@@ -184,22 +186,39 @@ def _bulk_columns(prefixes: list[str]) -> dict[str, str]:
     return out
 
 
-def _select(columns: dict[str, str], digits: dict[str, int] | None = None) -> str:
-    digits = digits or {}
-    return ", ".join(
-        f'round({e}, {digits[n]}) + 0.0e0 AS "{n}"' if n in digits else f'{e} AS "{n}"' for n, e in columns.items()
-    )
+def _step(digits: int) -> str:
+    return f"{math.pi * 10.0**-digits:.17e}"
+
+
+def _stepped(expression: str, digits: int) -> str:
+    """To multiples of pi / 10^digits."""
+    return f"round(({expression}) / {_step(digits)}) * {_step(digits)} + 0.0e0"
+
+
+def _select(columns: dict[str, str], digits: dict[str, int] | None = None, steps: dict[str, int] | None = None) -> str:
+    """Columns, rounded to a number of decimal digits or to steps of pi / 10^digits."""
+    digits, steps = digits or {}, steps or {}
 
+    def one(n: str, e: str) -> str:
+        if n in steps:
+            return f'{_stepped(e, steps[n])} AS "{n}"'
+        return f'round({e}, {digits[n]}) + 0.0e0 AS "{n}"' if n in digits else f'{e} AS "{n}"'
 
-def _flow(base: str, net_source: str, values: list[str], extra: str = "", digits=None, where: str = "salt_idx IS NOT NULL", idx: str = "") -> str:
+    return ", ".join(one(n, e) for n, e in columns.items())
+
+
+def _flow(base: str, net_source: str, values: list[str], extra: str = "", digits=None, steps=None, where: str = "salt_idx IS NOT NULL", idx: str = "") -> str:
     prefix = {"q": "Q", "qs": "Qs", "qss": "Qss", "qsvar": "Qsvar"}
     ps = [prefix[v] for v in values]
-    nets = ", ".join(f"coalesce(sum(sgn * {v}), 0) AS {prefix[v]}net" for v in values)
+    # without a second dimension a step keeps its row when no sample falls in a class
+    inside = "" if idx else f" FILTER (WHERE {where})"
+    nets = ", ".join(f"coalesce(sum(sgn * {v}){inside}, 0) AS {prefix[v]}net" for v in values)
     keys = "cv_id, ocean_time" + idx
+    chosen = f" WHERE {where}" if idx else ""
     return f"""WITH {base},
-net AS (SELECT {keys}, salt_idx, {nets} FROM {net_source} WHERE {where} GROUP BY ALL),
+net AS (SELECT {keys}, salt_idx, {nets} FROM {net_source}{chosen} GROUP BY ALL),
 {_split(ps, "net", keys)}
-SELECT {keys}{extra}, {_select(_bulk_columns(ps), digits)} FROM bulk"""
+SELECT {keys}{extra}, {_select(_bulk_columns(ps), digits, steps)} FROM bulk"""
 
 
 _SB = "(salt_idx + 0.5e0) * 0.5e0 AS salt_bin"
@@ -213,13 +232,36 @@ def _exchange_sql() -> dict[str, str]:
         "tef_net": f"""WITH {_TEF}
 SELECT cv_id, ocean_time, salt_idx, {_SB}, sum(sgn * q) AS "Qnet", sum(sgn * qs) AS "Qsnet", sum(sgn * qss) AS "Qssnet"
 FROM tefb WHERE salt_idx IS NOT NULL GROUP BY ALL""",
-        "tef_full_ss": _flow(_TEFVAR, "tefv", ["q", "qs", "qss", "qsvar"]),
-        "tef_normalized": f"""WITH flow AS ({_flow(
+        "tef_full_ss": _flow(
+            _TEFVAR, "tefv", ["q", "qs", "qss", "qsvar"], steps={"Qsvarin": 4, "Qsvarout": 4, "svaradv": 4, "svarin": 7, "svarout": 7},
+        ),
+        "tef_normalized": _flow(
             _TEFVAR + ",\ntefn AS (SELECT * REPLACE (q / dv AS q, qsvar / dv AS qsvar) FROM tefv)", "tefn", ["q", "qsvar"],
-            digits={"svarin": 4, "svarout": 4},
-        )})
-SELECT * REPLACE ({", ".join(f'round("{c}" * {6881280 * m}) + 0.0e0 AS "{c}"' for c, m in
-            (("Qin", 1), ("Qout", 1), ("voladv", 1), ("Qsvarin", 4096), ("Qsvarout", 4096), ("svaradv", 4096)))}) FROM flow""",
+            steps=dict.fromkeys(("Qin", "Qout", "voladv", "Qsvarin", "Qsvarout", "svaradv", "svarin", "svarout"), 8),
+        ),
+        "tef_steps": f"""WITH {_TEF},
+net AS (
+  SELECT cv_id, ocean_time, CASE WHEN salt BETWEEN 36.5 AND 37 THEN least(floor((salt - 36.5) / 0.125e0), 3) END AS at,
+         sum(CASE WHEN salt BETWEEN 36.5 AND 37 THEN sgn * q ELSE 0 END) AS Qnet,
+         sum(CASE WHEN salt BETWEEN 36.5 AND 37 THEN sgn * q * salt ELSE 0 END) AS Qsnet
+  FROM tef GROUP BY ALL
+),
+{_split(["Q", "Qs"], "net", "cv_id, ocean_time")}
+SELECT cv_id, ocean_time, {_select(_bulk_columns(["Q", "Qs"]))} FROM bulk""",
+        "tef_ts_500": f"""WITH {_TEF},
+c AS (SELECT 37.3e0 / 500 AS ws, (39.7e0 - 0.1e0) / 500 AS wt),
+g AS (
+  SELECT *, least(floor(salt / ws), 499) AS gs, least(floor((temp - 0.1e0) / wt), 499) AS gt
+  FROM tef, c WHERE salt BETWEEN 0 AND 37.3e0 AND temp BETWEEN 0.1e0 AND 39.7e0
+),
+e AS (
+  SELECT *, CASE WHEN salt < gs * ws THEN gs - 1 WHEN gs < 499 AND salt >= (gs + 1) * ws THEN gs + 1 ELSE gs END AS si,
+         CASE WHEN temp < 0.1e0 + gt * wt THEN gt - 1 WHEN gt < 499 AND temp >= 0.1e0 + (gt + 1) * wt THEN gt + 1 ELSE gt END AS ti
+  FROM g
+)
+SELECT cv_id, CAST(si AS INTEGER) AS salt_idx, CAST(ti AS INTEGER) AS temp_idx, round((si + 0.5e0) * any_value(ws), 9) + 0.0e0 AS salt_bin,
+       round(0.1e0 + (ti + 0.5e0) * any_value(wt), 9) + 0.0e0 AS temp_bin, sum(sgn * q) AS "Qnet", sum(sgn * q * salt) AS "Qsnet"
+FROM e GROUP BY cv_id, si, ti""",
         "tef_ts": _flow(
             _TEF, "tefb", ["q", "qs"], extra=f", {_TB}", idx=", temp_idx",
             where="salt_idx IS NOT NULL AND temp_idx IS NOT NULL",
@@ -242,6 +284,15 @@ fv AS (SELECT f.*, q * power(salt - sbar, 2) AS qsvar FROM fsb f JOIN vs ON vs.c
 net AS (SELECT cv_id, ocean_time, salt_idx, {nets} FROM fv WHERE salt_idx IS NOT NULL GROUP BY ALL),
 {_split(["Q", "Qs", "Qss", "Qsvar"], "net", "cv_id, ocean_time")}
 SELECT cv_id, ocean_time, {_select({n: cols[n] for n in keep}, {"Qsvarin": 3, "Qsvarout": 3, "svaradv": 3})} FROM bulk"""
+    out["tef_halfopen_mean"] = f"""WITH {_GRID},
+{_cv(_BOX)},
+{_FACES},
+cvm AS (SELECT cv_id, i0, i1 - 1 AS i1, j0, j1 - 1 AS j1 FROM cv),
+{_STATS.replace("lev, cv ", "lev, cvm ").replace("lev l, cv, vs", "lev l, cvm, vs").replace("cv.cv_id", "cvm.cv_id")},
+fv AS (SELECT f.*, q * power(salt - sbar, 2) AS qsvar FROM fsb f JOIN vs ON vs.cv_id = f.cv_id AND vs.t = f.ocean_time),
+net AS (SELECT cv_id, ocean_time, salt_idx, {nets} FROM fv WHERE salt_idx IS NOT NULL GROUP BY ALL),
+{_split(["Q", "Qs", "Qss", "Qsvar"], "net", "cv_id, ocean_time")}
+SELECT cv_id, ocean_time, {_select({n: cols[n] for n in ("Qsvarin", "Qsvarout", "svaradv")}, {"Qsvarin": 3, "Qsvarout": 3, "svaradv": 3})} FROM bulk"""
     out["bin_count_compare"] = f"""WITH {_TEF},
 net AS (
   SELECT cv_id, ocean_time, n_bins, floor(salt_idx / (80 / n_bins)) AS at, sum(sgn * q) AS Qnet, sum(sgn * qs) AS Qsnet
@@ -261,7 +312,7 @@ def _histogram_sql() -> dict[str, str]:
 SELECT cv_id, ocean_time, face, salt_idx{idx[0]}, {_SB}{idx[1]}, {cols}
 FROM {source} WHERE salt_idx IS NOT NULL{idx[2]} GROUP BY ALL"""
 
-    svar = "sum(qsvar)"
+    svar = _stepped("sum(qsvar)", 4)
     incv = f"WITH {_CHI},\n{_cv(_BOX)}"
     insplit = f"WITH {_CHI},\n{_cv(_SPLIT)}"
     return {
@@ -295,14 +346,21 @@ SELECT cv_id, count(*) AS n_samples, count(*) FILTER (WHERE NOT (salt BETWEEN 5
         "hist_density": f"""WITH {_TEF},
 c AS (SELECT cv_id, salt_idx, count(*) AS n FROM tefb WHERE salt_idx IS NOT NULL GROUP BY ALL)
 SELECT cv_id, salt_idx, {_SB}, n, round(n / (sum(n) OVER (PARTITION BY cv_id)) / 0.5e0, 12) + 0.0e0 AS density FROM c""",
+        "hist_density_dense": f"""WITH {_TEF},
+b AS (SELECT CAST(unnest(range(120)) AS INTEGER) AS salt_idx),
+c AS (SELECT cv_id, CAST(floor((salt + 10) * 2) AS INTEGER) AS salt_idx, count(*) AS n FROM tef GROUP BY ALL)
+SELECT k.cv_id, salt_idx, -10 + (salt_idx + 0.5e0) * 0.5e0 AS salt_bin, coalesce(n, 0) AS n,
+       round(coalesce(n, 0) / (sum(n) OVER (PARTITION BY k.cv_id)) / 0.5e0, 12) + 0.0e0 AS density
+FROM (SELECT DISTINCT cv_id FROM tef) k CROSS JOIN b LEFT JOIN c USING (cv_id, salt_idx)""",
         "hist_minmax50": f"""WITH {_TEF},
-m AS (SELECT min(q) AS lo, max(q) AS hi, (max(q) - min(q)) / 50 AS w FROM tef),
+x AS (SELECT q FROM tef WHERE salt >= 36.75),
+m AS (SELECT min(q) AS lo, max(q) AS hi, (max(q) - min(q)) / 50 AS w FROM x),
 e AS (
   SELECT k, lo + k * w AS a, CASE WHEN k = 49 THEN hi ELSE lo + (k + 1) * w END AS b
   FROM m, (SELECT unnest(range(50)) AS k)
 )
-SELECT CAST(k AS INTEGER) AS vel_idx, a AS vel_lo, count(*) AS n
-FROM tef JOIN e ON q >= a AND (q < b OR (k = 49 AND q = b)) GROUP BY ALL""",
+SELECT CAST(k AS INTEGER) AS vel_idx, a AS vel_lo, count(q) AS n
+FROM e LEFT JOIN x ON q >= a AND (q < b OR (k = 49 AND q = b)) GROUP BY ALL""",
         "vol_by_salt": f"""{insplit}
 SELECT cv_id, t AS ocean_time, salt_idx, {_SB}, sum(dv) AS "dV_saltcoord"
 FROM levc, cv WHERE {_INCV} AND salt_idx IS NOT NULL GROUP BY ALL""",
@@ -358,18 +416,22 @@ def _budget_sql() -> dict[str, str]:
         return f"""{base(rows)},
 {_FACES},
 {_STATS},
-{_TEND.replace("/ 3600", "/ 4096")},
+{_TEND},
 fv AS (SELECT f.*, q * power(salt - sbar, 2) AS qsvar FROM fsb f JOIN vs ON vs.cv_id = f.cv_id AND vs.t = f.ocean_time),
 net AS (SELECT cv_id, ocean_time AS t, salt_idx, {nets} FROM fv WHERE salt_idx IS NOT NULL GROUP BY ALL),
 {_split(["Q", "Qs", "Qss", "Qsvar"], "net", "cv_id, t")},
 adv AS (SELECT cv_id, t, {_select({n: bulk[n] for n in ("voladv", "saltadv", "ssaltadv", "svaradv")})} FROM bulk),
 mix AS (SELECT cv_id, t, coalesce(sum(chi * dv), 0) AS chi FROM levc, cv WHERE {_INCV} GROUP BY ALL),
-term AS (SELECT * FROM adv JOIN td USING (cv_id, t) JOIN mix USING (cv_id, t))"""
+term AS (
+  SELECT td.*, coalesce(voladv, 0) AS voladv, coalesce(saltadv, 0) AS saltadv, coalesce(ssaltadv, 0) AS ssaltadv,
+         coalesce(svaradv, 0) AS svaradv, chi
+  FROM td LEFT JOIN adv USING (cv_id, t) JOIN mix USING (cv_id, t)
+)"""
 
     def pct(n, supply, storage, digits, scale="", pct_digits=None):
-        a, b = f"sum({supply}){scale}", f"sum({storage}){scale}"
+        a, b = (f"(round(sum({x}){scale}, {digits}) + 0.0e0)" for x in (supply, storage))
         return (
-            f"round({a}, {digits}) + 0.0e0 AS {n}_supply, round({b}, {digits}) + 0.0e0 AS {n}_storage, "
+            f"{a} AS {n}_supply, {b} AS {n}_storage, "
             f"round(({a} - {b}) / nullif({b}, 0) * 100, {digits if pct_digits is None else pct_digits}) + 0.0e0 AS {n}_pct"
         )
 
@@ -395,8 +457,8 @@ SELECT cv_id, t AS ocean_time, v AS "V", sv AS "sV", ssv AS "ssV", sbar, round(s
 {_TEND}
 SELECT cv_id, t AS ocean_time, dvdt AS "dVdt", dsvdt AS "dsVdt", dssvdt AS "dssVdt", round(dsvardt, 4) + 0.0e0 AS dsvardt FROM td""",
         "closure": f"""{terms(_SPLIT)}
-SELECT cv_id, {pct("volume", "voladv", "dvdt", 0, " * 4096", 4)}, {pct("salt", "saltadv", "dsvdt", 0, " * 4096", 4)},
-  {pct("ssalt", "(ssaltadv - chi)", "dssvdt", 0, " * 4096", 4)}, {pct("svar", "(svaradv - chi)", "dsvardt", 0, " * 4096", 4)}
+SELECT cv_id, {pct("volume", "voladv", "dvdt", 0, " * 3600", 4)}, {pct("salt", "saltadv", "dsvdt", 0, " * 3600", 4)},
+  {pct("ssalt", "(ssaltadv - chi)", "dssvdt", 0, " * 3600", 4)}, {pct("svar", "(svaradv - chi)", "dsvardt", 0, " * 3600", 4)}
 FROM term GROUP BY cv_id""",
         "surface_flux": f"""{base(_BOX)},
 fw AS (SELECT cv_id, t, sum(swflux / pm / pn) / 100 / 86400 AS sw FROM col, cv WHERE {_INCV} GROUP BY ALL),
@@ -559,14 +621,22 @@ SELECT {ji.format('')}, avg(salt) AS salt, avg(temp) AS temp FROM lev WHERE k =
         "box_area": f"""WITH {_GRID},
 {_cv(_BOX)}
 SELECT round(sum(1 / pm / pn) / 1e6, 9) + 0.0e0 AS area_km2, min(h) AS h_min, max(h) AS h_max, avg(h) AS h_mean,
+  28 + min(j) / 64.0e0 AS lat_min, 28 + max(j) / 64.0e0 AS lat_max, avg(28 + j / 64.0e0) AS lat_mean,
+  -95 + min(i) / 64.0e0 AS lon_min, -95 + max(i) / 64.0e0 AS lon_max, avg(-95 + i / 64.0e0) AS lon_mean,
   round(sqrt(sum(1 / pm / pn) / 1e6), 9) + 0.0e0 AS side_km FROM stat, cv WHERE {_INCV}""",
+        "packed_levels": f"""WITH {_GRID}
+SELECT t AS ocean_time, {key.format('')}, salt, temp, u, v FROM lev""",
+        "shared_dimensions": f"""WITH {_GRID}
+SELECT CAST(j AS INTEGER) AS eta_rho, CAST(i AS INTEGER) AS xi_rho, max(h) AS h, count(*) AS n, 1025.0e0 AS rho0, 1025 * max(h) AS load
+FROM col GROUP BY j, i""",
         "strided_section": f"""WITH {_GRID}
 SELECT t AS ocean_time, {key.format('')}, salt FROM cell WHERE i = 3 AND j % 2 = 1""",
     }
 
 
 def _face_sql() -> dict[str, str]:
-    two = f"WITH {_GRID},\n{_cv(_BOX + ', ' + _HALF)},\n{_FACES}"
+    beyond = "(2, 2, 4, 2, 3, 5, 4)"
+    two = f"WITH {_GRID},\n{_cv(', '.join((_BOX, _HALF, beyond)))},\n{_FACES}"
     one = f"WITH {_GRID},\n{_cv(_BOX)},\n{_FACES}"
     flow = _flow(f"{_CHI},\n{_cv(_BOX)},\n{_FACES}", "fsb", ["q", "qs"])
     return {
@@ -671,7 +741,20 @@ tot AS (SELECT cv_id, salt_idx, sum(qn) AS qn FROM net GROUP BY ALL)
 SELECT cv_id, salt_idx, qn AS "Qnet", CASE WHEN qn > 0 THEN round(log10(qn), 10) + 0.0e0 END AS "log_Qnet" FROM tot""",
         "peak_class": f"""{net},
 tot AS (SELECT cv_id, {_SB}, sum(qn) AS qn FROM net GROUP BY ALL)
-SELECT cv_id, arg_max(salt_bin, qn) AS salt_bin, max(qn) AS "Qnet" FROM tot GROUP BY cv_id""",
+SELECT cv_id, min(salt_bin) AS salt_bin, any_value(qn) AS "Qnet"
+FROM (SELECT *, max(qn) OVER (PARTITION BY cv_id) AS top FROM tot) WHERE qn = top GROUP BY cv_id""",
+        "merged_results": f"""WITH {_TEF},
+a AS (SELECT cv_id, ocean_time, count(*) AS n_fresh FROM tef WHERE salt < 1 GROUP BY ALL),
+b AS (SELECT cv_id, ocean_time, sum(q) AS q_deep FROM tef WHERE z < -64 GROUP BY ALL)
+SELECT cv_id, ocean_time, n_fresh, q_deep FROM a FULL OUTER JOIN b USING (cv_id, ocean_time)""",
+        "density_full_mesh": f"""WITH {_TEF},
+c AS (SELECT salt_idx, temp_idx, count(*) AS n FROM tefb WHERE salt_idx IS NOT NULL AND temp_idx IS NOT NULL GROUP BY ALL),
+m AS (
+  SELECT CAST(a AS INTEGER) AS salt_edge_idx, CAST(b AS INTEGER) AS temp_edge_idx, a * 0.5e0 AS salt, b * 1.0e0 AS temp
+  FROM (SELECT unnest(range(81)) AS a) CROSS JOIN (SELECT unnest(range(41)) AS b)
+)
+SELECT salt_edge_idx, temp_edge_idx, salt, temp, round({rho}, 8) + 0.0e0 AS rho, coalesce(n, 0) AS n
+FROM m LEFT JOIN c ON c.salt_idx = m.salt_edge_idx AND c.temp_idx = m.temp_edge_idx""",
         "density_ts": f"""WITH {_TEF}
 SELECT cv_id, ocean_time, round(avg({rho}), 8) + 0.0e0 AS rho_mean, round(min({rho}), 8) + 0.0e0 AS rho_min,
   round(max({rho}), 8) + 0.0e0 AS rho_max FROM tef GROUP BY ALL""",

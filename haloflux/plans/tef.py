@@ -17,10 +17,15 @@ def face_transports(
     levels: SLevels,
     tracers: tuple[str, ...] = ("salt",),
     edge: str = "mean",
+    mean_boxes: list[ControlVolume] | None = None,
 ) -> DataFrame:
-    """Face samples with volume, salt, salt-squared and variance transport."""
+    """Face samples with volume, salt, salt-squared and variance transport.
+
+    ``mean_boxes`` (same ids) are the cells of the mean salinity where these are not those
+    of the boxes, such as ``box.without_last()``.
+    """
     samples = volumes.tracer_transports(volumes.face_samples(columns, boxes, levels, tracers, edge))
-    stats = budgets.volume_stats(budgets.volume_cells(columns, boxes, levels))
+    stats = budgets.volume_means(budgets.volume_cells(columns, mean_boxes or boxes, levels))
     return volumes.variance_transport(samples, stats)
 
 
@@ -51,11 +56,14 @@ def class_transports(
     return histogram.weighted_histogram(samples, KEYS, bins, weights)
 
 
-def add_variance_transport(net: DataFrame, stats: DataFrame, salt: BinSpec) -> DataFrame:
-    """Adds ``Qsvarnet`` from the class moments and the volume mean ``sbar`` of each step."""
+def add_variance_transport(net: DataFrame, stats: DataFrame, salt: BinSpec, every_step: bool = False) -> DataFrame:
+    """Adds ``Qsvarnet`` from the class moments and the volume mean ``sbar`` of each step.
+
+    ``every_step`` keeps steps of ``stats`` that have no transport in any class.
+    """
     off = F.col(salt.bin) - F.col("sbar")
     return (
-        net.join(stats, KEYS)
+        stats.join(net, KEYS, "left" if every_step else "inner")
         .withColumn("Qsvarnet", F.col("__d2") + F.lit(2.0) * off * F.col("__d1") + off * off * F.col("Qnet"))
         .drop("__d1", "__d2")
     )
@@ -67,33 +75,51 @@ def total_exchange_flow(
     levels: SLevels,
     bins: dict[str, BinSpec],
     edge: str = "mean",
+    mean_boxes: list[ControlVolume] | None = None,
 ) -> DataFrame:
     """Model output to bulk exchange flow of every volume and step.
 
+    A step whose transport lies outside all classes has a row with transports of 0.
+    ``mean_boxes`` as in :func:`face_transports`.
+
     The variance transport of a class follows from its volume, salt and salt-squared
     transport and the volume mean, so face samples are aggregated right after they are
     cut; only the small class sums meet the mean salinity.  Moments are taken about the
     class centre, where they are small.
     """
-    stats = budgets.volume_stats(budgets.volume_cells(columns, boxes, levels)).select(*KEYS, "sbar")
-    net = add_variance_transport(class_transports(columns, boxes, levels, bins, edge), stats, bins["salt"])
+    stats = budgets.volume_means(budgets.volume_cells(columns, mean_boxes or boxes, levels)).select(*KEYS, "sbar")
     kept = [c for s in bins.values() if s.name != "salt" for c in (s.idx, s.bin)]
+    net = add_variance_transport(class_transports(columns, boxes, levels, bins, edge), stats, bins["salt"], not kept)
     return exchange.exchange_flow(net, KEYS + kept)
 
 
-def budget(columns: DataFrame, boxes: list[ControlVolume], levels: SLevels, salt: BinSpec, dt: float = 3600.0) -> DataFrame:
+def budget(
+    columns: DataFrame,
+    boxes: list[ControlVolume],
+    levels: SLevels,
+    salt: BinSpec,
+    dt: float | str = 3600.0,
+    surface: bool = False,
+    shift: float | None = None,
+    bucket=None,
+) -> DataFrame:
     """Advection, storage and mixing terms of every volume and step.
 
-    Cells are read once: contents, mean salinity and mixing are one aggregation, and its
-    result (one row per step) joins the class transports once, carrying the tendencies
-    along as constants of the step.  The first step of a volume has no tendency and no
-    row.
+    Contents, mean salinity, mixing and, with ``surface``, the water and salt flux through
+    the surface are one aggregation of the cells, and its result (one row per step) joins
+    the class transports once, carrying the tendencies along as constants of the step.
+    The first step of a volume has no tendency and no row; a step without transport in
+    any class keeps its storage and mixing.
+
+    ``shift`` takes the variance in one pass (:func:`budgets.volume_stats`), ``bucket`` orders
+    long series in pieces (:mod:`haloflux.functions.ordered`).
     """
-    cells = budgets.volume_cells(columns, boxes, levels, ["salt", "chi"])
-    steps = budgets.with_tendencies(budgets.volume_stats(cells), dt)
-    along = ["dVdt", "dsVdt", "dssVdt", "dsvardt", "chi"]
+    flux = list(budgets.SURFACE) if surface else []
+    cells = budgets.volume_cells(columns, boxes, levels, ["salt", "chi", *flux])
+    steps = budgets.with_tendencies(budgets.volume_stats(cells, shift=shift), dt, bucket=bucket)
+    along = ["dVdt", "dsVdt", "dssVdt", "dsvardt", "chi", *flux]
     net = class_transports(columns, boxes, levels, {"salt": salt})
-    net = add_variance_transport(net, steps.select(*KEYS, "sbar", *along), salt)
+    net = add_variance_transport(net, steps.select(*KEYS, "sbar", *along), salt, every_step=True)
     return exchange.exchange_flow(net, KEYS + along).select(*KEYS, *along, *BULK)
 
 

@@ -96,24 +96,28 @@ class ControlVolume:
     convention: str = "closed"
 
     def __post_init__(self):
-        if self.convention not in ("closed", "halfopen"):
+        if self.convention not in ("closed", "halfopen", "beyond"):
             raise ValueError(f"unknown face convention {self.convention!r}")
         if self.i1 < self.i0 or self.j1 < self.j0:
             raise ValueError(f"empty control volume {self}")
 
     @classmethod
     def from_slices(cls, cv_id: int, xi: slice, eta: slice, convention: str = "closed") -> ControlVolume:
-        """From index slices: ``closed`` reads them label-wise (stop included),
-        ``halfopen`` position-wise (stop excluded)."""
+        """From index slices: ``closed`` reads them label-wise (stop included), ``halfopen``
+        and ``beyond`` position-wise (stop excluded)."""
         last = 0 if convention == "closed" else 1
         return cls(cv_id, xi.start, xi.stop - last, eta.start, eta.stop - last, convention)
 
     @property
     def face_lines(self) -> dict[str, int]:
         """Index of each face on its velocity grid (``i`` of u for W/E, ``j`` of v for S/N)."""
-        inset = 1 if self.convention == "halfopen" else 0
+        inset = {"closed": 0, "halfopen": 1, "beyond": -1}[self.convention]
         return {"W": self.i0 - 1, "E": self.i1 - inset, "S": self.j0 - 1, "N": self.j1 - inset}
 
+    def without_last(self) -> ControlVolume:
+        """The same box less its last row and column of cells (for means over half-open cells)."""
+        return replace(self, i1=self.i1 - 1, j1=self.j1 - 1)
+
     def split(self, nx: int = 2, ny: int = 2, first_id: int = 0) -> list[ControlVolume]:
         """Cut into ``nx`` x ``ny`` boxes numbered south to north, then west to east.
 

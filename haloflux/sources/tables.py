@@ -1,8 +1,9 @@
 """Reading model output and writing results.
 
 Everything is Parquet in the schemas of :mod:`haloflux.schema`.  Results are partitioned
-by day (or month, chunk, volume); with dynamic partition overwrite a re-run replaces just
-the partitions it produces, which is what day-at-a-time processing is for.
+by day (or month, chunk, volume).  Daily and monthly writers replace just the partitions
+they produce, which is what day-at-a-time processing is for; writers of a whole result
+replace all of it, so that no partition of an earlier run stays behind.
 """
 
 from __future__ import annotations
@@ -25,16 +26,37 @@ def scan(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType |
     return reader.parquet(*([paths] if isinstance(paths, str) else paths))
 
 
+def without_overlap(df: DataFrame, keys: Sequence[str] = ("ocean_time", "j", "i")) -> DataFrame:
+    """One row per key of tables whose files overlap: the one from the last file by name.
+
+    Faces and cells would otherwise see different ones of two rows, or count both.  One
+    shuffle, meant to be done once at ingest with the result written.
+    """
+    others = [c for c in df.columns if c not in keys]
+    last = F.max_by(F.struct(*others), F.col("_metadata.file_path")).alias("__row")
+    return df.groupBy(*keys).agg(last).select(*keys, "__row.*").select(*df.columns)
+
+
 def open_columns(
-    spark: SparkSession, paths: str | Sequence[str], schema: T.StructType = COLUMNS_SCHEMA, clean: bool = True
+    spark: SparkSession,
+    paths: str | Sequence[str],
+    schema: T.StructType = COLUMNS_SCHEMA,
+    clean: bool = True,
+    overlap: str = "keep",
 ) -> DataFrame:
     """Packed model output with NaN turned into NULL.
 
+    ``overlap="last"`` keeps one row per water column and step where files overlap.
+
     NaN must not get further: it compares greater than every number and poisons sums.
     Tables known to hold none (cleaned at ingest) can be read with ``clean=False``, which
     saves touching every array element.
     """
     df = scan(spark, paths, schema)
+    if overlap == "last":
+        df = without_overlap(df)
+    elif overlap != "keep":
+        raise ValueError("overlap must be 'keep' or 'last'")
     return nan_to_null(df) if clean else df
 
 
@@ -77,9 +99,9 @@ def merge_results(parts: list[DataFrame], keys: list[str]) -> DataFrame:
     return out
 
 
-def write(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
-    """Write a result.  Partitioned overwrites only replace the partitions present in
-    ``df``, whatever the session default is.
+def write(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite", replace: str = "all") -> None:
+    """Write a result, replacing the ``"all"`` of ``path`` or only the ``"partitions"``
+    present in ``df``, whatever the session default is.
 
     Rows are rebalanced on the partition columns first: a partition ends up in few files,
     and AQE splits one that is too large for a task.
@@ -89,17 +111,17 @@ def write(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str
         return
     lined_up = df.hint("rebalance", *partition_by)
     writer = lined_up.write.mode(mode).partitionBy(*partition_by)
-    writer.option("partitionOverwriteMode", "dynamic").parquet(path)
+    writer.option("partitionOverwriteMode", {"all": "static", "partitions": "dynamic"}[replace]).parquet(path)
 
 
 def write_daily(df: DataFrame, path: str, time: str = "ocean_time", extra: Sequence[str] = ()) -> None:
     """One partition per day; re-running a day replaces that day only."""
-    write(df.withColumn("ocean_date", F.col(time).cast("date")), path, [*extra, "ocean_date"])
+    write(df.withColumn("ocean_date", F.col(time).cast("date")), path, [*extra, "ocean_date"], replace="partitions")
 
 
 def write_monthly(df: DataFrame, path: str, time: str = "ocean_time") -> None:
     out = df.withColumns({"year": F.year(time), "month": F.month(time)})
-    write(out, path, ["year", "month"])
+    write(out, path, ["year", "month"], replace="partitions")
 
 
 def write_chunked(df: DataFrame, path: str, chunks: int, keys: Sequence[str] = (), time: str = "ocean_time") -> None:

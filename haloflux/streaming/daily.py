@@ -1,7 +1,8 @@
 """Incremental histograms: process model output as files arrive.
 
 The streaming form of day-at-a-time processing.  Each micro-batch writes the partial
-class sums of its files; a re-run of a batch replaces its own partial, so restarts never
+class sums of its files; a re-run of a batch replaces its own partial, and a run from a new
+checkpoint, which starts over with all files, replaces all of them, so restarts never
 count a file twice.  Partials of one step may come from several batches, and the split
 into inflow and outflow needs complete sums, so :func:`merged` adds partials up first.
 """
@@ -45,7 +46,10 @@ def stream_histogram(
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        build(batch).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+        # the first batch of a checkpoint clears what another checkpoint has left
+        replaced = "dynamic" if batch_id else "static"
+        writer = build(batch).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").partitionBy("batch_id")
+        writer.option("partitionOverwriteMode", replaced).parquet(target)
 
     return (
         reader.parquet(source)

@@ -3,7 +3,8 @@ import pytest
 from conftest import make_columns, step, uniform_levels
 from pyspark.sql import functions as F
 
-from haloflux.operators import budgets, histogram
+from haloflux.operators import budgets, exchange, histogram, volumes
+from haloflux.plans import tef
 from haloflux.schema import BinSpec, ControlVolume
 
 LEV = uniform_levels(3)
@@ -14,9 +15,10 @@ def bumpy(t, k, j, i):
     return 28.0 + (5 * i + 3 * j + 7 * k + 2 * t) % 9 + 0.125 * k
 
 
-def test_one_pass_variance_equals_two_pass(spark):
+@pytest.mark.parametrize("shift", [None, 32.0])
+def test_variance_in_one_and_two_passes(spark, shift):
     cols = make_columns(spark, nt=2, salt=bumpy, zeta=lambda t, j, i: 0.1 * t)
-    r = budgets.volume_stats(budgets.volume_cells(cols, [BOX], LEV)).orderBy("ocean_time").collect()
+    r = budgets.volume_stats(budgets.volume_cells(cols, [BOX], LEV), shift=shift).orderBy("ocean_time").collect()
     for t in range(2):
         s = np.array([bumpy(t, k, j, i) for k in range(3) for j in range(4) for i in range(4)])
         dv = (30.0 + 0.1 * t) / 3 * 1e6
@@ -26,6 +28,42 @@ def test_one_pass_variance_equals_two_pass(spark):
         assert r[t].svarV == pytest.approx(((s - s.mean()) ** 2 * dv).sum(), rel=1e-11)
 
 
+def test_variance_of_nearly_uniform_and_uniform_water(spark):
+    rng = np.random.default_rng(3)
+    salt = 0.1 + 1e-6 * rng.normal(size=5000)
+    rows = [(0, step(0), float(s), 1e6) for s in salt] + [(1, step(0), 0.1, 1e6)] * 100
+    cells = spark.createDataFrame(rows, "cv_id int, ocean_time timestamp_ntz, salt double, dV double")
+    got = {r.cv_id: r.svarV for r in budgets.volume_stats(cells).collect()}
+    assert got[0] == pytest.approx(((salt - salt.mean()) ** 2).sum() * 1e6, rel=1e-6) and 0 <= got[1] < 1e-15
+    assert budgets.volume_stats(cells, shift=32.0).where("svarV < 0").count() == 0
+
+
+def test_steps_out_of_range_keep_their_storage_terms(spark):
+    lev = uniform_levels(2)
+    box = [ControlVolume(0, 1, 3, 1, 3)]
+    cols = make_columns(spark, nt=3, nk=2, nj=5, ni=5, salt=lambda t, k, j, i: 50.0 if t == 1 else 30.0 + i, zeta=lambda t, j, i: 0.1 * t * t)
+    terms = tef.budget(cols, box, lev, BinSpec("salt", 0.0, 40.0, 40)).orderBy("ocean_time").collect()
+    assert [r.ocean_time for r in terms] == [step(1), step(2)]
+    assert terms[0].voladv == 0.0 and terms[0].saltadv == 0.0 and terms[0].sin is None and terms[0].dVdt > 0
+    flow = tef.total_exchange_flow(cols, box, lev, {"salt": BinSpec("salt", 0.0, 40.0, 40)}).orderBy("ocean_time").collect()
+    assert len(flow) == 3 and (flow[1].Qin, flow[1].Qout) == (0.0, 0.0) and flow[0].Qin > 0
+    samples = volumes.tracer_transports(volumes.face_samples(cols, box, lev)).select("cv_id", "ocean_time", "face", "salt", "q", "qs")
+    direct = exchange.exchange_flow_from_samples(samples, {"salt": BinSpec("salt", 0.0, 40.0, 40)}, budgets.KEYS).orderBy("ocean_time").collect()
+    assert [r.Qin for r in direct] == pytest.approx([r.Qin for r in flow])
+    joined = budgets.budget_terms(spark.createDataFrame([], "cv_id int, ocean_time timestamp_ntz, voladv double"), budgets.tendencies(budgets.volume_stats(budgets.volume_cells(cols, box, lev))))
+    assert [r.voladv for r in joined.collect()] == [0.0, 0.0]
+
+
+def test_surface_terms_come_with_the_cells(spark):
+    box = [ControlVolume(0, 1, 3, 1, 3)]
+    cols = make_columns(spark, nt=2, nj=5, ni=5, salt=bumpy).withColumns({"swflux": F.col("i") + 0.5, "ssflux": F.col("j") * 0.25})
+    terms = tef.budget(cols, box, LEV, BinSpec("salt", 0.0, 60.0, 60), surface=True).first()
+    apart = budgets.surface_salt_flux(cols, box, LEV).where(F.col("ocean_time") == terms.ocean_time).first()
+    fresh = budgets.freshwater_flux(cols.select("ocean_time", "j", "i", "swflux"), cols.select("j", "i", "pm", "pn").distinct(), box, "ocean_time")
+    assert terms.ssflux == pytest.approx(apart.ssflux)
+    assert terms.swflux == pytest.approx(fresh.where(F.col("ocean_time") == terms.ocean_time).first().swflux)
+
+
 def test_land_counts_in_the_volume_unless_wet_only(spark):
     cols = make_columns(spark, nk=3, salt=lambda t, k, j, i: None if i == 0 else 32.0)
     cells = budgets.volume_cells(cols, [BOX], LEV)

@@ -96,3 +96,11 @@ def test_log_and_density(spark):
 def test_peak_class(spark):
     df = spark.createDataFrame([(0, 28.25, 3.0), (0, 28.44, 9.0), (0, 30.0, 1.0)], "cv_id int, salt_bin double, chi double")
     assert analysis.class_of_maximum(df, "chi", ["cv_id"]).first().salt_bin == 28.44
+
+
+def test_of_equal_peaks_the_lowest_bin_counts(spark):
+    from haloflux.operators import analysis
+
+    for order in ([(7.0, 2.0), (5.0, 2.0), (6.0, 1.0)], [(5.0, 2.0), (6.0, 1.0), (7.0, 2.0)]):
+        hist = spark.createDataFrame([(0, *r) for r in order], "g int, salt_bin double, Qnet double").coalesce(1)
+        assert analysis.class_of_maximum(hist, "Qnet", ["g"]).first().salt_bin == 5.0

@@ -169,3 +169,19 @@ def test_cells_split_volume_by_class_and_lose_nothing(spark):
     cols = make_columns(spark, nj=5, ni=5, salt=LINEAR)
     cells = budgets.volume_cells(cols, [ControlVolume(0, 1, 3, 1, 3)], LEV)
     assert cells.agg(F.sum("dV")).first()[0] == pytest.approx(9 * 30.0 * 1e6)
+
+
+def test_third_face_convention_and_half_open_means():
+    box = ControlVolume.from_slices(0, slice(4, 9), slice(2, 6), "beyond")
+    assert (box.i0, box.i1, box.j0, box.j1) == (4, 8, 2, 5)
+    assert box.face_lines == {"W": 3, "E": 9, "S": 1, "N": 6}
+    less = ControlVolume(0, 4, 9, 2, 6).without_last()
+    assert (less.i1, less.j1, less.i0, less.j0) == (8, 5, 4, 2)
+
+
+@pytest.mark.parametrize("most", [1, 2, 64])
+def test_line_predicate_never_drops_a_line(spark, monkeypatch, most):
+    monkeypatch.setattr(volumes, "PREDICATE_RANGES", most)
+    lines = {1, 2, 3, 10, 11, 40}
+    got = {r.i for r in spark.range(60).select(F.col("id").alias("i")).where(volumes._on_lines("i", lines)).collect()}
+    assert lines <= got and (most < 64 or got == lines)

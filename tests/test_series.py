@@ -109,3 +109,37 @@ def test_truncation_does_not_depend_on_the_session_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert tuple(r) == ("2024-03-10 02:00:00", "2024-03-10 00:00:00", "2024-03-01 00:00:00", "2024-01-01 00:00:00", "2024-01-01 00:00:00", "1969-12-31 23:00:00")
+
+
+def test_lowpass_over_a_gap_is_missing(spark):
+    df = make_series(spark, [1.0] * 12).where(F.col("ocean_time") != F.lit(step(5)))
+    got = {r.ocean_time: r.x for r in series.lowpass(df, ["g"], "ocean_time", ["x"], [1.0, 1.0, 1.0], step=3600).collect()}
+    assert got[step(4)] is None and got[step(6)] is None and len(got) == 11
+    assert got[step(3)] == pytest.approx(1.0) and got[step(0)] == pytest.approx(2 / 3) and got[step(11)] == pytest.approx(2 / 3)
+    keyless = {r.ocean_time: r.x for r in series.lowpass(df.drop("g"), [], "ocean_time", ["x"], [1.0, 1.0, 1.0], step=3600).collect()}
+    assert keyless == got
+
+
+def test_kernels_have_no_longest_length(spark):
+    df = make_series(spark, [float(n) for n in range(5)])
+    got = [r.x for r in series.lowpass(df, ["g"], "ocean_time", ["x"], [1.0] * 10_001, step=3600).collect()]
+    assert got == pytest.approx([10.0 / 10_001] * 5)
+
+
+def test_fractions_of_a_second_count(spark):
+    df = spark.sql("SELECT 0 AS g, CAST(s AS timestamp_ntz) AS ocean_time, x FROM VALUES ('2020-01-01 00:00:00.5', 1.0D), ('2020-01-01 00:00:02.5', 3.0D) t(s, x)")
+    assert df.where(tp.at_time("2020-01-01 00:00:00.5")).count() == 1 and df.where(tp.at_time("2020-01-01 00:00:00")).count() == 0
+    assert df.where(tp.between_times("2020-01-01 00:00:00.6", "2020-01-01 00:00:02.5")).count() == 1
+    got = [(str(r.ocean_time), r.x) for r in series.resample_linear(df, ["g"], "ocean_time", ["x"], 1).orderBy("ocean_time").collect()]
+    assert got == [("2020-01-01 00:00:01", 1.5), ("2020-01-01 00:00:02", 2.5)]
+    with pytest.raises(ValueError):
+        tp.at_time("2020-01-01.5")
+
+
+def test_keyless_series_spread_over_the_data(spark):
+    df = spark.range(2000).select((F.expr("TIMESTAMP_NTZ'2024-01-03 00:00:00'") + F.make_dt_interval(secs=F.col("id").cast("decimal(18,6)"))).alias("ocean_time"), F.col("id").alias("x"))
+    from haloflux.functions import ordered
+
+    assert ordered._bucketed(df, "ocean_time", "range").select("__bucket").distinct().count() == ordered.RANGE_BUCKETS
+    assert ordered.with_position(df, [], "ocean_time").where("pos <> x").count() == 0
+    assert ordered.with_previous(df, [], "ocean_time", ["x"]).where("x_prev = x - 1").count() == 1999

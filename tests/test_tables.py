@@ -118,3 +118,41 @@ def test_checkpoint_folder_comes_from_the_session():
     assert daily.checkpoint_location(FakeSession("/shared/ck/"), "x") == "/shared/ck/x"
     with pytest.raises(ValueError):
         daily.checkpoint_location(FakeSession(None), "x")
+
+
+def test_a_second_run_leaves_nothing_of_the_first(spark, tmp_path):
+    df = spark.createDataFrame([(n % 3, f"2010-06-{1 + n:02d} 00:00:00", float(n)) for n in range(12)], "cv_id int, s string, q double")
+    df = df.selectExpr("cv_id", "CAST(s AS timestamp_ntz) AS ocean_time", "q")
+    for chunks in (6, 3):
+        tables.write_chunked(df, str(tmp_path / "c"), chunks)
+        assert tables.scan(spark, str(tmp_path / "c")).count() == 12
+    meta = tables.run_metadata(spark, "q")
+    for kept in (df, df.where("cv_id < 2")):
+        tables.write_per_volume(kept, str(tmp_path / "v"))
+        tables.write_with_metadata(kept, str(tmp_path / "m"), meta, ["cv_id"])
+        assert tables.scan(spark, str(tmp_path / "v")).count() == spark.read.parquet(str(tmp_path / "m/data")).count() == kept.count()
+
+
+def test_overlapping_files_count_once(spark, tmp_path):
+    cols = make_columns(spark, nt=3, nj=2, ni=2)
+    cols.where(F.hour("ocean_time") < 2).coalesce(1).write.parquet(str(tmp_path / "his_a"))
+    cols.where(F.hour("ocean_time") > 0).coalesce(1).write.parquet(str(tmp_path / "his_b"))
+    paths = [str(tmp_path / "his_a"), str(tmp_path / "his_b")]
+    assert tables.open_columns(spark, paths).count() == 16
+    once = tables.open_columns(spark, paths, overlap="last")
+    assert once.count() == 12 and once.columns == cols.columns
+    with pytest.raises(ValueError):
+        tables.open_columns(spark, paths, overlap="first")
+
+
+def test_a_new_checkpoint_starts_over(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for n in range(3):
+        spark.createDataFrame([(0, float(n))], "k int, q double").coalesce(1).write.mode("append").parquet(src)
+
+    def run(checkpoint, files):
+        daily.stream_histogram(spark, src, "k int, q double", lambda d: d.groupBy("k").agg(F.sum("q").alias("q")), out, str(tmp_path / checkpoint), files_per_batch=files).awaitTermination()
+        return daily.merged(spark, out, ["k"], ["q"]).first().q
+
+    assert run("first", 1) == 3.0
+    assert run("second", None) == 3.0
