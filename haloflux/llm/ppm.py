@@ -42,6 +42,31 @@ BLOCKS_PER_SHARE = 4
 SYMBOLS = 257
 _BEFORE, _END = 0xFE, 0xFF  # neither occurs in UTF-8
 _END_WORD = np.uint64(0x5851F42D4C957F2D)
+_FACTOR = 0x9E3779B97F4B
+
+
+_GRAM_BITS = 8 * (ORDER + 1)
+_WORD_BITS = 63
+#: Bytes of text whose grams are built at once, so that they stay in a core's cache.
+_PIECE = 1 << 19
+
+
+def scattered(keys: np.ndarray) -> np.ndarray:
+    """A bijection of ``_GRAM_BITS``-bit numbers that spreads grams evenly."""
+    mask = np.uint64((1 << _GRAM_BITS) - 1)
+    half = np.uint64(_GRAM_BITS // 2)
+    keys = keys ^ (keys >> half)
+    keys = (keys * np.uint64(_FACTOR)) & mask
+    return keys ^ (keys >> half)
+
+
+def gathered(keys: np.ndarray) -> np.ndarray:
+    """The inverse of :func:`scattered`."""
+    mask = np.uint64((1 << _GRAM_BITS) - 1)
+    half = np.uint64(_GRAM_BITS // 2)
+    keys = keys ^ (keys >> half)
+    keys = (keys * np.uint64(pow(_FACTOR, -1, 1 << _GRAM_BITS))) & mask
+    return keys ^ (keys >> half)
 
 
 def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -52,40 +77,84 @@ def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     shift = np.arange(n) * (ORDER + 1) + ORDER
     padded[np.arange(len(data)) + np.repeat(shift, size)] = data
     padded[offsets[1:] + shift] = _END
-    real = np.ones(len(padded), dtype=bool)
-    real[((offsets[:-1] + shift)[:, None] - 1 - np.arange(ORDER)).ravel()] = False
-    at = np.flatnonzero(real)
-    packed = padded[at].astype(np.uint64)
+    packed = padded[ORDER:].astype(np.uint64)
     for k in range(1, ORDER + 1):
-        packed |= padded[at - k].astype(np.uint64) << np.uint64(8 * (ORDER + 1 - k))
-    return packed, offsets + np.arange(n + 1)
+        packed |= padded[ORDER - k : len(padded) - k].astype(np.uint64) << np.uint64(8 * (ORDER + 1 - k))
+    return packed[padded[ORDER:] != _BEFORE], offsets + np.arange(n + 1)
+
+
+def gram_keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    packed, before = grams(column)
+    return scattered(packed), before
 
 
 def word_keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, each text followed by the end word, and the number before each text."""
+    """63-bit hashes of all words, each text followed by the end word, and the number before each text."""
     low, offsets = lowered(column)
     starts, ends, before = word_bounds(low, offsets)
     n = len(offsets) - 1
     keys = np.full(len(starts) + n, _END_WORD, dtype=np.uint64)
-    keys[np.arange(len(starts)) + np.repeat(np.arange(n), np.diff(before))] = span_hashes(low, starts, ends)
+    keys[np.arange(len(starts)) + np.repeat(np.arange(n), np.diff(before))] = span_hashes(low, starts, ends) >> np.uint64(1)
     return keys, before + np.arange(n + 1)
 
 
-def _trained(keys: np.ndarray, before: np.ndarray, learns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+#: Of either kind of key: how to get it from texts, its bits, and the bytes it takes in a packet.
+_KINDS = ((gram_keys, _GRAM_BITS, ORDER + 1), (word_keys, _WORD_BITS, 8))
+
+
+def _marked(keys: np.ndarray, before: np.ndarray, learns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, sorted, and how often each occurs in texts that are learned from."""
-    order = np.argsort(keys)
-    keys, learned = keys[order], np.repeat(learns, np.diff(before))[order]
-    if not len(keys):
-        return keys, np.empty(0, np.int64)
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return keys[first], np.add.reduceat(learned.astype(np.int64), first)
+    both = np.sort(keys << np.uint64(1) | np.repeat(learns.astype(np.uint64), np.diff(before)))
+    keys = both >> np.uint64(1)
+    first = _firsts(keys)
+    return keys[first], np.add.reduceat((both & np.uint64(1)).astype(np.int64), first) if len(first) else np.empty(0, np.int64)
+
+
+def _firsts(ordered: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))[: len(ordered)])
+
 
+def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of several sets, sorted, and their summed counts."""
+    if not keys:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    every, n = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
+    order = np.argsort(every)
+    every = every[order]
+    first = _firsts(every)
+    return every[first], np.add.reduceat(n[order], first) if len(first) else n
 
-def _shares(keys: np.ndarray, shares: int) -> list[np.ndarray]:
-    """Positions of the keys of each share, in order."""
-    share = (mix(keys) % np.uint64(shares)).astype(np.int64)
-    order = np.argsort(share, kind="stable")
-    return np.split(order, np.cumsum(np.bincount(share, minlength=shares))[:-1])
+
+def _cuts(ordered: np.ndarray, bits: int, shares: int) -> np.ndarray:
+    """Ends of the shares of sorted keys: a share is a range of keys."""
+    share = (ordered >> np.uint64(bits - 32)) * np.uint64(shares) >> np.uint64(32)
+    return np.searchsorted(share, np.arange(shares + 1, dtype=np.uint64))
+
+
+def _bytes(keys: np.ndarray, width: int) -> bytes:
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def _keys(packet: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(packet) // width, 8), dtype=np.uint8)
+    out[:, :width] = np.frombuffer(packet, np.uint8).reshape(-1, width)
+    return out.view("<u8").ravel()
+
+
+class _Index:
+    """Places of keys in a sorted array of evenly spread keys, all of which it holds."""
+
+    def __init__(self, ordered: np.ndarray, bits: int):
+        self.ordered, self.shift = ordered, np.uint64(bits - 18)
+        self.begin = np.searchsorted(ordered >> self.shift, np.arange(1 << 18, dtype=np.uint64))
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        at = self.begin[(keys >> self.shift).astype(np.int64)]
+        open_ = np.flatnonzero(self.ordered[at] != keys)
+        while len(open_):
+            at[open_] += 1
+            open_ = open_[self.ordered[at[open_]] != keys[open_]]
+        return at
 
 
 def log_probabilities(keys: np.ndarray, counts: np.ndarray, low: np.ndarray) -> np.ndarray:
@@ -145,27 +214,35 @@ def _survey(docs: DataFrame, shares: int) -> tuple[np.ndarray, int, int]:
     """(byte, symbol) counts, number of words and number of distinct words of the training part."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low, held, n = np.zeros((256, 256), dtype=np.int64), [], 0
-        size = 0
+        low, held, n, size = np.zeros(1 << 16, dtype=np.int64), [], 0, 0
         for batch in batches:
-            for part in pieces(batch):
-                keys, _ = grams(part.column("text"))
-                pair = (keys >> np.uint64(8 * ORDER) << np.uint64(8) | keys & np.uint64(0xFF)).astype(np.int64)
-                low += np.bincount(pair, minlength=1 << 16).reshape(256, 256)
+            for part in pieces(batch, size=_PIECE):
+                data, offsets = raw(part.column("text"))
+                rows = len(offsets) - 1
+                padded = np.full(len(data) + 2 * rows, _END, dtype=np.int64)
+                shift = np.arange(rows) * 2 + 1
+                padded[offsets[:-1] + shift - 1] = _BEFORE
+                padded[np.arange(len(data)) + np.repeat(shift, np.diff(offsets))] = data
+                after = padded[1:]
+                low += np.bincount((padded[:-1] * 256 + after)[after != _BEFORE], minlength=1 << 16)
                 known, _ = word_keys(part.column("text"))
                 n += len(known)
-                held.append(np.unique(known))
+                known = np.sort(known)
+                held.append(known[_firsts(known)])
                 size += len(held[-1])
                 if size > 2_000_000:
-                    yield from send(np.unique(np.concatenate(held)))
+                    yield from send(held)
                     held, size = [], 0
         if held:
-            yield from send(np.unique(np.concatenate(held)))
+            yield from send(held)
         at = np.flatnonzero(low)
-        yield pa.RecordBatch.from_arrays([pa.array([-1, -2], pa.int32()), pa.array([at.astype("<i8").tobytes() + low.ravel()[at].astype("<i8").tobytes(), np.array([n], "<i8").tobytes()], pa.binary())], ["share", "keys"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1, -2], pa.int32()), pa.array([at.astype("<i8").tobytes() + low[at].astype("<i8").tobytes(), np.array([n], "<i8").tobytes()], pa.binary())], ["share", "keys"])
 
-    def send(known: np.ndarray) -> Iterator[pa.RecordBatch]:
-        packets = [known[own].tobytes() for own in _shares(known, shares)]
+    def send(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        known = np.sort(np.concatenate(held))
+        known = known[_firsts(known)]
+        cuts = _cuts(known, _WORD_BITS, shares)
+        packets = [known[a:b].astype("<u8").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(range(shares), pa.int32()), pa.array(packets, pa.binary())], ["share", "keys"])
 
     def gather(table: pa.Table) -> pa.Table:
@@ -208,29 +285,33 @@ def scored(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: st
     blocked = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
 
     def count(table: pa.Table) -> pa.Table:
-        block = table.column("block")[0]
-        learned = np.asarray(table.column("learns").combine_chunks().to_numpy(zero_copy_only=False))
+        block = table.column("block")[0].as_py()
         shown: dict[str, list] = {"share": [], "keys": [], "counts": []}
-        for first, (keys, before) in ((0, grams(table.column("text"))), (shares, word_keys(table.column("text")))):
-            keys, counts = _trained(keys, before, learned)
-            for k, own in enumerate(_shares(keys, shares)):
-                shown["share"].append(first + k)
-                shown["keys"].append(keys[own].astype("<u8").tobytes())
-                shown["counts"].append(counts[own].astype("<u4").tobytes())
-        n = len(shown["share"])
-        return pa.table([pa.array(shown["share"], pa.int32()), pa.array([block.as_py()] * n, pa.int32()), pa.array(shown["keys"], pa.binary()), pa.array(shown["counts"], pa.binary())], ["share", "block", "keys", "counts"])
+        for kind, (keys_of, bits, width) in enumerate(_KINDS):
+            sets, counts = [], []
+            for batch in table.to_batches():
+                for part in pieces(batch, size=_PIECE):
+                    learned = part.column("learns").to_numpy(zero_copy_only=False)
+                    keys, n = _marked(*keys_of(part.column("text")), learned)
+                    sets.append(keys)
+                    counts.append(n)
+            keys, n = _merged(sets, counts)
+            cuts = _cuts(keys, bits, shares)
+            for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                shown["share"].append(kind * shares + k)
+                shown["keys"].append(_bytes(keys[a:b], width))
+                shown["counts"].append(n[a:b].astype("<u4").tobytes())
+        blocks_ = pa.array([block] * len(shown["share"]), pa.int32())
+        return pa.table([pa.array(shown["share"], pa.int32()), blocks_, pa.array(shown["keys"], pa.binary()), pa.array(shown["counts"], pa.binary())], ["share", "block", "keys", "counts"])
 
     packets = blocked.groupBy("block").applyInArrow(count, "share int, block int, keys binary, counts binary")
 
-    def summed(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    def summed(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Distinct keys of all packets of a share and their summed counts."""
         known, total = np.empty(0, np.uint64), np.empty(0, np.int64)
         sets, counts = table.column("keys").to_pylist(), table.column("counts").to_pylist()
         for at in range(0, len(sets), 64):
-            keys = np.concatenate([known, *(np.frombuffer(p, "<u8") for p in sets[at : at + 64])])
-            n = np.concatenate([total, *(np.frombuffer(p, "<u4") for p in counts[at : at + 64])]).astype(np.int64)
-            known, where = np.unique(keys, return_inverse=True)
-            total = np.bincount(where, weights=n, minlength=len(known)).astype(np.int64)
+            known, total = _merged([known, *(_keys(p, width) for p in sets[at : at + 64])], [total, *(np.frombuffer(p, "<u4") for p in counts[at : at + 64])])
         return known, total
 
     def merge(table: pa.Table) -> pa.Table:
@@ -238,8 +319,12 @@ def scored(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: st
         share = table.column("share")[0].as_py()
         out: dict[str, list] = {"deal": [], "share": [], "keys": [], "counts": []}
         if share < shares:
-            known, total = summed(table)
-            for k, own in enumerate(_shares(known >> np.uint64(8 * (ORDER - 1)), shares)):
+            known, total = summed(table, ORDER + 1)
+            known = gathered(known)
+            deal = (mix(known >> np.uint64(8 * (ORDER - 1))) % np.uint64(shares)).astype(np.int64)
+            order = np.argsort(deal, kind="stable")
+            ends = np.cumsum(np.bincount(deal, minlength=shares))[:-1]
+            for k, own in enumerate(np.split(order, ends)):
                 out["deal"].append(k)
                 out["share"].append(share)
                 out["keys"].append(known[own].astype("<u8").tobytes())
@@ -265,13 +350,15 @@ def scored(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: st
         if not asked:
             return pa.table([pa.array([], pa.int32()), pa.array([], pa.int32()), pa.array([], pa.binary())], ["block", "share", "values"])
         if table.column("share")[0].as_py() < shares:
-            keys = np.concatenate([np.frombuffer(p, "<u8") for p in known.column("keys").to_pylist()])
+            width = ORDER + 1
+            keys = scattered(np.concatenate([np.frombuffer(p, "<u8") for p in known.column("keys").to_pylist()]))
             values = np.concatenate([np.frombuffer(p, "<f4") for p in known.column("values").to_pylist()])
             order = np.argsort(keys)
             keys, values = keys[order], values[order]
         else:
-            keys, values = summed(table)
-        told = [values[np.searchsorted(keys, np.frombuffer(p, "<u8"))].tobytes() for p in asked]
+            width = 8
+            keys, values = summed(table, width)
+        told = [values[np.searchsorted(keys, _keys(p, width))].tobytes() for p in asked]
         return pa.table([table.column("block"), table.column("share"), pa.array(told, pa.binary())], ["block", "share", "values"])
 
     answers = packets.groupBy("share").cogroup(model.groupBy("share")).applyInArrow(answer, "block int, share int, values binary")
@@ -279,24 +366,26 @@ def scored(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: st
     def total(table: pa.Table, told: pa.Table) -> pa.Table:
         """Sums of a block's documents."""
         by_share = dict(zip(told.column("share").to_pylist(), told.column("values").to_pylist(), strict=True))
-        sums = []
-        for first, kind, (keys, before) in ((0, "<f4", grams(table.column("text"))), (shares, "<i8", word_keys(table.column("text")))):
-            order = np.argsort(keys)
-            ranked = keys[order]
-            new = np.concatenate(([True], ranked[1:] != ranked[:-1]))[: len(ranked)]
-            own = ranked[new]
-            values = np.empty(len(own))
-            for k, at in enumerate(_shares(own, shares)):
-                values[at] = np.frombuffer(by_share[first + k], kind)
-            each = np.empty(len(keys))
-            each[order] = values[np.cumsum(new) - 1]
-            if first:
-                sums.append(np.add.reduceat(np.log10(each + 0.5), before[:-1]))
-                sums.append(np.add.reduceat((each > 0).astype(np.int64), before[:-1]))
-                sums.append(np.diff(before))
-            else:
-                sums.append(np.add.reduceat(each, before[:-1]))
-        return pa.table([table.column("doc_id"), *map(pa.array, sums)], ["doc_id", "score", "base", "n_known", "n_tokens"])
+        parts = [part for batch in table.to_batches() for part in pieces(batch, size=_PIECE)]
+        sums: list[list[np.ndarray]] = [[], [], [], []]
+        for kind, (keys_of, bits, _) in enumerate(_KINDS):
+            found = [keys_of(part.column("text")) for part in parts]
+            own = np.empty(0, np.uint64)
+            for at in range(0, len(found), 8):
+                own = np.sort(np.concatenate([own, *(np.sort(keys) for keys, _ in found[at : at + 8])]))
+                own = own[_firsts(own)]
+            # packets were cut from the same sorted keys, so their answers line up with them
+            values = np.concatenate([np.frombuffer(by_share[kind * shares + k], "<i8" if kind else "<f4") for k in range(shares)]).astype(np.float64)
+            index = _Index(own, bits)
+            for keys, before in found:
+                each = values[index.places(keys)]
+                if kind:
+                    sums[1].append(np.add.reduceat(np.log10(each + 0.5), before[:-1]))
+                    sums[2].append(np.add.reduceat((each > 0).astype(np.int64), before[:-1]))
+                    sums[3].append(np.diff(before))
+                else:
+                    sums[0].append(np.add.reduceat(each, before[:-1]))
+        return pa.table([table.column("doc_id"), *(pa.array(np.concatenate(x)) for x in sums)], ["doc_id", "score", "base", "n_known", "n_tokens"])
 
     found = blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(total, "doc_id long, score double, base double, n_known long, n_tokens long")
     unit = float(np.log10(words + 0.5 * (distinct_words + 1)))
