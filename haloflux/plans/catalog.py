@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import timeparts as tp
 from ..functions import vertical as vt
 from ..operators import analysis, budgets, exchange, grid, histogram, series, volumes
-from ..schema import BinSpec, ControlVolume
+from ..schema import BinSpec
 from ..sources import adapters as src
 from ..sources import tables
 from . import tef
@@ -31,10 +31,6 @@ LEVELS = src.grid_levels()
 STEP = 3600.0
 # salinity about which the one-pass variance of the surface budgets is taken
 SHIFT = 20.0
-BOX, BOXES = src.GRID_BOX, src.GRID_BOXES
-DOMAIN = ControlVolume(0, 0, src.NI - 1, 0, src.NJ - 1)
-HALF_OPEN = ControlVolume(1, 2, 5, 2, 4, "halfopen")
-BEYOND = ControlVolume(2, 2, 4, 2, 3, "beyond")
 # few samples fall in these bins, so some steps have none
 NARROW = BinSpec("salt", 36.5, 37.0, 4)
 # bins whose edges are not binary fractions
@@ -133,14 +129,16 @@ def tef_depth(spark, d):
 
 @query
 def tef_boxes(spark, d):
-    samples = volumes.face_samples(src.grid_columns(spark, d), BOXES, LEVELS)
+    g = src.shape(spark, d)
+    samples = volumes.face_samples(src.grid_columns(spark, d), g.boxes, LEVELS)
     samples = volumes.tracer_transports(samples).select(*KEYS, "face", "salt", "q", "qs")
     return exchange.exchange_flow_from_samples(samples, {"salt": SALT}, KEYS)
 
 
 @query
 def tef_model_output(spark, d):
-    out = tef.total_exchange_flow(src.grid_columns(spark, d), [BOX, HALF_OPEN], LEVELS, {"salt": SALT})
+    g = src.shape(spark, d)
+    out = tef.total_exchange_flow(src.grid_columns(spark, d), [g.box, g.half_open], LEVELS, {"salt": SALT})
     return rounded(
         out.select(*KEYS, "Qin", "Qout", "sin", "sout", "ssaltadv", "Qsvarin", "Qsvarout", "svaradv"),
         {"Qsvarin": 3, "Qsvarout": 3, "svaradv": 3},
@@ -150,7 +148,8 @@ def tef_model_output(spark, d):
 @query
 def tef_halfopen_mean(spark, d):
     """Inclusive faces, mean salinity over the cells less the last row and column."""
-    out = tef.total_exchange_flow(src.grid_columns(spark, d), [BOX], LEVELS, {"salt": SALT}, mean_boxes=[BOX.without_last()])
+    g = src.shape(spark, d)
+    out = tef.total_exchange_flow(src.grid_columns(spark, d), [g.box], LEVELS, {"salt": SALT}, mean_boxes=[g.box.without_last()])
     return rounded(out.select(*KEYS, "Qsvarin", "Qsvarout", "svaradv"), {"Qsvarin": 3, "Qsvarout": 3, "svaradv": 3})
 
 
@@ -238,18 +237,21 @@ def hist_minmax50(spark, d):
 
 
 def _cells(spark: SparkSession, d: str, fields: list[str], boxes=None) -> DataFrame:
-    return budgets.volume_cells(src.grid_columns(spark, d), boxes or [BOX], LEVELS, fields)
+    g = src.shape(spark, d)
+    return budgets.volume_cells(src.grid_columns(spark, d), boxes or [g.box], LEVELS, fields)
 
 
 @query
 def vol_by_salt(spark, d):
-    cells = _cells(spark, d, ["salt"], BOXES)
+    g = src.shape(spark, d)
+    cells = _cells(spark, d, ["salt"], g.boxes)
     return histogram.weighted_histogram(cells, KEYS, {"salt": SALT}, {"dV_saltcoord": F.col("dV")})
 
 
 @query
 def saltcontent_by_salt(spark, d):
-    cells = _cells(spark, d, ["salt"], BOXES)
+    g = src.shape(spark, d)
+    cells = _cells(spark, d, ["salt"], g.boxes)
     weights = {"dVs_saltcoord": F.col("dV") * F.col("salt")}
     return histogram.weighted_histogram(cells, KEYS, {"salt": SALT}, weights)
 
@@ -277,25 +279,29 @@ def entrainment(spark, d):
 
 @query
 def cv_volume_stats(spark, d):
-    return rounded(budgets.volume_stats(_cells(spark, d, ["salt"], [BOX, *[*BOXES[1:]]])), {"svarV": 0})
+    g = src.shape(spark, d)
+    return rounded(budgets.volume_stats(_cells(spark, d, ["salt"], [g.box, *g.boxes[1:]])), {"svarV": 0})
 
 
 @query
 def tendencies(spark, d):
-    out = budgets.tendencies(budgets.volume_stats(_cells(spark, d, ["salt"], BOXES)))
+    g = src.shape(spark, d)
+    out = budgets.tendencies(budgets.volume_stats(_cells(spark, d, ["salt"], g.boxes)))
     return rounded(out, {"dsvardt": 4})
 
 
 @query
 def closure(spark, d):
-    terms = tef.budget(src.grid_columns(spark, d), BOXES, LEVELS, SALT, STEP)
+    g = src.shape(spark, d)
+    terms = tef.budget(src.grid_columns(spark, d), g.boxes, LEVELS, SALT, STEP)
     out = budgets.budget_closure(terms, seconds=STEP)
     return closed(out, ["volume", "salt", "ssalt", "svar"], 0, 4)
 
 
 @query
 def chi_series(spark, d):
-    return rounded(budgets.mixing_series(_cells(spark, d, ["chi"], BOXES)), {"chi": 6})
+    g = src.shape(spark, d)
+    return rounded(budgets.mixing_series(_cells(spark, d, ["chi"], g.boxes)), {"chi": 6})
 
 
 @query
@@ -321,7 +327,8 @@ def chi_sz(spark, d):
 
 @query
 def chi_per_volume(spark, d):
-    cells = _cells(spark, d, ["salt", "temp", "chi"], BOXES)
+    g = src.shape(spark, d)
+    cells = _cells(spark, d, ["salt", "temp", "chi"], g.boxes)
     bins = {"salt": SALT, "temp": TEMP}
     dv = F.col("dV")
     per_cell = F.try_divide(F.col("chi") * dv, dv)
@@ -332,24 +339,27 @@ def chi_per_volume(spark, d):
 
 @query
 def surface_flux(spark, d):
+    g = src.shape(spark, d)
     cols = src.grid_columns(spark, d)
     static = src.grid_static(cols)
     forcing = cols.select(F.col("ocean_time").alias("time"), "j", "i", "swflux")
-    fresh = budgets.freshwater_flux(forcing, static, [BOX]).withColumnRenamed("time", "ocean_time")
-    salt = budgets.surface_salt_flux(cols, [BOX], LEVELS)
+    fresh = budgets.freshwater_flux(forcing, static, [g.box]).withColumnRenamed("time", "ocean_time")
+    salt = budgets.surface_salt_flux(cols, [g.box], LEVELS)
     return rounded(analysis.aligned([fresh, salt], KEYS), {"swflux": 9, "svolflux": 6})
 
 
 @query
 def surface_forcing(spark, d):
+    g = src.shape(spark, d)
     cols = src.grid_columns(spark, d)
     forcing = cols.select(F.col("ocean_time").alias("time"), "j", "i", "swflux")
-    out = tef.surface_forcing(forcing, src.grid_static(cols), BOXES, 86400, skip=1)
+    out = tef.surface_forcing(forcing, src.grid_static(cols), g.boxes, 86400, skip=1)
     return rounded(out, {"swflux": 8})
 
 
 def _surface_terms(spark, d):
-    terms = tef.budget(src.grid_columns(spark, d), [BOX], LEVELS, SALT, STEP, surface=True, shift=SHIFT)
+    g = src.shape(spark, d)
+    terms = tef.budget(src.grid_columns(spark, d), [g.box], LEVELS, SALT, STEP, surface=True, shift=SHIFT)
     return budgets.surface_budget(terms)
 
 
@@ -433,9 +443,10 @@ def rest_volume(spark, d):
 
 @query
 def salt_gradient(spark, d):
+    g = src.shape(spark, d)
     cols = src.grid_columns(spark, d).select("ocean_time", "j", "i", "pm", "pn", "salt")
     surface = analysis.at_level(cols, ["salt"], -1)
-    out = analysis.gradient_magnitude(surface, "salt", src.NI - 1, src.NJ - 1, ["ocean_time"])
+    out = analysis.gradient_magnitude(surface, "salt", g.ni - 1, g.nj - 1, ["ocean_time"])
     return out.select("ocean_time", "j", "i", "dsdx", "dsdy", "gradmag")
 
 
@@ -468,27 +479,31 @@ def vorticity_stats(spark, d):
 
 @query
 def face_transport(spark, d):
-    samples = volumes.face_samples(src.grid_columns(spark, d), [BOX, HALF_OPEN, BEYOND], LEVELS, ())
+    g = src.shape(spark, d)
+    samples = volumes.face_samples(src.grid_columns(spark, d), [g.box, g.half_open, g.beyond], LEVELS, ())
     return samples.select(*KEYS, "face", "k", "pos", "vel", "q")
 
 
 @query
 def face_tracers(spark, d):
-    samples = volumes.face_samples(src.grid_columns(spark, d), [BOX, HALF_OPEN, BEYOND], LEVELS, ("salt", "temp"))
+    g = src.shape(spark, d)
+    samples = volumes.face_samples(src.grid_columns(spark, d), [g.box, g.half_open, g.beyond], LEVELS, ("salt", "temp"))
     return samples.select(*KEYS, "face", "k", "pos", "salt", "temp", "z")
 
 
 @query
 def face_area_volume(spark, d):
-    samples = volumes.face_samples(src.grid_columns(spark, d), [BOX], LEVELS, ())
+    g = src.shape(spark, d)
+    samples = volumes.face_samples(src.grid_columns(spark, d), [g.box], LEVELS, ())
     out = samples.select(*KEYS, "face", "k", "pos", "area", "dv", F.try_divide(F.col("q"), F.col("dv")).alias("q_norm"))
     return rounded(out, {"dv": 3, "q_norm": 9})
 
 
 @query
 def boxes_2x2(spark, d):
+    g = src.shape(spark, d)
     cols = src.grid_columns(spark, d)
-    samples = tef.face_transports(cols, BOXES, LEVELS, ("salt", "temp"), edge="extrapolate")
+    samples = tef.face_transports(cols, g.boxes, LEVELS, ("salt", "temp"), edge="extrapolate")
     sums = samples.groupBy(*KEYS, "face").agg(
         F.count("q").alias("n"),
         *[F.sum(c).alias(c) for c in ("q", "qs", "qss", "temp", "svar", "qsvar")],
@@ -640,17 +655,19 @@ def shared_dimensions(spark, d):
 
 @query
 def box_area(spark, d):
-    static = src.grid_static(volumes.in_volumes(src.grid_columns(spark, d), [BOX]))
+    g = src.shape(spark, d)
+    static = src.grid_static(volumes.in_volumes(src.grid_columns(spark, d), [g.box]))
     static = static.withColumns({"lat": 28.0 + F.col("j") / F.lit(64.0), "lon": -95.0 + F.col("i") / F.lit(64.0)})
     return rounded(analysis.extent(static, ["h", "lat", "lon"]), {"area_km2": 9, "side_km": 9})
 
 
 @query
 def sin_sout_chi(spark, d):
+    g = src.shape(spark, d)
     cols = src.grid_columns(spark, d)
-    samples = volumes.tracer_transports(volumes.face_samples(cols, [BOX], LEVELS)).select(*KEYS, "face", "salt", "q", "qs")
+    samples = volumes.tracer_transports(volumes.face_samples(cols, [g.box], LEVELS)).select(*KEYS, "face", "salt", "q", "qs")
     flow = exchange.exchange_flow_from_samples(samples, {"salt": SALT}, KEYS).select(*KEYS, "sin", "sout")
-    chi = budgets.mixing_series(budgets.volume_cells(cols, [BOX], LEVELS, ["chi"]))
+    chi = budgets.mixing_series(budgets.volume_cells(cols, [g.box], LEVELS, ["chi"]))
     return rounded(analysis.aligned([flow, chi], KEYS), {"chi": 6})
 
 

@@ -43,12 +43,14 @@ tefv AS (
 """
 )
 
+# the grid has m times as many rows and columns for m * m times the line items
 _GRID = """
+refined AS (SELECT CAST(greatest(1, floor(sqrt(count(*) // 37500))) AS BIGINT) AS m FROM lineitem),
 g0 AS (
   SELECT CAST(date_trunc('quarter', l_shipdate) AS TIMESTAMP) AS t, l_linenumber - 1 AS k,
-         l_suppkey % 6 AS j, l_partkey % 8 AS i, count(*) AS n, sum(l_quantity) AS sq,
+         l_suppkey % (6 * m) AS j, l_partkey % (8 * m) AS i, count(*) AS n, sum(l_quantity) AS sq,
          sum(l_suppkey) AS ss, sum(l_partkey) AS sp, sum(l_orderkey) AS so
-  FROM lineitem GROUP BY ALL
+  FROM lineitem, refined GROUP BY ALL
 ),
 cell AS (
   SELECT t, k, j, i, floor(sq * 0.75e0 / n * 64) / 64 AS salt, ((ss + sp) % 160) / 4.0e0 AS temp,
@@ -56,9 +58,9 @@ cell AS (
   FROM g0
 ),
 col AS (
-  SELECT t, j, i, 16.0e0 + 8 * j + 4 * i AS h, 1.0e0 / (512 * (1 + i % 2)) AS pm, 1.0e0 / (512 * (1 + j % 2)) AS pn,
+  SELECT t, j, i, 16.0e0 + 8 * (j // m) + 4 * (i // m) AS h, 1.0e0 / (512 * (1 + i % 2)) AS pm, 1.0e0 / (512 * (1 + j % 2)) AS pn,
          (sum(ss) % 9 - 4) / 16.0e0 AS zeta, (sum(so) % 9 - 4) / 1024.0e0 AS ssflux, (sum(sp) % 17 - 8) / 8.0e0 AS swflux
-  FROM g0 GROUP BY t, j, i
+  FROM g0, refined GROUP BY t, j, i, m
 ),
 lev AS (
   SELECT c.*, r.k, c.zeta + (c.zeta + c.h) * (r.k / 8.0e0 - 0.8125e0) AS z_rho,
@@ -102,7 +104,10 @@ _SPLIT = "(0, 2, 3, 2, 2, 3, 2), (1, 2, 3, 3, 4, 3, 4), (2, 4, 5, 2, 2, 5, 2), (
 
 
 def _cv(rows: str) -> str:
-    return f"cv AS (SELECT * FROM (VALUES {rows}) b(cv_id, i0, i1, j0, j1, ie, jn))"
+    return f"""cv AS (
+  SELECT cv_id, i0 * m AS i0, (i1 + 1) * m - 1 AS i1, j0 * m AS j0, (j1 + 1) * m - 1 AS j1,
+         (i1 + 1) * m - 1 + ie - i1 AS ie, (j1 + 1) * m - 1 + jn - j1 AS jn
+  FROM (VALUES {rows}) b(cv_id, i0, i1, j0, j1, ie, jn), refined)"""
 
 
 _FACES = """
@@ -522,8 +527,8 @@ rl AS (SELECT t, j, i, k, pm, pn, z_rho AS z, h * (k / 8.0e0 - 0.8125e0) AS z0,
 s AS (SELECT t, j, i, pm, pn, salt FROM lev WHERE k = 6),
 gr AS (
   SELECT a.t, a.j, a.i,
-    (CASE WHEN a.i = 0 THEN e.salt - a.salt WHEN a.i = 7 THEN a.salt - w.salt ELSE (a.salt - w.salt + (e.salt - a.salt)) / 2 END) * a.pm AS dsdx,
-    (CASE WHEN a.j = 0 THEN n.salt - a.salt WHEN a.j = 5 THEN a.salt - z.salt ELSE (a.salt - z.salt + (n.salt - a.salt)) / 2 END) * a.pn AS dsdy
+    (CASE WHEN a.i = 0 THEN e.salt - a.salt WHEN a.i = (SELECT 8 * m - 1 FROM refined) THEN a.salt - w.salt ELSE (a.salt - w.salt + (e.salt - a.salt)) / 2 END) * a.pm AS dsdx,
+    (CASE WHEN a.j = 0 THEN n.salt - a.salt WHEN a.j = (SELECT 6 * m - 1 FROM refined) THEN a.salt - z.salt ELSE (a.salt - z.salt + (n.salt - a.salt)) / 2 END) * a.pn AS dsdy
   FROM s a LEFT JOIN s e ON e.t = a.t AND e.j = a.j AND e.i = a.i + 1 LEFT JOIN s w ON w.t = a.t AND w.j = a.j AND w.i = a.i - 1
   LEFT JOIN s n ON n.t = a.t AND n.i = a.i AND n.j = a.j + 1 LEFT JOIN s z ON z.t = a.t AND z.i = a.i AND z.j = a.j - 1
 ),

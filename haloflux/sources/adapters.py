@@ -6,6 +6,10 @@ bit for bit with another engine.
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass, replace
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +17,10 @@ from ..functions.timeparts import from_epoch_seconds, epoch_seconds, truncate
 from ..operators.grid import pack_levels
 from ..schema import ControlVolume, SLevels
 
-# Grid shape of :func:`grid_columns`: levels, rows, columns.
+# Levels of :func:`grid_columns`, and its rows and columns for each unit of refinement.
 N_LEVELS, NJ, NI = 7, 6, 8
+# Line items for which a refinement of 1 is enough: about four a cell.
+REFINED_ROWS = 37_500
 
 _S_W = tuple(k / 8.0 - 0.875 for k in range(N_LEVELS + 1))
 _S_RHO = tuple(k / 8.0 - 0.8125 for k in range(N_LEVELS))
@@ -24,9 +30,50 @@ def grid_levels(vtransform: int = 2) -> SLevels:
     return SLevels(_S_RHO, _S_RHO, _S_W, _S_W, hc=16.0, vtransform=vtransform)
 
 
-# One box inside the domain, and the same cut into four.
-GRID_BOX = ControlVolume(0, 2, 5, 2, 4)
-GRID_BOXES = GRID_BOX.split(2, 2)
+_BOX = ControlVolume(0, 2, 5, 2, 4)
+
+
+@dataclass(frozen=True)
+class GridShape:
+    """Grid and boxes of :func:`grid_columns`: ``m`` times as many rows and columns for ``m`` squared times the data."""
+
+    m: int
+
+    @property
+    def nj(self) -> int:
+        return NJ * self.m
+
+    @property
+    def ni(self) -> int:
+        return NI * self.m
+
+    def scaled(self, v: ControlVolume) -> ControlVolume:
+        m = self.m
+        return replace(v, i0=v.i0 * m, i1=(v.i1 + 1) * m - 1, j0=v.j0 * m, j1=(v.j1 + 1) * m - 1)
+
+    @property
+    def box(self) -> ControlVolume:
+        """One box inside the domain."""
+        return self.scaled(_BOX)
+
+    @property
+    def boxes(self) -> list[ControlVolume]:
+        """The same cut into four."""
+        return [self.scaled(v) for v in _BOX.split(2, 2)]
+
+    @property
+    def half_open(self) -> ControlVolume:
+        return self.scaled(ControlVolume(1, 2, 5, 2, 4, "halfopen"))
+
+    @property
+    def beyond(self) -> ControlVolume:
+        return self.scaled(ControlVolume(2, 2, 4, 2, 3, "beyond"))
+
+
+@lru_cache(maxsize=64)
+def shape(spark: SparkSession, sf_dir: str) -> GridShape:
+    """Shape that follows the number of line items, read from the table's footers."""
+    return GridShape(max(1, math.isqrt(table(spark, sf_dir, "lineitem").count() // REFINED_ROWS)))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,11 +99,12 @@ def tef_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def grid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items grouped to cells of a staggered grid, with the sums the fields need."""
+    grid = shape(spark, sf_dir)
     li = table(spark, sf_dir, "lineitem").select(
         truncate("quarter", F.col("l_shipdate")).alias("ocean_time"),
         (F.col("l_linenumber") - 1).cast("int").alias("k"),
-        (F.col("l_suppkey") % NJ).cast("int").alias("j"),
-        (F.col("l_partkey") % NI).cast("int").alias("i"),
+        (F.col("l_suppkey") % grid.nj).cast("int").alias("j"),
+        (F.col("l_partkey") % grid.ni).cast("int").alias("i"),
         "l_quantity", "l_suppkey", "l_partkey", "l_orderkey",
     )
     cells = li.groupBy("ocean_time", "k", "j", "i").agg(
@@ -88,10 +136,10 @@ def grid_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     def total(c: str):
         return F.expr(" + ".join(f"coalesce(get({c}, {k}), 0L)" for k in range(N_LEVELS)))
 
-    j, i = F.col("j"), F.col("i")
+    j, i, m = F.col("j"), F.col("i"), shape(spark, sf_dir).m
     return packed.select(
         "ocean_time", "j", "i",
-        (F.lit(16.0) + 8 * j + 4 * i).alias("h"),
+        (F.lit(16.0) + 8 * F.floor(j / m) + 4 * F.floor(i / m)).alias("h"),
         (F.lit(1.0) / (512 * (1 + i % 2))).alias("pm"),
         (F.lit(1.0) / (512 * (1 + j % 2))).alias("pn"),
         ((total("ss") % 9 - 4) / F.lit(16.0)).alias("zeta"),
