@@ -9,7 +9,8 @@ first in alphabetical order.
 Profiles are learned from a sample of about ``LEARNED`` documents per language (chosen by a hash of
 the id, so a language that holds most rows weighs no more than another); everything else covers
 all rows and whole texts in one pass without a shuffle.  A null text or one without a letter is
-``und`` with score 0, as is every text if nothing could be learned.  Rows are handled one by one,
+``und`` with score 0, as is every text if nothing could be learned; letters beyond the 16-bit plane
+are in no profile.  Rows are handled one by one,
 rows with null lang teach nothing, and extra columns are ignored.
 """
 
@@ -95,8 +96,10 @@ class Profiles:
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and a score that is 1 for a perfect and unrivalled fit, 0 if all fit alike."""
         kept = letters(text) if text else np.empty(0, np.uint64)
-        if len(kept) <= 1 or not self.languages:
+        if not self.languages or (len(kept) <= 1 and not any(c.isalpha() for c in text or "")):
             return UNKNOWN, 0.0
+        if len(kept) <= 1:  # letters beyond 16 bits only, which no profile holds
+            return self.languages[0], 0.0
         own = ranked(*ngrams(kept), COMPARED)
         at = np.searchsorted(self.grams, own)
         at[(at == len(self.grams)) | (self.grams[np.minimum(at, len(self.grams) - 1)] != own)] = len(self.grams)

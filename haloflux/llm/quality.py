@@ -154,7 +154,7 @@ class Model:
 def co_train(views: tuple[np.ndarray, np.ndarray], labels: np.ndarray, rounds: int = ROUNDS) -> Model | None:
     """Fits both views; ``labels`` is 0, 1 or NaN for unlabelled rows.  None without both classes."""
     known = np.flatnonzero(~np.isnan(labels))
-    calibrating = known[::5]
+    calibrating = np.concatenate([known[labels[known] == c][::5] for c in (0.0, 1.0)])
     start = np.setdiff1d(known, calibrating)
     if min(len(np.unique(labels[start])), len(np.unique(labels[calibrating]))) < 2:
         return None
