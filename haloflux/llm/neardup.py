@@ -6,16 +6,19 @@ component.  Steps, all of them joins and aggregates on Spark:
 
 1. Each set gets a min-hash sample, banded into keys, and an *odd sketch*: a bitmap in which each
    sampled minimum flips one bit.  The XOR of two bitmaps has few bits set exactly if the
-   samples differ little, which estimates high similarities sharply at 64 bytes a document.
+   samples differ little, which estimates high similarities sharply at 128 bytes a document.  A second
+   such bitmap of the whole set bounds the difference of two sets from below.
 2. Equal sets collapse into a class, represented by its smallest id, before anything is compared.
-3. In each band bucket every member is held against the bucket's smallest id; that keeps a group
-   of n copies at n pairs.  Pairs whose sketches agree are confirmed on the full sets.
+3. Each document is held against one center, the document of its band buckets that meets most others.
+   Pairs whose sketches agree are confirmed on the full sets; that keeps a group of n close copies
+   at n pairs.
 4. Pairs of one bucket that are still in different components are compared as well: members
    outside the bucket's largest component against all others, sketches first.
 5. Components come from alternating large-star and small-star contractions.
 
-A pair at the threshold shares no bucket with a probability of about 1e-5 (0.80) or 1e-8 (0.85), and
-less above; apart from that no link between different texts is missed.  No bucket, group or
+A pair at the threshold shares no bucket, or has sketches too far apart, with a probability of about
+2e-5 (0.80) or 1e-5 (0.85), and much less above; apart from that no link between different texts is
+missed.  No bucket, group or
 partner list has a cap.
 
 Null and empty texts, and texts of white space, have no shingles and are linked with nothing; a text
@@ -37,25 +40,27 @@ from haloflux.llm.text import SHINGLE, mix, pieces, shingle_sets
 
 BANDS = 30
 ROWS = 5
-SAMPLES = BANDS * ROWS
-SKETCH_WORDS = 8
+#: Min-hash samples; the first BANDS * ROWS of them are banded, all are sketched.
+SAMPLES = 512
+SKETCH_WORDS = 16
 SKETCH_BITS = 64 * SKETCH_WORDS
 PERCENT = 85
-#: By how much the sketch estimate may lie below the threshold before a pair is dropped (over five deviations).
-SLACK = 0.23
+#: By how much the sketch estimate may lie below the threshold before a pair is dropped (over four deviations).
+SLACK = 0.10
 
 _rng = np.random.default_rng(20240607)
 _FACTORS = _rng.integers(0, 1 << 31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _SHIFTS = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
 _SKETCH_COLUMNS = [f"s{k}" for k in range(SKETCH_WORDS)]
+_WHOLE_COLUMNS = [f"t{k}" for k in range(SKETCH_WORDS)]
 
 
 def minima(values: np.ndarray) -> np.ndarray:
     """Min-hash sample of a set of 64-bit hashes."""
     low = (values ^ (values >> np.uint64(32))).astype(np.uint32)
     found = np.full(SAMPLES, 0xFFFFFFFF, dtype=np.uint32)
-    for at in range(0, len(low), 4096):
-        part = low[at : at + 4096, None] * _FACTORS
+    for at in range(0, len(low), 1024):
+        part = low[at : at + 1024, None] * _FACTORS
         part += _SHIFTS
         np.minimum(found, part.min(axis=0), out=found)
     return found
@@ -63,7 +68,7 @@ def minima(values: np.ndarray) -> np.ndarray:
 
 def band_keys(samples: np.ndarray) -> np.ndarray:
     """(sets, samples) to (sets, bands) keys; a key also tells its band."""
-    rows = samples.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    rows = samples[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).astype(np.uint64)
     keys = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), rows.shape[:2]).copy()
     for k in range(ROWS):
         keys = mix(keys * np.uint64(0xD6E8FEB86659FD93) + rows[:, :, k])
@@ -74,8 +79,17 @@ def odd_sketches(samples: np.ndarray) -> np.ndarray:
     """(sets, samples) to (sets, words) bitmaps: a bit is set if an odd number of samples hit it."""
     place = np.arange(SAMPLES, dtype=np.uint64) << np.uint64(32)
     bits = mix(samples.astype(np.uint64) + place) % np.uint64(SKETCH_BITS)
-    flat = bits.astype(np.int64) + np.arange(len(samples))[:, None] * SKETCH_BITS
-    odd = np.bincount(flat.ravel(), minlength=len(samples) * SKETCH_BITS).astype(np.uint8) & 1
+    return _folded(bits.ravel(), np.repeat(np.arange(len(samples)), SAMPLES), len(samples))
+
+
+def whole_sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """The same fold of all elements of each set: two of these never differ in more bits than the sets in elements."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    return _folded(mix(np.concatenate([*sets, np.empty(0, np.uint64)])) % np.uint64(SKETCH_BITS), owner, len(sets))
+
+
+def _folded(bits: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    odd = np.bincount(bits.astype(np.int64) + owner * SKETCH_BITS, minlength=n * SKETCH_BITS).astype(np.uint8) & 1
     return np.packbits(odd.reshape(-1, SKETCH_BITS), axis=1, bitorder="little").view(np.uint64)
 
 
@@ -95,15 +109,15 @@ def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                 n = np.array([len(s) for s in sets], dtype=np.int64)
                 sums = np.array([(np.sum(mix(s), dtype=np.uint64), np.sum(mix(~s), dtype=np.uint64)) for s in sets], dtype=np.uint64).reshape(-1, 2)
                 samples = np.array([minima(s) for s in sets], dtype=np.uint32).reshape(-1, SAMPLES)
-                sketch, keys = odd_sketches(samples), band_keys(samples)
+                sketch, whole, keys = odd_sketches(samples), whole_sketches(sets), band_keys(samples)
                 offsets = np.arange(len(sets) + 1, dtype=np.int32) * BANDS
                 columns = [part.column("doc_id"), pa.array(n)]
                 columns += [pa.array(np.ascontiguousarray(sums[:, k]).view(np.int64), pa.int64()) for k in range(2)]
-                columns += [pa.array(np.ascontiguousarray(sketch[:, k]).view(np.int64), pa.int64()) for k in range(SKETCH_WORDS)]
+                columns += [pa.array(np.ascontiguousarray(bits[:, k]).view(np.int64), pa.int64()) for bits in (sketch, whole) for k in range(SKETCH_WORDS)]
                 columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel().view(np.int64), pa.int64())))
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "k1", "k2", *_SKETCH_COLUMNS, "bands"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "k1", "k2", *_SKETCH_COLUMNS, *_WHOLE_COLUMNS, "bands"])
 
-    schema = "doc_id long, n_shingles long, k1 long, k2 long, " + ", ".join(f"{c} long" for c in _SKETCH_COLUMNS) + ", bands array<long>"
+    schema = "doc_id long, n_shingles long, k1 long, k2 long, " + ", ".join(f"{c} long" for c in _SKETCH_COLUMNS + _WHOLE_COLUMNS) + ", bands array<long>"
     return docs.mapInArrow(sign, schema)
 
 
@@ -122,13 +136,23 @@ def sets_of(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return docs.mapInArrow(collect, "doc_id long, shingles array<long>")
 
 
-def _flips(a: str, b: str) -> Column:
+def _flips(a: str, b: str, columns: list[str]) -> Column:
     total = F.lit(0)
-    for c in _SKETCH_COLUMNS:
+    for c in columns:
         total = total + F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")))
     return total
 
 
+def _may_reach(a: str, b: str, percent: int) -> Column:
+    """Whether the sketches of two aliased rows may belong to sets of the similarity.
+
+    The sketch of samples estimates it at any size; the sketch of the whole sets bounds their
+    difference, which is sharp for sets of up to some thousand elements.
+    """
+    sizes = F.col(f"{a}.n_shingles") + F.col(f"{b}.n_shingles")
+    return (_flips(a, b, _SKETCH_COLUMNS) <= most_flips(percent)) & ((100 + percent) * _flips(a, b, _WHOLE_COLUMNS) <= (100 - percent) * sizes)
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) whose full sets reach the similarity."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("_left"))
@@ -173,38 +197,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = known.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
 
     banded = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("center"), F.max("id").alias("other")).where("center < other")
-    members = written(banded.join(buckets.select("band", "center"), "band"))
-    ids = members.select(F.col("id").alias("doc_id")).distinct()
+    buckets = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
+    members = written(banded.join(buckets.select("band", "n"), "band"))
+    met = written(members.groupBy("id").agg(F.sum("n").alias("met")))
+    ids = met.select(F.col("id").alias("doc_id"))
     sets = written(sets_of(docs.join(ids, "doc_id", "left_semi"), size))
-    sketches = written(known.join(ids, "doc_id", "left_semi").select("doc_id", *_SKETCH_COLUMNS))
-    limit = most_flips(percent)
-
-    stars = members.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
+    sketches = written(known.join(ids, "doc_id", "left_semi").select("doc_id", "n_shingles", *_SKETCH_COLUMNS, *_WHOLE_COLUMNS, "bands"))
+
+    # of a bucket's members the one that meets most others is the likeliest to be linked with them
+    rank = F.struct(F.col("met"), -F.col("id"))
+    ranked = members.join(met, "id").select("band", "id", rank.alias("rank"))
+    centers = ranked.groupBy("band").agg(F.max("rank").alias("center"))
+    nearest = ranked.join(centers, "band").groupBy("id").agg(F.max("center").alias("center"))
+    nearest = nearest.select((-F.col("center.col2")).alias("a"), F.col("id").alias("b")).where("a <> b")
     near = (
-        stars.alias("p")
+        nearest.alias("p")
         .join(sketches.alias("x"), F.col("p.a") == F.col("x.doc_id"))
         .join(sketches.alias("y"), F.col("p.b") == F.col("y.doc_id"))
-        .where(_flips("x", "y") <= limit)
+        .where(_may_reach("x", "y", percent))
         .select("p.a", "p.b")
     )
-    first = written(confirmed(near, sets, percent))
-    joined = components(first)
+    links = written(confirmed(near, sets, percent))
+    joined = components(links)
 
     placed = members.join(joined, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
     shares = placed.groupBy("band", "component").agg(F.count("*").alias("n"))
     mixed = shares.groupBy("band").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
     mixed = mixed.select("band", F.col("most.component").alias("main"))
-    apart = placed.join(mixed, "band").join(sketches.withColumnRenamed("doc_id", "id"), "id")
-    apart = written(apart)
+    apart = written(placed.join(mixed, "band").join(sketches.withColumnRenamed("doc_id", "id"), "id"))
     x, y = apart.where("component <> main").alias("x"), apart.alias("y")
-    across = (
-        x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.component") != F.col("y.component")) & (_flips("x", "y") <= limit))
-        .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-        .distinct()
-    )
-    second = confirmed(across, sets, percent)
-    joined = components(first.union(second))
+    # a pair counts once: in the first band it shares, and in one order
+    once = (F.col("y.component") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))
+    first_shared = F.element_at(F.array_intersect("x.bands", "y.bands"), 1) == F.col("x.band")
+    across = x.join(
+        y,
+        (F.col("x.band") == F.col("y.band")) & (F.col("x.component") != F.col("y.component")) & once & _may_reach("x", "y", percent) & first_shared,
+    ).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    joined = components(links.union(confirmed(across.distinct(), sets, percent)))
 
     named = classes.join(joined, classes["rep"] == joined["id"], "left").select(*key, F.coalesce("component", "rep").alias("_component"))
     found = signed.select("doc_id", *key).join(named, key, "left")
