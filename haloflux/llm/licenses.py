@@ -3,9 +3,10 @@
 Each line of a file, and the file as a whole, is a passage.  Passages and templates are sparse vectors of
 word counts times the words' inverse document frequency over all files (words that no template has
 count as occurring nowhere else), and meet in a join on words.  A passage whose cosine to a template
-reaches ``HEADER`` states that licence for its file; a file that as a whole reaches ``LICENSE_FILE``, or that is
-named like one and states a licence, is a licence file and holds for its directory.  A file that states
-none inherits from its nearest ancestor directory with a licence file, found by joining ancestor paths.
+reaches ``STATES`` states that licence for its file.  A file is a licence file, which holds for its
+directory, if it does so as a whole, in lines with ``LICENSE_SHARE`` of its words, or in any line and is
+named like one.  A file that states none inherits from its nearest ancestor directory with a licence
+file, found by joining ancestor paths.
 
 Before vectors are built, files and lines are dropped that lack every word without which no cosine
 can reach the threshold: a template's remaining words alone have a smaller norm.  Nothing else is
@@ -24,8 +25,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HEADER = 0.75
-LICENSE_FILE = 0.5
+from haloflux.llm.scratch import written
+
+STATES = 0.75
+#: Share of a file's words in lines that state a licence from which it is a licence file.
+LICENSE_SHARE = 0.25
 _WORD = r"([a-z0-9]+(?:[.-][a-z0-9]+)*)"
 
 # Short notices of common licences (fixed values: public texts).
@@ -89,7 +93,7 @@ def document_frequency(files: DataFrame, vocabulary: list[str]) -> dict[str, int
 
 
 def stated(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """(path, licence, cosine, whole): licences stated by each file of (path, text), with the cosine of the whole file."""
+    """(path, licence, cosine, file): licences stated by each file of (path, text), and whether it is a licence file by its words."""
     import re
 
     spark = files.sparkSession
@@ -99,24 +103,27 @@ def stated(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> Da
     weights = F.broadcast(spark.createDataFrame(rows, "template int, licence string, word string, weight double"))  # the templates' words
     inverse = F.create_map(*(F.lit(v) for pair in known.items() for v in pair))
 
-    needed = needed_words(rows, min(HEADER, LICENSE_FILE))
+    needed = F.array(*map(F.lit, needed_words(rows, STATES)))
 
     def able(text: Column) -> Column:
-        low, hit = F.lower(text), F.lit(False)
-        for word in needed:
-            hit = hit | F.contains(low, F.lit(word))
-        return hit
+        return F.coalesce(F.arrays_overlap(words_of(text), needed), F.lit(False))
 
-    kept = files.where(able(F.col("text"))).select("path", "text")
+    kept = written(files.where(able(F.col("text"))).select("path", "text"))  # few files, read several times below
     lines = kept.select("path", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(able(F.col("line")))
     passages = lines.unionByName(kept.select("path", F.lit(-1).alias("at"), F.col("text").alias("line")))
     counted = passages.select("path", "at", F.explode(words_of(F.col("line"))).alias("word")).groupBy("path", "at", "word").agg(F.count("*").alias("n"))
     valued = counted.withColumn("value", F.col("n") * F.coalesce(F.try_element_at(inverse, F.col("word")), F.lit(other)))
-    norms = valued.groupBy("path", "at").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
+    norms = valued.groupBy("path", "at").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"), F.sum("n").alias("words"))
     dots = valued.join(weights, "word").groupBy("path", "at", "template", "licence").agg(F.sum(F.col("value") * F.col("weight")).alias("dot"))
-    cosines = dots.join(norms, ["path", "at"]).select("path", "at", "licence", (F.col("dot") / F.col("norm")).alias("cosine"))
-    best = cosines.groupBy("path", "licence").agg(F.max(F.when(F.col("at") >= 0, F.col("cosine"))).alias("line"), F.max(F.when(F.col("at") < 0, F.col("cosine"))).alias("whole"))
-    return best.where((F.coalesce("line", F.lit(0.0)) >= HEADER) | (F.coalesce("whole", F.lit(0.0)) >= LICENSE_FILE)).select("path", "licence", F.greatest("line", "whole").alias("cosine"), F.coalesce("whole", F.lit(0.0)).alias("whole"))
+    cosines = dots.join(norms, ["path", "at"]).select("path", "at", "licence", "words", (F.col("dot") / F.col("norm")).alias("cosine"))
+    cosines = cosines.where(F.col("cosine") >= STATES)
+    best = cosines.groupBy("path", "licence").agg(F.max("cosine").alias("cosine"))
+    stating = cosines.groupBy("path", "at").agg(F.first("words").alias("words"))
+    said = stating.groupBy("path").agg(F.coalesce(F.sum(F.when(F.col("at") >= 0, F.col("words"))), F.lit(0)).alias("said"), F.min("at").alias("first"))
+    whole = norms.where("at < 0").select("path", F.col("words").alias("whole"))
+    of_words = (F.col("first") < 0) | (F.col("said") >= LICENSE_SHARE * F.col("whole"))
+    marked = said.join(whole, "path").select("path", of_words.alias("file"))
+    return best.join(marked, "path").select("path", "licence", "cosine", "file")
 
 
 def parent(path: Column) -> Column:
@@ -127,10 +134,10 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templ
     """One row per path: licence, origin (stated, inherited or none), cosine, and the directory it comes from."""
     files = files.select(F.coalesce(F.col(path_col), F.lit("")).alias("path"), F.col(text_col).alias("text"))
     found = stated(files, templates)
-    first = F.min_by(F.struct("licence", "cosine", "whole"), F.struct(-F.col("cosine"), F.col("licence")))
+    first = F.min_by(F.struct("licence", "cosine", "file"), F.struct(-F.col("cosine"), F.col("licence")))
     own = found.groupBy("path").agg(first.alias("_own")).select("path", "_own.*")
     named = F.regexp_extract("path", r"([^/]*)$", 1).rlike(_FILE_NAME)
-    holders = own.where((F.col("whole") >= LICENSE_FILE) | named).withColumn("unnamed", ~named)
+    holders = own.where(F.col("file") | named).withColumn("unnamed", ~named)
     held = holders.groupBy(parent(F.col("path")).alias("ancestor")).agg(F.min_by("licence", F.struct("unnamed", -F.col("cosine"), F.col("licence"))).alias("held"))
 
     paths = files.select("path").distinct().withColumn("directory", parent(F.col("path")))
@@ -140,7 +147,7 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templ
     climbed = directories.select("directory", F.posexplode(F.array_distinct(ups)).alias("depth", "ancestor")).join(held, "ancestor")
     nearest = climbed.groupBy("directory").agg(F.max_by(F.struct("ancestor", "held"), "depth").alias("_near")).select("directory", "_near.*")
 
-    joined = paths.join(own, "path", "left").join(nearest, "directory", "left")
+    joined = paths.join(own.drop("file"), "path", "left").join(nearest, "directory", "left")
     origin = F.when(F.col("licence").isNotNull(), "stated").when(F.col("held").isNotNull(), "inherited").otherwise("none")
     inherited = (F.col("licence").isNull()) & F.col("held").isNotNull()
     return joined.select("path", F.coalesce("licence", "held").alias("licence"), origin.alias("origin"), "cosine", F.when(inherited, F.col("ancestor")).alias("inherited_from"))

@@ -34,20 +34,28 @@ def brute(files):
         return dot / math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values())) if dot else 0.0
 
     templates = [(licence, vector(t)) for licence, t in licenses.TEMPLATES]
-    own = {}
+    own, whole_file = {}, set()
     for path, text in files:
-        best = {}
+        best, said = {}, 0
         for whole, passage in [(False, p) for p in (text or "").split("\n")] + [(True, text or "")]:
             v = vector(passage)
-            for licence, t in templates:
-                best.setdefault(licence, [0, 0])[whole] = max(best.setdefault(licence, [0, 0])[whole], cosine(v, t))
-        said = [(-max(line, whole), licence, whole) for licence, (line, whole) in best.items() if line >= licenses.HEADER or whole >= licenses.LICENSE_FILE]
-        if said:
-            own[path] = min(said)
+            found = {licence: max(cosine(v, t) for k, t in templates if k == licence) for licence, _ in templates}
+            found = {k: c for k, c in found.items() if c >= licenses.STATES}
+            for k, c in found.items():
+                best[k] = max(best.get(k, 0), c)
+            if found:
+                if whole:
+                    whole_file.add(path)
+                else:
+                    said += len(re.findall(licenses._WORD, passage.lower()))
+        if best:
+            own[path] = min((-c, k) for k, c in best.items())
+            if said >= licenses.LICENSE_SHARE * len(re.findall(licenses._WORD, text.lower())):
+                whole_file.add(path)
     held = {}
-    for path, (c, licence, whole) in own.items():
+    for path, (c, licence) in own.items():
         directory, _, name = path.rpartition("/")
-        if whole >= licenses.LICENSE_FILE or re.match(licenses._FILE_NAME, name):
+        if path in whole_file or re.match(licenses._FILE_NAME, name):
             held.setdefault(directory, []).append((not re.match(licenses._FILE_NAME, name), c, licence))
     out = {}
     for path, _ in files:
