@@ -83,3 +83,34 @@ def test_awkward_and_no_rows(spark):
     got = licenses.scan(docs).collect()
     assert len(got) == len({r.path for r in got}) and all(r.origin == "none" for r in got)
     assert licenses.scan(frame(spark, []).withColumn("path", F.lit("x"))).count() == 0
+
+
+GPL3_HEADER = """
+# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+"""
+MIT_GRANT = """
+ * Permission is hereby granted, free of charge, to any person obtaining a copy
+ * of this software and associated documentation files (the "Software"), to deal
+ * in the Software without restriction, including without limitation the rights
+"""
+
+
+def test_wrapped_and_embedded_notices_and_whole_texts(spark):
+    texts = dict(t for t in licenses.TEMPLATES if len(t[1]) > 500)
+    agpl = GPL3_HEADER.replace("GNU General", "GNU Affero General")
+    files = [
+        ("w/gpl.py", "GPL-3.0", prose(1, 150) + GPL3_HEADER + prose(2, 150)),
+        ("w/agpl.py", "AGPL-3.0", prose(3, 150) + agpl + prose(4, 150)),
+        ("w/mit.c", "MIT", prose(5, 150) + MIT_GRANT + prose(6, 150)),
+        ("w/inside.md", "GPL-3.0", prose(7, 60) + " This work is licensed under the GNU General Public License, version 3. " + prose(8, 60)),
+        *((f"{name}/x/LICENSE", name, "Copyright 2020 fox\n\n" + text) for name, text in sorted(texts.items())),
+        *((f"{name}/y.txt", name, prose(9, 400) + "\n" + texts[name] + "\n" + prose(2, 400)) for name in ("GPL-2.0", "BSD-2-Clause", "ISC")),
+        ("none.txt", None, prose(4, 300)),
+    ]
+    files += [(f"many/{k}.txt", None, prose(k, 120)) for k in range(60)]
+    got = {r.path: r for r in licenses.scan(spark.createDataFrame([(p, t) for p, _, t in files], "path string, text string")).collect()}
+    assert {p: got[p].licence for p, _, _ in files} == {p: licence for p, licence, _ in files}
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "MIT", "BSD-2-Clause", "ISC", "CC0-1.0", "Unlicense"} <= set(texts)
