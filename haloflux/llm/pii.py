@@ -53,8 +53,8 @@ _AT_DOT = re.compile(r"(?<![\w.%+-])[\w.%+-]{1,64} ?(?:\(at\)|\[at\]|@) ?[A-Za-z
 _DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){2,}")
 _IPV6 = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
 _PHONE_LIKE = re.compile(r"(?<![0-9A-Za-z+])\(?[0-9][0-9 ().-]{5,22}[0-9](?![0-9A-Za-z])")
-_ASSIGNED = re.compile(r"(?i)(?<![a-z])(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\b ?[=:] ?[\"']?([^\s\"']{6,200})")
-_LONG = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{16,200}(?![A-Za-z0-9_])")
+_ASSIGNED = re.compile(r"(?i)(?<![a-z])(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\b ?[=:] ?[\"']?([^\s\"']{6,}+)")
+_LONG = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{16,}+(?![A-Za-z0-9_])")
 _KNOWN_SECRET = re.compile(r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abp]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_]{35})\Z")
 _CUES = {
     "email": {"mail", "e-mail", "email", "contact", "write", "reach"},

@@ -218,3 +218,9 @@ def test_boosted_trees_learn_an_interaction():
     model = Boosted.fit(x[:3000], y[:3000])
     assert ((model.probability(x[3000:]) > 0.5) == y[3000:]).mean() > 0.93
     assert Boosted.fit(x, np.ones(4000)).probability(x).min() > 0.9
+
+
+def test_secrets_are_proposed_whole_whatever_their_length():
+    value = "".join(hashlib.sha256(str(k).encode()).hexdigest() for k in range(8))[:400]
+    for text, start in ((f"token: {value} set", 7), (f"see {value} there", 4)):
+        assert (4, start, start + 400) in {c[:3] for c in pii.candidates(text)}
