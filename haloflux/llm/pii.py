@@ -6,11 +6,13 @@ propose further, overlapping spans: written-out addresses, IPv6, digit groups of
 secrets, long mixed tokens.  Gradient-boosted trees rate a candidate by its format and its
 context.  They learn from weak labels: base spans and publicly known secret formats are positive;
 candidates that break their kind's rule are negative; all else is left to the model.  A threshold
-per kind, the lowest that reaches ``PRECISION`` on labelled candidates the trees haven't seen, decides
-which candidates become spans; they never replace or overlap base spans.
+per kind, the lowest that reaches ``PRECISION`` on the labelled candidates of all documents the trees haven't
+learned from, decides which candidates become spans; they never replace or overlap base spans.  A kind with
+too little evidence in the whole corpus has the threshold ``FIXED``; one with enough of it but no threshold that reaches
+``PRECISION`` gets no spans besides base spans.
 
-Only the fit uses a sample, of about ``SAMPLE_DOCS`` documents (by a hash of the id) and at most
-``SAMPLE_CANDIDATES`` candidates; detection reads every text whole, in one pass without a shuffle, in time linear in
+Only the trees use a sample, three quarters of about ``SAMPLE_DOCS`` documents (by a hash of the id) and at most
+``SAMPLE_CANDIDATES`` candidates; thresholds come from counts over all other documents.  Detection reads every text whole, in one pass without a shuffle, in time linear in
 its length.  Null and empty texts have no spans.  Rows are handled one by one (repeated rows and
 null ids too), extra columns pass through ``redacted`` and are ignored otherwise.
 """
@@ -38,8 +40,11 @@ BASE_KINDS = KINDS[:4]
 SAMPLE_DOCS = 20_000
 SAMPLE_CANDIDATES = 60_000
 PRECISION = 0.99
-#: Labelled unseen candidates needed before a kind's threshold is trusted.
+#: Labelled unseen candidates, half of them positive, needed before a kind's threshold is chosen from them; ``FIXED`` holds before.
 LEAST_SEEN = 20
+FIXED = 0.9
+#: Equal bins of scores in which labelled candidates are counted.
+BINS = 1000
 
 # Base patterns (fixed by the contract); possessive repeats and the look-behind only save retries.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -199,51 +204,61 @@ class Model:
         return p, p >= self.thresholds[kinds]
 
 
-def train(rows: np.ndarray, kinds: np.ndarray, labels: np.ndarray) -> Model | None:
-    """Trees on three quarters of the labelled candidates, thresholds on the last quarter."""
-    if len(np.unique(labels)) < 2:
-        return None
-    unseen = np.arange(len(labels)) % 4 == 3
-    trees = Boosted.fit(rows[~unseen], labels[~unseen])
-    p = trees.probability(rows[unseen])
-    thresholds = np.full(len(KINDS), np.inf)
+def chosen(seen: np.ndarray) -> np.ndarray:
+    """Threshold of each kind from counts [kind, label, bin] of labelled candidates by score, in ``BINS`` equal bins."""
+    thresholds = np.full(len(KINDS), FIXED)
     for kind in range(len(KINDS)):
-        own = kinds[unseen] == kind
-        if own.sum() < LEAST_SEEN:
+        if min(seen[kind].sum(), 2 * seen[kind, 1].sum()) < LEAST_SEEN:
             continue
-        order = np.argsort(-p[own], kind="stable")
-        rate, truth = p[own][order], labels[unseen][own][order]
-        right = np.cumsum(truth) / np.arange(1, len(truth) + 1)
-        whole = np.append(rate[1:] < rate[:-1], True)  # a threshold takes all of a tie
-        good = np.flatnonzero(whole & (right >= PRECISION) & (rate >= 0.5))
-        if len(good):
-            thresholds[kind] = rate[good[-1]]
-    return Model(trees, thresholds)
+        above = np.cumsum(seen[kind, :, ::-1], axis=1)[:, ::-1]  # candidates in a bin or a higher one
+        right = above[1] / np.maximum(above.sum(axis=0), 1)
+        good = np.flatnonzero((right >= PRECISION) & (above.sum(axis=0) > 0) & (np.arange(BINS) >= BINS // 2))
+        thresholds[kind] = good[0] / BINS if len(good) else np.inf
+    return thresholds
+
+
+def labelled(texts: list[str | None]) -> Iterator[tuple[int, int, int, int, list[float]]]:
+    """(index of the text, kind, label, start, features) of the candidates that have a weak label."""
+    for i, text in enumerate(texts):
+        for kind, start, end, label in candidates(text or ""):
+            if label is not None:
+                yield i, kind, label, start, features(text, kind, start, end)
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
+    """Trees from three quarters of the sampled documents, thresholds from all other documents."""
     arrow_settings(docs.sparkSession)
     share = min(1.0, SAMPLE_DOCS / max(docs.count(), 1))
-    drawn = docs.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(share * 1_000_000)).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    learns = (F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(share * 1_000_000)) & (F.pmod(F.xxhash64(id_col, F.lit("unseen")), F.lit(4)) != 3)
+    marked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), learns.alias("learns"))
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, kinds, labels, starts, rows = [], [], [], [], []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                for kind, start, end, label in candidates(text or ""):
-                    if label is not None:
-                        ids.append(doc_id)
-                        kinds.append(kind)
-                        labels.append(label)
-                        starts.append(start)
-                        rows.append(features(text, kind, start, end))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds, pa.int32()), pa.array(labels, pa.int32()), pa.array(starts, pa.int64()), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "kind", "label", "start", "row"])
-
-    proposed = drawn.mapInArrow(propose, "doc_id long, kind int, label int, start long, row array<double>")
+            doc_ids, own = batch.column("doc_id").to_pylist(), list(labelled(batch.column("text").to_pylist()))
+            columns = [pa.array([doc_ids[c[0]] for c in own], pa.int64()), *(pa.array([c[k] for c in own], pa.int32()) for k in (1, 2)), pa.array([c[3] for c in own], pa.int64()), pa.array([c[4] for c in own], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "kind", "label", "start", "row"])
+
+    proposed = marked.where("learns").drop("learns").mapInArrow(propose, "doc_id long, kind int, label int, start long, row array<double>")
     sample = proposed.orderBy(F.xxhash64("doc_id", "kind", "start"), "doc_id", "kind", "start", "label").limit(SAMPLE_CANDIDATES).toPandas()
-    if sample.empty:
+    if sample["label"].nunique() < 2:
         return None
-    return train(np.stack(sample["row"]), sample["kind"].to_numpy(), sample["label"].to_numpy(dtype=float))
+    trees = Boosted.fit(np.stack(sample["row"]), sample["label"].to_numpy(dtype=float))
+
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((len(KINDS), 2, BINS), dtype=np.int64)
+        for batch in batches:
+            own = list(labelled(batch.column("text").to_pylist()))
+            if own:
+                p = trees.probability(np.array([c[4] for c in own]))
+                np.add.at(seen, ([c[1] for c in own], [c[2] for c in own], np.minimum((p * BINS).astype(int), BINS - 1)), 1)
+        at = np.nonzero(seen)
+        yield pa.RecordBatch.from_arrays([*(pa.array(a, pa.int32()) for a in at), pa.array(seen[at], pa.int64())], ["kind", "label", "bin", "n"])
+
+    counts = marked.where("NOT learns").select("text").mapInArrow(rate, "kind int, label int, bin int, n long").groupBy("kind", "label", "bin").agg(F.sum("n").alias("n"))
+    seen = np.zeros((len(KINDS), 2, BINS), dtype=np.int64)
+    for r in counts.collect():
+        seen[r["kind"], r["label"], r["bin"]] = r["n"]
+    return Model(trees, chosen(seen))
 
 
 def find(texts: list[str | None], model: Model | None) -> list[tuple[list, list]]:
