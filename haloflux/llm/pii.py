@@ -116,31 +116,30 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def candidates(text: str) -> list[tuple[int, int, int, int | None]]:
     """(kind, start, end, weak label) of further candidates; the label is 0, 1 or None."""
-    if not _SENSITIVE.search(text):
-        return []
     found: list[tuple[int, int, int, int | None]] = []
     if "@" in text or "(at)" in text or "[at]" in text:
         for m in _AT_DOT.finditer(text):
             plain = "@" in m[0] and " " not in m[0]
             found.append((0, m.start(), m.end(), (1 if _DOMAIN.fullmatch(m[0].partition("@")[2]) else 0) if plain else None))
-    for m in _DOTTED.finditer(text):
-        found.append((1, m.start(), m.end(), int(m[0].count(".") == 3 and _octets(m[0]))))
-    if ":" in text:
-        found += [(1, m.start(), m.end(), None) for m in _IPV6.finditer(text)]
-        found += [(1, m.start(), m.end(), 0) for m in re.finditer(r"(?<!\d)\d\d?:\d\d(?::\d\d)?(?!\d)", text)]
-    for m in _CARD.finditer(text):
-        n = len(digits := _digits(m[0]))
-        if 12 <= n <= 19:
-            found.append((2, m.start(), m.end(), None if n < 16 and luhn(digits) else int(luhn(digits))))
-    for m in _PHONE_LIKE.finditer(text):
-        n = len(_digits(m[0]))
-        if 7 <= n <= 15:
-            found.append((3, m.start(), m.end(), 0 if n == len(m[0]) or m[0].count(".") == 3 else None))
-    if "+" in text:
-        for m in _PHONE.finditer(text):
-            found.append((3, m.start(), m.end(), int(8 <= len(_digits(m[0])) <= 15)))
-    if "=" in text or ":" in text:
-        found += [(4, m.start(1), m.end(1), 1) for m in _ASSIGNED.finditer(text)]
+    if _SENSITIVE.search(text):
+        for m in _DOTTED.finditer(text):
+            found.append((1, m.start(), m.end(), int(m[0].count(".") == 3 and _octets(m[0]))))
+        if ":" in text:
+            found += [(1, m.start(), m.end(), None) for m in _IPV6.finditer(text)]
+            found += [(1, m.start(), m.end(), 0) for m in re.finditer(r"(?<!\d)\d\d?:\d\d(?::\d\d)?(?!\d)", text)]
+        for m in _CARD.finditer(text):
+            n = len(digits := _digits(m[0]))
+            if 12 <= n <= 19:
+                found.append((2, m.start(), m.end(), None if n < 16 and luhn(digits) else int(luhn(digits))))
+        for m in _PHONE_LIKE.finditer(text):
+            n = len(_digits(m[0]))
+            if 7 <= n <= 15:
+                found.append((3, m.start(), m.end(), 0 if n == len(m[0]) or m[0].count(".") == 3 else None))
+        if "+" in text:
+            for m in _PHONE.finditer(text):
+                found.append((3, m.start(), m.end(), int(8 <= len(_digits(m[0])) <= 15)))
+        if "=" in text or ":" in text:
+            found += [(4, m.start(1), m.end(1), 1) for m in _ASSIGNED.finditer(text)]
     for m in _LONG.finditer(text):
         mixed = any("0" <= c <= "9" for c in m[0]) and not m[0].isdigit()
         found.append((4, m.start(), m.end(), 1 if _KNOWN_SECRET.match(m[0]) else (None if mixed else 0)))
