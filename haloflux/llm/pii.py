@@ -56,7 +56,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # Generators of further candidates.
 _AT_DOT = re.compile(r"(?<![\w.%+-])[\w.%+-]{1,64} ?(?:\(at\)|\[at\]|@) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z0-9-]{1,63}){0,4}")
 _DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){2,}")
-_IPV6 = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
+_IPV6 = re.compile(r"(?<![0-9A-Za-z:])(?=[0-9A-Fa-f]*+:[0-9A-Fa-f]*+:)(?:[0-9A-Fa-f]++|:(?=[0-9A-Fa-f:])|(?<=:)(?<!::):)++(?:(?<=[0-9])(?:\.[0-9]++){3})?+(?![0-9A-Za-z])")
 _PHONE_LIKE = re.compile(r"(?<![0-9A-Za-z+])\(?[0-9][0-9 ().-]{5,22}[0-9](?![0-9A-Za-z])")
 _ASSIGNED = re.compile(r"(?i)(?<![a-z])(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\b ?[=:] ?[\"']?([^\s\"']{6,}+)")
 _LONG = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{16,}+(?![A-Za-z0-9_])")

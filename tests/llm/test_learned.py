@@ -250,3 +250,12 @@ def test_generators_do_not_depend_on_unrelated_digits():
         assert {c[:3] for c in pii.candidates(text)} <= {c[:3] for c in pii.candidates(text + " 7")}
     key = "ghp_" + "abcdefghijklmnopqrstuvwxyzabcdefghij"
     assert (4, 4, 44, 1) in pii.candidates(f"see {key} there")
+
+
+def test_compressed_ipv6_addresses_are_proposed():
+    for address in ("2001:db8::1", "2001:db8::8a2e:370:7334", "fe80::1ff:fe23:4567:890a", "::1", "2001:db8::", "::ffff:192.0.2.7", "2001:db8:0:0:1:0:0:1"):
+        for text in (address, f"host {address} down", f"from [{address}]:", f"it is {address}.", f"at {address}: up"):
+            at = text.index(address)
+            assert (1, at, at + len(address)) in {c[:3] for c in pii.candidates(text)}, text
+    assert not [c for c in pii.candidates("std::vector and a:b, note: this") if c[0] == 1]
+    pii.candidates(":" * 300_000 + "a:" * 300_000 + "a" * 300_000)
