@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from conftest import make_columns, step, uniform_levels
+from shapes import make_columns, step, uniform_levels
 from pyspark.sql import functions as F
 
 from haloflux.operators import budgets, exchange, histogram, volumes

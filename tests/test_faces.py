@@ -1,5 +1,5 @@
 import pytest
-from conftest import make_columns, uniform_levels
+from shapes import make_columns, uniform_levels
 from pyspark.sql import functions as F
 
 from haloflux.operators import budgets, exchange, volumes

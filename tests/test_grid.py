@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from conftest import make_columns, uniform_levels
+from shapes import make_columns, uniform_levels
 from pyspark.sql import functions as F
 
 from haloflux.functions import vertical as vt

@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from conftest import step
+from shapes import step
 from pyspark.sql import functions as F
 
 from haloflux.functions import ordered

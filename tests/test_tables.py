@@ -1,7 +1,7 @@
 from datetime import datetime
 
 import pytest
-from conftest import make_columns, uniform_levels
+from shapes import make_columns, uniform_levels
 from pyspark.sql import functions as F
 
 from haloflux.functions.timeparts import at_time
