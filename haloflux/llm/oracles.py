@@ -36,3 +36,48 @@ SELECT doc_id, coalesce(size.n, 0) AS n_shingles, least(doc_id, coalesce(m, doc_
        doc_id = least(doc_id, coalesce(m, doc_id)) AS kept
 FROM documents LEFT JOIN size USING (doc_id) LEFT JOIN least ON least.a = doc_id
 """
+
+#: Masks of failed filters by plain expressions, then all orders of the letters by joins.
+FILTER_AUDIT = r"""
+WITH t AS (
+       SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+     w AS (
+       SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY text) AS least FROM t),
+     f AS (
+       SELECT doc_id, part,
+         (len(w) < 100)::INT
+         + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT
+         + 4 * (100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 10 * length(text))::INT
+         + 8 * regexp_matches(text, '[#$%&*|]')::INT
+         + 16 * coalesce(doc_id > least, false)::INT AS mask
+       FROM w),
+     l AS (
+       SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+     m AS (
+       SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic
+       FROM f LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+     letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS bit),
+     orders AS (
+       SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+       FROM letters a JOIN letters b ON b.x <> a.x JOIN letters c ON c.x NOT IN (a.x, b.x)
+       JOIN letters d ON d.x NOT IN (a.x, b.x, c.x) JOIN letters e ON e.x NOT IN (a.x, b.x, c.x, d.x)),
+     steps AS (
+       SELECT filter_order, k AS step, own.bit, coalesce(sum(earlier.bit), 0)::INT AS done
+       FROM (SELECT filter_order, unnest(range(1, 6)) AS k FROM orders)
+       JOIN letters own ON own.x = filter_order[k]
+       LEFT JOIN letters earlier ON strpos(filter_order, earlier.x) < k
+       GROUP BY ALL),
+     r AS (
+       SELECT part, filter_order, step, bit,
+         coalesce(sum(n) FILTER (mask & (done | bit) = 0), 0) AS kept,
+         coalesce(sum(n) FILTER (mask & done = 0 AND mask & bit <> 0), 0) AS removed,
+         coalesce(sum(n) FILTER (mask & done <> 0 AND mask & bit <> 0), 0) AS redundant,
+         coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (mask & done = 0 AND mask & bit <> 0), 0) AS good_lost,
+         coalesce(sum(toxic) FILTER (mask & done = 0 AND mask & bit <> 0), 0) AS toxic_lost
+       FROM m, steps GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+  unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM r
+"""

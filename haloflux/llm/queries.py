@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haloflux.llm import decontam, fingerprint, langid, licenses, neardup, oracles, packing, pii, ppm, quality, toxicity
+from haloflux.llm import audit, decontam, fingerprint, langid, licenses, neardup, oracles, packing, pii, ppm, quality, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -100,6 +100,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= quality.KEEP).cast("int").alias("predicted"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(audit.failure_counts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_licenses": op2_licenses,
@@ -111,10 +115,12 @@ QUERIES: dict[str, Query] = {
     "op8_personal_data": op8_personal_data,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_quality": op10_quality,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {
     "op6_decontamination": oracles.DECONTAMINATION,
     "op9_near_duplicates": oracles.NEAR_DUPLICATES,
+    "op12_filter_audit": oracles.FILTER_AUDIT,
 }
