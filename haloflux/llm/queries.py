@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haloflux.llm import audit, decontam, fingerprint, langid, licenses, neardup, oracles, packing, pii, ppm, quality, toxicity
+from haloflux.llm import audit, decontam, fingerprint, langid, licenses, neardup, oracles, packing, pii, ppm, quality, repair, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -100,6 +100,26 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= quality.KEEP).cast("int").alias("predicted"))
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Rows damaged by the checksum of conv_id and turn: marked as gone, emptied, without endings, repeated, of role user."""
+    blank = F.lit(" ")
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), blank), F.lit(":"), F.coalesce(F.col("turn").cast("string"), blank))
+    kind = F.crc32(key) % 20
+    text = F.coalesce("text", blank)
+    return conversations.select(
+        "conv_id",
+        "turn",
+        F.when(kind == 4, "user").otherwise(F.coalesce("role", blank)).alias("role"),
+        F.when(kind == 1, "").when(kind == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        (kind == 0).alias("gone"),
+        F.explode(F.when(kind == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy"),
+    )
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired(damaged(table(spark, sf_dir, "conversations")))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.interactions(audit.failure_counts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
@@ -115,6 +135,7 @@ QUERIES: dict[str, Query] = {
     "op8_personal_data": op8_personal_data,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_quality": op10_quality,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_filter_audit": op12_filter_audit,
 }
 
