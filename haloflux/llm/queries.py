@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haloflux.llm import audit, decontam, fingerprint, langid, licenses, neardup, oracles, packing, pii, ppm, quality, repair, toxicity
+from haloflux.llm import audit, decontam, fingerprint, langid, lexicon, licenses, neardup, oracles, packing, pii, ppm, quality, repair, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -124,6 +124,18 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.interactions(audit.failure_counts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = lexicon.encoded(docs, tokenizer_path(), lexicon.build(docs, tokenizer_path()), decode=True)
+    ids = F.col("ids")
+    return found.select(
+        "doc_id",
+        F.size(ids).cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(ids.cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_licenses": op2_licenses,
@@ -137,6 +149,7 @@ QUERIES: dict[str, Query] = {
     "op10_quality": op10_quality,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_filter_audit": op12_filter_audit,
+    "op13_bpe": op13_bpe,
 }
 
 #: DuckDB SQL for the queries that SQL can express.

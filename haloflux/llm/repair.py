@@ -209,7 +209,7 @@ def faults(turns: DataFrame) -> DataFrame:
 
 COUNTS = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
 ROWS = pa.schema([("conv_id", pa.int64()), *[(c, pa.int64()) for c in COUNTS], ("audit", pa.large_string()), ("repaired_sha256", pa.string())])
-TURNS = pa.field("repaired", pa.large_list(pa.struct([("role", pa.string()), ("text", pa.large_string())])))
+TURNS = pa.field("repaired", pa.list_(pa.struct([("role", pa.string()), ("text", pa.large_string())])))
 
 
 def repaired(turns: DataFrame, keep_turns: bool = False) -> DataFrame:

@@ -30,7 +30,7 @@ def test_query_agrees_with_sql(spark, name):
 
 
 def test_one_query_per_operator_and_the_pipeline():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 14)]
     assert "pipeline" in entry.queries() and len(corpus_pipeline.STAGES) == 5
 
 

@@ -105,6 +105,8 @@ def test_awkward_conversations(spark):
     rows += [(c, 0, "user", "Hi.") for c in lost] + [(-(2**60), 2**61, "assistant", "End."), (-(2**60), -5, "user", "End.")]
     got = checked(spark, rows)
     assert lost and got[lost[0]] == (0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())
+    kept = repair.repaired(spark.createDataFrame([r + ("x",) * 5 for r in rows], SCHEMA).drop("gone"), keep_turns=True).where("conv_id = 2").first()
+    assert [t.role for t in kept.repaired] == ["user", "assistant"] and kept.audit == "K" + "D" * 8 + "I"
     assert repair.repaired(spark.createDataFrame([], SCHEMA).drop("gone")).count() == 0
 
 
