@@ -41,26 +41,22 @@ def volume_cells(columns: DataFrame, volumes: list[ControlVolume], levels: SLeve
     )
 
 
-def _contents(cells: DataFrame, keys: list[str], wet_only: bool, more: list[Column]) -> DataFrame:
+def _cell_sums(cells: DataFrame, wet_only: bool) -> dict[str, Column]:
+    """What is summed over cells, by the name of the sum."""
     s, dv = F.col("salt"), F.col("dV")
-    wet = s.isNotNull()
-    zero = F.lit(0.0)
-    flux = []
-    for c, divisors in SURFACE.items():
-        if c in cells.columns:
-            total = F.coalesce(F.sum(c), zero)
-            for d in divisors:
-                total = total / F.lit(d)
-            flux.append(total.alias(c))
-    sums = cells.groupBy(*keys).agg(
-        F.sum(F.when(wet, dv) if wet_only else dv).alias("V"),
-        F.coalesce(F.sum(s * dv), zero).alias("sV"),
-        F.coalesce(F.sum((s * s) * dv), zero).alias("ssV"),
-        *([F.coalesce(F.sum(F.col("chi") * dv), zero).alias("chi")] if "chi" in cells.columns else []),
-        *flux,
-        *more,
-    )
-    return sums.withColumn("sbar", F.try_divide(F.col("sV"), F.col("V")))
+    sums = {"V": F.when(s.isNotNull(), dv) if wet_only else dv, "sV": s * dv, "ssV": (s * s) * dv}
+    if "chi" in cells.columns:
+        sums["chi"] = F.col("chi") * dv
+    return sums | {c: F.col(c) for c in SURFACE if c in cells.columns}
+
+
+def _contents(sums: DataFrame, names: list[str]) -> DataFrame:
+    """Sums without a value as 0, surface fluxes in their units, and the mean ``sbar``."""
+    out = {c: F.coalesce(F.col(c), F.lit(0.0)) for c in names if c != "V"}
+    for c in names:
+        for d in SURFACE.get(c, ()):
+            out[c] = out[c] / F.lit(d)
+    return sums.withColumns(out).withColumn("sbar", F.try_divide(F.col("sV"), F.col("V")))
 
 
 def volume_means(cells: DataFrame, keys: list[str] | None = None, wet_only: bool = False) -> DataFrame:
@@ -70,33 +66,89 @@ def volume_means(cells: DataFrame, keys: list[str] | None = None, wet_only: bool
     ``V`` counts every cell; cells without salinity only drop out of the salt terms unless
     ``wet_only``.
     """
-    return _contents(cells, keys or KEYS, wet_only, [])
+    sums = _cell_sums(cells, wet_only)
+    return _contents(cells.groupBy(*(keys or KEYS)).agg(*[F.sum(c).alias(n) for n, c in sums.items()]), list(sums))
+
+
+# salinity classes in which moments are taken: one unit wide, values beyond the range in the outer ones
+_FRESHEST, _SALTIEST = -2, 64
+
+
+def _salinity_class(s: Column) -> Column:
+    return F.greatest(F.lit(_FRESHEST), F.least(F.lit(_SALTIEST), F.floor(s))).cast("int")
+
+
+def class_moments(s: Column, dv: Column, about: Column) -> list[Column]:
+    """Aggregates from which :func:`moments_of_class` takes weight, mean and squared deviation.
+
+    Running means and co-moments are updated value by value, so that no large sums are subtracted: what is
+    lost is as small as the spread of the class against its width, not the square of it.
+    """
+    off = F.when(dv.isNotNull(), s - about)
+    return [
+        F.sum(F.when(off.isNotNull(), dv)).alias("__w"),
+        F.count(off).alias("__n"),
+        F.avg(off).alias("__mean"),
+        F.covar_pop(off, dv).alias("__sw"),
+        F.covar_pop(off, off * dv).alias("__ssw"),
+    ]
 
 
-def volume_stats(cells: DataFrame, keys: list[str] | None = None, wet_only: bool = False, shift: float | None = None) -> DataFrame:
+def moments_of_class() -> Column:
+    """Struct of class, weight, weighted mean from the middle of the class, and sum of weighted squared deviations from that mean."""
+    w, n, mean = F.col("__w"), F.col("__n"), F.col("__mean")
+    skew = n * F.col("__sw")
+    shift = F.coalesce(F.try_divide(skew, w), F.lit(0.0))
+    spread = n * (F.col("__ssw") - mean * F.col("__sw")) - shift * skew
+    return F.struct(F.col("__class").alias("k"), w.alias("w"), (mean + shift).alias("mean"), F.greatest(spread, F.lit(0.0)).alias("spread"))
+
+
+def merged_moments(classes: Column) -> Column:
+    """Moments of several classes together: pairs of them by the parallel-axis rule, in order of classes.
+
+    The mean counts from the middle of the first class.
+    """
+    first = F.get(classes, F.lit(0))
+    start = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("spread"))
+
+    def merge(acc: Column, c: Column) -> Column:
+        mean = (c["k"] - first["k"]).cast("double") + c["mean"]
+        w = acc["w"] + c["w"]
+        share = F.coalesce(F.try_divide(c["w"], w), F.lit(0.0))
+        apart = mean - acc["mean"]
+        return F.struct(
+            w.alias("w"),
+            (acc["mean"] + apart * share).alias("mean"),
+            (acc["spread"] + c["spread"] + apart * apart * (acc["w"] * share)).alias("spread"),
+        )
+
+    return F.aggregate(classes, start, merge)
+
+
+def volume_stats(cells: DataFrame, keys: list[str] | None = None, wet_only: bool = False) -> DataFrame:
     """:func:`volume_means` with the variance content ``svarV``.
 
-    Two passes by default: the mean is known before deviations are squared, so that nearly
-    uniform salinity loses no digits.  With ``shift``, a salinity within the range of the
-    data, the variance comes from moments about it in one pass, which reads the cells once
-    and is good while the spread is not tiny against the distance from ``shift``.
+    The cells are read once.  Each salinity class of a key keeps its weight, mean and squared
+    deviation; classes are merged by the parallel-axis rule, so nearly uniform salinity loses no
+    digits.  The classes of a key are fewer than a hundred, whatever the number of cells.
     """
     keys = keys or KEYS
-    s, dv = F.col("salt"), F.col("dV")
-    zero = F.lit(0.0)
-    if shift is None:
-        means = volume_means(cells, keys, wet_only)
-        off = s - F.col("sbar")
-        spread = cells.select(*keys, "salt", "dV").join(means.select(*keys, "sbar"), keys).groupBy(*keys)
-        spread = spread.agg(F.sum((off * off) * dv).alias("svarV"))
-        return means.join(spread, keys, "left").withColumn("svarV", F.coalesce("svarV", zero))
-    d = s - F.lit(float(shift))
-    moments = [F.sum(F.when(s.isNotNull(), dv)).alias("__wet"), F.sum(d * dv).alias("__m1"), F.sum((d * d) * dv).alias("__m2")]
-    off = F.col("sbar") - F.lit(float(shift))
-    svar = F.col("__m2") - F.lit(2.0) * off * F.col("__m1") + off * off * F.col("__wet")
-    # rounding must not make a variance negative
-    sums = _contents(cells, keys, wet_only, moments).withColumn("svarV", F.greatest(F.coalesce(svar, zero), zero))
-    return sums.drop("__wet", "__m1", "__m2")
+    s, sums = F.col("salt"), _cell_sums(cells, wet_only)
+    about = F.col("__class") + F.lit(0.5)
+    classes = (
+        cells.withColumn("__class", _salinity_class(s))
+        .groupBy(*keys, "__class")
+        .agg(*[F.sum(c).alias(n) for n, c in sums.items()], *class_moments(s, F.col("dV"), about))
+    )
+    # only classes with salinity have moments; the others count in the sums
+    held = F.collect_list(F.when(F.col("__w").isNotNull(), moments_of_class()))
+    both = classes.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in sums], F.array_sort(held).alias("__classes"))
+    out = _contents(both, list(sums)).withColumn("__all", merged_moments(F.col("__classes")))
+    first = F.get("__classes", F.lit(0))["k"] + F.lit(0.5)
+    # the mean over all of V differs from that of the wet cells where some cells have no salinity
+    off = (first + F.col("__all")["mean"]) - F.col("sbar")
+    svar = F.col("__all")["spread"] + off * off * F.col("__all")["w"]
+    return out.withColumn("svarV", F.coalesce(svar, F.lit(0.0))).drop("__classes", "__all")
 
 
 _RATES = {"V": "dVdt", "sV": "dsVdt", "ssV": "dssVdt", "svarV": "dsvardt"}

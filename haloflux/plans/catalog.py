@@ -29,8 +29,6 @@ GRAD = BinSpec("grad", 0.0, 0.0625, 64)
 KEYS = ["cv_id", "ocean_time"]
 LEVELS = src.grid_levels()
 STEP = 3600.0
-# salinity about which the one-pass variance of the surface budgets is taken
-SHIFT = 20.0
 # few samples fall in these bins, so some steps have none
 NARROW = BinSpec("salt", 36.5, 37.0, 4)
 # bins whose edges are not binary fractions
@@ -359,7 +357,7 @@ def surface_forcing(spark, d):
 
 def _surface_terms(spark, d):
     g = src.shape(spark, d)
-    terms = tef.budget(src.grid_columns(spark, d), [g.box], LEVELS, SALT, STEP, surface=True, shift=SHIFT)
+    terms = tef.budget(src.grid_columns(spark, d), [g.box], LEVELS, SALT, STEP, surface=True)
     return budgets.surface_budget(terms)
 
 

@@ -100,7 +100,6 @@ def budget(
     salt: BinSpec,
     dt: float | str = 3600.0,
     surface: bool = False,
-    shift: float | None = None,
     bucket=None,
 ) -> DataFrame:
     """Advection, storage and mixing terms of every volume and step.
@@ -111,12 +110,11 @@ def budget(
     The first step of a volume has no tendency and no row; a step without transport in
     any class keeps its storage and mixing.
 
-    ``shift`` takes the variance in one pass (:func:`budgets.volume_stats`), ``bucket`` orders
-    long series in pieces (:mod:`haloflux.functions.ordered`).
+    ``bucket`` orders long series in pieces (:mod:`haloflux.functions.ordered`).
     """
     flux = list(budgets.SURFACE) if surface else []
     cells = budgets.volume_cells(columns, boxes, levels, ["salt", "chi", *flux])
-    steps = budgets.with_tendencies(budgets.volume_stats(cells, shift=shift), dt, bucket=bucket)
+    steps = budgets.with_tendencies(budgets.volume_stats(cells), dt, bucket=bucket)
     along = ["dVdt", "dsVdt", "dssVdt", "dsvardt", "chi", *flux]
     net = class_transports(columns, boxes, levels, {"salt": salt})
     net = add_variance_transport(net, steps.select(*KEYS, "sbar", *along), salt, every_step=True)

@@ -1,3 +1,5 @@
+from fractions import Fraction
+
 import numpy as np
 import pytest
 from shapes import make_columns, step, uniform_levels
@@ -15,10 +17,9 @@ def bumpy(t, k, j, i):
     return 28.0 + (5 * i + 3 * j + 7 * k + 2 * t) % 9 + 0.125 * k
 
 
-@pytest.mark.parametrize("shift", [None, 32.0])
-def test_variance_in_one_and_two_passes(spark, shift):
+def test_variance_of_bumpy_water(spark):
     cols = make_columns(spark, nt=2, salt=bumpy, zeta=lambda t, j, i: 0.1 * t)
-    r = budgets.volume_stats(budgets.volume_cells(cols, [BOX], LEV), shift=shift).orderBy("ocean_time").collect()
+    r = budgets.volume_stats(budgets.volume_cells(cols, [BOX], LEV)).orderBy("ocean_time").collect()
     for t in range(2):
         s = np.array([bumpy(t, k, j, i) for k in range(3) for j in range(4) for i in range(4)])
         dv = (30.0 + 0.1 * t) / 3 * 1e6
@@ -28,14 +29,50 @@ def test_variance_in_one_and_two_passes(spark, shift):
         assert r[t].svarV == pytest.approx(((s - s.mean()) ** 2 * dv).sum(), rel=1e-11)
 
 
-def test_variance_of_nearly_uniform_and_uniform_water(spark):
+def exact_spread(salt, dv, volume=None):
+    """Sum of weighted squared deviations from the mean, in exact fractions."""
+    s, w = [Fraction(float(x)) for x in salt], [Fraction(float(x)) for x in dv]
+    mean = sum(a * b for a, b in zip(s, w)) / (sum(w) if volume is None else volume)
+    return float(sum(b * (a - mean) ** 2 for a, b in zip(s, w)))
+
+
+def salinity_cells(spark, groups):
+    rows = [(cv, step(0), None if s is None else float(s), float(w)) for cv, (salt, dv) in enumerate(groups) for s, w in zip(salt, dv)]
+    return spark.createDataFrame(rows, "cv_id int, ocean_time timestamp_ntz, salt double, dV double")
+
+
+def test_variance_of_nearly_uniform_water_has_all_its_digits(spark):
+    """Within a class, across the border of two, far out of range, wide and of one value; unequal volumes."""
     rng = np.random.default_rng(3)
-    salt = 0.1 + 1e-6 * rng.normal(size=5000)
-    rows = [(0, step(0), float(s), 1e6) for s in salt] + [(1, step(0), 0.1, 1e6)] * 100
-    cells = spark.createDataFrame(rows, "cv_id int, ocean_time timestamp_ntz, salt double, dV double")
+    n = 4000
+    volumes_ = 1e6 * rng.uniform(0.2, 3.0, n)
+    salts = [c + e * rng.normal(size=n) for c in (0.1, 34.73, 30.0, -7.0, 900.0) for e in (1e-6, 1e-4)] + [rng.uniform(0.0, 40.0, n), np.full(n, 0.1)]
+    cells = salinity_cells(spark, [(s, volumes_) for s in salts]).repartition(7)
     got = {r.cv_id: r.svarV for r in budgets.volume_stats(cells).collect()}
-    assert got[0] == pytest.approx(((salt - salt.mean()) ** 2).sum() * 1e6, rel=1e-6) and 0 <= got[1] < 1e-15
-    assert budgets.volume_stats(cells, shift=32.0).where("svarV < 0").count() == 0
+    for cv, s in enumerate(salts):
+        # beyond the range of classes, deviations from the outer class are large
+        rel = 1e-9 if cv < 6 or cv > 9 else 1e-4
+        assert got[cv] == pytest.approx(exact_spread(s, volumes_), rel=rel, abs=1e-12)
+
+
+def test_variance_counts_cells_without_salinity_in_the_mean(spark):
+    salt, dv = [30.0, 31.5, None, 30.25], [2.0, 1.0, 4.0, 3.0]
+    cells = salinity_cells(spark, [(salt, dv), ([None, None], [1.0, 2.0])])
+    wet = [(s, w) for s, w in zip(salt, dv) if s is not None]
+    for wet_only, volume in ((False, Fraction(10)), (True, Fraction(6))):
+        r = {r.cv_id: r for r in budgets.volume_stats(cells, wet_only=wet_only).collect()}
+        assert r[0].V == float(volume) and r[0].svarV == pytest.approx(exact_spread(*zip(*wet), volume), rel=1e-12)
+        assert (r[1].V, r[1].sV, r[1].svarV) == (None if wet_only else 3.0, 0.0, 0.0)
+
+
+def test_one_class_after_another_equals_all_at_once(spark):
+    """Moments of parts merge to the moments of the whole."""
+    rng = np.random.default_rng(4)
+    salt, dv = rng.uniform(20.0, 29.0, 500), rng.uniform(1.0, 2.0, 500)
+    means = budgets.volume_means(salinity_cells(spark, [(salt, dv)])).first()
+    stats = budgets.volume_stats(salinity_cells(spark, [(salt, dv)])).first()
+    assert [means[c] for c in ("V", "sV", "ssV")] == pytest.approx([stats[c] for c in ("V", "sV", "ssV")], rel=1e-13)
+    assert stats.svarV == pytest.approx(stats.ssV - stats.sV**2 / stats.V, rel=1e-10)
 
 
 def test_steps_out_of_range_keep_their_storage_terms(spark):
