@@ -41,6 +41,8 @@ REMEMBERED = 200_000
 #: Splitting of byte-level vocabularies (a fixed value of the public format), to count words by.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
+#: Gaps in which a state's transitions are tried before they go behind all others.
+TRIES = 32
 OTHER, LETTER, NUMBER, SPACE, UNKNOWN = 0, 1, 2, 3, 255
 
 
@@ -183,29 +185,36 @@ class Automaton:
 def _cells(states: list[tuple], order: dict[int, int], sizes: list[int]) -> dict[str, np.ndarray]:
     """Places the transitions of all states in one row of cells, first fit, largest states first."""
     total = sum(len(moves) for _, moves in states)
-    taken = bytearray(total + 1024)
+    taken = bytearray(2 * total + 1024)
     base = np.zeros(len(states), np.int32)
     placed: list[tuple[int, int, int, int]] = []
-    free = 256
+    free = start = end = 256
     for k in sorted(range(len(states)), key=lambda k: -len(states[k][1])):
         final, moves = states[k]
         if not moves:
             continue
-        while taken[free]:
-            free += 1
-        first = free - moves[0][0]
-        while any(taken[first + b] for b, _ in moves):
-            first += 1
-            while taken[first + moves[0][0]]:
-                first += 1
-        if first + 512 > len(taken):
-            taken.extend(bytes(len(taken)))
+        lead = moves[0][0]
+        if len(moves) == 1:
+            at = free = taken.index(0, free)
+        else:
+            # some tries among the gaps, then behind all cells; later states of one move fill what is left
+            at = taken.index(0, start)
+            for _ in range(TRIES):
+                if not any(taken[at - lead + b] for b, _ in moves):
+                    break
+                at = taken.index(0, at + 1)
+            else:
+                at, start = end, taken.index(0, start + 1)
+        first = at - lead
         base[k] = first
         number = int(final)
         for b, child in moves:
             taken[first + b] = 1
             placed.append((first + b, k, order[child], number))
             number += sizes[child]
+        end = max(end, first + moves[-1][0] + 1)
+        if end + 512 > len(taken):
+            taken.extend(bytes(len(taken)))
     last = max((p[0] for p in placed), default=0) + 512
     cells = {name: np.full(last, -1, np.int32) for name in ("owner", "target", "number")}
     if placed:
