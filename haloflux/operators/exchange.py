@@ -7,11 +7,11 @@ per (key, class) with map-side combine, then one over the few classes of a key.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import BinSpec
-from .histogram import weighted_histogram
+from .histogram import fill_bins, weighted_histogram
 
 # transport column of a face sample or histogram -> prefix in the results
 TRACERS = {"q": "Q", "qs": "Qs", "qss": "Qss", "qsvar": "Qsvar"}
@@ -46,11 +46,15 @@ def net_from_samples(
     return weighted_histogram(samples, keys, bins, weights, dense=dense)
 
 
-def exchange_flow(net: DataFrame, keys: list[str]) -> DataFrame:
+def exchange_flow(net: DataFrame, keys: list[str], second: BinSpec | None = None, dense: bool = False) -> DataFrame:
     """Bulk inflow/outflow per ``keys``, which are all dimensions of ``net`` but salinity.
 
     Each tracer is split by the sign of its own net transport.  Ratios are NULL where
     there is no inflow (outflow); advection terms count such a side as 0.
+
+    ``second`` is a second binned coordinate, one result row for each of its bins.  A NULL bin stands for
+    samples out of its range: it has a row only where a key has no other.  ``dense`` gives every key all
+    bins of ``second``.
     """
     present = [p for p in TRACERS.values() if f"{p}net" in net.columns]
 
@@ -61,7 +65,18 @@ def exchange_flow(net: DataFrame, keys: list[str]) -> DataFrame:
     for p in present:
         c = F.col(f"{p}net")
         sums += [side(c, c > 0).alias(f"{p}in"), side(c, c < 0).alias(f"{p}out")]
-    bulk = net.groupBy(*keys).agg(*sums)
+    if second is None:
+        bulk = net.groupBy(*keys).agg(*sums)
+    else:
+        bulk = net.groupBy(*keys, second.idx).agg(*sums)
+        sides = [c for p in present for c in (f"{p}in", f"{p}out")]
+        if dense:
+            bulk = fill_bins(bulk, keys, [second], sides)
+        else:
+            # as many rows as the second coordinate has bins
+            alone = F.count(second.idx).over(Window.partitionBy(*keys)) == 0
+            bulk = bulk.withColumn("__alone", alone).where(F.col(second.idx).isNotNull() | F.col("__alone")).drop("__alone")
+        bulk = bulk.withColumn(second.bin, second.centre(F.col(second.idx)))
     q_in, q_out = F.col("Qin"), F.col("Qout")
     out = {"voladv": q_in + q_out}
     for p in present[1:]:
@@ -73,26 +88,20 @@ def exchange_flow(net: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def exchange_flow_from_samples(
-    samples: DataFrame, bins: dict[str, BinSpec], keys: list[str]
+    samples: DataFrame, bins: dict[str, BinSpec], keys: list[str], dense: bool = False
 ) -> DataFrame:
     """Samples to bulk exchange flow.  ``keys`` are cv_id and time; with a second binned
     coordinate (temperature, depth) the result keeps that bin as well.
 
-    Every key present in the samples has a row: where no sample falls in a salinity class,
-    transports are 0 and ratios missing.
+    Every key present in the samples has a row, and with a second coordinate every bin of it that a
+    sample of the key falls in (all bins with ``dense``): where no sample falls in a salinity class,
+    transports are 0 and ratios missing.  A key without a sample in any bin of the second coordinate
+    has one row whose bin is missing.
     """
-    kept = [c for s in bins.values() if s.name != "salt" for c in (s.idx, s.bin)]
-    if kept:
-        return exchange_flow(net_from_samples(samples, bins, keys), keys + kept)
-    salt = bins["salt"]
-    # samples out of range only announce their key
-    counted = salt.covers(F.col("salt"))
-    present = [c for c in TRACERS if c in samples.columns]
-    samples = samples.withColumns({c: F.when(counted, F.col(c)) for c in present})
+    second = next((s for c, s in bins.items() if c != "salt"), None)
     sign = inward(F.col("face"))
-    weights = [F.coalesce(F.sum(sign * F.col(c)), F.lit(0.0)).alias(f"{TRACERS[c]}net") for c in present]
-    net = samples.withColumn(salt.idx, salt.index(F.col("salt"))).groupBy(*keys, salt.idx).agg(*weights)
-    return exchange_flow(net, keys)
+    weights = {f"{p}net": sign * F.col(c) for c, p in _tracers(samples).items()}
+    return exchange_flow(weighted_histogram(samples, keys, bins, weights, announce=True), keys, second, dense)
 
 
 def bin_count_comparison(net: DataFrame, fine: BinSpec, counts: list[int], keys: list[str]) -> DataFrame:

@@ -19,6 +19,7 @@ def weighted_histogram(
     bins: dict[str, BinSpec],
     weights: dict[str, Column],
     dense: bool = False,
+    announce: bool = False,
 ) -> DataFrame:
     """Sum every weight per key and bin, all weights in one aggregation.
 
@@ -28,13 +29,19 @@ def weighted_histogram(
     and occupied bin leaves a task, however skewed the bins are.
 
     Rows out of range or with a missing value count in no bin.  ``dense=True`` also
-    returns empty bins as 0, for every key present in the input.
+    returns empty bins as 0, for every key present in the input.  ``announce=True`` keeps the bins of a
+    sample that are known, with 0 and a NULL number for each coordinate out of range: at least one row
+    for every key.
     """
     specs = list(bins.values())
     idx = [s.idx for s in specs]
-    if not dense:
-        for c, s in bins.items():
-            df = df.where(s.covers(F.col(c)))
+    inside = F.lit(True)
+    for c, s in bins.items():
+        inside = inside & s.covers(F.col(c))
+    if announce:
+        weights = {n: F.when(inside, w) for n, w in weights.items()}
+    elif not dense:
+        df = df.where(inside)
     binned = with_bin_index(df, bins)
     sums = [F.coalesce(F.sum(w), F.lit(0.0)).alias(n) for n, w in weights.items()]
     hist = binned.groupBy(*keys, *idx).agg(*sums)
@@ -104,6 +111,25 @@ def density_histogram(df: DataFrame, column: str, spec: BinSpec, keys: list[str]
     )
 
 
+def quantile_bins(df: DataFrame, column: str, fine: BinSpec, n: int, name: str | None = None) -> BinSpec:
+    """At most ``n`` bins with about equally many samples each, their edges being edges of ``fine``.
+
+    One pass with map-side combine; what the driver reads is one row per occupied fine bin, so at
+    most ``fine.n``, whatever the size of the data.
+    """
+    counts = weighted_histogram(df, [], {column: fine}, {"n": F.lit(1).cast("bigint")})
+    rows = sorted((r[0], int(r[1])) for r in counts.select(fine.idx, "n").collect())
+    if not rows:
+        raise ValueError(f"no value of {column} lies in {fine.name} {fine.lo}..{fine.hi}")
+    edges, total, seen, k = [fine.edges[rows[0][0]]], sum(c for _, c in rows), 0, 1
+    for at, c in rows:
+        seen += c
+        if seen * n >= k * total:
+            edges.append(fine.edges[at + 1])
+            k = seen * n // total + 1
+    return BinSpec.from_edges(name or column, edges)
+
+
 def range_histogram(df: DataFrame, column: str, n: int = 50, name: str = "value", dense: bool = False) -> DataFrame:
     """Counts in ``n`` equal bins between the minimum and maximum of the data; with ``dense``
     empty bins as well.

@@ -31,6 +31,9 @@ LEVELS = src.grid_levels()
 STEP = 3600.0
 # few samples fall in these bins, so some steps have none
 NARROW = BinSpec("salt", 36.5, 37.0, 4)
+COOL = BinSpec("temp", 2.0, 10.0, 8)
+# bins from whose edges those of salinity quantiles are taken
+FINE_EDGES = BinSpec("salt", 0.0, 40.0, 640)
 # bins whose edges are not binary fractions
 FINE_SALT, FINE_TEMP = BinSpec("salt", 0.0, 37.3, 500), BinSpec("temp", 0.1, 39.7, 500)
 
@@ -112,6 +115,20 @@ def tef_ts(spark, d):
     return exchange.exchange_flow_from_samples(samples, {"salt": SALT, "temp": TEMP}, KEYS)
 
 
+@query
+def tef_ts_steps(spark, d):
+    """Steps and temperatures without a sample in any salinity class have rows with transports of 0."""
+    samples = _samples(spark, d).drop("qss")
+    return exchange.exchange_flow_from_samples(samples, {"salt": NARROW, "temp": COOL}, KEYS)
+
+
+@query
+def tef_ts_dense(spark, d):
+    """All bins of temperature at every step."""
+    samples = _samples(spark, d).drop("qss")
+    return exchange.exchange_flow_from_samples(samples, {"salt": NARROW, "temp": COOL}, KEYS, dense=True)
+
+
 @query
 def tef_ts_500(spark, d):
     """Net transport in 500 x 500 classes."""
@@ -227,6 +244,16 @@ def hist_density_dense(spark, d):
     return rounded(out, {"density": 12})
 
 
+@query
+def hist_quantile_edges(spark, d):
+    """Density in bins of about equally many samples, which are the narrower the more samples there are."""
+    samples = src.tef_samples(spark, d)
+    spec = histogram.quantile_bins(samples, "salt", FINE_EDGES, 12)
+    out = histogram.density_histogram(samples, "salt", spec, ["cv_id"])
+    k = F.col("salt_idx")
+    return rounded(out.withColumns({"salt_lo": spec.edge(k), "salt_hi": spec.edge(k + 1)}), {"density": 12})
+
+
 @query
 def hist_minmax50(spark, d):
     """All 50 bins of the transport of fully laden items, some of which are empty."""
@@ -272,6 +299,15 @@ def entrainment(spark, d):
     return budgets.class_tendency(hist, "dV_saltcoord")
 
 
+@query
+def entrainment_ts(spark, d):
+    """Change of the volume of each of 500 x 500 classes that is occupied at a step or the one before."""
+    cells = _cells(spark, d, ["salt", "temp"])
+    bins = {"salt": FINE_SALT, "temp": FINE_TEMP}
+    hist = histogram.weighted_histogram(cells, KEYS, bins, {"dV": F.col("dV")}, announce=True)
+    return budgets.class_changes(hist.select(*KEYS, "salt_idx", "temp_idx", "dV"), "dV", ["salt_idx", "temp_idx"])
+
+
 # ---- contents, tendencies, mixing, budgets ------------------------------------------
 
 

@@ -253,6 +253,34 @@ net AS (
 ),
 {_split(["Q", "Qs"], "net", "cv_id, ocean_time")}
 SELECT cv_id, ocean_time, {_select(_bulk_columns(["Q", "Qs"]))} FROM bulk""",
+        "tef_ts_steps": f"""WITH {_TEF},
+net AS (
+  SELECT cv_id, ocean_time, CASE WHEN salt BETWEEN 36.5 AND 37 THEN least(floor((salt - 36.5) / 0.125e0), 3) END AS at,
+         CAST(CASE WHEN temp BETWEEN 2 AND 10 THEN least(floor(temp - 2), 7) END AS INTEGER) AS temp_idx,
+         sum(CASE WHEN salt BETWEEN 36.5 AND 37 AND temp BETWEEN 2 AND 10 THEN sgn * q ELSE 0 END) AS Qnet,
+         sum(CASE WHEN salt BETWEEN 36.5 AND 37 AND temp BETWEEN 2 AND 10 THEN sgn * q * salt ELSE 0 END) AS Qsnet
+  FROM tef GROUP BY ALL
+),
+{_split(["Q", "Qs"], "net", "cv_id, ocean_time, temp_idx")},
+full_ AS (SELECT * FROM bulk WHERE temp_idx IS NOT NULL
+  UNION ALL SELECT * FROM bulk b WHERE temp_idx IS NULL
+    AND NOT EXISTS (SELECT 1 FROM bulk o WHERE o.cv_id = b.cv_id AND o.ocean_time = b.ocean_time AND o.temp_idx IS NOT NULL))
+SELECT cv_id, ocean_time, temp_idx, 2 + (temp_idx + 0.5e0) AS temp_bin, {_select(_bulk_columns(["Q", "Qs"]))} FROM full_""",
+        "tef_ts_dense": f"""WITH {_TEF},
+net AS (
+  SELECT cv_id, ocean_time, CASE WHEN salt BETWEEN 36.5 AND 37 THEN least(floor((salt - 36.5) / 0.125e0), 3) END AS at,
+         CAST(CASE WHEN temp BETWEEN 2 AND 10 THEN least(floor(temp - 2), 7) END AS INTEGER) AS temp_idx,
+         sum(CASE WHEN salt BETWEEN 36.5 AND 37 AND temp BETWEEN 2 AND 10 THEN sgn * q ELSE 0 END) AS Qnet,
+         sum(CASE WHEN salt BETWEEN 36.5 AND 37 AND temp BETWEEN 2 AND 10 THEN sgn * q * salt ELSE 0 END) AS Qsnet
+  FROM tef GROUP BY ALL
+),
+{_split(["Q", "Qs"], "net", "cv_id, ocean_time, temp_idx")},
+full_ AS (
+  SELECT cv_id, ocean_time, temp_idx, coalesce(Qin, 0) AS Qin, coalesce(Qout, 0) AS Qout, coalesce(Qsin, 0) AS Qsin, coalesce(Qsout, 0) AS Qsout
+  FROM (SELECT DISTINCT cv_id, ocean_time FROM tef) CROSS JOIN (SELECT CAST(unnest(range(8)) AS INTEGER) AS temp_idx)
+  LEFT JOIN bulk USING (cv_id, ocean_time, temp_idx)
+)
+SELECT cv_id, ocean_time, temp_idx, 2 + (temp_idx + 0.5e0) AS temp_bin, {_select(_bulk_columns(["Q", "Qs"]))} FROM full_""",
         "tef_ts_500": f"""WITH {_TEF},
 c AS (SELECT 37.3e0 / 500 AS ws, (39.7e0 - 0.1e0) / 500 AS wt),
 g AS (
@@ -357,6 +385,20 @@ c AS (SELECT cv_id, CAST(floor((salt + 10) * 2) AS INTEGER) AS salt_idx, count(*
 SELECT k.cv_id, salt_idx, -10 + (salt_idx + 0.5e0) * 0.5e0 AS salt_bin, coalesce(n, 0) AS n,
        round(coalesce(n, 0) / (sum(n) OVER (PARTITION BY k.cv_id)) / 0.5e0, 12) + 0.0e0 AS density
 FROM (SELECT DISTINCT cv_id FROM tef) k CROSS JOIN b LEFT JOIN c USING (cv_id, salt_idx)""",
+        "hist_quantile_edges": f"""WITH {_TEF},
+h AS (SELECT least(floor(salt * 16), 639) AS i, count(*) AS c FROM tef WHERE salt BETWEEN 0 AND 40 GROUP BY 1),
+cum AS (SELECT i, sum(c) OVER (ORDER BY i) AS seen, sum(c) OVER () AS total FROM h),
+e AS (
+  SELECT min(i) / 16.0e0 AS edge FROM h
+  UNION SELECT (min(i) + 1) / 16.0e0 FROM cum, (SELECT unnest(range(1, 13)) AS k) WHERE seen * 12 >= k * total GROUP BY k
+),
+b AS (SELECT row_number() OVER (ORDER BY edge) - 1 AS salt_idx, edge AS lo, lead(edge) OVER (ORDER BY edge) AS hi, max(edge) OVER () AS top FROM e),
+c AS (
+  SELECT cv_id, CAST(salt_idx AS INTEGER) AS salt_idx, lo, hi, count(*) AS n
+  FROM tef JOIN b ON salt >= lo AND (salt < hi OR (hi = top AND salt = hi)) GROUP BY ALL
+)
+SELECT cv_id, salt_idx, lo AS salt_lo, hi AS salt_hi, 0.5e0 * (lo + hi) AS salt_bin, n,
+       round(n / (sum(n) OVER (PARTITION BY cv_id)) / (hi - lo), 12) + 0.0e0 AS density FROM c""",
         "hist_minmax50": f"""WITH {_TEF},
 x AS (SELECT q FROM tef WHERE salt >= 36.75),
 m AS (SELECT min(q) AS lo, max(q) AS hi, (max(q) - min(q)) / 50 AS w FROM x),
@@ -391,6 +433,23 @@ dense AS (
 )
 SELECT cv_id, t AS ocean_time, salt_idx, salt_idx * 2 + 1.0e0 AS salt_bin, (v - lag(v) OVER w) / 3600 AS "ddV_saltcoorddt"
 FROM dense WINDOW w AS (PARTITION BY cv_id, salt_idx ORDER BY t) QUALIFY lag(t) OVER w IS NOT NULL""",
+        "entrainment_ts": f"""{incv},
+c AS (SELECT 37.3e0 / 500 AS ws, (39.7e0 - 0.1e0) / 500 AS wt),
+g AS (
+  SELECT *, least(floor(salt / ws), 499) AS gs, least(floor((temp - 0.1e0) / wt), 499) AS gt
+  FROM levc, cv, c WHERE {_INCV} AND salt BETWEEN 0 AND 37.3e0 AND temp BETWEEN 0.1e0 AND 39.7e0
+),
+s AS (
+  SELECT cv_id, t, CASE WHEN salt < gs * ws THEN gs - 1 WHEN gs < 499 AND salt >= (gs + 1) * ws THEN gs + 1 ELSE gs END AS si,
+         CASE WHEN temp < 0.1e0 + gt * wt THEN gt - 1 WHEN gt < 499 AND temp >= 0.1e0 + (gt + 1) * wt THEN gt + 1 ELSE gt END AS ti, sum(dv) AS v
+  FROM g GROUP BY ALL
+),
+st AS (SELECT cv_id, t, lag(t) OVER (PARTITION BY cv_id ORDER BY t) AS before FROM (SELECT DISTINCT cv_id, t FROM levc, cv WHERE {_INCV})),
+own AS (SELECT s.*, st.before FROM s JOIN st USING (cv_id, t)),
+late AS (SELECT s.cv_id, st.t, si, ti, v FROM s JOIN st ON st.cv_id = s.cv_id AND st.before = s.t)
+SELECT cv_id, t AS ocean_time, CAST(si AS INTEGER) AS salt_idx, CAST(ti AS INTEGER) AS temp_idx,
+       (coalesce(own.v, 0) - coalesce(late.v, 0)) / 3600 AS "ddVdt"
+FROM (SELECT * FROM own WHERE before IS NOT NULL) own FULL JOIN late USING (cv_id, t, si, ti)""",
         "chi_series": f"""{insplit}
 SELECT cv_id, t AS ocean_time, round(coalesce(sum(chi * dv), 0), 6) + 0.0e0 AS chi FROM levc, cv WHERE {_INCV} GROUP BY ALL""",
         "chi_by_salt": f"""{incv}

@@ -53,7 +53,8 @@ def class_transports(
         "__d1": q * d,
         "__d2": q * (d * d),
     }
-    return histogram.weighted_histogram(samples, KEYS, bins, weights)
+    # samples out of the classes of salinity announce their bin of a second coordinate
+    return histogram.weighted_histogram(samples, KEYS, bins, weights, announce=len(bins) > 1)
 
 
 def add_variance_transport(net: DataFrame, stats: DataFrame, salt: BinSpec, every_step: bool = False) -> DataFrame:
@@ -79,7 +80,8 @@ def total_exchange_flow(
 ) -> DataFrame:
     """Model output to bulk exchange flow of every volume and step.
 
-    A step whose transport lies outside all classes has a row with transports of 0.
+    A step whose transport lies outside all classes has a row with transports of 0; rows of a second
+    coordinate are as in :func:`exchange.exchange_flow`.
     ``mean_boxes`` as in :func:`face_transports`.
 
     The variance transport of a class follows from its volume, salt and salt-squared
@@ -88,9 +90,9 @@ def total_exchange_flow(
     class centre, where they are small.
     """
     stats = budgets.volume_means(budgets.volume_cells(columns, mean_boxes or boxes, levels)).select(*KEYS, "sbar")
-    kept = [c for s in bins.values() if s.name != "salt" for c in (s.idx, s.bin)]
-    net = add_variance_transport(class_transports(columns, boxes, levels, bins, edge), stats, bins["salt"], not kept)
-    return exchange.exchange_flow(net, KEYS + kept)
+    second = next((s for c, s in bins.items() if c != "salt"), None)
+    net = add_variance_transport(class_transports(columns, boxes, levels, bins, edge), stats, bins["salt"], every_step=True)
+    return exchange.exchange_flow(net, KEYS, second)
 
 
 def budget(

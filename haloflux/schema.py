@@ -13,7 +13,9 @@ entries).  Missing values are NULL, never NaN.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import json
+import math
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -149,25 +151,50 @@ def control_volume_table(spark: SparkSession, volumes: Iterable[ControlVolume])
     return spark.createDataFrame(rows, "cv_id int, i0 int, i1 int, j0 int, j1 int, convention string")
 
 
+# up to so many bins are found by nested comparisons, more by a search in a constant array
+NESTED_BINS = 64
+
+
 @dataclass(frozen=True)
 class BinSpec:
-    """``n`` equal bins over ``[lo, hi]``: half-open, the last one closed on the right.
+    """``n`` bins over ``[lo, hi]``: half-open, the last one closed on the right.
 
-    Edge ``k`` is ``lo + k * step`` in double arithmetic with the last edge exactly
-    ``hi``, the same numbers an evenly spaced edge vector holds.
+    Bins are equal unless :meth:`from_edges` made them.  Edge ``k`` of equal bins is ``lo + k * step`` in
+    double arithmetic with the last edge exactly ``hi``, the same numbers an evenly spaced
+    edge vector holds.
     """
 
     name: str
     lo: float
     hi: float
     n: int
+    #: inner edges of unequal bins
+    cuts: tuple[float, ...] = ()
+
+    def __post_init__(self):
+        edges = self.edges
+        if self.cuts and len(self.cuts) != self.n - 1:
+            raise ValueError(f"{self.n} bins have {self.n - 1} inner edges")
+        if self.n < 1 or not all(math.isfinite(e) for e in edges) or any(a >= b for a, b in zip(edges, edges[1:])):
+            raise ValueError(f"edges must increase: {self.name}")
+
+    @classmethod
+    def from_edges(cls, name: str, edges: Sequence[float]) -> BinSpec:
+        """Bins between given edges, in increasing order."""
+        edges = tuple(float(e) for e in edges)
+        if len(edges) < 2:
+            raise ValueError("bins need two edges at least")
+        return cls(name, edges[0], edges[-1], len(edges) - 1, edges[1:-1])
 
     @property
     def step(self) -> float:
+        """Width of equal bins."""
         return (self.hi - self.lo) / self.n
 
     @property
     def edges(self) -> list[float]:
+        if self.cuts:
+            return [self.lo, *self.cuts, self.hi]
         return [self.lo + k * self.step for k in range(self.n)] + [self.hi]
 
     @property
@@ -179,6 +206,8 @@ class BinSpec:
         return f"{self.name}_bin"
 
     def edge(self, k: Column) -> Column:
+        if self.cuts:
+            return F.get(_constants(self.edges), k)
         inner = F.lit(float(self.lo)) + k.cast("double") * F.lit(self.step)
         return F.when(k == self.n, F.lit(float(self.hi))).otherwise(inner)
 
@@ -189,8 +218,10 @@ class BinSpec:
         """Bin number of ``x``; NULL when missing or out of range.
 
         The floor of the scaled value can be one off next to an edge, so it is compared
-        with the real edges and moved by one where needed.
+        with the real edges and moved by one where needed.  Unequal bins are found by halving.
         """
+        if self.cuts:
+            return F.when(self.covers(x), _cuts_passed(x, self.cuts))
         lo, step = F.lit(float(self.lo)), F.lit(self.step)
         guess = F.least(F.floor((x - lo) / step).cast("int"), F.lit(self.n - 1))
         exact = (
@@ -214,6 +245,32 @@ class BinSpec:
         )
 
 
+def _constants(values: Sequence[float]) -> Column:
+    """A constant array of the plan."""
+    return F.from_json(F.lit(json.dumps(list(values))), "array<double>")
+
+
+def _cuts_passed(x: Column, cuts: tuple[float, ...]) -> Column:
+    """How many of the increasing ``cuts`` are not above ``x``, in log2 comparisons."""
+    if len(cuts) < NESTED_BINS:
+
+        def half(low: int, high: int) -> Column:
+            if low == high:
+                return F.lit(low)
+            mid = (low + high) // 2
+            return F.when(x < F.lit(cuts[mid]), half(low, mid)).otherwise(half(mid + 1, high))
+
+        return half(0, len(cuts))
+    held = _constants(cuts)
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))])
+
+    def further(at: Column, step: Column) -> Column:
+        # beyond the last cut there is no element and so no move
+        return F.when(F.get(held, at + step - 1) <= x, at + step).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), further)
+
+
 @dataclass(frozen=True)
 class SLevels:
     """Terrain-following levels: ``s`` and stretching at centres (N) and interfaces (N+1)."""

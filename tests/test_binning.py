@@ -100,3 +100,57 @@ def test_range_histogram_matches_numpy(spark):
 def test_range_histogram_of_a_constant(spark):
     out = H.range_histogram(spark.createDataFrame([(2.0,)] * 3, "x double"), "x", 5).collect()
     assert sum(r.n for r in out) == 3
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 63, 64, 65, 500])
+def test_unequal_bins_match_numpy_at_every_edge(spark, n):
+    """Nested comparisons up to 64 bins, a search in a constant array beyond."""
+    rng = np.random.default_rng(n)
+    edges = np.cumsum(rng.exponential(size=n + 1)) - 3.0
+    spec = BinSpec.from_edges("x", edges)
+    assert spec.edges == edges.tolist() and spec.n == n
+    x = np.concatenate(
+        [edges, np.nextafter(edges, np.inf), np.nextafter(edges, -np.inf), rng.uniform(edges[0] - 1, edges[-1] + 1, 500), [np.nan, np.inf, -np.inf]]
+    )
+    df = spark.createDataFrame([(int(m), float(v)) for m, v in enumerate(x)] + [(len(x), None)], "id int, x double")
+    got = {r.id: r.b for r in df.select("id", spec.index(F.col("x")).alias("b")).collect()}
+    assert [got[m] for m in range(len(x) + 1)] == reference_index(x, edges) + [None]
+    middle = [r.x_bin for r in spec.table(spark).orderBy("x_idx").collect()]
+    assert middle == [0.5 * (a + b) for a, b in zip(edges, edges[1:])]
+
+
+@pytest.mark.parametrize("edges", [[], [1.0], [1.0, 1.0], [0.0, 2.0, 1.0], [0.0, float("nan"), 1.0], [0.0, float("inf")]])
+def test_edges_must_increase(edges):
+    with pytest.raises(ValueError):
+        BinSpec.from_edges("x", edges)
+
+
+def test_density_in_unequal_bins_integrates_to_one(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(30.0, 3.0, 3000)
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    edges = [20.0, 25.0, 25.5, 30.0, 36.0, 50.0]
+    out = H.density_histogram(df, "x", BinSpec.from_edges("x", edges), dense=True).orderBy("x_idx").collect()
+    want, _ = np.histogram(x, edges, density=True)
+    assert [r.density for r in out] == pytest.approx(want.tolist(), rel=1e-12)
+
+
+def test_quantile_bins_hold_about_equally_many_samples(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.exponential(2.0, 5000), [39.99, 99.0]])
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double").repartition(5)
+    spec = H.quantile_bins(df, "x", BinSpec("x", 0.0, 40.0, 4000), 10)
+    n = [r.n for r in H.weighted_histogram(df, [], {"x": spec}, {"n": F.lit(1.0)}).orderBy("x_idx").collect()]
+    assert len(n) == 10 and sum(n) == 5001 and max(n) < 1.15 * 500 and min(n) > 0.85 * 500
+    one = H.quantile_bins(spark.createDataFrame([(1.0,)] * 9, "x double"), "x", BinSpec("x", 0.0, 2.0, 4), 5)
+    assert one.edges == [1.0, 1.5]
+    with pytest.raises(ValueError):
+        H.quantile_bins(df.where("x > 50"), "x", BinSpec("x", 0.0, 40.0, 4), 2)
+
+
+def test_announced_keys_keep_the_bins_they_have(spark):
+    rows = [("a", 0.5, 1.5, 2.0), ("b", 9.0, 1.5, 4.0), ("c", 9.0, 9.0, 8.0), ("d", None, None, 1.0)]
+    df = spark.createDataFrame(rows, "g string, x double, y double, w double")
+    bins = {"x": BinSpec("x", 0.0, 2.0, 2), "y": BinSpec("y", 0.0, 2.0, 2)}
+    out = H.weighted_histogram(df, ["g"], bins, {"s": F.col("w")}, announce=True).collect()
+    assert {(r.g, r.x_idx, r.y_idx, r.s) for r in out} == {("a", 0, 1, 2.0), ("b", None, 1, 0.0), ("c", None, None, 0.0), ("d", None, None, 0.0)}

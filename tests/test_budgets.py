@@ -170,3 +170,36 @@ def test_forcing_summed_then_interpolated_equals_interpolated_then_summed(spark)
     assert len(fast) == len(slow) - 1 == 72
     for r in fast:
         assert r.swflux == pytest.approx(slow[r.ocean_time])
+
+
+def changes(spark, rows, dt, bucket=None):
+    """Sparse changes and those of the dense histogram, less the classes that are and were empty."""
+    df = spark.createDataFrame(rows, "cv_id int, ocean_time timestamp_ntz, salt double, temp double, dV double").repartition(5)
+    bins = {"salt": BinSpec.from_edges("salt", [0.0, 1.0, 5.0, 9.0]), "temp": BinSpec("temp", 0.0, 4.0, 4)}
+    args = (["cv_id", "ocean_time"], bins, {"dV": F.col("dV")})
+    sparse = histogram.weighted_histogram(df, *args, announce=True).select("cv_id", "ocean_time", "salt_idx", "temp_idx", "dV")
+    got = budgets.class_changes(sparse, "dV", ["salt_idx", "temp_idx"], dt, bucket=bucket).collect()
+    assert len({tuple(r)[:4] for r in got}) == len(got)
+    dense = histogram.weighted_histogram(df, *args, dense=True)
+    want = budgets.class_tendency(dense, "dV", dt, ("cv_id", "salt_idx", "temp_idx")).collect()
+    key = lambda r: (r.cv_id, r.salt_idx, r.temp_idx, r.ocean_time)
+    a, b = {key(r): r.ddVdt for r in got if r.ddVdt}, {key(r): r.ddVdt for r in want if r.ddVdt}
+    assert a == b and a
+    return got
+
+
+@pytest.mark.parametrize("dt,bucket", [(3600.0, None), ("auto", None), (3600.0, "day")])
+def test_changes_of_sparse_classes_equal_those_of_dense_ones(spark, dt, bucket):
+    """Classes that fill, empty, stay and return, steps of other lengths, and a step whose cells are all out of range."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for cv in range(2):
+        for t in (0, 1, 2, 4, 5, 9, 30, 31):
+            for _ in range(int(rng.integers(1, 5))):
+                far = 100.0 if t == 4 else 0.0
+                rows.append((cv, step(t), float(rng.integers(0, 9)) + far, float(rng.integers(0, 4)), float(rng.integers(1, 8))))
+    rows += [(0, step(9), None, 1.0, 5.0), (1, step(40), 50.0, 50.0, 1.0)]
+    got = changes(spark, rows, dt, bucket)
+    # everything left at the step out of range, and at the last step
+    assert any(r.ocean_time == step(4) and r.ddVdt < 0 for r in got) and any(r.ocean_time == step(40) and r.ddVdt < 0 for r in got)
+    assert all(r.ocean_time != step(0) for r in got)

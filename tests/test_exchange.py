@@ -1,5 +1,6 @@
 import pytest
 from pyspark.sql import functions as F
+from shapes import step
 
 from haloflux.operators import analysis, exchange
 from haloflux.schema import BinSpec
@@ -104,3 +105,20 @@ def test_of_equal_peaks_the_lowest_bin_counts(spark):
     for order in ([(7.0, 2.0), (5.0, 2.0), (6.0, 1.0)], [(5.0, 2.0), (6.0, 1.0), (7.0, 2.0)]):
         hist = spark.createDataFrame([(0, *r) for r in order], "g int, salt_bin double, Qnet double").coalesce(1)
         assert analysis.class_of_maximum(hist, "Qnet", ["g"]).first().salt_bin == 5.0
+
+
+def test_steps_without_samples_in_range_keep_rows_with_a_second_coordinate(spark):
+    salt, temp = BinSpec("salt", 30.0, 34.0, 4), BinSpec("temp", 0.0, 3.0, 3)
+    rows = [
+        (0, step(0), "W", 31.0, 0.5, 2.0), (0, step(0), "W", 99.0, 1.5, 4.0), (0, step(0), "W", 31.0, 77.0, 8.0),
+        (0, step(1), "W", 99.0, 2.5, 4.0), (0, step(2), "W", 31.0, 88.0, 4.0), (0, step(3), "W", None, None, 4.0),
+    ]
+    df = spark.createDataFrame(rows, "cv_id int, ocean_time timestamp_ntz, face string, salt double, temp double, q double")
+    out = exchange.exchange_flow_from_samples(df, {"salt": salt, "temp": temp}, ["cv_id", "ocean_time"]).collect()
+    got = {(r.ocean_time, r.temp_idx): (r.Qin, r.Qout, r.temp_bin) for r in out}
+    zero = lambda b: (0.0, 0.0, b)
+    assert got == {
+        (step(0), 0): (2.0, 0.0, 0.5), (step(0), 1): zero(1.5), (step(1), 2): zero(2.5), (step(2), None): zero(None), (step(3), None): zero(None),
+    }
+    dense = exchange.exchange_flow_from_samples(df, {"salt": salt, "temp": temp}, ["cv_id", "ocean_time"], dense=True).collect()
+    assert len(dense) == 4 * 3 and sum(r.Qin for r in dense) == 2.0 and all(r.temp_idx is not None for r in dense)
