@@ -74,55 +74,24 @@ def volume_means(cells: DataFrame, keys: list[str] | None = None, wet_only: bool
 _FRESHEST, _SALTIEST = -2, 64
 
 
-def _salinity_class(s: Column) -> Column:
-    return F.greatest(F.lit(_FRESHEST), F.least(F.lit(_SALTIEST), F.floor(s))).cast("int")
-
-
-def class_moments(s: Column, dv: Column, about: Column) -> list[Column]:
-    """Aggregates from which :func:`moments_of_class` takes weight, mean and squared deviation.
-
-    Running means and co-moments are updated value by value, so that no large sums are subtracted: what is
-    lost is as small as the spread of the class against its width, not the square of it.
-    """
-    off = F.when(dv.isNotNull(), s - about)
-    return [
-        F.sum(F.when(off.isNotNull(), dv)).alias("__w"),
-        F.count(off).alias("__n"),
-        F.avg(off).alias("__mean"),
-        F.covar_pop(off, dv).alias("__sw"),
-        F.covar_pop(off, off * dv).alias("__ssw"),
-    ]
-
-
-def moments_of_class() -> Column:
-    """Struct of class, weight, weighted mean from the middle of the class, and sum of weighted squared deviations from that mean."""
-    w, n, mean = F.col("__w"), F.col("__n"), F.col("__mean")
-    skew = n * F.col("__sw")
-    shift = F.coalesce(F.try_divide(skew, w), F.lit(0.0))
-    spread = n * (F.col("__ssw") - mean * F.col("__sw")) - shift * skew
-    return F.struct(F.col("__class").alias("k"), w.alias("w"), (mean + shift).alias("mean"), F.greatest(spread, F.lit(0.0)).alias("spread"))
-
-
-def merged_moments(classes: Column) -> Column:
-    """Moments of several classes together: pairs of them by the parallel-axis rule, in order of classes.
-
-    The mean counts from the middle of the first class.
-    """
-    first = F.get(classes, F.lit(0))
-    start = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("spread"))
-
-    def merge(acc: Column, c: Column) -> Column:
-        mean = (c["k"] - first["k"]).cast("double") + c["mean"]
-        w = acc["w"] + c["w"]
-        share = F.coalesce(F.try_divide(c["w"], w), F.lit(0.0))
-        apart = mean - acc["mean"]
-        return F.struct(
-            w.alias("w"),
-            (acc["mean"] + apart * share).alias("mean"),
-            (acc["spread"] + c["spread"] + apart * apart * (acc["w"] * share)).alias("spread"),
-        )
-
-    return F.aggregate(classes, start, merge)
+#: Running means and co-moments of a class, updated value by value: no large sums are subtracted, so what is
+#: lost is as small as the spread of the class against its width, not the square of it.
+_CLASS_MOMENTS = {
+    "__w": "sum(CASE WHEN __off IS NOT NULL THEN dV END)",
+    "__n": "count(__off)",
+    "__mean": "avg(__off)",
+    "__sw": "covar_pop(__off, dV)",
+    "__ssw": "covar_pop(__off, __off * dV)",
+}
+# class, weight, weighted mean from the middle of the class, and sum of weighted squared deviations from that mean
+_MOMENTS = """CASE WHEN __w IS NOT NULL THEN named_struct(
+  'k', __class, 'w', __w, 'mean', __mean + coalesce(try_divide(__n * __sw, __w), 0D),
+  'spread', greatest(__n * (__ssw - __mean * __sw) - coalesce(try_divide(__n * __sw * (__n * __sw), __w), 0D), 0D)) END"""
+# parallel-axis rule for two sets of moments, means counted from the middle of the first class
+_MERGED = """aggregate(__classes, named_struct('w', 0D, 'mean', 0D, 'spread', 0D), (a, c) -> named_struct(
+  'w', a.w + c.w,
+  'mean', a.mean + (c.k - get(__classes, 0).k + c.mean - a.mean) * coalesce(try_divide(c.w, a.w + c.w), 0D),
+  'spread', a.spread + c.spread + power(c.k - get(__classes, 0).k + c.mean - a.mean, 2) * (a.w * coalesce(try_divide(c.w, a.w + c.w), 0D))))"""
 
 
 def volume_stats(cells: DataFrame, keys: list[str] | None = None, wet_only: bool = False) -> DataFrame:
@@ -133,22 +102,21 @@ def volume_stats(cells: DataFrame, keys: list[str] | None = None, wet_only: bool
     digits.  The classes of a key are fewer than a hundred, whatever the number of cells.
     """
     keys = keys or KEYS
-    s, sums = F.col("salt"), _cell_sums(cells, wet_only)
-    about = F.col("__class") + F.lit(0.5)
+    sums = _cell_sums(cells, wet_only)
+    salinity_class = f"CAST(greatest({_FRESHEST}, least({_SALTIEST}, floor(salt))) AS int)"
     classes = (
-        cells.withColumn("__class", _salinity_class(s))
+        cells.withColumn("__class", F.expr(salinity_class))
+        .withColumn("__off", F.expr("CASE WHEN dV IS NOT NULL THEN salt - (__class + 0.5D) END"))
         .groupBy(*keys, "__class")
-        .agg(*[F.sum(c).alias(n) for n, c in sums.items()], *class_moments(s, F.col("dV"), about))
+        .agg(*[F.sum(c).alias(n) for n, c in sums.items()], *[F.expr(f"{e} AS {n}") for n, e in _CLASS_MOMENTS.items()])
     )
     # only classes with salinity have moments; the others count in the sums
-    held = F.collect_list(F.when(F.col("__w").isNotNull(), moments_of_class()))
-    both = classes.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in sums], F.array_sort(held).alias("__classes"))
-    out = _contents(both, list(sums)).withColumn("__all", merged_moments(F.col("__classes")))
-    first = F.get("__classes", F.lit(0))["k"] + F.lit(0.5)
+    held = F.expr(f"array_sort(collect_list({_MOMENTS})) AS __classes")
+    both = classes.groupBy(*keys).agg(*[F.expr(f"sum({n}) AS {n}") for n in sums], held)
+    out = _contents(both, list(sums)).withColumn("__all", F.expr(_MERGED))
     # the mean over all of V differs from that of the wet cells where some cells have no salinity
-    off = (first + F.col("__all")["mean"]) - F.col("sbar")
-    svar = F.col("__all")["spread"] + off * off * F.col("__all")["w"]
-    return out.withColumn("svarV", F.coalesce(svar, F.lit(0.0))).drop("__classes", "__all")
+    svar = "__all.spread + power(get(__classes, 0).k + 0.5D + __all.mean - sbar, 2) * __all.w"
+    return out.withColumn("svarV", F.expr(f"coalesce({svar}, 0D)")).drop("__classes", "__all")
 
 
 _RATES = {"V": "dVdt", "sV": "dsVdt", "ssV": "dssVdt", "svarV": "dsvardt"}

@@ -43,6 +43,10 @@ def hann(n: int) -> list[float]:
     return [0.5 - 0.5 * math.cos(2.0 * math.pi * m / (n - 1)) for m in range(n)]
 
 
+# samples of a block of the low-pass filter, unless the kernel is longer
+BLOCK = 2048
+
+
 def lowpass(
     df: DataFrame,
     keys: list[str],
@@ -56,50 +60,74 @@ def lowpass(
 
     The series counts as 0 beyond its ends, so the ends are damped; a missing sample or a
     missing value under the kernel makes the result missing.  Output has the rows of the
-    input.
+    input; with ``step``, values of the same time are added up, also where a value is missing.
 
-    Each sample contributes to the outputs around it and one aggregation with map-side
-    combine adds them up: no window over the whole series.  ``step`` (seconds) is the
-    distance of the samples of a regular series; without it samples are numbered first and
-    count as evenly spaced.  The kernel may have any length.
+    Blocks of consecutive samples are packed to arrays.  A sample goes to its own block and, within a
+    kernel's reach of the border, to the neighbour, so little more than one row a sample is moved,
+    a block holds a bounded number of them, and taps are added in the same order everywhere.
+    ``step`` (seconds) is the distance of the samples of a regular series; without it samples are
+    numbered first and count as evenly spaced.  The kernel may have any length.
     """
     n = len(kernel)
     if not n:
         raise ValueError("the kernel is empty")
     total = float(sum(kernel))
-    lead = (n - 1) // 2
+    lead, size = (n - 1) // 2, max(BLOCK, n)
     if step is None:
-        numbered = ordered.with_position(df.select(*keys, time, *values), keys, time, "__at", bucket)
+        samples = ordered.with_position(df.select(*keys, time, *values), keys, time, "__at", bucket)
         unit = 1
     else:
-        numbered = df.select(*keys, time, *values).withColumn("__at", epoch_micros(F.col(time)))
+        # a time that occurs twice is one sample, lest it hides a gap beside it
+        once = [F.when(F.count(c) == F.count(F.lit(1)), F.sum(F.col(c).cast("double"))).alias(c) for c in values]
+        samples = df.groupBy(*keys, time).agg(*once).withColumn("__at", epoch_micros(F.col(time)))
         unit = step * 1_000_000
-    # output m receives kernel[b] * x[m + lead - b]; the taps are one constant of the plan
-    taps = F.from_json(F.lit(json.dumps([float(w) for w in kernel])), "array<double>")
-    spread = numbered.select("*", F.posexplode(taps).alias("__b", "__w"))
-    own = F.col("__b") == lead
-    sums = [F.sum(F.col(c) * F.col("__w")).alias(f"__sum_{c}") for c in values]
-    gaps = [F.max(F.col(c).isNull()).alias(f"__gap_{c}") for c in values]
-    out = (
-        spread.withColumn("__out", F.col("__at") + (F.col("__b") - lead).cast("bigint") * unit)
-        .groupBy(*keys, "__out")
-        .agg(F.max(F.when(own, F.col(time))).alias(time), F.count(F.lit(1)).alias("__n"), *sums, *gaps)
-        .where(F.col(time).isNotNull())
-    )
-    whole = F.lit(True)
-    if step is not None:
-        # as many samples have to arrive as taps lie within the series
-        ends = numbered.groupBy(*keys).agg(F.min("__at").alias("__lo"), F.max("__at").alias("__hi"))
-        if keys:
-            out = out.join(ends, keys)
-        else:
-            out = out.withColumn("__ends", ends.select(F.struct("__lo", "__hi")).scalar()).select("*", "__ends.*")
-        at = F.col("__out")
-        inside = F.least(F.col("__hi"), at + lead * unit) - F.greatest(F.col("__lo"), at - (n - 1 - lead) * unit)
-        whole = F.col("__n") >= F.floor(inside / unit) + 1
-    return out.select(
-        *keys, time, *[F.when(~F.col(f"__gap_{c}") & whole, F.col(f"__sum_{c}") / total).alias(c) for c in values]
+    at, slot, phase, block = (F.col(c) for c in ("__at", "__slot", "__phase", "__block"))
+    samples = samples.withColumn("__phase", F.pmod(at, F.lit(unit))).withColumn("__slot", F.floor((at - phase) / unit))
+    # output m needs the samples m + lead - n + 1 to m + lead
+    reached = F.sequence(F.floor((slot - lead) / size), F.floor((slot + (n - 1 - lead)) / size))
+    row = F.struct(slot.alias("slot"), F.col(time).alias("time"), *[F.col(c).cast("double").alias(f"v{k}") for k, c in enumerate(values)])
+    blocks = (
+        samples.withColumn("__block", F.explode(reached))
+        .groupBy(*keys, "__phase", "__block")
+        .agg(F.array_sort(F.collect_list(row)).alias("__rows"))
     )
+    ends = samples.groupBy(*keys).agg(F.min(at).alias("__lo"), F.max(at).alias("__hi"))
+    if keys:
+        blocks = blocks.join(ends, keys)
+    else:
+        blocks = blocks.withColumn("__ends", ends.select(F.struct("__lo", "__hi")).scalar()).select("*", "__ends.*")
+    rows, first, width = F.col("__rows"), block * size + (lead - n + 1), size + n - 1
+
+    def times(value: float | None, count: Column) -> Column:
+        return F.array_repeat(F.lit(value).cast("double"), F.greatest(F.lit(0), F.least(F.lit(width), count)).cast("int"))
+
+    # within the window of a block: places before and after the series, and missing ones up to its first and after its last sample
+    before = F.greatest(F.lit(0), F.ceil((F.col("__lo") - phase) / unit) - first)
+    after = F.greatest(F.lit(0), first + width - 1 - F.floor((F.col("__hi") - phase) / unit))
+    missing = F.get(rows, F.lit(0))["slot"] - first - before, first + width - 1 - F.element_at(rows, -1)["slot"] - after
+
+    def dense(v: str) -> Column:
+        def to_next(e: Column, k: Column) -> Column:
+            following = F.coalesce(F.get(rows, k + 1)["slot"], e["slot"] + 1)
+            return F.concat(F.array(e[v]), times(None, following - e["slot"] - 1))
+
+        return F.concat(times(0.0, before), times(None, missing[0]), F.flatten(F.transform(rows, to_next)), times(None, missing[1]), times(0.0, after))
+
+    fields = [f"v{k}" for k in range(len(values))]
+    taps = F.from_json(F.lit(json.dumps([float(w) for w in reversed(kernel)])), "array<double>")
+    packed = blocks.withColumns({f"__{v}": dense(v) for v in fields}).withColumn("__taps", taps)
+
+    def filtered(e: Column) -> Column:
+        def under_kernel(v: str) -> Column:
+            window = F.slice(F.col(f"__{v}"), (e["slot"] - block * size + 1).cast("int"), n)
+            products = F.zip_with(window, F.col("__taps"), lambda x, w: x * w)
+            return F.aggregate(products, F.lit(0.0), lambda s, x: s + x) / total
+
+        return F.struct(e["time"].alias("time"), *[under_kernel(v).alias(v) for v in fields])
+
+    own = F.filter(rows, lambda e: F.floor(e["slot"] / size) == block)
+    out = packed.select(*keys, F.inline(F.transform(own, filtered)))
+    return out.select(*keys, F.col("time").alias(time), *[F.col(v).alias(c) for v, c in zip(fields, values)])
 
 
 def numbered(df: DataFrame, keys: list[str], time: str, name: str = "pos", bucket=None) -> DataFrame:

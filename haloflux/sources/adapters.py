@@ -80,75 +80,65 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Plans here are built from SQL text: one call into the engine for each column, not for each operator of it.
+
+
 def tef_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One line item is one face sample."""
-    li = table(spark, sf_dir, "lineitem")
-    line, part, supp, order = (F.col(f"l_{c}") for c in ("linenumber", "partkey", "suppkey", "orderkey"))
-    face = F.element_at(F.array(*[F.lit(f) for f in "WESN"]), (line % 4 + 1).cast("int"))
-    return li.select(
-        truncate("month", F.col("l_shipdate")).alias("ocean_time"),
-        (supp % 4).cast("int").alias("cv_id"),
-        face.alias("face"),
-        (F.col("l_quantity") * 0.75).alias("salt"),
-        ((part % 160) / F.lit(4.0)).alias("temp"),
-        (-((part % 260) / F.lit(4.0))).alias("z"),
-        (((order % 17) - 8) / F.lit(8.0) * (16 + part % 64)).alias("q"),
-        (F.lit(1024.0) * (1 + supp % 8)).alias("dv"),
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "CAST(trunc(CAST(l_shipdate AS date), 'month') AS timestamp_ntz) AS ocean_time",
+        "CAST(l_suppkey % 4 AS int) AS cv_id",
+        "element_at(array('W', 'E', 'S', 'N'), CAST(l_linenumber % 4 + 1 AS int)) AS face",
+        "l_quantity * 0.75D AS salt",
+        "(l_partkey % 160) / 4D AS temp",
+        "-((l_partkey % 260) / 4D) AS z",
+        "((l_orderkey % 17) - 8) / 8D * (16 + l_partkey % 64) AS q",
+        "1024D * (1 + l_suppkey % 8) AS dv",
     )
 
 
 def grid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items grouped to cells of a staggered grid, with the sums the fields need."""
     grid = shape(spark, sf_dir)
-    li = table(spark, sf_dir, "lineitem").select(
-        truncate("quarter", F.col("l_shipdate")).alias("ocean_time"),
-        (F.col("l_linenumber") - 1).cast("int").alias("k"),
-        (F.col("l_suppkey") % grid.nj).cast("int").alias("j"),
-        (F.col("l_partkey") % grid.ni).cast("int").alias("i"),
+    li = table(spark, sf_dir, "lineitem").selectExpr(
+        "CAST(trunc(CAST(l_shipdate AS date), 'quarter') AS timestamp_ntz) AS ocean_time",
+        "CAST(l_linenumber - 1 AS int) AS k",
+        f"CAST(l_suppkey % {grid.nj} AS int) AS j",
+        f"CAST(l_partkey % {grid.ni} AS int) AS i",
         "l_quantity", "l_suppkey", "l_partkey", "l_orderkey",
-    )
-    cells = li.groupBy("ocean_time", "k", "j", "i").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum("l_quantity").alias("sq"),
-        F.sum("l_suppkey").alias("ss"),
-        F.sum("l_partkey").alias("sp"),
-        F.sum("l_orderkey").alias("so"),
-    )
-    n = F.col("n")
-    return cells.select(
+    )
+    sums = ["count(1) AS n", "sum(l_quantity) AS sq", "sum(l_suppkey) AS ss", "sum(l_partkey) AS sp", "sum(l_orderkey) AS so"]
+    cells = li.groupBy("ocean_time", "k", "j", "i").agg(*map(F.expr, sums))
+    return cells.selectExpr(
         "ocean_time", "k", "j", "i", "ss", "sp", "so",
-        (F.floor(F.col("sq") * 0.75 / n * 64) / F.lit(64.0)).alias("salt"),
-        (((F.col("ss") + F.col("sp")) % 160) / F.lit(4.0)).alias("temp"),
-        ((n % 8) / F.lit(1024.0)).alias("aks"),
-        ((F.col("so") % 17 - 8) / F.lit(8.0)).alias("u"),
-        ((F.col("sp") % 17 - 8) / F.lit(8.0)).alias("v"),
-    )
+        "floor(sq * 0.75D / n * 64) / 64D AS salt",
+        "((ss + sp) % 160) / 4D AS temp",
+        "(n % 8) / 1024D AS aks",
+        "(so % 17 - 8) / 8D AS u",
+        "(sp % 17 - 8) / 8D AS v",
+    )
 
 
 def grid_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same grid as packed water columns with their surface fields."""
-    cells = grid_cells(spark, sf_dir)
     # interface k carries the mixing of cell k; bottom and surface are 0
-    cells = cells.withColumn("aks", F.when(F.col("k") > 0, F.col("aks")).otherwise(F.lit(0.0)))
-    fields = ["salt", "temp", "aks", "u", "v", "ss", "sp", "so"]
-    packed = pack_levels(cells, N_LEVELS, fields, ["ocean_time", "j", "i"])
+    cells = grid_cells(spark, sf_dir).withColumn("aks", F.expr("CASE WHEN k > 0 THEN aks ELSE 0D END"))
+    packed = pack_levels(cells, N_LEVELS, ["salt", "temp", "aks", "u", "v", "ss", "sp", "so"], ["ocean_time", "j", "i"])
 
-    def total(c: str):
-        return F.expr(" + ".join(f"coalesce(get({c}, {k}), 0L)" for k in range(N_LEVELS)))
+    def total(c: str) -> str:
+        return "(" + " + ".join(f"coalesce(get({c}, {k}), 0L)" for k in range(N_LEVELS)) + ")"
 
-    j, i, m = F.col("j"), F.col("i"), shape(spark, sf_dir).m
-    return packed.select(
+    m = shape(spark, sf_dir).m
+    return packed.selectExpr(
         "ocean_time", "j", "i",
-        (F.lit(16.0) + 8 * F.floor(j / m) + 4 * F.floor(i / m)).alias("h"),
-        (F.lit(1.0) / (512 * (1 + i % 2))).alias("pm"),
-        (F.lit(1.0) / (512 * (1 + j % 2))).alias("pn"),
-        ((total("ss") % 9 - 4) / F.lit(16.0)).alias("zeta"),
-        ((total("so") % 9 - 4) / F.lit(1024.0)).alias("ssflux"),
-        ((total("sp") % 17 - 8) / F.lit(8.0)).alias("swflux"),
-        "salt", "temp",
-        F.concat(F.col("aks"), F.array(F.lit(0.0))).alias("aks"),
-        "u", "v",
-    )
+        f"16D + 8 * floor(j / {m}) + 4 * floor(i / {m}) AS h",
+        "1D / (512 * (1 + i % 2)) AS pm",
+        "1D / (512 * (1 + j % 2)) AS pn",
+        f"({total('ss')} % 9 - 4) / 16D AS zeta",
+        f"({total('so')} % 9 - 4) / 1024D AS ssflux",
+        f"({total('sp')} % 17 - 8) / 8D AS swflux",
+        "salt", "temp", "concat(aks, array(0D)) AS aks", "u", "v",
+    )
 
 
 def grid_static(columns: DataFrame) -> DataFrame:

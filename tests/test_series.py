@@ -126,6 +126,57 @@ def test_kernels_have_no_longest_length(spark):
     assert got == pytest.approx([10.0 / 10_001] * 5)
 
 
+@pytest.mark.parametrize("n,block", [(1, 4), (5, 8), (8, 8), (9, 4), (30, 7), (72, 50)])
+def test_lowpass_does_not_depend_on_the_blocks(spark, monkeypatch, n, block):
+    """Blocks shorter and longer than the kernel, gaps longer than a block, missing values, two phases, two values."""
+    monkeypatch.setattr(series, "BLOCK", block)
+    rng = np.random.default_rng(n)
+    length = 150
+    rows, held = [], {}
+    for g in range(2):
+        x, y = rng.normal(size=length), rng.normal(size=length)
+        there = np.ones(length, bool)
+        there[60:95] = g == 0
+        there[[20, 33]] = False
+        for t in np.flatnonzero(there):
+            rows.append((g, step(int(t)), float(x[t]), None if t == 120 else float(y[t])))
+            held[g, int(t)] = (x[t], None if t == 120 else y[t])
+    # samples between the hours neither fill the gaps nor count under their kernels
+    rows += [(1, step(0.5 + 24 * k), 1.0, 1.0) for k in range(3)]
+    kernel = (rng.uniform(0.5, 1.0, n)).tolist()
+    df = spark.createDataFrame(rows, "g int, ocean_time timestamp_ntz, x double, y double").repartition(7)
+    got = {(r.g, r.ocean_time): (r.x, r.y) for r in series.lowpass(df, ["g"], "ocean_time", ["x", "y"], kernel, step=3600).collect()}
+    assert len(got) == len(rows)
+    lead = (n - 1) // 2
+    for (g, t), _ in held.items():
+        for k in range(2):
+            under = [(kernel[b], t + lead - b) for b in range(n) if 0 <= t + lead - b < length]
+            taken = [held.get((g, s), (None, None))[k] for _, s in under]
+            value = got[g, step(t)][k]
+            if any(v is None for v in taken):
+                assert value is None
+            else:
+                assert value == pytest.approx(sum(w * v for (w, _), v in zip(under, taken)) / sum(kernel), rel=1e-11, abs=1e-12)
+
+
+def test_a_time_that_occurs_twice_hides_no_gap(spark):
+    x = [(0, step(n), 1.0) for n in range(12) if n != 5] + [(0, step(4), 2.0), (0, step(6), 0.0)]
+    df = spark.createDataFrame(x, "g int, ocean_time timestamp_ntz, x double")
+    got = {r.ocean_time: r.x for r in series.lowpass(df, ["g"], "ocean_time", ["x"], [1.0, 1.0, 1.0], step=3600).collect()}
+    assert len(got) == 11 and got[step(4)] is None and got[step(6)] is None and got[step(3)] == pytest.approx(5 / 3)
+
+
+def test_lowpass_moves_little_more_than_a_row_a_sample(spark):
+    df = spark.range(40_000).select(F.lit(0).alias("g"), F.timestamp_seconds(F.col("id") * 3600).cast("timestamp_ntz").alias("ocean_time"), F.rand(1).alias("x"))
+    out = series.lowpass(df, ["g"], "ocean_time", ["x"], series.hann(72), step=3600)
+    assert out.count() == 40_000
+    # samples that reach two blocks: 71 of each 2048
+    blocks = (F.floor((F.col("id") - 35) / series.BLOCK) != F.floor((F.col("id") + 36) / series.BLOCK)).cast("int")
+    assert spark.range(40_000).agg(F.sum(1 + blocks)).first()[0] < 1.05 * 40_000
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode(sequence(") == 1
+
+
 def test_fractions_of_a_second_count(spark):
     df = spark.sql("SELECT 0 AS g, CAST(s AS timestamp_ntz) AS ocean_time, x FROM VALUES ('2020-01-01 00:00:00.5', 1.0D), ('2020-01-01 00:00:02.5', 3.0D) t(s, x)")
     assert df.where(tp.at_time("2020-01-01 00:00:00.5")).count() == 1 and df.where(tp.at_time("2020-01-01 00:00:00")).count() == 0
