@@ -9,7 +9,8 @@ is carried across bucket borders, so a series spreads over as many tasks as it h
 buckets.  Its price is a second pass over the ordered rows, which Spark serves from the
 same shuffle when both passes read the same columns; pass only the columns needed.  Series
 without keys are always ordered by bucket, as a window without keys is one task; by default
-the span of the data is cut into ``RANGE_BUCKETS`` equal ranges, however long it is.
+quantiles of the times cut it into ``RANGE_BUCKETS`` runs of about equally many rows, however the
+samples are spread over its span.
 """
 
 from __future__ import annotations
@@ -29,10 +30,16 @@ _BUCKET, _EDGE, _ROW, _CARRY = "__bucket", "__edge", "__row", "__carry"
 def _bucketed(df: DataFrame, time: str, bucket: str | Column) -> DataFrame:
     if isinstance(bucket, str) and bucket == "range":
         at = epoch_micros(F.col(time))
-        span = df.agg(F.struct(F.min(at).alias("lo"), (F.max(at) - F.min(at) + 1).alias("size"))).scalar()
-        df = df.withColumn(_EDGE, span)
-        share = (at - F.col(_EDGE)["lo"]).cast("double") / F.col(_EDGE)["size"]
-        return df.withColumn(_BUCKET, F.least(F.floor(share * RANGE_BUCKETS), F.lit(RANGE_BUCKETS - 1))).drop(_EDGE)
+        # one pass with mergeable sketches; read as a constant by every task
+        shares = F.array(*[F.lit(k / RANGE_BUCKETS) for k in range(1, RANGE_BUCKETS)])
+        borders = df.agg(F.percentile_approx(at, shares, F.lit(100 * RANGE_BUCKETS))).scalar()
+        df = df.withColumns({_EDGE: borders, _ROW: at})
+        halves = F.array(*[F.lit(1 << k) for k in reversed(range((RANGE_BUCKETS - 1).bit_length()))])
+
+        def further(passed: Column, step: Column) -> Column:
+            return F.when(F.get(F.col(_EDGE), passed + step - 1) <= F.col(_ROW), passed + step).otherwise(passed)
+
+        return df.withColumn(_BUCKET, F.aggregate(halves, F.lit(0), further)).drop(_EDGE, _ROW)
     expr = truncate(bucket, F.col(time)) if isinstance(bucket, str) else bucket
     return df.withColumn(_BUCKET, expr)
 

@@ -189,8 +189,21 @@ def test_fractions_of_a_second_count(spark):
 
 def test_keyless_series_spread_over_the_data(spark):
     df = spark.range(2000).select((F.expr("TIMESTAMP_NTZ'2024-01-03 00:00:00'") + F.make_dt_interval(secs=F.col("id").cast("decimal(18,6)"))).alias("ocean_time"), F.col("id").alias("x"))
-    from haloflux.functions import ordered
-
     assert ordered._bucketed(df, "ocean_time", "range").select("__bucket").distinct().count() == ordered.RANGE_BUCKETS
     assert ordered.with_position(df, [], "ocean_time").where("pos <> x").count() == 0
     assert ordered.with_previous(df, [], "ocean_time", ["x"]).where("x_prev = x - 1").count() == 1999
+
+
+def test_keyless_series_spread_however_the_samples_lie(spark):
+    """All but a few samples within a thousandth of the span, and times that occur often."""
+    at = F.when(F.col("id") < 5, F.col("id") * 100_000_000).when(F.col("id") < 200, F.lit(250_000_000)).otherwise(300_000_000 + F.col("id") * 7)
+    df = spark.range(6000).select(F.timestamp_seconds(at).cast("timestamp_ntz").alias("ocean_time"), F.col("id").alias("x")).repartition(9)
+    sizes = [r["count"] for r in ordered._bucketed(df, "ocean_time", "range").groupBy("__bucket").count().collect()]
+    assert len(sizes) > 200 and sum(sizes) == 6000 and max(sizes) <= 195 + 2 * 6000 // ordered.RANGE_BUCKETS
+    single = df.dropDuplicates(["ocean_time"])
+    got = sorted((r.ocean_time, r.pos) for r in ordered.with_position(single, [], "ocean_time").collect())
+    assert [p for _, p in got] == list(range(len(got)))
+    before = {r.ocean_time: r.ocean_time_prev for r in ordered.with_previous(single, [], "ocean_time", ["x"]).collect()}
+    assert all(before[b] == a for (a, _), (b, _) in zip(got, got[1:])) and before[got[0][0]] is None
+    empty = single.limit(0)
+    assert ordered.with_position(empty, [], "ocean_time").count() == 0
