@@ -7,7 +7,9 @@ compared bit for bit; others are rounded far above their rounding error.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,9 +17,10 @@ from pyspark.sql import functions as F
 from ..functions import timeparts as tp
 from ..functions import vertical as vt
 from ..operators import analysis, budgets, exchange, grid, histogram, series, volumes
-from ..schema import BinSpec
+from ..schema import COLUMNS_SCHEMA, BinSpec
+from ..session import shared_folder
 from ..sources import adapters as src
-from ..sources import tables
+from ..sources import ledger, tables, versions
 from . import tef
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -670,6 +673,112 @@ def packed_levels(spark, d):
     return grid.unpack_levels(cols, src.N_LEVELS, ["salt", "temp", "u", "v"])
 
 
+def _folder(spark: SparkSession) -> str:
+    """A fresh folder for what a query writes and reads back."""
+    return f"{shared_folder(spark)}/haloflux/{uuid.uuid4().hex}"
+
+
+def _net(spark, d):
+    return exchange.net_from_samples(_samples(spark, d).drop("qss"), {"salt": SALT}, KEYS)
+
+
+@query
+def daily_results(spark, d):
+    """Results written by day and a year of them written again; the other days stay."""
+    net, path = _net(spark, d), _folder(spark)
+    tables.write_daily(net, path)
+    again = net.where(tp.at_time("1995")).withColumns({c: F.col(c) * 2 for c in ("Qnet", "Qsnet")})
+    tables.write_daily(again, path)
+    return tables.scan(spark, path)
+
+
+@query
+def monthly_results(spark, d):
+    """Results written by month and summers read back from their partitions."""
+    path = _folder(spark)
+    tables.write_monthly(_net(spark, d), path)
+    return tables.scan(spark, path).where(F.col("month").between(6, 8) & (F.col("year") >= 1994))
+
+
+@query
+def volume_results(spark, d):
+    """Results written by volume and two of them read back."""
+    path = _folder(spark)
+    tables.write_per_volume(_net(spark, d), path)
+    return tables.scan(spark, path).where(F.col("cv_id").isin(1, 3))
+
+
+@query
+def chunk_results(spark, d):
+    """Steps written in seven chunks, one of them read back."""
+    path = _folder(spark)
+    tables.write_chunked(_net(spark, d), path, 7, ["cv_id"])
+    return tables.scan(spark, path).where("chunk_id = 2").select(*KEYS, "salt_idx", "salt_bin", "Qnet", "chunk_id")
+
+
+@query
+def versioned_results(spark, d):
+    """Two published versions of a result with its description; each is read as it was published."""
+    net, path = _net(spark, d), _folder(spark)
+    for name, some in (("two volumes", net.where("cv_id < 2")), ("all volumes", net)):
+        about = tables.run_metadata(spark, name, n_bins={"salt": SALT.n})
+        versions.publish({"data": some, "metadata": about}, path, ["cv_id"])
+    parts = []
+    for number in (1, None):
+        about = versions.read(spark, path, "metadata", number).select("description", F.col("n_bins")["salt"].alias("n_bins"))
+        sums = versions.read(spark, path, number=number).groupBy("cv_id").agg(F.count(F.lit(1)).alias("n"), F.sum("Qnet").alias("Qnet"))
+        # one row describes all of a version
+        parts.append(sums.withColumn("about", about.select(F.struct("description", "n_bins")).scalar()).select("cv_id", "n", "Qnet", "about.*"))
+    return parts[0].unionByName(parts[1])
+
+
+@query
+def redelivered_days(spark, d):
+    """Deliveries of files, one of which brings a year again with other transports."""
+    source, target = _folder(spark), _folder(spark)
+    samples = src.tef_samples(spark, d).select(*KEYS, "face", "salt", "q")
+    early = F.col("ocean_time") < tp.ntz(datetime(1995, 6, 1))
+
+    def build(rows: DataFrame) -> DataFrame:
+        return exchange.net_from_samples(rows, {"salt": SALT}, KEYS)
+
+    for rows in (samples.where(early), samples.where(~early), samples.where(tp.at_time("1995")).withColumn("q", F.col("q") * 4)):
+        rows.write.mode("append").parquet(source)
+        ledger.deliver(spark, source, build, target, rows.schema)
+    return ledger.merged(spark, target, [*KEYS, "salt_idx"], ["Qnet"])
+
+
+@query
+def overlapping_files(spark, d):
+    """Model output in files of which two overlap by half a year; where they do, the later file counts."""
+    path, when = _folder(spark), F.col("ocean_time")
+    cols = src.grid_columns(spark, d)
+    middle, late = tp.ntz(datetime(1995, 7, 1)), tp.ntz(datetime(1996, 1, 1))
+    parts = {"his_1": cols.where(when < tp.ntz(datetime(1994, 1, 1))), "his_2": cols.where((when >= tp.ntz(datetime(1994, 1, 1))) & (when < late)), "his_3": cols.where(when >= middle).withColumn("zeta", F.col("zeta") + 1)}
+    for name, part in parts.items():
+        tables.write(part.coalesce(1), f"{path}/{name}")
+    read = tables.open_columns(spark, [f"{path}/{name}" for name in parts], cols.schema, overlap="last")
+    return read.groupBy("ocean_time").agg(F.count(F.lit(1)).alias("n"), F.sum("zeta").alias("zeta"))
+
+
+@query
+def stored_columns(spark, d):
+    """Long cells written, read and packed to water columns, which are written and opened by a glob in the model's schema."""
+    path = _folder(spark)
+    cols = src.grid_columns(spark, d).withColumns({c: F.lit(None).cast("double") for c in ("f", "lon_rho", "lat_rho")})
+    static = ["h", "pm", "pn", "f", "lon_rho", "lat_rho"]
+    cells = grid.unpack_levels(cols.select("ocean_time", "j", "i", "salt", "temp", "aks", "u", "v"), src.N_LEVELS + 1, ["salt", "temp", "aks", "u", "v"])
+    tables.write(cells, f"{path}/cells")
+    still = cols.groupBy("j", "i").agg(*[F.max(c).alias(c) for c in static])
+    packed = tables.pack_cells(tables.scan(spark, f"{path}/cells"), cols.select("ocean_time", "j", "i", "zeta", "ssflux"), still, src.N_LEVELS)
+    packed = packed.select(COLUMNS_SCHEMA.names)
+    for half in (0, 1):
+        tables.write(packed.where(F.col("j") % 2 == half), f"{path}/his_{half}")
+    opened = tables.open_columns(spark, f"{path}/his_*")
+    long = grid.unpack_levels(opened.select("ocean_time", "j", "i", "h", "zeta", "salt", "u"), src.N_LEVELS, ["salt", "u"])
+    return long.groupBy("ocean_time", "k").agg(F.count("salt").alias("n"), F.sum("salt").alias("salt"), F.sum("u").alias("u"), F.sum(F.col("h") + F.col("zeta")).alias("depth"))
+
+
 @query
 def merged_results(spark, d):
     """Two result families with partly common keys side by side."""

@@ -863,5 +863,38 @@ SELECT ocean_time, xc, lead(n) OVER (ORDER BY ocean_time) AS n FROM hs QUALIFY l
     }
 
 
+def _stored_sql() -> dict[str, str]:
+    """Results that the queries write and read back."""
+    net = """net AS (
+  SELECT cv_id, ocean_time, salt_idx, sum({factor} * sgn * q) AS qn, sum({factor} * sgn * qs) AS qsn
+  FROM tefb WHERE salt_idx IS NOT NULL GROUP BY ALL
+)"""
+    plain = net.format(factor="1")
+    nets = f'cv_id, ocean_time, salt_idx, {_SB}, qn AS "Qnet", qsn AS "Qsnet"'
+    twice = net.format(factor="(CASE WHEN year(ocean_time) = 1995 THEN 2 ELSE 1 END)")
+    later = net.format(factor="(CASE WHEN year(ocean_time) = 1995 THEN 4 ELSE 1 END)")
+    return {
+        "daily_results": f"WITH {_TEF}, {twice} SELECT {nets}, CAST(ocean_time AS DATE) AS ocean_date FROM net",
+        "monthly_results": f"""WITH {_TEF}, {plain}
+SELECT {nets}, CAST(year(ocean_time) AS INTEGER) AS year, CAST(month(ocean_time) AS INTEGER) AS month FROM net
+WHERE month(ocean_time) BETWEEN 6 AND 8 AND year(ocean_time) >= 1994""",
+        "volume_results": f"WITH {_TEF}, {plain} SELECT {nets} FROM net WHERE cv_id IN (1, 3)",
+        "chunk_results": f"""WITH {_TEF}, {plain},
+st AS (SELECT cv_id, ocean_time, row_number() OVER (PARTITION BY cv_id ORDER BY ocean_time) - 1 AS pos FROM (SELECT DISTINCT cv_id, ocean_time FROM net)),
+ln AS (SELECT cv_id, count(*) AS len FROM st GROUP BY cv_id)
+SELECT cv_id, ocean_time, salt_idx, {_SB}, qn AS "Qnet", 2::INTEGER AS chunk_id
+FROM net JOIN st USING (cv_id, ocean_time) JOIN ln USING (cv_id)
+WHERE pos >= floor(2 * (len / 7.0e0)) AND pos < floor(3 * (len / 7.0e0))""",
+        "versioned_results": f"""WITH {_TEF}, {plain},
+v AS (SELECT unnest(['two volumes', 'all volumes']) AS description, unnest([2, 4]) AS below)
+SELECT cv_id, description, 80::INTEGER AS n_bins, count(*) AS n, sum(qn) AS "Qnet" FROM net JOIN v ON cv_id < below GROUP BY ALL""",
+        "redelivered_days": f"WITH {_TEF}, {later} SELECT cv_id, ocean_time, salt_idx, qn AS \"Qnet\" FROM net",
+        "overlapping_files": f"""WITH {_GRID}
+SELECT t AS ocean_time, count(*) AS n, sum(zeta + CASE WHEN t >= TIMESTAMP '1995-07-01' THEN 1 ELSE 0 END) AS zeta FROM col GROUP BY t""",
+        "stored_columns": f"""WITH {_GRID}
+SELECT t AS ocean_time, CAST(k AS INTEGER) AS k, count(salt) AS n, sum(salt) AS salt, sum(u) AS u, sum(h + zeta) AS depth FROM lev GROUP BY t, k""",
+    }
+
+
 def all_sql() -> dict[str, str]:
-    return {**_exchange_sql(), **_histogram_sql(), **_budget_sql(), **_grid_sql(), **_face_sql(), **_series_sql()}
+    return {**_exchange_sql(), **_histogram_sql(), **_budget_sql(), **_grid_sql(), **_face_sql(), **_series_sql(), **_stored_sql()}

@@ -10,8 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import datetime, timezone
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,15 +27,50 @@ def scan(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType |
     return reader.parquet(*([paths] if isinstance(paths, str) else paths))
 
 
-def without_overlap(df: DataFrame, keys: Sequence[str] = ("ocean_time", "j", "i")) -> DataFrame:
+#: Overlapping files up to this number are named in the predicate of the scan, so that each file is read by one branch only.
+NAMED_FILES = 1000
+
+
+def file_spans(df: DataFrame, time: str = "ocean_time") -> DataFrame:
+    """First and last time of each file of a scan; reads the time column only."""
+    return df.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.min(time).alias("first"), F.max(time).alias("last"))
+
+
+def overlapping(spans: DataFrame) -> DataFrame:
+    """Files whose span meets that of another file (equal ends included).
+
+    One row per file in one window, whatever the number of rows in them.
+    """
+    ordered = Window.orderBy("first", "file")
+    before = F.max("last").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.lead("first").over(ordered)
+    near = spans.withColumns({"__before": before, "__after": after})
+    return near.where((F.col("__before") >= F.col("first")) | (F.col("__after") <= F.col("last"))).select("file")
+
+
+def without_overlap(df: DataFrame, keys: Sequence[str] = ("ocean_time", "j", "i"), time: str = "ocean_time") -> DataFrame:
     """One row per key of tables whose files overlap: the one from the last file by name.
 
-    Faces and cells would otherwise see different ones of two rows, or count both.  One
-    shuffle, meant to be done once at ingest with the result written.
+    Faces and cells would otherwise see different ones of two rows, or count both.  Files that share no
+    time with others go through as they are; only rows of overlapping files are shuffled.
+    ``keys`` include ``time``.  Finding the overlaps is one job over the time column.
     """
+    contested = overlapping(file_spans(df, time))
+    names = [r.file for r in contested.limit(NAMED_FILES + 1).collect()]
+    if not names:
+        return df
+    file = F.col("_metadata.file_path")
+    if len(names) <= NAMED_FILES:
+        alone, shared = df.where(~file.isin(names)), df.where(file.isin(names))
+    else:
+        tagged = df.select("*", file.alias("__file"))
+        held = contested.withColumnRenamed("file", "__file")
+        alone, shared = (tagged.join(held, "__file", how) for how in ("left_anti", "left_semi"))
+        file = F.col("__file")
     others = [c for c in df.columns if c not in keys]
-    last = F.max_by(F.struct(*others), F.col("_metadata.file_path")).alias("__row")
-    return df.groupBy(*keys).agg(last).select(*keys, "__row.*").select(*df.columns)
+    last = F.max_by(F.struct(*others), file).alias("__row")
+    single = shared.groupBy(*keys).agg(last).select(*keys, "__row.*").select(*df.columns)
+    return alone.select(*df.columns).unionByName(single)
 
 
 def open_columns(
@@ -92,11 +128,16 @@ def unify_dimensions(df: DataFrame) -> DataFrame:
 
 
 def merge_results(parts: list[DataFrame], keys: list[str]) -> DataFrame:
-    """Result families with common coordinates side by side; a key missing in one stays."""
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(p, keys, "full_outer")
-    return out
+    """Result families with common coordinates side by side; a key missing in one stays, and null keys
+    meet like others."""
+
+    def beside(left: DataFrame, right: DataFrame) -> DataFrame:
+        other = right.withColumnsRenamed({k: f"__{k}" for k in keys})
+        equal = reduce(lambda a, b: a & b, [left[k].eqNullSafe(other[f"__{k}"]) for k in keys])
+        joined = left.join(other, equal, "full_outer")
+        return joined.withColumns({k: F.coalesce(F.col(k), F.col(f"__{k}")) for k in keys}).drop(*[f"__{k}" for k in keys])
+
+    return reduce(beside, parts)
 
 
 def write(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite", replace: str = "all") -> None:
@@ -150,8 +191,3 @@ def run_metadata(
     stamp = (created or datetime.now(timezone.utc)).replace(tzinfo=None)
     boxes = [(v.cv_id, v.i0, v.i1, v.j0, v.j1, v.convention) for v in volumes]
     return spark.createDataFrame([(description, stamp, boxes, n_bins or {}, units or {})], schema)
-
-
-def write_with_metadata(df: DataFrame, path: str, metadata: DataFrame, partition_by: Sequence[str] = ()) -> None:
-    write(df, f"{path}/data", partition_by)
-    metadata.coalesce(1).write.mode("overwrite").parquet(f"{path}/metadata")

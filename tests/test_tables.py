@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from haloflux.functions.timeparts import at_time
 from haloflux.operators import exchange, grid, volumes
 from haloflux.schema import CELLS_SCHEMA, COLUMNS_SCHEMA, BinSpec, ControlVolume, control_volume_table
-from haloflux.sources import tables
+from haloflux.sources import ledger, tables, versions
 from haloflux.streaming import daily
 
 SALT = BinSpec("salt", 0.0, 60.0, 60)
@@ -61,10 +61,10 @@ def test_month_chunk_and_volume_partitions(spark, tmp_path):
 def test_metadata_beside_the_result(spark, tmp_path):
     box = ControlVolume(3, 50, 250, 150, 350)
     meta = tables.run_metadata(spark, "volume transport", [box], {"salt": 100}, {"q": "m^3 s^-1"}, datetime(2010, 1, 1))
-    tables.write_with_metadata(spark.range(3), str(tmp_path / "r"), meta)
-    m = spark.read.parquet(str(tmp_path / "r/metadata")).first()
+    versions.publish({"data": spark.range(3), "metadata": meta}, str(tmp_path / "r"))
+    m = versions.read(spark, str(tmp_path / "r"), "metadata").first()
     assert m.volumes[0].i1 == 250 and m.n_bins == {"salt": 100} and m.created == datetime(2010, 1, 1)
-    assert spark.read.parquet(str(tmp_path / "r/data")).count() == 3
+    assert versions.read(spark, str(tmp_path / "r")).count() == 3
     assert control_volume_table(spark, [box]).first().convention == "closed"
 
 
@@ -129,8 +129,8 @@ def test_a_second_run_leaves_nothing_of_the_first(spark, tmp_path):
     meta = tables.run_metadata(spark, "q")
     for kept in (df, df.where("cv_id < 2")):
         tables.write_per_volume(kept, str(tmp_path / "v"))
-        tables.write_with_metadata(kept, str(tmp_path / "m"), meta, ["cv_id"])
-        assert tables.scan(spark, str(tmp_path / "v")).count() == spark.read.parquet(str(tmp_path / "m/data")).count() == kept.count()
+        versions.publish({"data": kept, "metadata": meta}, str(tmp_path / "m"), ["cv_id"])
+        assert tables.scan(spark, str(tmp_path / "v")).count() == versions.read(spark, str(tmp_path / "m")).count() == kept.count()
 
 
 def test_overlapping_files_count_once(spark, tmp_path):
@@ -156,3 +156,133 @@ def test_a_new_checkpoint_starts_over(spark, tmp_path):
 
     assert run("first", 1) == 3.0
     assert run("second", None) == 3.0
+
+
+class Died(Exception):
+    pass
+
+
+def test_a_run_that_dies_between_its_parts_changes_nothing(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "r")
+    with pytest.raises(FileNotFoundError):
+        versions.read(spark, path)
+    assert versions.publish({"data": spark.range(3), "about": spark.range(1)}, path) == 1
+    real = versions.write
+    for dies_at in ("/data", "/about"):
+
+        def write(df, to, partition_by=(), dies_at=dies_at):
+            if to.endswith(dies_at):
+                raise Died
+            real(df, to, partition_by)
+
+        monkeypatch.setattr(versions, "write", write)
+        with pytest.raises(Died):
+            versions.publish({"data": spark.range(9), "about": spark.range(9)}, path)
+        assert versions.read(spark, path).count() == 3 and versions.read(spark, path, "about").count() == 1
+    monkeypatch.setattr(versions, "write", real)
+    assert versions.publish({"data": spark.range(5), "about": spark.range(2)}, path) == 2
+    assert versions.read(spark, path).count() == 5 and versions.read(spark, path, number=1).count() == 3
+    assert [r.number for r in versions.published(spark, path).orderBy("number").collect()] == [1, 2]
+
+
+def by_day(rows):
+    return rows.groupBy("g", "ocean_time").agg(F.sum("q").alias("q"))
+
+
+class Deliveries:
+    """Files of (day, g, q) rows and what a ledger makes of them."""
+
+    def __init__(self, spark, folder):
+        self.spark, self.source, self.target = spark, folder / "in", str(folder / "out")
+        self.source.mkdir()
+        self.schema = "ocean_time timestamp_ntz, g int, q double"
+
+    def file(self, name, rows, seconds):
+        """Writes one Parquet file with a modification time of its own."""
+        import os
+
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+
+        times = pa.array([datetime(2010, 6, d, 5) for d, _, _ in rows], pa.timestamp("us"))
+        table = pa.table({"ocean_time": times, "g": pa.array([g for _, g, _ in rows], pa.int32()), "q": pa.array([q for _, _, q in rows], pa.float64())})
+        pq.write_table(table, self.source / name)
+        os.utime(self.source / name, (seconds, seconds))
+
+    def take(self, build=by_day):
+        return ledger.deliver(self.spark, str(self.source), build, self.target, self.schema)
+
+    def sums(self):
+        rows = ledger.merged(self.spark, self.target, ["g", "ocean_time"], ["q"]).collect()
+        return {(r.ocean_time.day, r.g): r.q for r in rows}
+
+
+def test_days_delivered_again_replace_themselves(spark, tmp_path):
+    d = Deliveries(spark, tmp_path)
+    d.file("a.parquet", [(1, 0, 1.0), (2, 0, 2.0)], 1000)
+    d.file("b.parquet", [(2, 1, 4.0), (3, 0, 8.0)], 1000)
+    assert d.take() == 1 and d.take() is None
+    assert d.sums() == {(1, 0): 1.0, (2, 0): 2.0, (2, 1): 4.0, (3, 0): 8.0}
+    # a day under a new name, with fewer groups, and a new day
+    d.file("c.parquet", [(2, 0, 16.0), (4, 0, 32.0)], 2000)
+    assert d.take() == 2 and d.sums() == {(1, 0): 1.0, (2, 0): 16.0, (3, 0): 8.0, (4, 0): 32.0}
+    # a file rewritten in place: its other days and the unchanged file that shares one of them stay whole
+    d.file("d.parquet", [(5, 0, 1.0)], 3000)
+    d.file("e.parquet", [(5, 0, 2.0), (6, 0, 3.0)], 3000)
+    assert d.take() == 3 and d.sums()[5, 0] == 3.0
+    d.file("d.parquet", [(5, 0, 10.0), (5, 1, 1.0)], 4000)
+    assert d.take() == 4 and {k: v for k, v in d.sums().items() if k[0] > 4} == {(5, 0): 12.0, (5, 1): 1.0, (6, 0): 3.0}
+    # a day that the rewritten file no longer holds goes
+    d.file("c.parquet", [(2, 0, 16.0)], 5000)
+    assert d.take() == 5 and d.sums() == {(1, 0): 1.0, (2, 0): 16.0, (3, 0): 8.0, (5, 0): 12.0, (5, 1): 1.0, (6, 0): 3.0}
+
+
+def test_a_delivery_that_dies_is_taken_again(spark, tmp_path, monkeypatch):
+    d = Deliveries(spark, tmp_path)
+    d.file("a.parquet", [(1, 0, 1.0)], 1000)
+    assert d.take() == 1
+    d.file("b.parquet", [(1, 0, 5.0)], 2000)
+    real = ledger.write
+
+    def write(*args, **kwargs):
+        real(*args, **kwargs)
+        raise Died
+
+    monkeypatch.setattr(ledger, "write", write)
+    with pytest.raises(Died):
+        d.take()
+    monkeypatch.setattr(ledger, "write", real)
+    assert d.sums() == {(1, 0): 1.0}
+    assert d.take() == 2 and d.sums() == {(1, 0): 5.0}
+
+
+def test_only_overlapping_files_are_shuffled(spark, tmp_path):
+    cols = make_columns(spark, nt=8, nj=2, ni=2)
+    hour = F.hour("ocean_time")
+    for name, first, last in (("a", 0, 1), ("b", 2, 3), ("c", 3, 5), ("d", 6, 7)):
+        cols.where(hour.between(first, last)).withColumn("zeta", F.lit(float(ord(name)))).coalesce(1).write.parquet(str(tmp_path / f"his_{name}"))
+    apart = tables.open_columns(spark, [str(tmp_path / f"his_{n}") for n in "abd"], overlap="last")
+    assert "Exchange" not in apart._jdf.queryExecution().executedPlan().toString() and apart.count() == 24
+    df = tables.scan(spark, str(tmp_path / "his_*"), COLUMNS_SCHEMA)
+    met = {r.file.split("his_")[1][0] for r in tables.overlapping(tables.file_spans(df)).collect()}
+    assert met == {"b", "c"}
+    for named in (1000, 1):
+        tables.NAMED_FILES, before = named, tables.NAMED_FILES
+        try:
+            once = tables.open_columns(spark, str(tmp_path / "his_*"), overlap="last")
+        finally:
+            tables.NAMED_FILES = before
+        got = {r.ocean_time.hour: (r.n, r.z) for r in once.groupBy("ocean_time").agg(F.count("j").alias("n"), F.max("zeta").alias("z")).collect()}
+        assert got == {h: (4, float(ord("aabccdd"[h - (h > 3)] if h != 3 else "c"))) for h in range(8)}
+        if named == 1000:
+            # files without overlap are scanned in a branch of their own, before the only shuffle of the other branch
+            plan = once._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Union") < plan.index("FileScan") < plan.index("Exchange")
+
+
+def test_null_keys_meet_when_results_are_merged(spark):
+    a = spark.createDataFrame([(None, 1.0), (1, 2.0)], "k int, a double")
+    b = spark.createDataFrame([(None, 5.0), (2, 6.0)], "k int, b double")
+    c = spark.createDataFrame([(None, 7.0)], "k int, c double")
+    got = {r.k: (r.a, r.b, r.c) for r in tables.merge_results([a, b, c], ["k"]).collect()}
+    assert got == {None: (1.0, 5.0, 7.0), 1: (2.0, None, None), 2: (None, 6.0, None)}
