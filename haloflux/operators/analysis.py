@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import vertical as vt
 from ..functions.timeparts import truncate
-from ..schema import BinSpec, SLevels
+from ..schema import BinSpec, ControlVolume, SLevels
 from .grid import centred_gradient, mean2, with_neighbours
+from .volumes import stencil_in_volumes
 
 
 def marginal(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
@@ -165,6 +166,29 @@ def gradient_magnitude(surface: DataFrame, field: str, last_i: int, last_j: int,
     return gy.withColumn(name, F.sqrt(gx_ * gx_ + gy_ * gy_)).withColumnsRenamed({"__gx": "dsdx", "__gy": "dsdy"})
 
 
+#: How far the stencils reach: neighbours of a column that its gradient, and its corner's velocity gradients, depend on.
+GRADIENT_REACH, KINEMATICS_REACH = 1, 2
+
+
+def volume_gradient(columns: DataFrame, volumes: list[ControlVolume], field: str, last_i: int, last_j: int, keys: list[str], level: int = -1) -> DataFrame:
+    """:func:`gradient_magnitude` of one level (the surface) of each volume, reading no more than the volumes and their rims."""
+
+    def stencil(near: DataFrame) -> DataFrame:
+        one_level = at_level(near.select(*keys, "j", "i", "pm", "pn", field), [field], level)
+        return gradient_magnitude(one_level, field, last_i, last_j, keys)
+
+    return stencil_in_volumes(columns, volumes, GRADIENT_REACH, stencil)
+
+
+def volume_kinematics(columns: DataFrame, volumes: list[ControlVolume], levels: SLevels) -> DataFrame:
+    """:func:`surface_kinematics` at the corners of the columns of each volume, likewise."""
+
+    def stencil(near: DataFrame) -> DataFrame:
+        return surface_kinematics(surface_velocity_gradients(near, levels))
+
+    return stencil_in_volumes(columns, volumes, KINEMATICS_REACH, stencil)
+
+
 def aligned(series: list[DataFrame], keys: list[str]) -> DataFrame:
     """Series with common keys side by side, on the steps all of them have."""
     return reduce(lambda a, b: a.join(b, keys), series)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vertical as vt
-from ..schema import ControlVolume, SLevels, control_volume_table
+from ..schema import ControlVolume, SLevels
 
 # Above this many rows a membership table is joined by shuffle instead of broadcast.
 # A row is under 100 bytes, so the largest broadcast stays near 20 MB.
@@ -40,23 +43,67 @@ def _broadcast_if_small(table: DataFrame, rows: int) -> DataFrame:
 
 
 def in_volumes(columns: DataFrame, volumes: list[ControlVolume]) -> DataFrame:
-    """Adds ``cv_id``; a column inside several volumes appears once for each."""
+    """Adds ``cv_id``; a column inside several volumes appears once for each.
+
+    Few volumes are an expression; many are found through square tiles of about their size.
+    """
     columns = columns.where(_bounds(volumes))
     if len(volumes) == 1:
         return columns.withColumn("cv_id", F.lit(volumes[0].cv_id))
     if len(volumes) <= INLINE_VOLUMES:
         hits = [F.when(_bounds([v]), F.lit(v.cv_id)) for v in volumes]
         return columns.withColumn("cv_id", F.explode(F.array_compact(F.array(*hits))))
-    strips = control_volume_table(columns.sparkSession, volumes).select(
-        "cv_id", F.explode(F.sequence("i0", "i1")).alias("i"), F.col("j0").alias("__j0"), F.col("j1").alias("__j1")
-    )
-    n_strips = sum(v.i1 - v.i0 + 1 for v in volumes)
-    if n_strips <= BROADCAST_ROWS:
-        inside = F.col("j").between(F.col("__j0"), F.col("__j1"))
-        return columns.join(F.broadcast(strips), "i").where(inside).drop("__j0", "__j1")
-    # many volumes: match on both indices, so the shuffle keys are as fine as the grid
-    cells = strips.select("cv_id", "i", F.explode(F.sequence("__j0", "__j1")).alias("j"))
-    return columns.join(cells, ["i", "j"])
+    met = tile_candidates(columns, volumes)
+    inside = F.col("i").between(F.col("__i0"), F.col("__i1")) & F.col("j").between(F.col("__j0"), F.col("__j1"))
+    return met.where(inside).drop("__i0", "__i1", "__j0", "__j1")
+
+
+def tiles(volumes: list[ControlVolume]) -> list[tuple[int, ...]]:
+    """(row power, column power, tile row, tile column, cv_id, i0, i1, j0, j1) of every tile that a volume touches.
+
+    Sides of tiles are powers of two: for each volume the largest that are not longer than its own, so
+    that it touches three by three tiles at most, whatever its size.
+    """
+    rows = []
+    for v in volumes:
+        pj, pi = (n.bit_length() - 1 for n in (v.j1 - v.j0 + 1, v.i1 - v.i0 + 1))
+        rows += [
+            (pj, pi, tj, ti, v.cv_id, v.i0, v.i1, v.j0, v.j1)
+            for tj in range(v.j0 >> pj, (v.j1 >> pj) + 1)
+            for ti in range(v.i0 >> pi, (v.i1 >> pi) + 1)
+        ]
+    return rows
+
+
+def tile_candidates(columns: DataFrame, volumes: list[ControlVolume]) -> DataFrame:
+    """Columns beside the volumes whose tiles they lie in, to be compared with the bounds of these.
+
+    A column lies in one tile for each shape of tiles in use.  Of volumes that don't overlap, fewer than four
+    of a shape meet each column on average, so candidates follow hits.
+    """
+    rows = tiles(volumes)
+    names = "__pj int, __pi int, __tj int, __ti int, cv_id int, __i0 int, __i1 int, __j0 int, __j1 int"
+    table = _broadcast_if_small(columns.sparkSession.createDataFrame(rows, names), len(rows))
+    shapes = F.array(*[F.struct(F.lit(a).alias("__pj"), F.lit(b).alias("__pi")) for a, b in sorted({r[:2] for r in rows})])
+    placed = columns.select("*", F.inline(shapes)).withColumns({"__tj": F.expr("shiftright(j, __pj)"), "__ti": F.expr("shiftright(i, __pi)")})
+    keys = ["__pj", "__pi", "__tj", "__ti"]
+    return placed.join(table, keys).drop(*keys)
+
+
+def widened(columns: DataFrame, volumes: list[ControlVolume], reach: int) -> DataFrame:
+    """Columns within ``reach`` of a volume; the bounds of all of them reach the scan as pushed filters."""
+    near = columns.where(_bounds(volumes, reach))
+    if 1 < len(volumes) <= INLINE_VOLUMES:
+        near = near.where(reduce(lambda a, b: a | b, [_bounds([v], reach) for v in volumes]))
+    return near
+
+
+def stencil_in_volumes(columns: DataFrame, volumes: list[ControlVolume], reach: int, stencil: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Result of a horizontal stencil at the columns of volumes, with ``cv_id``.
+
+    Only the volumes and a rim as wide as the stencil's ``reach`` are read; the result is that of the whole domain.
+    """
+    return in_volumes(stencil(widened(columns, volumes, reach)), volumes)
 
 
 def face_reads(spark: SparkSession, volumes: list[ControlVolume], edge: str = "mean") -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import timeparts as tp
 from ..functions import vertical as vt
 from ..operators import analysis, budgets, exchange, grid, histogram, series, volumes
-from ..schema import COLUMNS_SCHEMA, BinSpec
+from ..schema import COLUMNS_SCHEMA, BinSpec, ControlVolume
 from ..session import shared_folder
 from ..sources import adapters as src
 from ..sources import ledger, tables, versions
@@ -511,6 +511,24 @@ def vorticity_stats(spark, d):
     return rounded(hist, {"density": 9})
 
 
+@query
+def gradient_boxes(spark, d):
+    """Salinity gradient at the surface of each box, from the box and its rim."""
+    g = src.shape(spark, d)
+    out = analysis.volume_gradient(src.grid_columns(spark, d), g.boxes, "salt", g.ni - 1, g.nj - 1, ["ocean_time"])
+    return out.select(*KEYS, "j", "i", "gradmag")
+
+
+@query
+def vorticity_boxes(spark, d):
+    """Density of relative vorticity at the surface of each box, from the box and its rim."""
+    g = src.shape(spark, d)
+    cols = src.grid_columns(spark, d).withColumn("f", (1 + F.col("j")) / F.lit(16384.0))
+    out = analysis.volume_kinematics(cols, g.boxes, LEVELS)
+    hist = histogram.density_histogram(out, "vorticity", BinSpec("vorticity", -60.0, 60.0, 60), ["cv_id"])
+    return rounded(hist, {"density": 9})
+
+
 # ---- faces and boxes ----------------------------------------------------------------
 
 
@@ -536,6 +554,16 @@ def face_area_volume(spark, d):
     return rounded(out, {"dv": 3, "q_norm": 9})
 
 
+@query
+def boxes_many(spark, d):
+    """Contents of every rectangle of up to two by two unit cells of the grid, in one pass."""
+    g = src.shape(spark, d)
+    corners = [(j, i, b, a) for b in (0, 1) for a in (0, 1) for j in range(src.NJ - b) for i in range(src.NI - a)]
+    boxes = [g.scaled(ControlVolume(n, i, i + a, j, j + b)) for n, (j, i, b, a) in enumerate(corners)]
+    cells = budgets.volume_cells(src.grid_columns(spark, d), boxes, LEVELS)
+    return budgets.volume_means(cells, ["cv_id"]).select("cv_id", "V", "sV", "ssV")
+
+
 @query
 def boxes_2x2(spark, d):
     g = src.shape(spark, d)

@@ -658,6 +658,24 @@ FROM wl w""",
         "staggered_volumes": f"WITH {_GRID},{wl}\n" + "\nUNION ALL\n".join(stag(p, w) for p in ("u", "v", "psi") for w in (False, True)),
         "rest_volume": f"""WITH {_GRID} SELECT {ji.format('')}, h * 6 / 8.0e0 / pm / pn AS "dV0" FROM stat""",
         "salt_gradient": f"WITH {surf} SELECT t AS ocean_time, {ji.format('')}, dsdx, dsdy, gradmag FROM gm",
+        "gradient_boxes": f"""WITH {surf},
+{_cv(_SPLIT)}
+SELECT cv_id, t AS ocean_time, {ji.format('')}, gradmag FROM gm, cv WHERE {_INCV}""",
+        "vorticity_boxes": f"""WITH {kin},
+{_cv(_SPLIT)},
+b AS (
+  SELECT cv_id, CAST(least(floor(((vx - uy) / f + 60) / 2), 59) AS INTEGER) AS vorticity_idx, count(*) AS n
+  FROM psi, cv WHERE {_INCV} AND (vx - uy) / f BETWEEN -60 AND 60 GROUP BY ALL
+)
+SELECT cv_id, vorticity_idx, -60 + (vorticity_idx + 0.5e0) * 2 AS vorticity_bin, n,
+  round(n / (sum(n) OVER (PARTITION BY cv_id)) / 2, 9) + 0.0e0 AS density FROM b""",
+        "boxes_many": f"""WITH {_GRID},
+cv AS (
+  SELECT row_number() OVER (ORDER BY b, a, j, i) - 1 AS cv_id, i * m AS i0, (i + a + 1) * m - 1 AS i1, j * m AS j0, (j + b + 1) * m - 1 AS j1
+  FROM (SELECT unnest(range(2)) AS b) bs, (SELECT unnest(range(2)) AS a) az, (SELECT unnest(range(6)) AS j) js, (SELECT unnest(range(8)) AS i) iz, refined
+  WHERE j + b < 6 AND i + a < 8
+)
+SELECT CAST(cv_id AS INTEGER) AS cv_id, sum(dv) AS "V", sum(salt * dv) AS "sV", sum(salt * salt * dv) AS "ssV" FROM lev, cv WHERE {_INCV} GROUP BY cv_id""",
         "gradient_stats": f"""WITH {surf},
 b AS (
   SELECT CAST(date_trunc('year', t) AS TIMESTAMP) AS period, CAST(least(floor(gradmag * 1024), 63) AS INTEGER) AS grad_idx, count(*) AS n

@@ -185,3 +185,20 @@ def test_line_predicate_never_drops_a_line(spark, monkeypatch, most):
     lines = {1, 2, 3, 10, 11, 40}
     got = {r.i for r in spark.range(60).select(F.col("id").alias("i")).where(volumes._on_lines("i", lines)).collect()}
     assert lines <= got and (most < 64 or got == lines)
+
+
+def test_a_thousand_boxes_in_one_pass_meet_few_columns_beyond_their_own(spark):
+    """Boxes that tile the grid and some of other sizes: candidates stay within four times the hits."""
+    cols = spark.range(160 * 160).select((F.col("id") % 160).cast("int").alias("i"), F.floor(F.col("id") / 160).cast("int").alias("j"))
+    whole = [ControlVolume(n, 5 * (n % 32), 5 * (n % 32) + 4, 5 * (n // 32), 5 * (n // 32) + 4) for n in range(1024)]
+    others = [ControlVolume(2000 + n, 7 * n, 7 * n + 40, 11 * n, 11 * n + 3) for n in range(10)] + [ControlVolume(3000, 0, 159, 0, 159), ControlVolume(3001, 3, 3, 8, 8)]
+    many = whole + others
+    got = volumes.in_volumes(cols, many)
+    assert got.columns == ["i", "j", "cv_id"]
+    sizes = {r.cv_id: r["count"] for r in got.groupBy("cv_id").count().collect()}
+    assert sizes == {v.cv_id: (v.i1 - v.i0 + 1) * (v.j1 - v.j0 + 1) for v in many}
+    assert volumes.tile_candidates(cols, whole).count() <= 4 * sum(sizes[v.cv_id] for v in whole)
+    assert all(sum(r[4] == v.cv_id for r in volumes.tiles(many)) <= 9 for v in many)
+    south_west = [ControlVolume(n, -9 + n, -5 + n, -7, -3) for n in range(20)]
+    shifted = cols.selectExpr("i - 20 AS i", "j - 10 AS j")
+    assert volumes.in_volumes(shifted, south_west).count() == 20 * 25

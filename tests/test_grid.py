@@ -165,3 +165,32 @@ def test_reference_density_is_only_added_where_absent(spark):
     df = spark.createDataFrame([(1,)], "k int")
     assert grid.with_reference_density(df).first().rho0 == 1025.0
     assert grid.with_reference_density(df.withColumn("rho0", F.lit(1000.0))).first().rho0 == 1000.0
+
+
+def test_stencils_in_volumes_read_a_rim_and_equal_those_of_the_domain(spark, tmp_path):
+    from haloflux.operators import volumes
+    from haloflux.schema import ControlVolume
+
+    lev = uniform_levels(3)
+    wavy = dict(salt=lambda t, k, j, i: 30.0 + (3 * i + 5 * j + k) % 7, u=lambda t, k, j, i: ((i * j + k) % 5) / 4, v=lambda t, k, j, i: ((2 * i + j * j) % 7) / 4, zeta=lambda t, j, i: ((i + j) % 3) / 8, h=lambda j, i: 20.0 + i + 2 * j)
+    make_columns(spark, nt=2, nj=9, ni=10, skip={(4, 6)}, **wavy).repartition(3).write.parquet(str(tmp_path / "cols"))
+    cols = spark.read.parquet(str(tmp_path / "cols"))
+    boxes = [ControlVolume(0, 0, 2, 0, 3), ControlVolume(1, 5, 7, 3, 6), ControlVolume(2, 6, 9, 5, 8)]
+    keys = ["cv_id", "ocean_time", "j", "i"]
+    surface = analysis.at_level(cols.select("ocean_time", "j", "i", "pm", "pn", "salt"), ["salt"], -1)
+    whole = volumes.in_volumes(analysis.gradient_magnitude(surface, "salt", 9, 8, ["ocean_time"]), boxes)
+    cut = analysis.volume_gradient(cols, boxes, "salt", 9, 8, ["ocean_time"])
+    rows = lambda df, *c: sorted(map(tuple, df.select(*keys, *c).collect()), key=str)
+    assert rows(cut, "dsdx", "dsdy", "gradmag") == rows(whole, "dsdx", "dsdy", "gradmag") and cut.count() > 60
+    fields = ("vorticity", "divergence", "strain")
+    kinematics = volumes.in_volumes(analysis.surface_kinematics(analysis.surface_velocity_gradients(cols, lev)), boxes)
+    cut = analysis.volume_kinematics(cols, boxes, lev)
+    assert rows(cut, *fields) == rows(kinematics, *fields)
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
+    try:
+        plan = analysis.volume_kinematics(cols, [boxes[1]], lev)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = plan[plan.index("PushedFilters") :]
+    for bound in ("GreaterThanOrEqual(i,3)", "LessThanOrEqual(i,9)", "GreaterThanOrEqual(j,1)", "LessThanOrEqual(j,8)"):
+        assert bound in pushed
