@@ -2,23 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-SETTING = "spark.checkpoint.dir"
+from haloflux.session import shared_folder
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; where it is unset, as in local tests, a temporary one."""
-    folder = spark.conf.get(SETTING, None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"{SETTING} must name a folder shared by all executors")
-        folder = f"file://{tempfile.mkdtemp(prefix='haloflux-')}"
-        spark.conf.set(SETTING, folder)
-    return folder.rstrip("/")
+def drawn(share: float, *columns: str | Column) -> Column:
+    """A share of all rows, drawn by a hash of columns: as many bits as a hash has, so that no share is too small."""
+    if share >= 1:
+        return F.lit(True)
+    return F.shiftrightunsigned(F.xxhash64(*columns), 1) < F.lit(int(share * 2.0**63))
 
 
 def written(df: DataFrame) -> DataFrame:

@@ -11,8 +11,7 @@ rarer than ``CHANCE`` are passages.  A document's evidence is the sum of -ln(exp
 its passages, and a logistic curve fitted on the same unseen labelled documents turns it
 into a probability.
 
-Only the fit uses a sample: about ``LABELLED`` labelled documents, drawn by a hash of the id, and at
-most ``MOST_UNITS`` units.  Scoring reads every text whole in one pass without a shuffle.  Null and
+Only the fit uses a sample: about ``LABELLED`` labelled documents, drawn by a hash of the id.  Scoring reads every text whole in one pass without a shuffle.  Null and
 empty texts have no evidence and get the probability of that.  Without labels of both classes
 every score is 0.  Repeated rows score alike, an id labelled both ways counts as toxic, extra
 columns are ignored.
@@ -29,11 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haloflux.llm.quality import Logistic
-from haloflux.llm.scratch import arrow_settings
+from haloflux.llm.scratch import arrow_settings, drawn
 from haloflux.llm.text import pieces, raw, span_hashes
 
 LABELLED = 40_000
-MOST_UNITS = 200_000
 PRIOR = 500.0
 SIGNIFICANT = 3.0
 LEAST_DOCS = 3
@@ -106,25 +104,35 @@ class Model:
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, end, score), in order: each cannot grow, and none holds another.
 
-    Only positive tokens are visited; what lies between them enters through the running sum.
+    Only positive tokens are visited; what lies between them enters through the running sum.  Each open
+    segment knows the last one before it that starts from a lower sum, so what was passed over once is
+    never visited again; a segment with none before it closes all others.  Linear in the number of tokens.
     """
     positive = np.flatnonzero(scores > 0)
-    if not len(positive):
-        return []
     total = np.cumsum(scores)
-    stack: list[tuple[int, int, float, float]] = []  # start, end, sum before, sum at the end
-    for i in positive.tolist():
-        start, left, right = i, float(total[i] - scores[i]), float(total[i])
+    done: list[tuple[int, int, float]] = []
+    starts, ends, lefts, rights, lower = [], [], [], [], []  # open segments: ends in tokens, sums there, last lower one
+    before = total[positive] - scores[positive]
+    for i, left, right in zip(positive.tolist(), before.tolist(), total[positive].tolist(), strict=True):
+        start, j = i, len(starts) - 1
         while True:
-            j = len(stack) - 1
-            while j >= 0 and stack[j][2] >= left:
-                j -= 1
-            if j < 0 or stack[j][3] >= right:
+            while j >= 0 and lefts[j] >= left:
+                j = lower[j]
+            if j < 0 or rights[j] >= right:
                 break
-            start, left = stack[j][0], stack[j][2]
-            del stack[j:]
-        stack.append((start, i + 1, left, right))
-    return [(s, e, r - l) for s, e, l, r in stack]
+            # the two and all between them are one
+            start, left, k = starts[j], lefts[j], j
+            j = lower[j]
+            del starts[k:], ends[k:], lefts[k:], rights[k:], lower[k:]
+        if j < 0:
+            done += [(s, e, r - l) for s, e, l, r in zip(starts, ends, lefts, rights, strict=True)]
+            starts, ends, lefts, rights, lower = [], [], [], [], []
+        starts.append(start)
+        ends.append(i + 1)
+        lefts.append(left)
+        rights.append(right)
+        lower.append(j)
+    return done + [(s, e, r - l) for s, e, l, r in zip(starts, ends, lefts, rights, strict=True)]
 
 
 def segments_of(column: pa.Array, model: Model) -> Iterator[tuple[int, list[tuple[int, int, float]], np.ndarray]]:
@@ -145,7 +153,7 @@ def unit_weights(counts: DataFrame, toxic_docs: int, clean_docs: int) -> tuple[n
         return F.log((F.col(n) + prior) / (F.lit(float(size)) + PRIOR - F.col(n) - prior + 1e-9))
 
     weighed = counts.where(F.col("toxic") + F.col("clean") >= LEAST_DOCS).select("key", (odds("toxic", toxic_docs) - odds("clean", clean_docs)).alias("weight"), F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior)).alias("error"))
-    kept = weighed.where(F.abs(F.col("weight")) > SIGNIFICANT * F.col("error")).orderBy(-F.abs(F.col("weight") / F.col("error")), "key").limit(MOST_UNITS).select("key", "weight").toPandas()
+    kept = weighed.where(F.abs(F.col("weight")) > SIGNIFICANT * F.col("error")).select("key", "weight").toPandas()  # units of at least LEAST_DOCS of the sampled documents
     keys = kept["key"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(keys)
     return keys[order], kept["weight"].to_numpy(dtype=float)[order]
@@ -169,9 +177,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> Model:
     arrow_settings(docs.sparkSession)
     known = labels.where(F.col(label_col).isNotNull()).groupBy("doc_id").agg(F.max(F.col(label_col).cast("int")).alias("label"))
     share = min(1.0, LABELLED / max(known.count(), 1))
-    spread = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(spread < int(share * 1_000_000))
-    drawn = docs.join(known, "doc_id")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(drawn(share, "doc_id"))
+    sample = docs.join(known, "doc_id")
     first = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)) == 0
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,42 +194,52 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> Model:
                 every = np.bincount(at, minlength=len(keys))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(bad), pa.array(every - bad)], ["key", "toxic", "clean"])
 
-    sizes = drawn.where(first).agg(F.coalesce(F.sum("label"), F.lit(0)).alias("toxic"), F.count("*").alias("docs")).first()
+    sizes = sample.where(first).agg(F.coalesce(F.sum("label"), F.lit(0)).alias("toxic"), F.count("*").alias("docs")).first()
     toxic_docs, clean_docs = int(sizes["toxic"]), int(sizes["docs"] - sizes["toxic"])
     if not toxic_docs or not clean_docs:
         return Model()
-    counts = drawn.where(first).select("text", "label").mapInArrow(count, "key long, toxic long, clean long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = sample.where(first).select("text", "label").mapInArrow(count, "key long, toxic long, clean long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     model = Model(*unit_weights(counts, toxic_docs, clean_docs))
 
+    rest = sample.where(~first).select("text", "label")
+
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts of token scores of clean documents (label NULL) and, of each document, its words and best segment."""
+        seen: dict[float, int] = {}
         for batch in batches:
             for part in pieces(batch):
-                n, segments, values, shares = [], [], [], []
-                for words, found, scores in segments_of(part.column("text"), model):
+                n, tops = [], []
+                labels = part.column("label").to_pylist()
+                for label, (words, found, scores) in zip(labels, segments_of(part.column("text"), model), strict=True):
                     n.append(words)
-                    segments.append([s for _, _, s in found])
-                    value, times = np.unique(np.round(scores, 2), return_counts=True)
-                    values.append(value)
-                    shares.append(times)
-                lists = pa.list_(pa.float64())
-                yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(n, pa.int64()), pa.array(segments, lists), pa.array(values, lists), pa.array(shares, pa.list_(pa.int64()))], ["label", "n", "segments", "values", "times"])
-
-    rest = drawn.where(~first).select("doc_id", "text", "label").orderBy("doc_id").select("text", "label")
-    seen = rest.mapInArrow(measure, "label int, n long, segments array<double>, values array<double>, times array<long>").toPandas()
-    clean, label = seen[seen["label"] == 0], seen["label"].to_numpy(dtype=float)
-    if not 0 < label.mean() < 1:
+                    tops.append(max((s for _, _, s in found), default=0.0))
+                    if not label:
+                        for value, times in zip(*(x.tolist() for x in np.unique(np.round(scores, 2), return_counts=True)), strict=True):
+                            seen[value] = seen.get(value, 0) + times
+                yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(n, pa.int64()), pa.array(tops, pa.float64())], ["label", "n", "value"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(seen), pa.int32()), pa.array(seen.values(), pa.int64()), pa.array(seen.keys(), pa.float64())], ["label", "n", "value"])
+
+    measured = rest.mapInArrow(measure, "label int, n long, value double").groupBy("label", "value").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
+    rows = measured.toPandas()  # a few thousand values of scores, and at most one row for each sampled document
+    tokens, clean = rows[rows["label"].isna()], rows[rows["label"] == 0].sort_values("value")
+    if not len(clean) or not (rows["label"] == 1).any():
         return Model()
-    values, times = np.concatenate(clean["values"].to_list()), np.concatenate(clean["times"].to_list())
-    if len(values):
-        distinct, at = np.unique(values, return_inverse=True)
-        weights = np.bincount(at, weights=times)
-        model.rate = positive_root(distinct, weights / weights.sum())
+    if len(tokens):
+        model.rate = positive_root(tokens["value"].to_numpy(), tokens["n"].to_numpy() / tokens["n"].sum())
     # K from the exceedances of a middling segment score over clean text
-    tops = np.array([max(s, default=0.0) if s is not None else 0.0 for s in clean["segments"].to_list()])
+    tops = np.repeat(clean["value"].to_numpy(), clean["docs"].to_numpy())
     level = float(np.quantile(tops[tops > 0], 0.5)) if (tops > 0).any() else 0.0
     model.volume = float(((tops >= level) & (tops > 0)).sum() + 0.5) / float((clean["n"].sum() + 1) * np.exp(-model.rate * level))
-    evidence = np.array([model.evidence([(0, 0, v) for v in s], n)[0] for s, n in zip(seen["segments"], seen["n"], strict=True)])
-    model.curve = Logistic.fit(np.log1p(evidence)[:, None], label)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch):
+                own = [model.evidence(segments, n)[0] for n, segments, _ in segments_of(part.column("text"), model)]
+                yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(own, pa.float64())], ["label", "evidence"])
+
+    # in an order that doesn't depend on the run
+    weighed = rest.mapInArrow(weigh, "label int, evidence double").toPandas().sort_values(["label", "evidence"])
+    model.curve = Logistic.fit(np.log1p(weighed["evidence"].to_numpy(dtype=float))[:, None], weighed["label"].to_numpy(dtype=float))
     return model
 
 
