@@ -57,22 +57,21 @@ class _Remembered(dict):
 
 
 class Encoder:
-    """Ids of a text by a tokenizer file; special tokens in a text are ordinary text.
+    """Ids of a text as the library of the tokenizer file gives them; a special token written in a text is its id.
 
     Byte-level BPE files whose ids follow the order of merges are encoded by rank, piece by
     piece: a single space between two other characters always starts a new piece, so pieces
-    can be encoded once and remembered.  Any other file goes through its own library.
+    can be encoded once and remembered.  Any other file, and any text with a special token, goes
+    through the library itself.
     """
 
     def __init__(self, path: str):
         ranks = _byte_ranks(path)
-        self.parts = None
+        self.path, self.library, self.parts = path, None, None
+        with open(path, encoding="utf-8") as file:
+            self.special = [t["content"] for t in json.load(file).get("added_tokens") or ()]
         if ranks is None:
-            from tokenizers import Tokenizer
-
-            tokenizer = Tokenizer.from_file(path)
-            tokenizer.encode_special_tokens = True
-            self.encode = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+            self.encode = self._by_library
         else:
             import tiktoken
 
@@ -80,8 +79,17 @@ class Encoder:
             self.encode = coder.encode_ordinary
             self.parts = _Remembered(self.encode)
 
+    def _by_library(self, text: str) -> list[int]:
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        return self.library.encode(text, add_special_tokens=False).ids
+
     def ids(self, text: str | None) -> bytes:
         text = text or ""
+        if any(s in text for s in self.special):
+            return np.array(self._by_library(text), dtype="<u4").tobytes()
         if self.parts is not None and text:
             if len(self.parts) > REMEMBERED:
                 self.parts.clear()
@@ -209,7 +217,8 @@ def pack(pieces: DataFrame, shards: int, capacity: int = CAPACITY) -> DataFrame:
         ids = pa.array(np.array(windows, dtype=np.int64) + (shard << 32))
         return table.drop_columns(["_shard"]).append_column("sequence_id", ids).append_column("offset", pa.array(offsets, pa.int64()))
 
-    shard: Column = F.pmod(F.xxhash64("doc_id", "start", "length"), F.lit(shards)).cast("long")
+    # the row's place in its partition spreads repeated rows, which no other column tells apart
+    shard: Column = F.pmod(F.xxhash64("doc_id", "start", "length", F.monotonically_increasing_id()), F.lit(shards)).cast("long")
     return pieces.withColumn("_shard", shard).groupBy("_shard").applyInArrow(fit, schema)
 
 

@@ -13,14 +13,12 @@ from haloflux.llm import packing, queries
 def tokenizer():
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(queries.tokenizer_path())
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(queries.tokenizer_path())
 
 
 def test_pieces_restore_the_ids_of_every_document(spark, tokenizer):
     rows = [(i, t) for i, (_, t, *_) in enumerate(awkward())] + [(100 + k, prose(k, 30 + 61 * k)) for k in range(40)]
-    rows += [(200, " leading"), (201, "trailing "), (202, "a  b \n c d"), (203, "it's  we're 12 34,56 <|endoftext|>"), (204, "a  b 　 c")]
+    rows += [(200, " leading"), (201, "trailing "), (202, "a  b \n c d"), (203, "it's  we're 12 34,56 <|endoftext|>"), (205, "<|endoftext|>"), (206, "a <|endoftext|><|endoftext|> b <|endo"), (204, "a  b 　 c")]
     got = packing.packed(frame(spark, rows), queries.tokenizer_path(), keep_ids=True).collect()
     own = {}
     for r in got:
