@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +40,8 @@ ORDER = 5
 BLOCK_BYTES = 8 << 20
 #: Blocks whose packets, on average, meet in one task.
 BLOCKS_PER_SHARE = 4
+#: Groups in which the byte-pair tables of scan tasks meet before they are summed.
+PAIR_GROUPS = 1024
 SYMBOLS = 257
 _BEFORE, _END = 0xFE, 0xFF  # neither occurs in UTF-8
 _END_WORD = np.uint64(0x5851F42D4C957F2D)
@@ -236,19 +239,19 @@ def _survey(docs: DataFrame, shares: int) -> tuple[np.ndarray, int, int]:
         if held:
             yield from send(held)
         at = np.flatnonzero(low)
-        yield pa.RecordBatch.from_arrays([pa.array([-1, -2], pa.int32()), pa.array([at.astype("<i8").tobytes() + low[at].astype("<i8").tobytes(), np.array([n], "<i8").tobytes()], pa.binary())], ["share", "keys"])
+        yield pa.RecordBatch.from_arrays([pa.array([-3 - TaskContext.get().partitionId() % PAIR_GROUPS, -2], pa.int32()), pa.array([at.astype("<i8").tobytes() + low[at].astype("<i8").tobytes(), np.array([n], "<i8").tobytes()], pa.binary())], ["share", "keys"])
 
     def send(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         known = np.sort(np.concatenate(held))
         known = known[_firsts(known)]
         cuts = _cuts(known, _WORD_BITS, shares)
-        packets = [known[a:b].astype("<u8").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(shares), pa.int32()), pa.array(packets, pa.binary())], ["share", "keys"])
+        packets = [(k, known[a:b].astype("<u8").tobytes()) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in packets], pa.int32()), pa.array([p for _, p in packets], pa.binary())], ["share", "keys"])
 
     def gather(table: pa.Table) -> pa.Table:
         share, packets = table.column("share")[0].as_py(), table.column("keys").to_pylist()
         pair, n = np.full(1, share, np.int64), np.zeros(1, np.int64)
-        if share == -1:
+        if share <= -3:
             low = np.zeros(1 << 16, dtype=np.int64)
             for packet in packets:
                 at, own = np.frombuffer(packet, "<i8").reshape(2, -1)
@@ -260,16 +263,17 @@ def _survey(docs: DataFrame, shares: int) -> tuple[np.ndarray, int, int]:
             known = np.empty(0, np.uint64)
             for at in range(0, len(packets), 64):
                 known = np.unique(np.concatenate([known, *(np.frombuffer(p, "<u8") for p in packets[at : at + 64])]))
-            pair[0], n[0] = -3, len(known)
+            pair[0], n[0] = -1, len(known)
         return pa.table({"pair": pa.array(pair, pa.int64()), "n": pa.array(n, pa.int64())})
 
     rows = docs.select("text").mapInArrow(scan, "share int, keys binary").groupBy("share").applyInArrow(gather, "pair long, n long")
+    # tables of pairs met in PAIR_GROUPS groups; Spark sums what these found
     rows = rows.groupBy("pair").agg(F.sum("n").alias("n")).toPandas()  # at most 2**16 + 2 rows
     low = np.zeros(1 << 16, dtype=np.int64)
     real = rows["pair"] >= 0
     low[rows["pair"][real]] = rows["n"][real]
     other = dict(zip(rows["pair"][~real], rows["n"][~real], strict=True))
-    return low.reshape(256, 256), int(other.get(-2, 0)), int(other.get(-3, 0))
+    return low.reshape(256, 256), int(other.get(-2, 0)), int(other.get(-1, 0))
 
 
 def scored(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -298,6 +302,8 @@ def scored(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: st
             keys, n = _merged(sets, counts)
             cuts = _cuts(keys, bits, shares)
             for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                if a == b:
+                    continue
                 shown["share"].append(kind * shares + k)
                 shown["keys"].append(_bytes(keys[a:b], width))
                 shown["counts"].append(n[a:b].astype("<u4").tobytes())
@@ -325,6 +331,8 @@ def scored(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: st
             order = np.argsort(deal, kind="stable")
             ends = np.cumsum(np.bincount(deal, minlength=shares))[:-1]
             for k, own in enumerate(np.split(order, ends)):
+                if not len(own):
+                    continue
                 out["deal"].append(k)
                 out["share"].append(share)
                 out["keys"].append(known[own].astype("<u8").tobytes())
@@ -375,7 +383,7 @@ def scored(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: st
                 own = np.sort(np.concatenate([own, *(np.sort(keys) for keys, _ in found[at : at + 8])]))
                 own = own[_firsts(own)]
             # packets were cut from the same sorted keys, so their answers line up with them
-            values = np.concatenate([np.frombuffer(by_share[kind * shares + k], "<i8" if kind else "<f4") for k in range(shares)]).astype(np.float64)
+            values = np.concatenate([np.frombuffer(by_share.get(kind * shares + k, b""), "<i8" if kind else "<f4") for k in range(shares)]).astype(np.float64)
             index = _Index(own, bits)
             for keys, before in found:
                 each = values[index.places(keys)]
