@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from haloflux.llm.boosting import Boosted
-from haloflux.llm.scratch import arrow_settings
+from haloflux.llm.scratch import arrow_settings, drawn
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = KINDS[:4]
@@ -54,10 +54,11 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 # Generators of further candidates.
-_AT_DOT = re.compile(r"(?<![\w.%+-])[\w.%+-]{1,64} ?(?:\(at\)|\[at\]|@) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z0-9-]{1,63}){0,4}")
+_AT_DOT = re.compile(r"(?<![\w.%+-])[\w.%+-]++ ?(?:\(at\)|\[at\]|@) ?[A-Za-z0-9-]++(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z0-9-]++)*+")
 _DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){2,}")
 _IPV6 = re.compile(r"(?<![0-9A-Za-z:])(?=[0-9A-Fa-f]*+:[0-9A-Fa-f]*+:)(?:[0-9A-Fa-f]++|:(?=[0-9A-Fa-f:])|(?<=:)(?<!::):)++(?:(?<=[0-9])(?:\.[0-9]++){3})?+(?![0-9A-Za-z])")
-_PHONE_LIKE = re.compile(r"(?<![0-9A-Za-z+])\(?[0-9][0-9 ().-]{5,22}[0-9](?![0-9A-Za-z])")
+_PHONE_LIKE = re.compile(r"(?<![0-9A-Za-z+])\(?[0-9](?:[ ().-]*+[0-9])*+")
+_LAST_GROUP = re.compile(r"[ ().-]+[0-9]+\Z")
 _ASSIGNED = re.compile(r"(?i)(?<![a-z])(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\b ?[=:] ?[\"']?([^\s\"']{6,}+)")
 _LONG = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{16,}+(?![A-Za-z0-9_])")
 _KNOWN_SECRET = re.compile(r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abp]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_]{35})\Z")
@@ -132,9 +133,13 @@ def candidates(text: str) -> list[tuple[int, int, int, int | None]]:
             if 12 <= n <= 19:
                 found.append((2, m.start(), m.end(), None if n < 16 and luhn(digits) else int(luhn(digits))))
         for m in _PHONE_LIKE.finditer(text):
-            n = len(_digits(m[0]))
+            run = m[0]
+            if text[m.end() : m.end() + 1].isalnum():
+                # the last group of digits belongs to a word
+                run = run[: last.start()] if (last := _LAST_GROUP.search(run)) else ""
+            n = len(_digits(run))
             if 7 <= n <= 15:
-                found.append((3, m.start(), m.end(), 0 if n == len(m[0]) or m[0].count(".") == 3 else None))
+                found.append((3, m.start(), m.start() + len(run), 0 if n == len(run) or run.count(".") == 3 else None))
         if "+" in text:
             for m in _PHONE.finditer(text):
                 found.append((3, m.start(), m.end(), int(8 <= len(_digits(m[0])) <= 15)))
@@ -228,7 +233,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mode
     """Trees from three quarters of the sampled documents, thresholds from all other documents."""
     arrow_settings(docs.sparkSession)
     share = min(1.0, SAMPLE_DOCS / max(docs.count(), 1))
-    learns = (F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(share * 1_000_000)) & (F.pmod(F.xxhash64(id_col, F.lit("unseen")), F.lit(4)) != 3)
+    learns = drawn(share, id_col) & (F.pmod(F.xxhash64(id_col, F.lit("unseen")), F.lit(4)) != 3)
     marked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), learns.alias("learns"))
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from haloflux.llm.scratch import arrow_settings
+from haloflux.llm.scratch import drawn as drawn_by_id
 from haloflux.llm.text import mix, pieces, raw, span_hashes, word_bounds
 
 LABELLED = 20_000
@@ -195,9 +196,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", held_out
     size = docs.count()
     known = labels.where(F.col(label_col).isNotNull()).groupBy("doc_id").agg(F.min(F.col(label_col).cast("double")).alias("_label"))
     marked = known.count()
-    spread = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
     labelled_share, other_share = (min(1.0, bound / max(n, 1)) for bound, n in ((LABELLED, marked), (UNLABELLED, size)))
-    drawn = docs.where(F.col("doc_id").isNotNull() & (spread < int(max(labelled_share, other_share) * 1_000_000)))
+    drawn = docs.where(F.col("doc_id").isNotNull() & drawn_by_id(max(labelled_share, other_share), "doc_id"))
     if held_out_fold is not None:
         drawn = drawn.where(F.crc32(F.col("doc_id").cast("string")) % 5 != held_out_fold)
 
@@ -208,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", held_out
 
     drawn = drawn.select(F.col("doc_id").cast("long").alias("doc_id"), *_view_columns(docs))
     drawn = drawn.mapInArrow(measure, "doc_id long, _text_view array<double>, _metadata_view array<double>").join(known, "doc_id", "left")
-    taken = drawn.where(F.when(F.col("_label").isNotNull(), spread < int(labelled_share * 1_000_000)).otherwise(spread < int(other_share * 1_000_000)))
+    taken = drawn.where(F.when(F.col("_label").isNotNull(), drawn_by_id(labelled_share, "doc_id")).otherwise(drawn_by_id(other_share, "doc_id")))
     sample = taken.toPandas().sort_values("doc_id", kind="stable")  # about LABELLED + UNLABELLED rows of some hundred numbers
     if sample.empty:
         return None

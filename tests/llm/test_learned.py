@@ -205,6 +205,38 @@ def test_no_rows_and_no_model(spark):
     assert (row.spans, row.base_sha256) == ("", hashlib.sha256(b"").hexdigest())
 
 
+def test_a_text_of_a_million_words_is_searched_in_linear_time():
+    """Scores that drift down, which leaves most segments open to a search from the end, and other shapes."""
+    import time
+
+    rng = np.random.default_rng(1)
+    n = 1_000_000
+    for scores in (np.where(rng.random(n) < 0.2, 0.5, -0.3), np.where(rng.random(n) < 0.5, 0.3, -0.3), np.resize([1.0, -0.5], n), np.resize([0.5, -1.0], n), np.linspace(1, 2, n) * np.resize([1, -1], n)):
+        start = time.process_time()
+        found = toxicity.maximal_segments(scores)
+        assert time.process_time() - start < 10 and all(a[1] <= b[0] for a, b in zip(found, found[1:]))
+
+
+def test_samples_keep_their_size_however_many_rows_there_are(spark):
+    from haloflux.llm.scratch import drawn
+
+    df = spark.range(200_000)
+    for share in (1.0, 0.1, 0.003):
+        assert abs(df.where(drawn(share, "id")).count() - 200_000 * share) < 5 * (200_000 * share) ** 0.5 + 1
+    # of a million million rows twenty thousand: the bound is far from 0
+    plan = df.where(drawn(20_000 / 1e12, "id"))._jdf.queryExecution().optimizedPlan().toString()
+    assert f"< {int(20_000 / 1e12 * 2.0**63)}" in plan
+
+
+def test_written_out_addresses_and_numbers_have_no_longest_form():
+    text = "mail " + "x" * 100 + " (at) " + " (dot) ".join(["a", "bb", "c" * 70, "dd", "ee", "ff", "gg", "com"]) + " now"
+    assert any(text[s:e].startswith("x" * 100) and text[s:e].endswith("com") for k, s, e, _ in pii.candidates(text) if k == 0)
+    text = "call (030)     1234   -   5678    .   90 today, or 030 1234x"
+    spans = [text[s:e] for k, s, e, _ in pii.candidates(text) if k == 3]
+    assert "(030)     1234   -   5678    .   90" in spans and "030" not in spans
+    assert len(pii.candidates("1 " * 200_000 + "x")) == 0
+
+
 def test_dense_personal_data_stays_fast():
     text = "a@b.cc " * 20_000 + "1.2.3.4 " * 20_000 + "x" * 300_000 + "@" + "1" * 300_000 + "+" * 100_000
     (base, spans), = pii.find([text], None)
