@@ -115,9 +115,11 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     The edited text has its last third replaced by as much of the successor's beginning; the successor is
     the document with the next smaller id (after the smallest, the largest).  Order is followed within
     buckets of ids, to which the row after their last is added, so that texts are shuffled once.  Rows
-    with equal ids follow each other in order of their texts; rows without an id have no place and are left out.
+    with equal ids follow each other in order of their texts; rows without an id have no place in it, so no
+    successor, edited text or sketches of these.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    placeless, docs = docs.where("doc_id IS NULL"), docs.where("doc_id IS NOT NULL")
     ids = docs.select("doc_id")
     rows = ids.count()
     borders = _borders(_bucketed(ids, rows))
@@ -136,4 +138,7 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ).where("NOT _extra")
     cut = F.floor(n / 3).cast("int")
     paired = paired.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - cut), F.substring("_next", F.lit(1), cut)))
-    return with_sketch(paired.drop("_next", "_extra"), "edited", "edited_sketch", scale)
+    paired = with_sketch(paired.drop("_next", "_extra"), "edited", "edited_sketch", scale)
+    alone = with_sketch(placeless, "text", "sketch", scale).withColumn("n_chars", F.char_length("text").cast("long"))
+    missing = {c: F.lit(None).cast(paired.schema[c].dataType) for c in ("next_sketch", "edited", "edited_sketch")}
+    return paired.unionByName(alone.withColumns(missing).select(*paired.columns))

@@ -169,12 +169,10 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): smallest reachable id of each node of the edges (a, b)."""
-    state, edges = None, written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    while True:
-        seen = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b") % 1_000_003).alias("s")).first()
-        if (seen["n"], seen["s"]) == state or not seen["n"]:
-            return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).distinct()
-        state = (seen["n"], seen["s"])
+    edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    size = edges.count()
+    while size:
+        before, known = edges, size
         # large star: each larger neighbour of u is tied to the smallest neighbour of u
         ways = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = ways.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -184,6 +182,11 @@ def components(edges: DataFrame) -> DataFrame:
         tied = edges.join(least, "a")
         edges = tied.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         edges = written(edges.where("a <> b").distinct())
+        size = edges.count()
+        # done when not a single edge has changed
+        if size == known and edges.join(before, ["a", "b"], "left_anti").isEmpty():
+            break
+    return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:

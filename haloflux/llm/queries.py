@@ -51,11 +51,12 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files at source/language/thousand/doc_id."""
+    """Documents as files at source/language/thousand/doc_id; those without an id have a hash of their text in its place."""
     docs = table(spark, sf_dir, "documents")
-    path = F.concat_ws("/", F.coalesce("source", F.lit("_")), F.coalesce("lang", F.lit("_")), F.floor(F.col("doc_id") / 1000), F.col("doc_id"))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("_"), F.sha2(F.coalesce("text", F.lit("")), 256)))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("_")), F.coalesce("lang", F.lit("_")), F.coalesce(F.floor(F.col("doc_id") / 1000).cast("string"), F.lit("_")), name)
     found = licenses.scan(docs.select(path.alias("path"), "text"))
-    return found.select(F.regexp_extract("path", "([^/]*)$", 1).cast("long").alias("doc_id"), "path", "licence", "origin", "cosine", "inherited_from")
+    return found.select(F.regexp_extract("path", "([^/]*)$", 1).try_cast("long").alias("doc_id"), "path", "licence", "origin", "cosine", "inherited_from")
 
 
 def op3_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,7 +51,9 @@ def test_ties_nulls_single_and_no_rows(spark):
     assert queries.fingerprints(frame(spark, awkward())).where("doc_id = 5").count() == 3
     one = queries.fingerprints(frame(spark, [(3, prose(1, 30))])).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
-    assert queries.fingerprints(frame(spark, [])).count() == 0 and queries.fingerprints(frame(spark, [(None, "x")])).count() == 0
+    assert queries.fingerprints(frame(spark, [])).count() == 0 
+    rows = {r.n_chars: r for r in queries.fingerprints(frame(spark, [(None, "x"), (None, None), (3, "one two")])).collect()}
+    assert len(rows) == 3 and all(rows[n].doc_id is None and rows[n].fingerprint and rows[n].edited_sha256 is None and rows[n].near_next is None for n in (0, 1))
 
 
 def test_containment_of_a_part_and_union(spark):

@@ -6,7 +6,7 @@ import pytest
 from brute import awkward, frame, prose
 from pyspark.sql import functions as F
 
-from haloflux.llm import licenses
+from haloflux.llm import licenses, queries
 
 FILES = [
     ("a/LICENSE", "MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
@@ -114,3 +114,11 @@ def test_wrapped_and_embedded_notices_and_whole_texts(spark):
     got = {r.path: r for r in licenses.scan(spark.createDataFrame([(p, t) for p, _, t in files], "path string, text string")).collect()}
     assert {p: got[p].licence for p, _, _ in files} == {p: licence for p, licence, _ in files}
     assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "MIT", "BSD-2-Clause", "ISC", "CC0-1.0", "Unlicense"} <= set(texts)
+
+
+def test_documents_without_an_id_are_answered(spark, tmp_path):
+    rows = [(None, "Released under the MIT License.", "en"), (None, "something else", "en"), (None, None, None), (7, "plain", "de")]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op2_licenses(spark, str(tmp_path)).collect()
+    assert len(got) == 4 and sorted(str(r.doc_id) for r in got) == ["7", "None", "None", "None"]
+    assert sum(r.origin == "stated" for r in got) <= 1
