@@ -13,7 +13,8 @@ component.  Steps, all of them joins and aggregates on Spark:
    Pairs whose sketches agree are confirmed on the full sets; that keeps a group of n close copies
    at n pairs.
 4. Pairs of one bucket that are still in different components are compared as well: members
-   outside the bucket's largest component against all others, sketches first.
+   outside the bucket's largest component against all others, sketches first.  Members of a bucket of more
+   than ``CROWDED`` only meet where they share one of their rarest shingles, as all that are similar do.
 5. Components come from alternating large-star and small-star contractions.
 
 A pair at the threshold shares no bucket, or has sketches too far apart, with a probability of about
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haloflux.llm.scratch import arrow_settings, written
@@ -45,6 +46,8 @@ SAMPLES = 512
 SKETCH_WORDS = 16
 SKETCH_BITS = 64 * SKETCH_WORDS
 PERCENT = 85
+#: Members of a bucket up to which those of different components are compared pair by pair.
+CROWDED = 100
 #: By how much the sketch estimate may lie below the threshold before a pair is dropped (over four deviations).
 SLACK = 0.10
 
@@ -167,6 +170,29 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def prefix_pairs(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of (id, component, shingles) of different components that may reach the similarity, none that does left out.
+
+    Two sets that reach it share one of their rarest shingles: the first n - ceil(percent * n / 100) + 1 of
+    each, counted from the rarest among all members.  Texts that have a template in common meet only if what is
+    their own leaves some of the template among these, so such texts cost a row a shingle, not a row a pair.
+    """
+    own = F.xxhash64("shingles").alias("own")  # an id that is repeated has several sets
+    flat = members.select("id", "component", own, F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    common = flat.groupBy("shingle").agg(F.count("*").alias("times")).where("times > 1")
+    # a shingle that no other member has comes first and meets no other
+    ranked = flat.join(common, "shingle", "left").withColumn("times", F.coalesce("times", F.lit(1)))
+    place = F.row_number().over(Window.partitionBy("id", "own").orderBy("times", "shingle"))
+    kept = ranked.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    kept = kept.where("times > 1").select("id", "component", "n", "shingle")
+    x, y = kept.alias("x"), kept.alias("y")
+    sized = (100 * F.col("x.n") >= percent * F.col("y.n")) & (100 * F.col("y.n") >= percent * F.col("x.n"))
+    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & sized)
+    pairs = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().alias("p")
+    near = pairs.join(sketches.alias("u"), F.col("p.a") == F.col("u.doc_id")).join(sketches.alias("v"), F.col("p.b") == F.col("v.doc_id"))
+    return near.where(_may_reach("u", "v", percent)).select("p.a", "p.b")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): smallest reachable id of each node of the edges (a, b)."""
     edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
@@ -225,10 +251,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     placed = members.join(joined, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
     shares = placed.groupBy("band", "component").agg(F.count("*").alias("n"))
-    mixed = shares.groupBy("band").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
-    mixed = mixed.select("band", F.col("most.component").alias("main"))
+    mixed = shares.groupBy("band").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("parts"), F.sum("n").alias("size")).where("parts > 1")
+    mixed = mixed.select("band", F.col("most.component").alias("main"), (F.col("size") > CROWDED).alias("crowded"))
     apart = written(placed.join(mixed, "band").join(sketches.withColumnRenamed("doc_id", "id"), "id"))
-    x, y = apart.where("component <> main").alias("x"), apart.alias("y")
+    few = apart.where("NOT crowded")
+    x, y = few.where("component <> main").alias("x"), few.alias("y")
     # a pair counts once: in the first band it shares, and in one order
     once = (F.col("y.component") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))
     first_shared = F.element_at(F.array_intersect("x.bands", "y.bands"), 1) == F.col("x.band")
@@ -236,7 +263,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         y,
         (F.col("x.band") == F.col("y.band")) & (F.col("x.component") != F.col("y.component")) & once & _may_reach("x", "y", percent) & first_shared,
     ).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-    joined = components(links.union(confirmed(across.distinct(), sets, percent)))
+    # a pair whose first shared bucket is crowded is found by its rarest shingles
+    crowd = apart.where("crowded").select("id", "component").distinct()
+    members_of = crowd.join(sets.withColumnRenamed("doc_id", "id"), "id")
+    across = across.union(prefix_pairs(members_of, sketches, percent)).distinct()
+    joined = components(links.union(confirmed(across, sets, percent)))
 
     named = classes.join(joined, classes["rep"] == joined["id"], "left").select(*key, F.coalesce("component", "rep").alias("_component"))
     found = signed.select("doc_id", *key).join(named, key, "left")

@@ -94,3 +94,31 @@ def test_contained_items_match_brute_force(spark):
     assert got == want and (2002, 3) in want and (2000, 90) in want
     assert decontam.contaminated(frame(spark, docs), frame(spark, []), item_id_col="doc_id").count() == 0
     assert decontam.contaminated(frame(spark, []), frame(spark, items), item_id_col="doc_id").count() == 0
+
+
+def templated(n, own=26, shared=150):
+    """Texts of one template with words of their own at its end: Jaccard similarity about 0.7."""
+    template = prose(77, shared)
+    return [template + " " + " ".join(f"t{k}w{m}" for m in range(own)) for k in range(n)]
+
+
+@pytest.mark.parametrize("crowded", [2, 10])
+def test_crowded_buckets_lose_no_link(spark, monkeypatch, crowded):
+    monkeypatch.setattr(neardup, "CROWDED", crowded)
+    texts = templated(30) + variants(11, 200, 25, 2) + variants(14, 200, 25, 5) + [prose(20, 90)] * 20 + variants(15, 60, 20, 1)
+    rows = [(7 * i, t) for i, t in enumerate(texts)] + awkward() + [(0, templated(40)[33]), (7, variants(11, 200, 25, 2)[3])]
+    got = {(r.doc_id, r.component_id) for r in neardup.near_duplicates(frame(spark, rows)).collect() if r.doc_id is not None}
+    assert got == set(components(rows, 85).items())
+
+
+def test_texts_of_one_template_meet_in_linear_number(spark):
+    from pyspark.sql import functions as F
+
+    for n in (200, 400):
+        docs = frame(spark, list(enumerate(templated(n)))).select("doc_id", "text")
+        sets = neardup.sets_of(docs)
+        sketches = neardup.signatures(docs)
+        members = sets.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("component"), "shingles")
+        assert neardup.prefix_pairs(members, sketches, 85).count() == 0
+        got = neardup.near_duplicates(docs).collect()
+        assert len(got) == n and all(r.kept for r in got)
