@@ -2,9 +2,9 @@
 
 Every stage reads all rows its predecessor kept and takes effect: low quality goes, one document of each
 near-duplicate group stays, documents that hold benchmark items go, personal data is replaced, and
-the rest is packed.  All but the last return the columns they were given.  Null, empty and repeated
-rows pass by the rules of the operators; rows with a null doc_id are never near duplicates or
-contaminated, and extra columns pass through.
+the rest is packed.  All but the last return the columns they were given.  Null and empty texts
+pass by the rules of the operators; repeated rows and rows with a null doc_id are near duplicates and
+contaminated like others, and extra columns pass through.
 """
 
 from __future__ import annotations
@@ -23,28 +23,40 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 SIMILAR = 80
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier, fitted on the labelled ones among them, doesn't reject."""
     model = quality.fit(docs, queries.table(spark, sf_dir, "labels"), held_out_fold=None)
-    score = "_quality"
-    while score in docs.columns:
-        score += "_"
+    score = unused(docs, "_quality")
     return quality.scored(docs, model, score).where(F.col(score) >= quality.KEEP).select(*docs.columns)
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows whose doc_id is not in ``gone``."""
-    return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-
-
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
-    return without(docs, neardup.near_duplicates(docs, percent=SIMILAR).where("NOT kept"))
+    """One row of each group of near duplicates: that with the smallest id, rows without one last.
+
+    Rows are told apart by a number of their own, written with them, so that repeated rows and rows without
+    an id take part like others.
+    """
+    row = unused(docs, "_row")
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = neardup.near_duplicates(numbered, id_col=row, percent=SIMILAR).select(F.col("doc_id").alias(row), "component_id")
+    first = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(row).alias("row"))
+    kept = numbered.select(row, "doc_id").join(found, row).groupBy("component_id").agg(F.min(first).alias("first"))
+    return numbered.join(kept.select(F.col("first.row").alias(row)), row, "left_semi").select(*docs.columns)
 
 
 def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
-    return without(docs, decontam.contaminated(docs, queries.table(spark, sf_dir, "benchmark")))
+    """Documents that contain no benchmark item; those without an id are named by a hash of their text."""
+    key = unused(docs, "_key")
+    named = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    gone = decontam.contaminated(named, queries.table(spark, sf_dir, "benchmark"), id_col=key)
+    return named.join(gone.select(F.col("doc_id").alias(key)).distinct(), key, "left_anti").select(*docs.columns)
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
