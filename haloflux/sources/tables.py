@@ -67,9 +67,9 @@ def without_overlap(df: DataFrame, keys: Sequence[str] = ("ocean_time", "j", "i"
         held = contested.withColumnRenamed("file", "__file")
         alone, shared = (tagged.join(held, "__file", how) for how in ("left_anti", "left_semi"))
         file = F.col("__file")
-    others = [c for c in df.columns if c not in keys]
-    last = F.max_by(F.struct(*others), file).alias("__row")
-    single = shared.groupBy(*keys).agg(last).select(*keys, "__row.*").select(*df.columns)
+    # as many rows a key as files overlap there
+    latest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("__file")))
+    single = shared.select(*df.columns, file.alias("__file")).withColumn("__nth", latest).where("__nth = 1").select(*df.columns)
     return alone.select(*df.columns).unionByName(single)
 
 
