@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haloflux.llm.quality import Logistic
-from haloflux.llm.scratch import arrow_settings, drawn
+from haloflux.llm.scratch import arrow_settings, drawn, written
 from haloflux.llm.text import pieces, raw, span_hashes
 
 LABELLED = 40_000
@@ -177,8 +177,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> Model:
     arrow_settings(docs.sparkSession)
     known = labels.where(F.col(label_col).isNotNull()).groupBy("doc_id").agg(F.max(F.col(label_col).cast("int")).alias("label"))
     share = min(1.0, LABELLED / max(known.count(), 1))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(drawn(share, "doc_id"))
-    sample = docs.join(known, "doc_id")
+    # about LABELLED rows of an id and a label, so that no text is shuffled; the sample is read four times
+    chosen = F.broadcast(known.where(drawn(share, "doc_id")))
+    sample = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id"))
     first = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)) == 0
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -204,12 +204,13 @@ def class_of_maximum(hist: DataFrame, value: str, by: list[str], bin_column: str
 def overlap_of_runs(runs: DataFrame, run: str = "run_id", time: str = "ocean_time") -> DataFrame:
     """Rows of all runs within the period that every run covers (both ends included).
 
-    The limits are scalar subqueries over one row per run.
+    Spans are one row per run; these few rows know the limits, and rows get them through their run.
     """
-    spans = runs.groupBy(run).agg(F.min(time).alias("lo"), F.max(time).alias("hi"))
-    shared = spans.agg(F.struct(F.max("lo").alias("lo"), F.min("hi").alias("hi")).alias("s")).scalar()
-    limits = runs.withColumn("__s", shared)
-    return limits.where(F.col(time).between(F.col("__s.lo"), F.col("__s.hi"))).drop("__s")
+    spans = runs.groupBy(run).agg(F.min(time).alias("__lo"), F.max(time).alias("__hi"))
+    every = Window.partitionBy()
+    limits = spans.select(run, F.max("__lo").over(every).alias("__lo"), F.min("__hi").over(every).alias("__hi"))
+    met = runs.join(limits, run)
+    return met.where(F.col(time).between(F.col("__lo"), F.col("__hi"))).select(*runs.columns)
 
 
 def surface_velocity_gradients(columns: DataFrame, levels: SLevels) -> DataFrame:

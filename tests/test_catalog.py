@@ -35,7 +35,7 @@ def test_plan_has_no_unbounded_steps(spark, name):
         assert "partial_sum(" in plan
 
 
-@pytest.mark.parametrize("name,scans", [("surface_budget", 2), ("surface_closure", 2), ("tendencies", 1), ("cv_volume_stats", 1), ("closure", 2), ("interp_uv", 1), ("staggered_volumes", 1), ("time_slices", 4)])
+@pytest.mark.parametrize("name,scans", [("surface_budget", 2), ("surface_closure", 2), ("tendencies", 1), ("cv_volume_stats", 1), ("closure", 2), ("freq_compare", 8), ("interp_uv", 1), ("staggered_volumes", 1), ("time_slices", 4)])
 def test_plan_reads_its_input_so_often(spark, name, scans):
     plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") <= scans
