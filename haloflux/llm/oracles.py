@@ -81,3 +81,58 @@ SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIG
   (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
 FROM r
 """
+
+#: Damage by a checksum computed bit by bit, faults by windows, and edits by a recursion over rows that keeps the best way to each last role.
+CONVERSATION_REPAIR = r"""
+WITH RECURSIVE keyed AS (
+       SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key
+       FROM conversations),
+     summed AS (
+       SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(key) + 1), lambda k: ascii(substr(key, k, 1))::BIGINT)),
+           lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 1, 2, 3, 4, 5, 6, 7]),
+             lambda x, n: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT) % 20 AS kind
+       FROM keyed),
+     damaged AS (
+       SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+       FROM (SELECT *, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM summed)),
+     ordered AS (
+       SELECT *, substr(role, 1, 1) AS initial, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged),
+     faulty AS (
+       SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+              WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+              WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault
+       FROM ordered),
+     wanted AS (SELECT unnest(['', 's', 'u', 'a']) AS q, unnest(['u', 'u', 'a', 'u']) AS r, unnest(['user', 'user', 'assistant', 'user']) AS name),
+     inserts AS (
+       SELECT q AS q0, q AS q1, 0 AS c, '' AS a, []::VARCHAR[] AS o FROM wanted
+       UNION ALL SELECT q, r, 2, 'I', [name || ':'] FROM wanted
+       UNION ALL SELECT x.q, y.r, 4, 'II', [x.name || ':', y.name || ':'] FROM wanted x JOIN wanted y ON y.q = x.r),
+     edits AS (
+       SELECT f.conv_id, f.i, w.q AS q1, e.q2, e.c, e.a, e.o
+       FROM faulty f, wanted w, LATERAL (
+         SELECT w.q AS q2, 3 AS c, 'D' AS a, []::VARCHAR[] AS o
+         UNION ALL SELECT f.initial, (f.fault = 'truncated')::INT, 'K', [f.role || ':' || f.text]
+           WHERE f.fault IN ('', 'truncated') AND (f.initial = w.r OR (w.q = '' AND f.initial = 's'))
+         UNION ALL SELECT w.r, 2 + (f.fault = 'truncated')::INT, 'R', [w.name || ':' || f.text] WHERE f.fault IN ('', 'truncated')) e),
+     ways AS (
+       SELECT DISTINCT conv_id, 0::BIGINT AS i, '' AS q, {'c': 0, 'a': '', 'o': []::VARCHAR[]} AS best FROM conversations
+       UNION ALL
+       SELECT w.conv_id, e.i, e.q2, min({'c': w.best.c + s.c + e.c, 'a': w.best.a || s.a || e.a, 'o': list_concat(list_concat(w.best.o, s.o), e.o)})
+       FROM ways w JOIN inserts s ON s.q0 = w.q JOIN edits e ON e.conv_id IS NOT DISTINCT FROM w.conv_id AND e.i = w.i + 1 AND e.q1 = s.q1
+       GROUP BY w.conv_id, e.i, e.q2),
+     last AS (
+       SELECT c.conv_id, coalesce(max(f.i), 0) AS n, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (f.i > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal,
+         coalesce(max(f.turn) - min(f.turn) + 1 - count(DISTINCT f.turn), 0) AS gaps
+       FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM c.conv_id GROUP BY c.conv_id),
+     done AS (
+       SELECT w.conv_id, min({'c': w.best.c + s.c, 'a': w.best.a || s.a, 'o': list_concat(w.best.o, s.o)}) AS best
+       FROM ways w JOIN last l ON l.conv_id IS NOT DISTINCT FROM w.conv_id AND l.n = w.i JOIN inserts s ON s.q0 = w.q
+       WHERE s.q1 IN ('', 'a') GROUP BY w.conv_id)
+SELECT l.conv_id, gaps::BIGINT AS gaps, blank, duplicate, truncated, illegal, best.c::BIGINT AS cost, best.a AS audit,
+  sha256(array_to_string(best.o, chr(10))) AS repaired_sha256
+FROM last l JOIN done d ON d.conv_id IS NOT DISTINCT FROM l.conv_id
+"""

@@ -157,5 +157,6 @@ QUERIES: dict[str, Query] = {
 ORACLES: dict[str, str] = {
     "op6_decontamination": oracles.DECONTAMINATION,
     "op9_near_duplicates": oracles.NEAR_DUPLICATES,
+    "op11_conversation_repair": oracles.CONVERSATION_REPAIR,
     "op12_filter_audit": oracles.FILTER_AUDIT,
 }
