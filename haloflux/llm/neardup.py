@@ -13,8 +13,8 @@ component.  Steps, all of them joins and aggregates on Spark:
    Pairs whose sketches agree are confirmed on the full sets; that keeps a group of n close copies
    at n pairs.
 4. Pairs of one bucket that are still in different components are compared as well: members
-   outside the bucket's largest component against all others, sketches first.  Members of a bucket of more
-   than ``CROWDED`` only meet where they share one of their rarest shingles, as all that are similar do.
+   outside the bucket's largest component against all others, sketches first.  Where more than ``CROWDED``
+   are outside, members only meet if they share one of their rarest shingles, as all that are similar do.
 5. Components come from alternating large-star and small-star contractions.
 
 A pair at the threshold shares no bucket, or has sketches too far apart, with a probability of about
@@ -46,8 +46,8 @@ SAMPLES = 512
 SKETCH_WORDS = 16
 SKETCH_BITS = 64 * SKETCH_WORDS
 PERCENT = 85
-#: Members of a bucket up to which those of different components are compared pair by pair.
-CROWDED = 100
+#: Members outside a bucket's largest component up to which each is compared with the whole bucket: so many pairs a member at most.
+CROWDED = 1000
 #: By how much the sketch estimate may lie below the threshold before a pair is dropped (over four deviations).
 SLACK = 0.10
 
@@ -252,7 +252,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = members.join(joined, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
     shares = placed.groupBy("band", "component").agg(F.count("*").alias("n"))
     mixed = shares.groupBy("band").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("parts"), F.sum("n").alias("size")).where("parts > 1")
-    mixed = mixed.select("band", F.col("most.component").alias("main"), (F.col("size") > CROWDED).alias("crowded"))
+    mixed = mixed.select("band", F.col("most.component").alias("main"), (F.col("size") - F.col("most.n") > CROWDED).alias("crowded"))
     apart = written(placed.join(mixed, "band").join(sketches.withColumnRenamed("doc_id", "id"), "id"))
     few = apart.where("NOT crowded")
     x, y = few.where("component <> main").alias("x"), few.alias("y")
