@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from haloflux.functions.timeparts import at_time
 from haloflux.operators import exchange, grid, volumes
+from haloflux.plans import catalog
 from haloflux.schema import CELLS_SCHEMA, COLUMNS_SCHEMA, BinSpec, ControlVolume, control_volume_table
-from haloflux.sources import ledger, tables, versions
+from haloflux.sources import adapters, ledger, tables, versions
 from haloflux.streaming import daily
 
 SALT = BinSpec("salt", 0.0, 60.0, 60)
@@ -280,6 +281,36 @@ def test_only_overlapping_files_are_shuffled(spark, tmp_path):
             assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Union") < plan.index("FileScan") < plan.index("Exchange")
 
 
+@pytest.mark.parametrize("days", [2900, 30])
+def test_a_delivery_is_written_by_many_tasks(spark, tmp_path, monkeypatch, days):
+    # 30 days: all rows lie in the quarter where two deliveries overlap
+    first = "1993-01-01" if days > 30 else "1995-08-01"
+    items = spark.range(6000).selectExpr(
+        f"CAST(date_add(DATE '{first}', CAST(pmod(hash(id, 1), {days}) AS int)) AS timestamp_ntz) AS l_shipdate",
+        "CASE WHEN id % 50 > 0 THEN pmod(hash(id, 2), 1000L) END AS l_suppkey",
+        "CASE WHEN id % 70 > 0 THEN pmod(hash(id, 3), 2000L) END AS l_partkey",
+        "id DIV 4 AS l_orderkey", "CAST(id % 7 + 1 AS int) AS l_linenumber", "CAST(id % 50 AS double) AS l_quantity",
+    )
+    items.write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(catalog, "_folder", lambda spark: str(tmp_path / "kept"))
+    late = datetime(1995, 7, 1)
+    want: dict[datetime, tuple[int, float]] = {}
+    for r in adapters.grid_columns(spark, str(tmp_path)).select("ocean_time", "zeta").collect():
+        n, zeta = want.get(r.ocean_time, (0, 0.0))
+        want[r.ocean_time] = n + 1, zeta + (r.zeta or 0.0) + (r.zeta is not None and r.ocean_time >= late)
+    merging = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(merging)
+    spark.conf.set(merging, "false")
+    try:
+        got = {r.ocean_time: (r.n, r.zeta) for r in catalog.overlapping_files(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set(merging, before)
+    assert got == want and len(want) == (1 if days == 30 else 32)
+    for name in ("his_1", "his_2", "his_3") if days > 30 else ("his_2", "his_3"):
+        files = [r["count"] for r in tables.scan(spark, str(tmp_path / "kept" / name)).groupBy("_metadata.file_path").count().collect()]
+        assert len(files) > 1 and max(files) <= sum(files) / 2
+
+
 def test_null_keys_meet_when_results_are_merged(spark):
     a = spark.createDataFrame([(None, 1.0), (1, 2.0)], "k int, a double")
     b = spark.createDataFrame([(None, 5.0), (2, 6.0)], "k int, b double")
