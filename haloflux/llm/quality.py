@@ -8,7 +8,8 @@ calibrates and weighs the two views; the combined probability scores every docum
 
 Only the fit uses a sample: about ``LABELLED`` labelled and ``UNLABELLED`` other documents, drawn by
 a hash of the id.  Features and scores are computed in one pass over all documents in whole;
-nothing is shuffled but the sample's features.
+nothing is shuffled but the sample's features.  One task fits the model on these, and the driver gets
+nothing but the model.
 
 Null and empty texts have all-zero statistics; null metadata is a value of its own.  Without
 labels of both classes every document scores 1 (nothing is rejected).  Repeated rows score alike,
@@ -17,6 +18,7 @@ an id with several labels counts as good only if all say so, and extra columns a
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -204,15 +206,25 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", held_out
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             views = [pa.array(list(v), pa.list_(pa.float64())) for v in _views(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *views], ["doc_id", "_text_view", "_metadata_view"])
-
-    drawn = drawn.select(F.col("doc_id").cast("long").alias("doc_id"), *_view_columns(docs))
-    drawn = drawn.mapInArrow(measure, "doc_id long, _text_view array<double>, _metadata_view array<double>").join(known, "doc_id", "left")
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_row"), *views], ["doc_id", "_row", "_text_view", "_metadata_view"])
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filled = [batch for batch in batches if batch.num_rows]
+        if not filled:
+            return
+        sample = pa.Table.from_batches(filled)
+        order = np.lexsort((sample["_row"].to_numpy(), sample["doc_id"].to_numpy()))
+        views = tuple(np.concatenate([c.flatten().to_numpy() for c in sample[view].chunks]).reshape(len(order), -1)[order] for view in ("_text_view", "_metadata_view"))
+        model = co_train(views, sample["_label"].to_numpy()[order])
+        if model is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    drawn = drawn.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("_row"), *_view_columns(docs))
+    drawn = drawn.mapInArrow(measure, "doc_id long, _row long, _text_view array<double>, _metadata_view array<double>").join(known, "doc_id", "left")
     taken = drawn.where(F.when(F.col("_label").isNotNull(), drawn_by_id(labelled_share, "doc_id")).otherwise(drawn_by_id(other_share, "doc_id")))
-    sample = taken.toPandas().sort_values("doc_id", kind="stable")  # about LABELLED + UNLABELLED rows of some hundred numbers
-    if sample.empty:
-        return None
-    return co_train((np.stack(sample["_text_view"]), np.stack(sample["_metadata_view"])), sample["_label"].to_numpy(dtype=float))
+    # one task has about LABELLED + UNLABELLED rows of some hundred numbers, whatever the size of the table
+    fitted = taken.repartition(1).mapInArrow(train, "model binary").collect()
+    return pickle.loads(fitted[0]["model"]) if fitted else None
 
 
 def scored(docs: DataFrame, model: Model | None, score_col: str = "score") -> DataFrame:
